@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,3 +39,9 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     if any(lower.count(n.lower()) > 1 for n in names):
         df = df.toDF(*[c if c in names else f"__other_{i}" for i, c in enumerate(df.columns)])
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more, so they don't pile up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
