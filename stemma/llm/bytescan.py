@@ -128,3 +128,31 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22):
         hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[buf]
+
+
+def words_of(buf: np.ndarray, off: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word: a maximal run of bytes within a text that letter[byte] admits."""
+    if not len(buf):
+        return (np.empty(0, np.int64),) * 3
+    inside = letter[buf]
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:-1]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return s, e, np.searchsorted(off, s, "right") - 1
+
+
+#: Bytes that aren't ASCII white space or control characters.
+NOT_SPACE = np.arange(256) > 32
