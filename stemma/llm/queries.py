@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontaminate
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
@@ -15,7 +16,7 @@ from .token_files import op1_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table, with production parameters."""
-    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op9_near_dup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op8_decontaminate, op9_near_dup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
