@@ -12,13 +12,15 @@ from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .token_files import op1_token_files
+from .url_filter import op4_url_filter
+from .warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table, with production parameters."""
-    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op8_decontaminate, op9_near_dup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op4_url_filter, op6_warc, op8_decontaminate, op9_near_dup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB's SQL, where that can express them."""
-    return {}
+    return {"op6_warc": OP6_SQL}
