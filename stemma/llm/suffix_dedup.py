@@ -133,8 +133,16 @@ def _judge(rows: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
     return {DUP: [x[dup] for x in rows], PART: [x[new_b & several] for x in rows]}
 
 
+def _at_end(rows: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
+    """A run that touches a partition's end: rows that repeat one before them in it; the first of each b stays open."""
+    _, b, pos, _ = rows
+    new_b = np.r_[True, b[1:] != b[:-1]]
+    dup = pos > pos[new_b][np.cumsum(new_b) - 1]
+    return {DUP: [x[dup] for x in rows], OPEN: [x[new_b] for x in rows]}
+
+
 def _runs(batches):
-    """Arrow function over sorted (a, b, pos, n): judged rows, and the rows of runs that touch the partition's ends."""
+    """Arrow function over sorted (a, b, pos, n): judged rows, and what stays open in runs at the partition's ends."""
 
     def out(kind, rows):
         return table({"kind": pa.array(np.full(len(rows[0]), kind, np.int8)), "a": pa.array(rows[0]), "b": pa.array(rows[1]), "pos": pa.array(rows[2]), "n": pa.array(rows[3])})
@@ -149,14 +157,16 @@ def _runs(batches):
         last = int(np.searchsorted(a, a[-1], "left"))
         if first and last:
             cut = int(np.searchsorted(a, a[0], "right"))
-            yield out(OPEN, [x[:cut] for x in held])
+            for kind, done in _at_end([x[:cut] for x in held]).items():
+                yield out(kind, done)
             held, last, first = [x[cut:] for x in held], last - cut, False
         if last:
             for kind, done in _judge([x[:last] for x in held]).items():
                 yield out(kind, done)
             held = [x[last:] for x in held]
     if held is not None:
-        yield out(OPEN, held)
+        for kind, done in _at_end(held).items():
+            yield out(kind, done)
 
 
 def repeats(rows: DataFrame) -> DataFrame:
