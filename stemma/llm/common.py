@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of queries that nothing refers to any more, so they don't pile up on disk."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, written in this order over many files, with each row's place from 0: files' prefix sums plus row in file."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "ranked")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(bases, "_file").withColumn(name, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .importance import op7_importance
+from .language_id import op5_language_id
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
@@ -18,7 +20,7 @@ from .warc import OP6_SQL, op6_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table, with production parameters."""
-    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op4_url_filter, op6_warc, op8_decontaminate, op9_near_dup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_warc, op7_importance, op8_decontaminate, op9_near_dup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
