@@ -210,8 +210,8 @@ def _through(shards, window: int):
                 yield table({
                     "doc_id": part.column(0), "n_words": pa.array(n_words.astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)),
                     "n_items": pa.array([len(x) for x in listed], pa.int64()), "items": pa.array(listed, pa.list_(pa.string())),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]), "spans": spans,
-                })
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()), "spans": spans,
+                } | {f"_{i}": c for i, c in enumerate(part.columns[2:])})
 
     return run
 
@@ -219,9 +219,10 @@ def _through(shards, window: int):
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most_bytes: int = 1 << 26) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most_bytes: int = 1 << 26, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items, items_sha256,
-    spans (byte ranges of hit words in the text) and contaminated (any hit, and share * n_hit >= n_words).
+    spans (byte ranges of hit words in the text), contaminated (any hit, and share * n_hit >= n_words), and the
+    columns of docs to carry.
 
     A null, empty or wordless text has no words, no hits and isn't contaminated; a null, empty or wordless item has
     no window; items of equal text or id are all counted, ids as strings, null ids as the string "null". Repeated
@@ -239,8 +240,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     else:
         sent = spark.sparkContext.broadcast([(r.item, item_words(r.text)) for r in items.collect()])
         shards = lambda: _shards(sent.value)
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = docs.mapInArrow(_through(shards, window), OUT)
+    rest = [f"_{i}" for i in range(len(carry))]
+    docs = only(docs, *dict.fromkeys(("doc_id", "text", *carry)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(r) for c, r in zip(carry, rest, strict=True)])
+    more = "".join(f", {r} {docs.schema[r].dataType.simpleString()}" for r in rest)
+    out = docs.mapInArrow(_through(shards, window), OUT + more).withColumnsRenamed(dict(zip(rest, carry, strict=True)))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

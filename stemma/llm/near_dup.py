@@ -9,11 +9,12 @@ groups of near copies would fall apart.)
 1. Texts alike in their words fall together, whatever their number.
 2. Each sample of a text is the shingle whose hash value, drawn by Ioffe's scheme for its weight, is least: two
    texts share it with a probability of their weighted Jaccard similarity. `bands` groups of `rows` samples are keys.
-3. Texts that share a key are candidates. A round compares each member of a key's group with one of them; what is
-   found similar merges. Rounds go on while open pairs, of one group but not yet of one class, are many; the rest is
-   compared pair by pair. So a large group of copies costs its size, and no open pair is left out.
-4. A pair is judged first by the shares of equal samples (under `doubt`, some six standard deviations below the
-   threshold, it's rejected), then by the weighted Jaccard similarity of the whole texts.
+3. Texts that share a key are candidates. First each member of a key's group is compared with the group's least
+   member, and what is found similar merges: a large group of copies costs its size. Members still apart are then
+   compared pair by pair, in blocks of at most 2 * BLOCK members by task, so no group is too large for one and no
+   open pair is left out.
+4. A pair is judged first by the share of equal samples (under `doubt`, four standard deviations below the threshold,
+   it's rejected), then by the weighted Jaccard similarity of the whole texts.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def samples(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int, k: int)
 
 
 def _sign(idf, size: int, bands: int, rows: int):
-    """Arrow function (doc_id, text) -> doc_id, d0, d1 (digest of the words), n_words, keys (array), sig (16 bits a sample)."""
+    """Arrow function (doc_id, text, text_hash) -> doc_id, text_hash, d0, d1 (digest of the words), n_words, keys (array), sig (16 bits a sample)."""
 
     def run(batches):
         for batch in batches:
@@ -161,7 +162,7 @@ def _sign(idf, size: int, bands: int, rows: int):
                 flat = pa.array(key.reshape(-1).view(np.int64))
                 sig = (got & _U(0xFFFF)).astype("<u2")
                 yield table({
-                    "doc_id": part.column(0), "d0": pa.array(digest[0]), "d1": pa.array(digest[1]), "n_words": pa.array(n.astype(np.int64)),
+                    "doc_id": part.column(0), "text_hash": part.column(2), "d0": pa.array(digest[0]), "d1": pa.array(digest[1]), "n_words": pa.array(n.astype(np.int64)),
                     "keys": pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), flat),
                     "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
                 })
@@ -208,90 +209,112 @@ def _similarity(idf, size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, doubt: float = 0.5, most_open: float = 4.0, rounds: int = 8) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id, class_size, kept: one row per row of docs.
+def _open_pairs(k: int, doubt: float):
+    """Arrow function over (key, i, j, block, id, class_id, sig), sorted by key, i, j -> likely pairs (x, y) of unlike class.
 
-    class_id is the least doc_id of the class; kept marks the row that stays for it. Rows without a word (null, empty
-    or blank texts) are alike to nothing: each is kept, with its own doc_id as class_id. Rows with a null doc_id are
-    kept, with a null class_id, and join no class. A doc_id that comes with several texts has, in each row, the class
-    of that row's text; of repeated rows one is kept. An empty table gives an empty table; other columns are ignored.
-    At the threshold a link is missed with a probability of (1 - threshold**rows)**bands, 0.0002 by default.
+    A group (key, i, j) holds the members of blocks i and j of a key; pairs within i = j, or between i and j.
+    """
+
+    def pairs(block, ids, cls, sig, between):
+        for lo in range(0, len(ids) - 1):
+            rest = slice(lo + 1, None)
+            ok = cls[rest] != cls[lo]
+            if between:
+                ok &= block[rest] != block[lo]
+            at = np.flatnonzero(ok)
+            if len(at):
+                share = (sig[rest][at] == sig[lo]).mean(axis=1)
+                for y in ids[rest][at[share >= doubt]].tolist():
+                    yield (int(ids[lo]), y) if ids[lo] < y else (y, int(ids[lo]))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            held = b if held is None else pa.concat_batches([held, b])
+            cols = [held.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])]) if held.num_rows else np.empty(0, np.int64)
+            if len(new) > 1:
+                yield judged(held.slice(0, new[-1]), new[:-1])
+                held = held.slice(new[-1])
+        if held is not None and held.num_rows:
+            yield judged(held, np.zeros(1, np.int64))
+
+    def judged(rows, starts):
+        i, j, block, ids, cls = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(1, 6))
+        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, k)
+        found: set[tuple[int, int]] = set()
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            found.update(pairs(block[lo:hi], ids[lo:hi], cls[lo:hi], sig[lo:hi], i[lo] != j[lo]))
+        out = sorted(found)
+        return table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, doubt: float = 0.6) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text_hash, class_id, kept: one row per row of docs.
+
+    class_id is the least doc_id of the class; kept marks the document that stays for it. Rows without a word (null,
+    empty or blank texts) are alike to nothing: each is kept, with its own doc_id as class_id. Rows with a null doc_id
+    are kept, with a null class_id, and join no class. Repeated rows are one document written twice and fare alike; a
+    doc_id that comes with several texts has, in each row, the class of that row's text. An empty table gives an empty
+    table; other columns are ignored. At the threshold a link is missed with a probability of
+    (1 - threshold**rows)**bands by its keys and about as much by `doubt`: together 0.0004 by default.
     """
     spark = docs.sparkSession
-    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     known = docs.where(F.col("doc_id").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = written(known.mapInArrow(_sign(idf, size, bands, rows), "doc_id long, d0 long, d1 long, n_words long, keys array<long>, sig binary"), "signed")
-    alike = signed.where("n_words > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
-    alike = written(alike, "alike")
-    links = _links(spark, known, signed, alike, idf, threshold, size, bands * rows, doubt, most_open, rounds)
+    signed = written(known.mapInArrow(_sign(idf, size, bands, rows), "doc_id long, text_hash long, d0 long, d1 long, n_words long, keys array<long>, sig binary"), "signed")
+    alike = written(signed.where("n_words > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "alike")
+    merged = _classes(known, signed, alike, idf, threshold, size, bands * rows, doubt).withColumnRenamed("id", "rep")
     release(spark)
-    named = signed.select("doc_id", "d0", "d1", "n_words").join(alike, ["d0", "d1"], "left")
-    merged = components(links).withColumnRenamed("id", "rep")
-    classed = named.join(merged, "rep", "left").select("doc_id", F.when(F.col("n_words") > 0, F.coalesce("class_id", "rep")).otherwise(F.col("doc_id")).alias("class_id"), "n_words")
-    classed = written(classed, "classed")
-    sizes = classed.where("n_words > 0").groupBy("class_id").agg(F.count("*").alias("class_size"), F.count_if(F.col("doc_id") == F.col("class_id")).alias("_firsts"))
-    joined = classed.where("n_words > 0").join(sizes, "class_id")
-    several = F.col("_firsts") > 1
-    firsts = joined.where(several & (F.col("doc_id") == F.col("class_id"))).dropDuplicates(["class_id"]).select("doc_id", "class_id", "class_size", F.lit(True).alias("kept"))
-    again = joined.where(several & (F.col("doc_id") == F.col("class_id"))).groupBy("class_id", "class_size").agg((F.count("*") - 1).alias("_n"))
-    again = again.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))), F.col("class_id").alias("doc_id"), "class_id", "class_size", F.lit(False).alias("kept")).drop("col")
-    rest = joined.where(~(several & (F.col("doc_id") == F.col("class_id")))).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    wordless = classed.where("n_words = 0").select("doc_id", "class_id", F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    unknown = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return rest.unionByName(firsts).unionByName(again).unionByName(wordless).unionByName(unknown)
-
-
-def _links(spark: SparkSession, known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold, size, k, doubt, most_open, rounds) -> DataFrame:
-    """Verified links (x, y) between representatives of texts alike."""
-    one = signed.where("n_words > 0").join(alike.withColumnRenamed("rep", "doc_id"), ["d0", "d1", "doc_id"])
-    one = one.groupBy("doc_id", "d0", "d1").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    one = written(one, "representatives")
-    keys = one.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    groups = written(keys.join(shared.select("key"), "key").distinct(), "groups")
-    who = groups.select("id").distinct()
-    sigs = written(one.select(F.col("doc_id").alias("id"), "sig").join(who, "id"), "sigs")
-    needed = one.select(F.col("doc_id"), "d0", "d1").join(who.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    texts = written(known.join(needed.select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"), "texts")
+    named = alike.join(merged, "rep", "left").select("d0", "d1", F.coalesce("class_id", "rep").alias("class_id"))
+    classed = signed.select("doc_id", "text_hash", "d0", "d1").join(named, ["d0", "d1"], "left")
+    classed = classed.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"))
+    unknown = docs.where(F.col("doc_id").isNull()).select("doc_id", "text_hash", F.lit(None).cast("long").alias("class_id"))
+    return classed.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+#: Members of a key's group in one block.
+BLOCK = 512
+
+
+def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold: float, size: int, k: int, doubt: float) -> DataFrame:
+    """(id, class_id) of the representatives of texts alike that have a verified link."""
+    spark = known.sparkSession
+    one = signed.where("n_words > 0").join(alike.withColumnRenamed("rep", "doc_id"), ["d0", "d1", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "sig")
+    keys = one.select("id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
+    groups = written(keys.join(shared, "key"), "groups")
+    who = written(groups.select("id").distinct(), "members")
+    sigs = written(one.select("id", "sig").join(who, "id"), "sigs")
+    texts = written(known.select(F.col("doc_id").alias("id"), "text").join(who, "id"), "texts")
     release(spark)
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        a, b = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
-        likely = pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_agree(k), "x long, y long, share double").where(F.col("share") >= doubt)
-        likely = written(likely.select("x", "y").distinct(), "likely")
+    def verified(likely: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
         sure = likely.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
-        return written(sure.where(F.col("similarity") >= threshold).select("x", "y").distinct(), "links")
-
-    n_rows, links, labels = groups.count(), None, None
-    for turn in range(rounds + 1):
-        now = groups.withColumn("class_id", F.col("id")) if labels is None else groups.join(labels, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        now = written(now.select("key", "id", "class_id"), "open")
-        per = now.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
-        open_keys = per.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.max_by(F.struct("class_id", "least", "most"), F.struct("n", "least")).alias("hub")).where("pairs > 0")
-        open_keys = written(open_keys, "open-keys")
-        left = open_keys.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        last = left <= most_open * n_rows or turn == rounds
-        members = now.join(open_keys.select("key", "hub"), "key")
-        if last:
-            a, b = (now.join(open_keys.select("key"), "key").select("key", F.col("id").alias(c), F.col("class_id").alias(f"c{c}")) for c in "xy")
-            pairs = a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select("x", "y")
-        else:
-            centre = F.when(F.lit(turn % 2 == 0), F.col("hub.least")).otherwise(F.col("hub.most"))
-            pairs = members.where(F.col("class_id") != F.col("hub.class_id")).select(F.least("id", centre).alias("x"), F.greatest("id", centre).alias("y"))
-        found = judged(pairs.distinct())
-        links = found if links is None else written(links.unionByName(found).distinct(), "links")
-        if last:
-            break
-        labels = components(links)
-        release(spark)
-    return links if links is not None else spark.createDataFrame([], "x long, y long")
+        return written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
+
+    a, b = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
+    first = groups.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct().join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
+    links = verified(written(first.mapInArrow(_agree(k), "x long, y long, share double").where(F.col("share") >= doubt).select("x", "y"), "likely"))
+    labels = components(links)
+    release(spark)
+    now = groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
+    apart = now.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("key", "n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = now.join(apart, "key").withColumn("block", F.pmod(F.hash("id"), blocks))
+    dealt = dealt.select("key", "id", "class_id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id").join(sigs, "id")
+    ordered = dealt.select("key", "i", "j", "block", "id", "class_id", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    likely = written(ordered.mapInArrow(_open_pairs(k, doubt), "x long, y long").distinct(), "likely")
+    more = verified(likely)
+    return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: five words, similarity 0.8 or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs)
+    return near_duplicates(docs).drop("text_hash")

@@ -200,14 +200,14 @@ def core_estimates(rows: DataFrame, steps: int) -> DataFrame:
 
 
 def judged(docs: DataFrame, tail: float = 1e-9, least: int = 200, steps: int = 3) -> DataFrame:
-    """docs(doc_id, text, lang, source) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, distance (null where base_failed) and kept: one row per row.
+    """docs(doc_id, text, lang, source) -> doc_id, lang, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, distance (null where base_failed) and kept: one row per row.
 
     Null, empty and blank texts have no words and fail the base limits. Rows that fail them take no part in the
     estimates. A null language or source is a value of its own. Repeated rows count as often as they occur. An
     empty table gives an empty table; other columns are ignored.
     """
-    rows = vector(measured(only(docs, "doc_id", "text", "lang", "source"))).drop("text")
+    rows = vector(measured(only(docs, "doc_id", "text", "lang", "source"))).withColumn("text_hash", F.xxhash64("text")).drop("text")
     rows = written(_levels(rows), "measured")
     good = rows.where(~F.col("base_failed"))
     found = core_estimates(good, steps)
@@ -219,9 +219,9 @@ def judged(docs: DataFrame, tail: float = 1e-9, least: int = 200, steps: int = 3
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     out = out.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_limit(tail, len(X)), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return out.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts and the verdict on every document."""
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lang", "source", "text_hash")

@@ -55,7 +55,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, int]:
     sizes = rows.groupBy("_file").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     keys = rows.join(sizes, "_file").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), (F.col("_base") + F.col("_row")).alias("ord"))
     joined = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")))
-    return joined.select("doc_id", "text", "ord"), bits
+    return joined.select(*docs.columns, "ord"), bits
 
 
 def _windows(buf: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
@@ -189,8 +189,8 @@ def _by_text(rows: DataFrame, bits: int, to: str) -> DataFrame:
     return rows.groupBy(F.shiftright("pos", bits).alias("ord")).agg(F.collect_list(F.struct(start, "n")).alias(to))
 
 
-def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50) -> DataFrame:
-    """docs(doc_id, text) with `spans`: the maximal runs of bytes to remove, as an array of (start, end).
+def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) with `spans`: the bytes to remove, as an array of (start, end), and the columns to carry.
 
     A byte is removed when a string of `length` bytes that covers it also starts earlier: in a row of smaller doc_id
     or before in the same text. Strings are judged on the input; a text is its UTF-8 bytes; null counts as empty and
@@ -198,7 +198,7 @@ def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50) -> DataFra
     count as one place and don't repeat each other; rows with the same doc_id and other texts come in the order of
     their digest. An empty table gives an empty table. Other columns are ignored.
     """
-    docs, bits = placed(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
+    docs, bits = placed(only(docs, "doc_id", "text", *carry).withColumn("doc_id", F.col("doc_id").cast("long")))
     texts = docs.where(F.octet_length("text") >= length).select("ord", "text")
     found = repeats(texts.mapInArrow(stretches(length, seed, bits), "a long, b long, pos long, n int"))
     found = written(found, "stretches")
@@ -208,7 +208,7 @@ def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50) -> DataFra
     release(docs.sparkSession)
     gone = _by_text(found.where(F.col("kind") == DUP).select("pos", "n").unionByName(again), bits, "gone")
     joined = docs.join(gone, "ord", "left")
-    return joined.select("doc_id", "text", spans_of("gone", length).alias("spans"))
+    return joined.select("doc_id", "text", spans_of("gone", length).alias("spans"), *carry)
 
 
 def _halved(texts: DataFrame, parts: DataFrame, length: int, bits: int) -> DataFrame:
@@ -223,30 +223,30 @@ def spans_of(gone: str, length: int):
     return F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"] - 1 + length).alias("end")))
 
 
+def without(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
+    """The text without the spans (sorted by start, may overlap), and the number of maximal runs removed."""
+    out, at, runs = [], 0, 0
+    for i, r in enumerate(spans):
+        if r["start"] > at or not i:
+            runs += 1
+            out.append(text[at : r["start"]])
+        at = max(at, r["end"])
+    out.append(text[at:])
+    return b"".join(out), runs
+
+
 def _keep(batches):
-    """Arrow function (doc_id, text, spans) -> doc_id, kept bytes and the counts; overlapping spans are merged here."""
+    """Arrow function (doc_id, text, spans) -> doc_id, kept bytes and the counts."""
     for batch in batches:
         for part in slices(batch, 1):
             buf, off = texts_of(part.column(1))
-            kept, removed, spans = [], [], []
             data = buf.tobytes()
-            for i, runs in enumerate(part.column(2).to_pylist()):
-                lo, hi = int(off[i]), int(off[i + 1])
-                merged: list[list[int]] = []
-                for r in runs:
-                    if merged and r["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["end"])
-                    else:
-                        merged.append([r["start"], r["end"]])
-                out, at = [], lo
-                for s, e in merged:
-                    out.append(data[at : lo + s])
-                    at = lo + e
-                out.append(data[at:hi])
-                kept.append(b"".join(out))
-                removed.append(hi - lo - len(kept[-1]))
-                spans.append(len(merged))
-            yield table({"doc_id": part.column(0), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
+            kept = [without(data[off[i] : off[i + 1]], spans) for i, spans in enumerate(part.column(2).to_pylist())]
+            n = np.diff(off)
+            yield table({
+                "doc_id": part.column(0), "n_bytes": pa.array(n), "n_removed": pa.array(n - np.array([len(k) for k, _ in kept], np.int64)), "n_spans": pa.array([r for _, r in kept], pa.int64()),
+                "kept": pa.array([k for k, _ in kept], pa.binary()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string()),
+            })
 
 
 def deduplicated(docs: DataFrame, length: int = 100, seed: int = 50) -> DataFrame:
