@@ -3,9 +3,12 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined ids of the cuts are the
 ids of the whole text. Two layouts are known; for any other the whole text is encoded at once:
 
-- lead: byte-level pre-tokenizer with its standard pattern and no normalizer. A space starts a new pre-token
-  unless white space stands on both of its sides; a text with such a run is encoded whole.
+- lead: byte-level pre-tokenizer with its standard pattern and no normalizer. A space starts a new pre-token, a
+  newline is one of its own, unless three white-space characters follow each other or two end the text: such a
+  text is encoded whole.
 - drop: a normalizer that folds white space and a pre-tokenizer that drops it. Space and newline always cut.
+
+A comma or full stop behind a letter is a pre-token of its own in both, so "word," takes the ids of "word".
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 
-_RUN = re.compile(r"\s (?:\s|\Z)")
-#: Words kept encoded per worker process, and the longest that is kept; longer ones are encoded each time.
-CACHE_WORDS, CACHE_CHARS = 800_000, 48
+_RUN = re.compile(r"\s\s\s|\s\s\Z|\0")
+#: Words kept encoded in each of two generations per worker process (the older one goes when the younger is full), and
+#: the longest word that is kept; longer ones are encoded each time.
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
+#: Words that are encoded in one call, a special token between them.
+TOGETHER = 200
 
 
 def layout(spec: dict) -> str:
@@ -45,37 +51,94 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.layout = layout(json.load(f))
-        self.dtype = np.dtype(f"<u{width}")
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+            spec = json.load(f)
+        self.layout, self.dtype = layout(spec), np.dtype(f"<u{width}")
+        self.between = next((t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]), None)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self._each([",", "."]), strict=True)) if self.layout != "whole" else {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        """As _each, with many short texts in one call: the ids are cut at a special token's."""
+        if self.between is None:
+            return self._each(texts)
+        out, mark, size = [], self.tok.token_to_id(self.between), self.dtype.itemsize
+        for lo in range(0, len(texts), TOGETHER):
+            part = texts[lo : lo + TOGETHER]
+            ids = np.array(self.tok.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(ids == mark)
+            if len(cuts) != len(part) - 1:  # a text holds the special token itself
+                out += self._each(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in [*(cuts * size).tolist(), len(data)]:
+                out.append(data[at:end])
+                at = end + size
+        return out
 
     def _cuts(self, text: str) -> list[str]:
+        """Keys of a text's pieces: in the lead layout a key stands for itself behind a space, one that starts with
+        a newline for itself, and one that starts with NUL, the text's first, for what follows that."""
         if self.layout == "drop":
             return text.replace("\n", " ").split(" ")
-        if self.layout == "whole" or _RUN.search(text) or text == " ":
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        return ("\0" + text.replace("\n", " \n")).split(" ")
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encode the pieces with these keys, and keep all but the long ones."""
+        words, older, lead, out, rest, passing = self.words, self.older, self.layout == "lead", {}, [], []
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                out[w] = ids
+            elif w[-1:] in self.marks and w[-2:-1].isalpha() and (stem := words.get(w[:-1])) is not None:
+                out[w] = stem + self.marks[w[-1]]
+            else:
+                rest.append(w)
+            if len(w) > CACHE_CHARS:
+                passing.append(w)
+        texts = [w if w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w for w in rest] if lead else rest
+        out.update(zip(rest, self._many(texts), strict=True))
+        words.update(out)
+        for w in passing:
+            del words[w]
+        return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as an empty one."""
-        cuts = [self._cuts(t) if t else [] for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        words, once = self.words, {}
-        new = list({w for ws in cuts for w in ws if w not in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                (words if len(w) <= CACHE_CHARS else once)[w] = ids
-        if once:
-            return [b"".join([words[w] if len(w) <= CACHE_CHARS else once[w] for w in ws]) for ws in cuts]
-        get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in cuts]
+            self.words, self.older = {}, self.words
+        get, out, holes, new, whole, lead = self.words.get, [], [], set(), [], self.layout == "lead"
+        for i, text in enumerate(texts):
+            if not text:
+                out.append(b"")
+            elif self.layout == "whole":
+                whole.append(i)
+                out.append(b"")
+            else:
+                keys = self._cuts(text)
+                # a run of white space leaves one of these keys, or has a character that isn't printable
+                if lead and ("" in keys or "\n" in keys or not text.replace("\n", " ").isprintable()) and _RUN.search(text):
+                    whole.append(i)
+                    out.append(b"")
+                    continue
+                got = list(map(get, keys))
+                if None not in got:
+                    out.append(b"".join(got))
+                    continue
+                out.append(b"")
+                at = [(k, keys[k]) for k, ids in enumerate(got) if ids is None]
+                holes.append((i, got, at))
+                new.update([w for _, w in at])
+        fresh = self._learn(new)
+        for i, got, at in holes:
+            for k, w in at:
+                got[k] = fresh[w]
+            out[i] = b"".join(got)
+        for i, ids in zip(whole, self._each([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=4)

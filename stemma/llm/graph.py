@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     but the count of changes.
     """
     both = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
-    labels = written(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("class_id")), "labels")
+    labels = written(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("near")).select("id", F.least("near", "id").alias("class_id")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("class_id").alias("near"))
         step = labels.join(near, "id").select("id", F.col("class_id").alias("was"), F.least("class_id", "near").alias("class_id"))

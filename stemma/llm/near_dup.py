@@ -9,10 +9,10 @@ groups of near copies would fall apart.)
 1. Texts alike in their words fall together, whatever their number.
 2. Each sample of a text is the shingle whose hash value, drawn by Ioffe's scheme for its weight, is least: two
    texts share it with a probability of their weighted Jaccard similarity. `bands` groups of `rows` samples are keys.
-3. Texts that share a key are candidates. First each member of a key's group is compared with the group's least
-   member, and what is found similar merges: a large group of copies costs its size. Members still apart are then
-   compared pair by pair, in blocks of at most 2 * BLOCK members by task, so no group is too large for one and no
-   open pair is left out.
+3. Texts that share a key are candidates. First each member of a key's group is compared with the group's centre, the
+   member that shares its keys with most others: for copies of one text that is the text itself. What is found similar
+   merges, so a large group of copies costs its size. Members still apart are then compared pair by pair, in blocks
+   of at most 2 * BLOCK members by task, so no group is too large for one and no open pair is left out.
 4. A pair is judged first by the share of equal samples (under `doubt`, four standard deviations below the threshold,
    it's rejected), then by the weighted Jaccard similarity of the whole texts.
 """
@@ -183,8 +183,18 @@ def _agree(k: int):
     return run
 
 
+def _jaccard(a: np.ndarray, u: np.ndarray, c: np.ndarray, v: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two texts: shingles in ascending order with their weights."""
+    if not len(a) or not len(c):
+        return 0.0
+    at = np.minimum(np.searchsorted(c, a), len(c) - 1)
+    same = c[at] == a
+    least = np.minimum(u[same], v[at[same]]).sum(dtype=float)
+    return least / (u.sum(dtype=float) + v.sum(dtype=float) - least)
+
+
 def _similarity(idf, size: int):
-    """Arrow function (x, y, tx, ty) -> (x, y, similarity): weighted Jaccard similarity of whole texts."""
+    """Arrow function (x, y, tx, ty) -> (x, y, similarity) of whole texts."""
 
     def run(batches):
         for b in batches:
@@ -193,60 +203,58 @@ def _similarity(idf, size: int):
                 for i in (2, 3):
                     doc, h, w = shingles(*texts_of(part.column(i)), idf.value, size)
                     at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                    sides.append((h, w, at))
-                out = np.zeros(part.num_rows)
-                (hx, wx, ax), (hy, wy, ay) = sides
-                for i in range(part.num_rows):
-                    a, u, c, v = hx[ax[i] : ax[i + 1]], wx[ax[i] : ax[i + 1]], hy[ay[i] : ay[i + 1]], wy[ay[i] : ay[i + 1]]
-                    if not len(a) or not len(c):
-                        continue
-                    at = np.minimum(np.searchsorted(c, a), len(c) - 1)
-                    same = c[at] == a
-                    least = np.minimum(u[same], v[at[same]]).sum(dtype=float)
-                    out[i] = least / (u.sum(dtype=float) + v.sum(dtype=float) - least)
-                yield table({"x": part.column(0), "y": part.column(1), "similarity": pa.array(out)})
+                    sides.append([(h[lo:hi], w[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)])
+                out = [_jaccard(*x, *y) for x, y in zip(*sides, strict=True)]
+                yield table({"x": part.column(0), "y": part.column(1), "similarity": pa.array(out, pa.float64())})
 
     return run
 
 
-def _open_pairs(k: int, doubt: float):
-    """Arrow function over (key, i, j, block, id, class_id, sig), sorted by key, i, j -> likely pairs (x, y) of unlike class.
+def _open_pairs(idf, size: int, k: int, doubt: float, threshold: float):
+    """Arrow function over (key, i, j, block, id, class_id, keys, sig, text), sorted by key, i, j -> links (x, y).
 
-    A group (key, i, j) holds the members of blocks i and j of a key; pairs within i = j, or between i and j.
+    A group (key, i, j) holds the members of blocks i and j of a key: pairs within i = j, else between i and j. A pair
+    is judged where its members are of unlike class and the key is the first that they share, so once only.
     """
 
-    def pairs(block, ids, cls, sig, between):
-        for lo in range(0, len(ids) - 1):
-            rest = slice(lo + 1, None)
-            ok = cls[rest] != cls[lo]
-            if between:
-                ok &= block[rest] != block[lo]
-            at = np.flatnonzero(ok)
-            if len(at):
-                share = (sig[rest][at] == sig[lo]).mean(axis=1)
-                for y in ids[rest][at[share >= doubt]].tolist():
-                    yield (int(ids[lo]), y) if ids[lo] < y else (y, int(ids[lo]))
+    def judged(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        key, i, j, block, ids, cls = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+        keys = rows.column(6).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u2").reshape(-1, k)
+        parsed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(at: int) -> tuple[np.ndarray, np.ndarray]:
+            if at not in parsed:
+                parsed[at] = shingles(*texts_of(rows.column(8).slice(at, 1)), idf.value, size)[1:]
+            return parsed[at]
+
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            parsed.clear()
+            for a in range(lo, hi - 1):
+                b = np.arange(a + 1, hi)
+                b = b[(cls[b] != cls[a]) & ((block[b] != block[a]) if i[lo] != j[lo] else True)]
+                b = b[(sig[b] == sig[a]).mean(axis=1) >= doubt]
+                if len(b):
+                    b = b[keys[b, (keys[b] == keys[a]).argmax(axis=1)] == key[lo]]
+                for c in b.tolist():
+                    if _jaccard(*of(a), *of(c)) >= threshold:
+                        out.append(sorted((int(ids[a]), int(ids[c]))))
+        return table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     def run(batches):
         held = None
         for b in batches:
             held = b if held is None else pa.concat_batches([held, b])
-            cols = [held.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])]) if held.num_rows else np.empty(0, np.int64)
+            if not held.num_rows:
+                continue
+            cols = [held.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
             if len(new) > 1:
-                yield judged(held.slice(0, new[-1]), new[:-1])
+                yield judged(held.slice(0, new[-1]), new[:-1].tolist())
                 held = held.slice(new[-1])
         if held is not None and held.num_rows:
-            yield judged(held, np.zeros(1, np.int64))
-
-    def judged(rows, starts):
-        i, j, block, ids, cls = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(1, 6))
-        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, k)
-        found: set[tuple[int, int]] = set()
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-            found.update(pairs(block[lo:hi], ids[lo:hi], cls[lo:hi], sig[lo:hi], i[lo] != j[lo]))
-        out = sorted(found)
-        return table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+            yield judged(held, [0])
 
     return run
 
@@ -277,7 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
 
 #: Members of a key's group in one block.
-BLOCK = 512
+BLOCK = 256
 
 
 def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold: float, size: int, k: int, doubt: float) -> DataFrame:
@@ -285,21 +293,23 @@ def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, thresho
     spark = known.sparkSession
     one = signed.where("n_words > 0").join(alike.withColumnRenamed("rep", "doc_id"), ["d0", "d1", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "sig")
     keys = one.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "n")
     groups = written(keys.join(shared, "key"), "groups")
+    standing = groups.groupBy("id").agg(F.sum("n").alias("standing"))
+    groups = groups.join(standing, "id")
+    centres = groups.groupBy("key").agg(F.max_by("id", F.struct("standing", -F.col("id"))).alias("centre"))
+    groups = written(groups.select("key", "id").join(centres, "key"), "centred")
     who = written(groups.select("id").distinct(), "members")
-    sigs = written(one.select("id", "sig").join(who, "id"), "sigs")
+    sigs = written(one.select("id", "sig", "keys").join(who, "id"), "sigs")
     texts = written(known.select(F.col("doc_id").alias("id"), "text").join(who, "id"), "texts")
     release(spark)
 
-    def verified(likely: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
-        sure = likely.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
-        return written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
-
     a, b = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
-    first = groups.where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct().join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
-    links = verified(written(first.mapInArrow(_agree(k), "x long, y long, share double").where(F.col("share") >= doubt).select("x", "y"), "likely"))
+    first = groups.where("id <> centre").select(F.least("centre", "id").alias("x"), F.greatest("centre", "id").alias("y")).distinct().join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
+    likely = written(first.mapInArrow(_agree(k), "x long, y long, share double").where(F.col("share") >= doubt).select("x", "y"), "likely")
+    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
+    sure = likely.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
+    links = written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
     labels = components(links)
     release(spark)
     now = groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
@@ -308,9 +318,9 @@ def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, thresho
     dealt = now.join(apart, "key").withColumn("block", F.pmod(F.hash("id"), blocks))
     dealt = dealt.select("key", "id", "class_id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id").join(sigs, "id")
-    ordered = dealt.select("key", "i", "j", "block", "id", "class_id", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    likely = written(ordered.mapInArrow(_open_pairs(k, doubt), "x long, y long").distinct(), "likely")
-    more = verified(likely)
+    dealt = dealt.join(texts.dropDuplicates(["id"]), "id").select("key", "i", "j", "block", "id", "class_id", "keys", "sig", "text")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = written(ordered.mapInArrow(_open_pairs(idf, size, k, doubt, threshold), "x long, y long"), "links")
     return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
