@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir
+from .bytescan import slices
+from .common import only, shared_dir, written
 from .encode import encoder
 from .files import table
 
-SLICE = 512
+#: Bytes of text that a worker encodes at once, or one text.
+SLICE_BYTES = 1 << 21
+#: About 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -41,10 +45,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, path
     def cut(batches):
         enc, end = encoder(tokenizer, 4), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(lo, SLICE)
+            for rows in slices(batch, 1, SLICE_BYTES):
                 who, start, length, total, ids = [], [], [], [], []
-                for i, data in enumerate(enc.batch(rows.column(1).to_pylist())):
+                for i, data in enumerate(enc.batch(rows.column(1))):
                     data += end
                     n = len(data) // 4
                     at = 0
@@ -57,6 +60,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, path
                         at += size
                 yield table({"doc_id": rows.column(0).take(pa.array(who, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "doc_tokens": pa.array(total, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
+        pa.default_memory_pool().release_unused()
+
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     pieces = rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
     pieces.sortWithinPartitions(F.desc("length")).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
@@ -64,7 +69,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, path
 
 
 def numbered(pieces: DataFrame) -> DataFrame:
-    """Number written pieces: bucket by bucket, in each bucket file by file, in each file row by row."""
+    """Number written pieces: bucket by bucket, in each bucket file by file, in each file row by row.
+
+    The bases, one per file and bucket, are broadcast up to BROADCAST_ROWS of them, so that the ids stay where they
+    are; beyond that they are joined by shuffle.
+    """
     placed = pieces.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     runs = placed.groupBy("length", "_file").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     buckets = runs.groupBy("length").agg(F.sum("_n").alias("_all"))
@@ -72,7 +81,9 @@ def numbered(pieces: DataFrame) -> DataFrame:
     buckets = buckets.select("length", F.coalesce(F.sum("_all").over(longer), F.lit(0)).alias("_bucket"))
     before = Window.partitionBy("length").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = runs.join(buckets, "length").select("length", "_file", (F.col("_bucket") + F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    out = placed.join(bases, ["length", "_file"])
+    bases = written(bases, "bases")
+    small = bases.count() <= BROADCAST_ROWS
+    out = placed.join(F.broadcast(bases) if small else bases, ["length", "_file"])
     return out.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("_base") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
