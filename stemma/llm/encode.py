@@ -1,14 +1,16 @@
 """Whole-text encoding with the tokenizers library, each distinct word encoded once per worker.
 
-A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined ids of the cuts are the
-ids of the whole text. Two layouts are known; for any other the whole text is encoded at once:
+A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined ids of the pieces are the ids
+of the whole text. Two layouts are known; for any other the whole text is encoded at once:
 
-- lead: byte-level pre-tokenizer with its standard pattern and no normalizer. A space starts a new pre-token, a
-  newline is one of its own, unless three white-space characters follow each other or two end the text: such a
-  text is encoded whole.
-- drop: a normalizer that folds white space and a pre-tokenizer that drops it. Space and newline always cut.
+- lead: byte-level pre-tokenizer with its standard pattern and no normalizer. A piece starts at each space and each
+  newline and holds it. Where three white-space characters follow each other, or two end the text, the pattern takes
+  them together: such a text is encoded whole.
+- drop: a normalizer that folds white space and a pre-tokenizer that drops it. Pieces lie between spaces and newlines.
 
-A comma or full stop behind a letter is a pre-token of its own in both, so "word," takes the ids of "word".
+The pieces of many texts are found and grouped by array operations; only distinct ones are looked up and, where new,
+encoded. A comma or full stop behind a letter is a pre-token of its own in both layouts, so "word," takes the ids of
+"word".
 """
 
 from __future__ import annotations
@@ -19,11 +21,18 @@ import re
 from functools import lru_cache
 
 import numpy as np
-
-_RUN = re.compile(r"\s\s\s|\s\s\Z|\0")
-#: Words kept encoded in each of two generations per worker process (the older one goes when the younger is full), and
-#: the longest word that is kept; longer ones are encoded each time.
-CACHE_WORDS, CACHE_CHARS = 600_000, 48
+import pyarrow as pa
+
+from .bytescan import BASES, lowered, range_hashes, texts_of
+
+_RUN = re.compile(r"\s\s\s|\s\s\Z")
+_CUT = np.isin(np.arange(256), [32, 10])
+#: Bytes that are white space other than space and newline, or the first of such a character's.
+_RARE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+_RARE_TAILS = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (b"\x80", b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
+#: Pieces kept encoded per worker process, all dropped when there are more (some 60 MB), and the longest piece, in
+#: bytes, that is kept; longer ones are encoded each time.
+CACHE_WORDS, CACHE_BYTES = 300_000, 48
 #: Words that are encoded in one call, a special token between them.
 TOGETHER = 200
 
@@ -53,10 +62,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.layout, self.dtype = layout(spec), np.dtype(f"<u{width}")
+        # texts can be lower-cased first where the tokenizer does so, unless that makes a special token
+        self.lowers = self.layout == "drop" and any(x["type"] == "Lowercase" for x in spec["normalizer"]["normalizers"])
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.between = next((t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]), None)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(",.", self._each([",", "."]), strict=True)) if self.layout != "whole" else {}
+        self.words: dict[bytes, bytes] = {}
+        self.marks = dict(zip((b",", b"."), self._each([",", "."]), strict=True)) if self.layout != "whole" else {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,65 +90,90 @@ class Encoder:
                 at = end + size
         return out
 
-    def _cuts(self, text: str) -> list[str]:
-        """Keys of a text's pieces: in the lead layout a key stands for itself behind a space, one that starts with
-        a newline for itself, and one that starts with NUL, the text's first, for what follows that."""
+    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each piece of the texts, empty ones left out."""
+        cut = _CUT[buf]
+        begins = np.zeros(len(buf) + 1, bool)
+        begins[:-1] = cut
+        begins[off] = True
         if self.layout == "drop":
-            return text.replace("\n", " ").split(" ")
-        return ("\0" + text.replace("\n", " \n")).split(" ")
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Encode the pieces with these keys, and keep all but the long ones."""
-        words, older, lead, out, rest, passing = self.words, self.older, self.layout == "lead", {}, [], []
+            begins[1:] |= cut
+        bounds = np.flatnonzero(begins)
+        start, end = bounds[:-1], bounds[1:]
+        if self.layout == "drop":
+            ok = ~cut[start]
+            start, end = start[ok], end[ok]
+        return start, end
+
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> list[int]:
+        """The texts that pieces can't serve. Two white-space characters side by side, and any but space and newline,
+        make a text one to look at."""
+        if self.layout != "lead":
+            return []
+        cut = _CUT[buf]
+        odd = [np.flatnonzero(cut[1:] & cut[:-1])]
+        rare = np.flatnonzero(_RARE[buf])
+        first = buf[rare]
+        odd.append(rare[first < 32])
+        for lead, tails in _RARE_TAILS.items():
+            at = rare[first == lead]
+            for tail in tails:
+                hit = np.ones(len(at), bool)
+                for k, b in enumerate(tail, 1):
+                    hit &= buf[np.minimum(at + k, len(buf) - 1)] == b
+                odd.append(at[hit])
+        docs = np.unique(np.searchsorted(off, np.concatenate(odd), "right") - 1)
+        return [d for d in docs.tolist() if _RUN.search(buf[off[d] : off[d + 1]].tobytes().decode())]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Encode these pieces, and keep all but the long ones."""
+        words, out, rest, passing = self.words, {}, [], []
         for w in new:
-            if (ids := older.get(w)) is not None:
-                out[w] = ids
-            elif w[-1:] in self.marks and w[-2:-1].isalpha() and (stem := words.get(w[:-1])) is not None:
-                out[w] = stem + self.marks[w[-1]]
+            if w[-1:] in self.marks and w[-2:-1].isalpha() and (stem := words.get(w[:-1])) is not None:
+                out[w] = stem + self.marks[w[-1:]]
             else:
                 rest.append(w)
-            if len(w) > CACHE_CHARS:
+            if len(w) > CACHE_BYTES:
                 passing.append(w)
-        texts = [w if w[:1] == "\n" else w[1:] if w[:1] == "\0" else " " + w for w in rest] if lead else rest
-        out.update(zip(rest, self._many(texts), strict=True))
+        out.update(zip(rest, self._many([w.decode() for w in rest]), strict=True))
         words.update(out)
         for w in passing:
             del words[w]
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
+    def batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as an empty one."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.layout == "whole":
+            return self._each([t or "" for t in texts.to_pylist()])
         if len(self.words) > CACHE_WORDS:
-            self.words, self.older = {}, self.words
-        get, out, holes, new, whole, lead = self.words.get, [], [], set(), [], self.layout == "lead"
-        for i, text in enumerate(texts):
-            if not text:
-                out.append(b"")
-            elif self.layout == "whole":
-                whole.append(i)
-                out.append(b"")
-            else:
-                keys = self._cuts(text)
-                # a run of white space leaves one of these keys, or has a character that isn't printable
-                if lead and ("" in keys or "\n" in keys or not text.replace("\n", " ").isprintable()) and _RUN.search(text):
-                    whole.append(i)
-                    out.append(b"")
-                    continue
-                got = list(map(get, keys))
-                if None not in got:
-                    out.append(b"".join(got))
-                    continue
-                out.append(b"")
-                at = [(k, keys[k]) for k, ids in enumerate(got) if ids is None]
-                holes.append((i, got, at))
-                new.update([w for _, w in at])
-        fresh = self._learn(new)
-        for i, got, at in holes:
-            for k, w in at:
-                got[k] = fresh[w]
-            out[i] = b"".join(got)
-        for i, ids in zip(whole, self._each([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            self.words.clear()
+        buf, off = texts_of(texts)
+        if not len(buf):
+            return [b""] * len(texts)
+        if self.lowers:
+            low = lowered(buf)
+            buf = buf if any(t in low.tobytes() for t in self.specials) else low
+        start, end = self._pieces(buf, off)
+        _, at, which = np.unique(range_hashes(buf, start, end, BASES[0]), return_index=True, return_inverse=True)
+        data = buf.tobytes()
+        keys = [data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        got = list(map(self.words.get, keys))
+        new = [w for w, ids in zip(keys, got, strict=True) if ids is None]
+        if new:
+            fresh = self._learn(new)
+            got = [fresh[w] if ids is None else ids for w, ids in zip(keys, got, strict=True)]
+        # lay out the ids of all pieces, in order, from those of the distinct ones
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        flat, first = np.frombuffer(b"".join(got), self.dtype), np.cumsum(size) - size
+        n = size[which]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        bound = np.r_[0, upto][np.searchsorted(start, off)] * self.dtype.itemsize
+        out = [ids[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        whole = self._whole(buf, off)
+        for d, x in zip(whole, self._each([data[off[d] : off[d + 1]].decode() for d in whole]), strict=True):
+            out[d] = x
         return out
 
 

@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytescan import slices
 from .common import only, shared_dir
 from .encode import encoder, width_of
 from .files import AtomicFile, mapped, table
 
-#: Rows of text that a worker holds at once.
-SLICE = 512
+#: Bytes of text that a worker encodes at once (or one text), and documents that it reads at once.
+SLICE_BYTES, SLICE = 1 << 21, 512
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
         files, enc = None, encoder(tokenizer, width)
         at, ends, ids, nulls = 0, [0], [], []
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(lo, SLICE)
+            for rows in slices(batch, 1, SLICE_BYTES):
                 files = files or AtomicFile(f"{part}.ids", str(task.taskAttemptId()))
-                for data in enc.batch(rows.column(1).to_pylist()):
+                for data in enc.batch(rows.column(1)):
                     at += len(data) // width + 1
                     ends.append(at)
                     files.write(data + end)
                 ids.append(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(rows.column(0).is_null().to_numpy(zero_copy_only=False))
+        pa.default_memory_pool().release_unused()
         if files is None:
             return
         files.commit()

@@ -14,7 +14,7 @@ from stemma.llm.token_files import manifest, read_token_files, write_token_files
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 TOK = {n: Tokenizer.from_file(P.path(n)) for n in NAMES}
 ENC = {n: Encoder(P.path(n)) for n in NAMES}
-ODD = ["", None, " ", "  ", "a  b", "a   b", "\n \n x", "it's  the\tend ", "<|endoftext|>x <|endoftext|> y", "x" * 5000, "ÉTÉ é ́", "\x1c a\x85b", "漢字 かな", "ends \n", " lead", "a\n b\n  c"]
+ODD = ["", None, " ", "  ", "a  b", "a   b", "\n \n x", "it's  the\tend ", "<|endoftext|>x <|endoftext|> y", "<|STARTOFTEXT|> Ab", "x" * 5000, "ÉTÉ é ́", "\x1c a\x85b", "漢字 かな", "ends \n", " lead", "a\n b\n  c"]
 
 
 def whole(name, text):
