@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemma.functions import references as X
 from stemma.functions import text as T
 from stemma.functions import types as K
 from stemma.operators import graph as G
 from stemma.operators import ordered as O
 from stemma.operators import relational as R
 from stemma.operators import retrieval as V
+from stemma.operators import segment as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -556,3 +558,67 @@ def jaccard_pairs(spark, sf_dir):
     a, b = (p.select(F.col("id").alias(c), "p_brand", "p_size", F.col("words").alias(f"w{c}")) for c in "xy")
     pairs = a.join(b, ["p_brand", "p_size"]).where("x < y")
     return pairs.select("x", "y", F.round(T.jaccard(F.col("wx"), F.col("wy")), 4).alias("similarity"))
+
+
+# Labels, references and units of texts.
+
+_KINDS = "theorem|lemma|proposition|corollary|definition|claim|axiom|property|example|exercise|remark|conjecture|problem|observation|fact"
+_NUMBERS = "[A-Za-z]?\\d+(?:[.\\-][A-Za-z0-9]+)*|[IVXLCDM]+|[A-Z]"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter([
+    CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'document_initial' END,
+    CASE WHEN regexp_matches(text, '(?i)^\\s*(#{{1,6}}\\s+|chapter\\b|section\\b|appendix\\b)') THEN 'heading_like' END,
+    CASE WHEN regexp_matches(text, '(?i)^\\s*(proof\\b|证明|证)') THEN 'proof_like' END,
+    CASE WHEN regexp_matches(text, '(?i)^\\s*(\\([a-zivxlcdm0-9]+\\)|[a-zivxlcdm]\\)|[（][a-zivxlcdm0-9]+[）])\\s+') THEN 'subpart_like' END,
+    CASE WHEN regexp_matches(text, '(?i)\\b({_KINDS})\\s+({_NUMBERS})\\b') THEN 'embedded_reference' END,
+    CASE WHEN regexp_matches(text, '\\n[ \\t]*\\n\\s*$') THEN 'paragraph_boundary' END], lambda f: f IS NOT NULL), ',') AS flags FROM conversations""")
+def unit_flags(spark, sf_dir):
+    """Boundary evidence of each turn."""
+    c = table(spark, sf_dir, "conversations")
+    first = F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))
+    return c.select("conv_id", "turn", F.array_join(X.unit_flags(F.col("text"), first), ",").alias("flags"))
+
+
+@query("""SELECT coalesce(CASE WHEN regexp_matches(line, '^#{1,6}\\s+\\S') THEN 'heading' END, 'none') AS kind, count(*) AS n, sum(length(line))::BIGINT AS chars
+    FROM (SELECT trim(regexp_extract(text, '^\\s*([^\\n]*)', 1)) AS line FROM documents) GROUP BY ALL""")
+def heading_labels(spark, sf_dir):
+    """Documents by whether they start with a heading, with the length of their first lines."""
+    d = table(spark, sf_dir, "documents").select(X.heading(F.col("text")).alias("h"), X.first_line(F.col("text")).alias("line"))
+    return d.groupBy(F.when(F.col("h.kind").isNotNull(), "heading").otherwise("none").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:definition|theorem|proposition|lemma|corollary|property|axiom)s?\\s*[0-9]+(?:[.\\-][0-9]+)*'))
+    + len(regexp_extract_all(text, '(?:定义|定理|命题|引理|推论|性质|公理)\\s*§?\\s*[0-9]+(?:[.\\-][0-9]+)*')) AS n FROM documents""")
+def reference_hits(spark, sf_dir):
+    """Explicit references in each document."""
+    d = table(spark, sf_dir, "documents")
+    hits = F.filter(X.reference_hits("text"), lambda h: h["kind"] == "explicit")
+    return d.select("doc_id", F.size(hits).cast("long").alias("n"))
+
+
+@query("""SELECT page_id, array_to_string(list_filter(['根据', '由', '利用', '结合', '依照', '按照', '应用', '依据', '可知', '可得', '得到', '推出', '得出', '于是', '因此', '同理可得', '故', '推知'], lambda v: contains(html, v)), ',') AS triggers FROM pages""")
+def trigger_flags(spark, sf_dir):
+    """Reference and deduction verbs in each page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(X.triggers(F.col("html")), ",").alias("triggers"))
+
+
+@query("SELECT md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
+def near_key_fingerprint(spark, sf_dir):
+    """Documents alike in letters and digits."""
+    key = F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").cast("binary"))
+    return table(spark, sf_dir, "documents").groupBy(key.alias("fingerprint")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query()
+def document_units(spark, sf_dir):
+    """Structure-preserving units of every document, with their batches."""
+    return S.document_units(table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey NOT IN (SELECT p_partkey FROM part) THEN 'missing_source' WHEN l_partkey NOT IN (SELECT p_partkey FROM part) THEN 'missing_target'
+    WHEN l_suppkey = l_partkey THEN 'self_loop' END AS problem FROM lineitem""")
+def edge_checks(spark, sf_dir):
+    """Items as edges between parts, checked."""
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return R.checked_edges(e, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).select("l_orderkey", "l_linenumber", "problem")
