@@ -30,11 +30,11 @@ _CUT = np.isin(np.arange(256), [32, 10])
 #: Bytes that are white space other than space and newline, or the first of such a character's.
 _RARE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
 _RARE_TAILS = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (b"\x80", b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
-#: Pieces kept encoded per worker process, all dropped when there are more (some 60 MB), and the longest piece, in
+#: Pieces kept encoded per worker process, all dropped when there are more (some 80 MB), and the longest piece, in
 #: bytes, that is kept; longer ones are encoded each time.
-CACHE_WORDS, CACHE_BYTES = 300_000, 48
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
 #: Words that are encoded in one call, a special token between them.
-TOGETHER = 200
+TOGETHER = 50
 
 
 def layout(spec: dict) -> str:

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import slices
+from .bytescan import give_back, slices
 from .common import only, shared_dir, written
 from .encode import encoder
 from .files import table
 
 #: Bytes of text that a worker encodes at once, or one text.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 #: About 100 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -60,7 +60,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, path
                         at += size
                 yield table({"doc_id": rows.column(0).take(pa.array(who, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "doc_tokens": pa.array(total, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     pieces = rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import slices
+from .bytescan import give_back, slices
 from .common import only, shared_dir
 from .encode import encoder, width_of
 from .files import AtomicFile, mapped, table
 
 #: Bytes of text that a worker encodes at once (or one text), and documents that it reads at once.
-SLICE_BYTES, SLICE = 1 << 21, 512
+SLICE_BYTES, SLICE = 1 << 22, 512
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                     files.write(data + end)
                 ids.append(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(rows.column(0).is_null().to_numpy(zero_copy_only=False))
-        pa.default_memory_pool().release_unused()
+        give_back()
         if files is None:
             return
         files.commit()
