@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op8_decontaminate
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .importance import op7_importance
 from .language_id import op5_language_id
 from .near_dup import op9_near_dup
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .token_files import op1_token_files
 from .url_filter import op4_url_filter
 from .warc import OP6_SQL, op6_warc
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB's SQL, where that can express them."""
-    return {"op6_warc": OP6_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL}

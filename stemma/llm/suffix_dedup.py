@@ -259,3 +259,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the strings of 100 bytes or more that occur earlier."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicated(docs, 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+     w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+     f AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, p) > 1),
+     g AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+     i AS (SELECT doc_id, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+     s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+     q AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM s
+           UNION ALL SELECT s.doc_id, max(b), max(n) FROM s JOIN d USING (doc_id) GROUP BY s.doc_id),
+     k AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id),
+     r AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
+"""

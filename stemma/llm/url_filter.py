@@ -171,7 +171,8 @@ def filtered(pages: DataFrame, rules=RULES, sample: int = SAMPLE, smooth: float
     prior = math.log(share / (1 - share)) if share is not None else -1e-9
     odds = chosen.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
     odds = written(odds.select("suffix", F.ln((F.col("k") + smooth * share if share is not None else F.lit(0.5)) / (F.col("n") - F.col("k") + smooth * (1 - share if share is not None else 0.5))).alias("f_suffix")), "suffixes")
-    with_suffix = lambda rows: rows.join(odds, "suffix", "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior)))
+    # one row per suffix of the sample, so never more than `sample` rows
+    with_suffix = lambda rows: rows.join(F.broadcast(odds), "suffix", "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior)))
     model = boosted(with_suffix(chosen).select(*FEATURES, "y").coalesce(1))
     out = with_suffix(known).withColumn("score", model.margin())
     verdict = F.coalesce("ruling", F.when(F.col("score") > 0, "block").otherwise("allow"))
