@@ -131,3 +131,18 @@ def unit_flags(text: Column, is_first: Column) -> Column:
         F.when(t.rlike(f"(?i)\\b({LOGICAL_TYPES})\\s+({_LABEL_NUMBER})\\b"), "embedded_reference"),
         F.when(t.rlike("\\n[ \\t]*\\n\\s*$"), "paragraph_boundary"),
     ))
+
+
+def aliases(label: Column, title: Column, terms: Column) -> Column:
+    """The ways a statement can be named, sorted: its label as it stands and normal, type and number in both languages with
+    and without a blank, each with an anchor term before or behind, and a title of four characters or more."""
+    en = F.create_map(*[F.lit(x) for k, v in TYPES.items() for x in (v, k.capitalize())])
+    p = parsed_label(label)
+
+    def forms(name: Column) -> Column:
+        plain, tight = F.concat_ws(" ", name, p["number"]), F.concat(name, p["number"])
+        with_terms = F.flatten(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.array(F.concat_ws(" ", t, plain), F.concat(t, tight), F.concat_ws(" ", plain, t), F.concat(tight, t))))
+        return F.when(p["number"].isNotNull() & name.isNotNull(), F.concat(F.array(plain, tight), with_terms)).otherwise(F.array().cast("array<string>"))
+
+    known = F.filter(F.array(F.trim(label), normal_label(label), F.when(F.length(F.trim(title)) >= 4, F.trim(title))), lambda x: x.isNotNull() & (x != ""))
+    return F.array_sort(F.array_distinct(F.concat(known, forms(p["type"]), forms(F.element_at(en, p["type"])))))

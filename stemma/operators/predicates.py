@@ -91,3 +91,10 @@ def registry(uses: DataFrame) -> DataFrame:
     keyed = best.join(lists, "cluster").withColumn("key", predicate_id(F.col("name")))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1
     return keyed.withColumn("key", F.when(nth == 0, F.col("key")).otherwise(F.format_string("%s_ALT_%03d", "key", nth))).drop("at")
+
+
+def merged_registry(rows: DataFrame) -> DataFrame:
+    """rows(key, arity, sorts, names, templates): entries of equal key, arity and sorts become one, with all their names and
+    templates."""
+    gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return rows.groupBy("key", "arity", "sorts").agg(gather("names"), gather("templates"), F.count("*").alias("merged"))

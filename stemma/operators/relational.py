@@ -113,3 +113,43 @@ def failure_report(expected: DataFrame, results: DataFrame, key: str, most: floa
 def upper_median(values: Column) -> Column:
     """The middle value of an array, the upper of two."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def probe_summary(calls: DataFrame) -> DataFrame:
+    """calls(model, ok, seconds, category) -> per model: calls, success rate, upper median and longest time of good ones."""
+    good = F.collect_list(F.when(F.col("ok"), F.col("seconds")))
+    return calls.groupBy("model").agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("int")).alias("success"), upper_median(good).alias("median"), F.max(F.when(F.col("ok"), F.col("seconds"))).alias("longest"))
+
+
+def model_scores(models: DataFrame, by_rate: float = 0.6, by_success: float = 0.4) -> DataFrame:
+    """models(model, rps, success) by a weighted sum of their rate over the best rate and their success."""
+    best = models.agg(F.max("rps").alias("_best"))
+    score = by_rate * F.coalesce(F.col("rps") / F.nullif(F.col("_best"), F.lit(0.0)), F.lit(0.0)) + by_success * F.col("success")
+    return models.crossJoin(F.broadcast(best)).withColumn("score", score).drop("_best").orderBy(F.desc("score"), "model")
+
+
+def grouped_sides(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """The values of two tables by key, each side's list empty where it has none."""
+    a = left.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("left_values"))
+    b = right.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("right_values"))
+    none = F.array().cast("array<string>")
+    return a.join(b, key, "full").select(key, F.coalesce("left_values", none).alias("left_values"), F.coalesce("right_values", none).alias("right_values"))
+
+
+def inverted(rows: DataFrame) -> DataFrame:
+    """rows(pos, names array, explanation) -> name with its (explanation, pos) in order of pos."""
+    each = rows.select(F.explode("names").alias("name"), F.struct("pos", "explanation").alias("use"))
+    return each.groupBy("name").agg(F.sort_array(F.collect_list("use")).alias("uses"))
+
+
+def canonical(rows: DataFrame, synonyms: DataFrame, column: str) -> DataFrame:
+    """Distinct rows with the column's values replaced by synonyms(name, canonical), where there is one."""
+    s = synonyms.select(F.col("name").alias(column), "canonical").dropDuplicates([column])
+    return rows.join(s, column, "left").withColumn(column, F.coalesce("canonical", column)).drop("canonical").distinct()
+
+
+def unique_titles(nodes: DataFrame, text: str = "content") -> DataFrame:
+    """nodes(title, content, ...) with titles that occur twice told apart by the first formula of the text, if any."""
+    formula = F.coalesce(F.nullif(F.regexp_extract(text, "(?s)\\$\\$(.+?)\\$\\$", 1), F.lit("")), F.nullif(F.regexp_extract(text, "\\$([^$]+)\\$", 1), F.lit("")))
+    twice = F.count("*").over(Window.partitionBy("title")) > 1
+    return nodes.withColumn("title", F.when(twice & formula.isNotNull(), F.concat("title", F.lit(" ($"), F.trim(formula), F.lit("$)"))).otherwise(F.col("title")))

@@ -72,13 +72,14 @@ def fused(channels: DataFrame, k: int = RRF_K, protect: int = 2) -> DataFrame:
     return channels.groupBy("doc_id", "dependent", "support").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("channel")).alias("channels"), (F.min("rank") <= protect).alias("protected"))
 
 
-def capped(candidates: DataFrame, total: int = 80, definitions: int = 40) -> DataFrame:
-    """candidates(doc_id, dependent, support, kind, alias, protected, rrf): at most so many per dependent, in order of alias
-    hit, protection, fusion score, distance, id. Definitions over their own cap are passed by, they use up nothing."""
+def capped(candidates: DataFrame, total: int = 80, definitions: int = 40, per: str = "dependent") -> DataFrame:
+    """candidates(doc_id, dependent, support, kind, alias, protected, rrf): at most so many per dependent (or per any other
+    column, such as the dependent's parent), in order of alias hit, protection, fusion score, distance, id. Definitions
+    over their own cap are passed by, they use up nothing."""
     order = [F.desc("alias"), F.desc("protected"), F.desc(F.round("rrf", 9)), F.col("dependent") - F.col("support"), "support"]
-    first = candidates.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "dependent", "kind").orderBy(*order)))
+    first = candidates.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", per, "kind").orderBy(*order)))
     first = first.where((F.col("kind") != "definition") | (F.col("_k") <= definitions))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "dependent").orderBy(*order))).where(F.col("place") <= total).drop("_k")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", per).orderBy(*order))).where(F.col("place") <= total).drop("_k")
 
 
 def final_selection(candidates: DataFrame, logic: int = 20, definitions: int = 10) -> DataFrame:
@@ -132,3 +133,19 @@ def expanded(seeds: DataFrame, explicit: DataFrame, limit: int = 10) -> DataFram
     score = 1 / (F.col("rank") + F.log1p(F.col("dependent") - F.col("far")))
     best = got.groupBy("doc_id", "dependent", F.col("far").alias("support")).agg(F.max(score).alias("score"))
     return ranked(best, limit)
+
+
+def rerank_tasks(candidates: DataFrame, size: int = 20) -> DataFrame:
+    """candidates(doc_id, dependent, support, kind, candidate_id, rrf) -> (doc_id, dependent, kind, batch, ids, fingerprint):
+    batches in order of fusion score; the fingerprint, of the ids, is the key under which an answer is kept."""
+    w = Window.partitionBy("doc_id", "dependent", "kind").orderBy(F.desc(F.round("rrf", 9)), "support")
+    placed = candidates.withColumn("_p", F.row_number().over(w)).withColumn("batch", F.floor((F.col("_p") - 1) / size))
+    listed = placed.groupBy("doc_id", "dependent", "kind", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "candidate_id"))), lambda x: x["candidate_id"]).alias("ids"))
+    return listed.withColumn("fingerprint", F.sha2(F.to_json("ids"), 256))
+
+
+def reranked(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """candidates with the score and rank of scores(candidate_id, rerank_score); one without a score is an error."""
+    missing = F.raise_error(F.concat(F.lit("no score for "), F.col("candidate_id"))).cast("double")
+    joined = candidates.join(scores.dropDuplicates(["candidate_id"]), "candidate_id", "left").withColumn("rerank_score", F.coalesce(F.col("rerank_score").cast("double"), missing))
+    return joined.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("doc_id", "dependent", "kind").orderBy(F.desc("rerank_score"), F.desc(F.round("rrf", 9)), "support")))
