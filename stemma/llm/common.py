@@ -55,3 +55,14 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return rows.join(bases, "_file").withColumn(name, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
+
+
+#: Rows of text in one Arrow batch: some 4 MB of usual documents, in the JVM's and in the worker's memory.
+TEXT_ROWS = 1200
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session be small where rows are whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > TEXT_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(TEXT_ROWS))

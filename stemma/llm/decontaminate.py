@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import BASES, lowered, range_hashes, slices, texts_of, words_of
-from .common import only, shared_dir
+from .common import only, shared_dir, text_batches
 from .files import system, table
 
 #: Words of items in one automaton: some 200 bytes each while it is built, a third of that afterwards.
@@ -230,6 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     that they are written to the shared folder in files of about that size, which each worker reads one by one.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     items = only(benchmark, "item_id", "text").where(F.octet_length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > most_bytes:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import NOT_SPACE, BASES, lowered, mix, range_hashes, slices, texts_of, words_of
-from .common import only, ranked, written
+from .common import only, ranked, text_batches, written
 from .files import table
 
 SLOT_BITS = 16
@@ -82,6 +82,7 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, sm
     go to the lesser doc_id, null first. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     marks = written(marks, "marks")

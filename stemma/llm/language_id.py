@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import slices, texts_of
-from .common import only, written
+from .common import only, text_batches, written
 from .files import table
 
 SLOT_BITS = 16
@@ -126,6 +126,7 @@ def identified(pages: DataFrame, docs: DataFrame, temper: float = 0.05, strength
     judged and each count; an empty table gives an empty table; other columns are ignored.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     names, logs = trained(docs)
     rows = only(pages, "page_id", "url", "html")
     if not names:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import BASES, NOT_SPACE, lowered, mix, range_hashes, slices, texts_of, words_of
-from .common import only, release, written
+from .common import only, release, text_batches, written
 from .files import table
 from .graph import components
 
@@ -142,7 +142,7 @@ def _sign(idf, size: int, bands: int, rows: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 20):
                 buf, off = texts_of(part.column(1))
                 words, of_word = _words(buf, off)
                 n = np.bincount(of_word, minlength=part.num_rows)
@@ -198,7 +198,7 @@ def _similarity(idf, size: int):
 
     def run(batches):
         for b in batches:
-            for part in slices(b, 2, 1 << 21):
+            for part in slices(b, 2, 1 << 20):
                 sides = []
                 for i in (2, 3):
                     doc, h, w = shingles(*texts_of(part.column(i)), idf.value, size)
@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     (1 - threshold**rows)**bands by its keys and about as much by `doubt`: together 0.0004 by default.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     known = docs.where(F.col("doc_id").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(docs))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import give_back, slices
-from .common import only, shared_dir, written
+from .common import only, shared_dir, text_batches, written
 from .encode import encoder
 from .files import table
 
@@ -40,6 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 4096, path
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
+    text_batches(docs.sparkSession)
     spark, path = docs.sparkSession, path or shared_dir(docs.sparkSession, "packed")
 
     def cut(batches):

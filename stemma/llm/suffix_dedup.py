@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import BASES, minimizers, range_hashes, slices, texts_of, window_hashes
-from .common import only, release, shared_dir, written
+from .common import only, release, shared_dir, text_batches, written
 from .files import table
 
 DUP, PART, OPEN = 0, 1, 2
@@ -198,6 +198,7 @@ def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50, carry: tup
     count as one place and don't repeat each other; rows with the same doc_id and other texts come in the order of
     their digest. An empty table gives an empty table. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     docs, bits = placed(only(docs, "doc_id", "text", *carry).withColumn("doc_id", F.col("doc_id").cast("long")))
     texts = docs.where(F.octet_length("text") >= length).select("ord", "text")
     found = repeats(texts.mapInArrow(stretches(length, seed, bits), "a long, b long, pos long, n int"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import give_back, slices
-from .common import only, shared_dir
+from .common import only, shared_dir, text_batches
 from .encode import encoder, width_of
 from .files import AtomicFile, mapped, table
 
@@ -45,6 +45,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     equal doc_ids by text. An empty table gives an empty set. Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     path, width = path or shared_dir(spark, "token-files"), width_of(tokenizer, end_id)
 
     def write(batches):
