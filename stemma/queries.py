@@ -139,9 +139,10 @@ def pre_rerank_cap(spark, sf_dir):
     f"""WITH {TOKENS}, gold AS (SELECT a.doc_id, a.pos AS dependent, b.pos AS support FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.s = a.s - 3),
     hit AS (SELECT g.*, f.support IS NOT NULL AS hit FROM gold g LEFT JOIN (SELECT DISTINCT doc_id, dependent, support FROM fin) f USING (doc_id, dependent, support)),
     per AS (SELECT count(*) AS n FROM fin GROUP BY doc_id, dependent)
-    SELECT count(*) AS n_gold, round(avg(hit::INT), 9) AS recall, count(*) FILTER (dependent - support > 30) AS n_far,
+    , rep AS (SELECT count(*) AS n_gold, round(avg(hit::INT), 9) AS recall, count(*) FILTER (dependent - support > 30) AS n_far,
     round(count(*) FILTER (dependent - support > 30 AND hit) / nullif(count(*) FILTER (dependent - support > 30), 0), 9) AS far_recall,
-    (SELECT coalesce(max(n), 0) FROM per) AS most, round((SELECT coalesce(avg(n), 0) FROM per), 9) AS average, false AS accepted FROM hit"""
+    (SELECT coalesce(max(n), 0) FROM per) AS most, round((SELECT coalesce(avg(n), 0) FROM per), 9) AS average FROM hit)
+    SELECT *, coalesce(recall >= 0.95 AND coalesce(far_recall >= 0.9, true) AND most <= 30, false) AS accepted FROM rep"""
 )
 def candidate_recall_eval(spark, sf_dir):
     """Recall of the final selection against pairs three turns apart, and the acceptance gate."""
