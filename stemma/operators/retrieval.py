@@ -82,10 +82,19 @@ def capped(candidates: DataFrame, total: int = 80, definitions: int = 40, per: s
     return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", per).orderBy(*order))).where(F.col("place") <= total).drop("_k")
 
 
-def final_selection(candidates: DataFrame, logic: int = 20, definitions: int = 10) -> DataFrame:
-    """candidates(doc_id, dependent, support, kind, rrf): the best definitions up to their limit, and logic candidates up
-    to theirs plus the definitions' unused places."""
-    w = Window.partitionBy("doc_id", "dependent", "kind").orderBy(F.desc(F.round("rrf", 9)), "support")
+def reference_order(columns: list[str]) -> list[Column]:
+    """The reference's order of final candidates: alias hit, protection, rerank score and rank, fusion score, distance.
+    What a candidate hasn't counts as no alias, not protected, score -1 and last rank; an id is never needed, since
+    two candidates of one dependent and kind differ in distance."""
+    have = {"alias": F.desc("alias"), "protected": F.desc("protected"), "rerank_score": F.desc(F.coalesce("rerank_score", F.lit(-1.0))), "rerank_rank": F.coalesce("rerank_rank", F.lit(10**9))}
+    return [o for c, o in have.items() if c in columns] + [F.desc(F.round("rrf", 9)), F.col("dependent") - F.col("support")]
+
+
+def final_selection(candidates: DataFrame, logic: int = 20, definitions: int = 10, order: list[Column] | None = None) -> DataFrame:
+    """candidates(doc_id, dependent, support, kind, rrf; alias, protected, rerank_score, rerank_rank where known): the best
+    definitions up to their limit, and logic candidates up to theirs plus the definitions' unused places, by default in
+    reference_order."""
+    w = Window.partitionBy("doc_id", "dependent", "kind").orderBy(*(order or reference_order(candidates.columns)))
     placed = candidates.withColumn("place", F.row_number().over(w))
     used = F.least(F.lit(definitions), F.count_if(F.col("kind") == "definition").over(Window.partitionBy("doc_id", "dependent")))
     room = F.when(F.col("kind") == "definition", F.lit(definitions)).otherwise(logic + definitions - used)

@@ -118,10 +118,15 @@ def _candidates(units: DataFrame) -> DataFrame:
     return V.fused(_channels(units)).join(units.select("doc_id", F.col("pos").alias("support"), kind.alias("kind")), ["doc_id", "support"])
 
 
+def _small_selection(units: DataFrame) -> DataFrame:
+    """The selection of `fin`: small budgets, by fusion score alone. _selected has the reference's."""
+    return V.final_selection(_candidates(units), 3, 2, [F.desc(F.round("rrf", 9)), F.col("support")])
+
+
 @query(f"WITH {TOKENS} SELECT doc_id, dependent, support, kind, place FROM fin")
 def final_selection_budget(spark, sf_dir):
     """Final selection with a budget of two definitions and three others, unused definition places passed on."""
-    return V.final_selection(_candidates(turns(spark, sf_dir)), 3, 2).select("doc_id", "dependent", "support", "kind", "place")
+    return _small_selection(turns(spark, sf_dir)).select("doc_id", "dependent", "support", "kind", "place")
 
 
 @query(
@@ -147,16 +152,20 @@ def pre_rerank_cap(spark, sf_dir):
 def candidate_recall_eval(spark, sf_dir):
     """Recall of the final selection against pairs three turns apart, and the acceptance gate."""
     u = turns(spark, sf_dir)
+    return _recall(_small_selection(u), u)
+
+
+def _recall(selected: DataFrame, units: DataFrame) -> DataFrame:
     third = F.lag("pos", 3).over(Window.partitionBy("doc_id").orderBy("pos"))
-    gold = u.select("doc_id", F.col("pos").alias("dependent"), third.alias("support"), F.lit(False).alias("explicit")).where("support is not null")
-    out = V.accepted(V.evaluation(V.final_selection(_candidates(u), 3, 2), gold))
+    gold = units.select("doc_id", F.col("pos").alias("dependent"), third.alias("support"), F.lit(False).alias("explicit")).where("support is not null")
+    out = V.accepted(V.evaluation(selected, gold))
     return out.withColumns({c: F.round(c, 9) for c in ("recall", "far_recall", "average")})
 
 
 @query(f"WITH {TOKENS} SELECT CASE WHEN dependent - support <= 5 THEN '1-5' WHEN dependent - support <= 30 THEN '6-30' ELSE '>30' END AS bucket, count(*) AS n FROM fin GROUP BY ALL")
 def distance_buckets(spark, sf_dir):
     """Selected candidates by distance."""
-    fin = V.final_selection(_candidates(turns(spark, sf_dir)), 3, 2)
+    fin = _small_selection(turns(spark, sf_dir))
     return fin.groupBy(V.distance_bucket(F.col("dependent") - F.col("support")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -176,10 +185,69 @@ def graph_expansion(spark, sf_dir):
 @query(f"WITH {TOKENS} SELECT doc_id, dependent, support, substr(sha256(dependent::VARCHAR || chr(0) || support::VARCHAR || chr(0) || kind), 1, 24) AS candidate_id FROM fin")
 def candidate_ids(spark, sf_dir):
     """Stable ids of the selected candidates."""
-    fin = V.final_selection(_candidates(turns(spark, sf_dir)), 3, 2)
+    fin = _small_selection(turns(spark, sf_dir))
     return fin.select("doc_id", "dependent", "support", V.candidate_id(F.col("dependent"), F.col("support"), F.col("kind")).alias("candidate_id"))
 
 
+# The same with the reference's budgets and order: 80 in all and 40 definitions before reranking, then 10 definitions and
+# 20 others. Without aliases and rerank scores the order is protection, fusion score, distance.
+SELECTED = f"""{TOKENS},
+ck AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dependent, kind ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support, support) AS k FROM cand),
+cap AS (SELECT doc_id, dependent, support, kind, rrf, channels, protected, row_number() OVER (PARTITION BY doc_id, dependent ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support, support) AS place
+        FROM ck WHERE kind <> 'definition' OR k <= 40 QUALIFY place <= 80),
+wp AS (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY doc_id, dependent, kind ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support) AS place,
+       least(10, count(*) FILTER (kind = 'definition') OVER (PARTITION BY doc_id, dependent)) AS used FROM cap),
+sel AS (SELECT * FROM wp WHERE place <= CASE WHEN kind = 'definition' THEN 10 ELSE 20 + 10 - used END)
+"""
+
+
+def _capped(units: DataFrame) -> DataFrame:
+    return V.capped(_candidates(units).withColumn("alias", F.lit(False)))
+
+
+def _selected(units: DataFrame) -> DataFrame:
+    return V.final_selection(_capped(units).drop("place"))
+
+
+@query(f"WITH {SELECTED} SELECT doc_id, dependent, support, kind, place FROM cap")
+def pre_rerank_cap_whole(spark, sf_dir):
+    """The reference's cap before reranking: 80 in all, 40 definitions."""
+    return _capped(turns(spark, sf_dir)).select("doc_id", "dependent", "support", "kind", "place")
+
+
+@query(f"WITH {SELECTED} SELECT doc_id, dependent, support, kind, place FROM sel")
+def final_selection_whole(spark, sf_dir):
+    """The reference's final selection: 10 definitions and 20 others, unused definition places passed on."""
+    return _selected(turns(spark, sf_dir)).select("doc_id", "dependent", "support", "kind", "place")
+
+
+@query(
+    f"""WITH {SELECTED}, gold AS (SELECT a.doc_id, a.pos AS dependent, b.pos AS support FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.s = a.s - 3),
+    hit AS (SELECT g.*, f.support IS NOT NULL AS hit FROM gold g LEFT JOIN (SELECT DISTINCT doc_id, dependent, support FROM sel) f USING (doc_id, dependent, support)),
+    per AS (SELECT count(*) AS n FROM sel GROUP BY doc_id, dependent)
+    , rep AS (SELECT count(*) AS n_gold, round(avg(hit::INT), 9) AS recall, count(*) FILTER (dependent - support > 30) AS n_far,
+    round(count(*) FILTER (dependent - support > 30 AND hit) / nullif(count(*) FILTER (dependent - support > 30), 0), 9) AS far_recall,
+    (SELECT coalesce(max(n), 0) FROM per) AS most, round((SELECT coalesce(avg(n), 0) FROM per), 9) AS average FROM hit)
+    SELECT *, coalesce(recall >= 0.95 AND coalesce(far_recall >= 0.9, true) AND most <= 30, false) AS accepted FROM rep"""
+)
+def candidate_recall_whole(spark, sf_dir):
+    """Recall of the reference's final selection against pairs three turns apart, and the acceptance gate."""
+    u = turns(spark, sf_dir)
+    return _recall(_selected(u), u)
+
+
+@query(f"WITH {SELECTED} SELECT CASE WHEN dependent - support <= 5 THEN '1-5' WHEN dependent - support <= 30 THEN '6-30' ELSE '>30' END AS bucket, count(*) AS n FROM sel GROUP BY ALL")
+def distance_buckets_whole(spark, sf_dir):
+    """Candidates of the reference's final selection by distance."""
+    return _selected(turns(spark, sf_dir)).groupBy(V.distance_bucket(F.col("dependent") - F.col("support")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SELECTED} SELECT doc_id, dependent, support, substr(sha256(dependent::VARCHAR || chr(0) || support::VARCHAR || chr(0) || kind), 1, 24) AS candidate_id FROM sel")
+def candidate_ids_whole(spark, sf_dir):
+    """Stable ids of the candidates of the reference's final selection."""
+    return _selected(turns(spark, sf_dir)).select("doc_id", "dependent", "support", V.candidate_id(F.col("dependent"), F.col("support"), F.col("kind")).alias("candidate_id"))
+
+
 @query("""SELECT q.vec_id AS dependent, e.vec_id AS support, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
     FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20""")
