@@ -319,6 +319,13 @@ def neighbour_context(spark, sf_dir):
     return got.select("conv_id", "turn", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
+@query("""SELECT conv_id, turn, coalesce(list(text) FILTER (text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS before,
+    coalesce(list(text) FILTER (text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []) AS after FROM conversations""")
+def neighbour_context_whole(spark, sf_dir):
+    """The whole texts of the two turns on either side of each turn."""
+    return O.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"), 2).select("conv_id", "turn", "before", "after")
+
+
 @query("""SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events
     WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)""")
 def trailing_minute_rate(spark, sf_dir):

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from stemma.operators import retrieval as V
+from stemma.queries import QUERIES
 
 PAIR = "doc_id int, dependent int, support int, kind string, rrf double, protected boolean, alias boolean, rerank_score double, rerank_rank int"
 
@@ -24,3 +25,10 @@ def test_small_budgets(spark):
     df = spark.createDataFrame(rows, PAIR)
     assert {r.support for r in V.final_selection(df, 3, 2).collect()} == {2, 3, 6, 7, 8}
     assert {r.support for r in V.capped(df, 6, 2).collect()} == {3, 4, 5, 6, 7, 8} == {r.support for r in V.capped(df, 7, 1).collect()}
+
+
+def test_neighbours_come_whole(spark, tmp_path):
+    long = ["0123456789012345678901" + x * 30 for x in "abcde"]
+    spark.createDataFrame([("c", i, "user", t) for i, t in enumerate(long)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.before, r.after) for r in QUERIES["neighbour_context_whole"](spark, str(tmp_path)).collect()}
+    assert got[2] == (long[:2], long[3:]) and got[0] == ([], long[1:3]) and got[4] == (long[2:4], [])
