@@ -61,15 +61,39 @@ def local_window(units: DataFrame, limit: int = 8) -> DataFrame:
     return near.select("doc_id", "dependent", F.col("p.pos").alias("support"), (1 / (F.col("at") - F.col("p.seq"))).alias("score"), (F.col("at") - F.col("p.seq")).cast("int").alias("rank"))
 
 
+def implicit_pairs(pairs: DataFrame, units: DataFrame, excluded: DataFrame) -> DataFrame:
+    """pairs(doc_id, dependent, support, ...), units(doc_id, pos, parent, definition, statement), excluded(doc_id,
+    dependent_parent, support_parent) -> the pairs that may be implicit relations, a row per kind: the support comes
+    earlier and has another parent (units without one differ from all), the parents are no excluded pair, and the
+    support is a definition (kind definition), or both are statements (kind logic)."""
+    d, s = (units.select("doc_id", F.col("pos").alias(c), F.coalesce("parent", F.lit("")).alias(f"{c}_parent"), F.col("definition").alias(f"_{c}_d"), F.col("statement").alias(f"_{c}_s")) for c in ("dependent", "support"))
+    rows = pairs.where(F.col("support") < F.col("dependent")).join(d, ["doc_id", "dependent"]).join(s, ["doc_id", "support"])
+    rows = rows.where((F.col("dependent_parent") == "") | (F.col("dependent_parent") != F.col("support_parent")))
+    gone = excluded.select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("dependent_parent", "support_parent")]).distinct()
+    kinds = F.array_compact(F.array(F.when(F.col("_support_d"), "definition"), F.when(F.col("_support_s") & F.col("_dependent_s"), "logic")))
+    return rows.join(gone, ["doc_id", "dependent_parent", "support_parent"], "left_anti").select(*pairs.columns, F.explode(kinds).alias("kind"))
+
+
+def implicit_window(units: DataFrame, excluded: DataFrame, limit: int = 8) -> DataFrame:
+    """The last `limit` earlier units of each that may be its logic support, see implicit_pairs, scored by the inverse of
+    their distance in units; rank counts eligible ones only."""
+    place = units.select("doc_id", "pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("seq"))
+    a, b = place.toDF("doc_id", "dependent", "at"), place.toDF("doc_id", "support", "seq")
+    pairs = a.join(b, "doc_id").where(F.col("support") < F.col("dependent"))
+    fit = implicit_pairs(pairs, units, excluded).where("kind = 'logic'")
+    ranked_back = fit.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "dependent").orderBy(F.desc("seq")))).where(F.col("rank") <= limit)
+    return ranked_back.select("doc_id", "dependent", "support", "kind", (1 / (F.col("at") - F.col("seq"))).alias("score"), "rank")
+
+
 def rare_tokens(sizes: DataFrame, frequency: DataFrame) -> DataFrame:
     """Tokens that occur in at most max(3, a fifth) of a document's units."""
     return frequency.join(sizes, "doc_id").where(F.col("df") <= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2))).select("doc_id", "token", "df")
 
 
-def fused(channels: DataFrame, k: int = RRF_K, protect: int = 2) -> DataFrame:
+def fused(channels: DataFrame, k: int = RRF_K, protect: int = 2, by: tuple[str, ...] = ("doc_id", "dependent", "support")) -> DataFrame:
     """channels(doc_id, dependent, support, channel, rank) -> reciprocal-rank fusion, the channels, and whether the pair
-    is among a channel's first `protect`."""
-    return channels.groupBy("doc_id", "dependent", "support").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("channel")).alias("channels"), (F.min("rank") <= protect).alias("protected"))
+    is among a channel's first `protect`; by may add the kind."""
+    return channels.groupBy(*by).agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("channel")).alias("channels"), (F.min("rank") <= protect).alias("protected"))
 
 
 def capped(candidates: DataFrame, total: int = 80, definitions: int = 40, per: str = "dependent") -> DataFrame:

@@ -248,6 +248,77 @@ def candidate_ids_whole(spark, sf_dir):
     return _selected(turns(spark, sf_dir)).select("doc_id", "dependent", "support", V.candidate_id(F.col("dependent"), F.col("support"), F.col("kind")).alias("candidate_id"))
 
 
+# Implicit candidates only. A turn's parent is its block (a user's turn opens one); turns of system and user are definitions,
+# those of the assistant statements; explicit are the pairs of blocks that turns three apart lie in, from every third turn on.
+IMPLICIT = f"""{TOKENS},
+blk AS (SELECT doc_id, pos, s, role, (sum(CASE WHEN role = 'user' OR s = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::VARCHAR AS parent,
+        role IN ('system', 'user') AS definition, role = 'assistant' AS statement FROM seq),
+exc AS (SELECT DISTINCT a.doc_id, a.parent AS dp, b.parent AS sp FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND b.s = a.s - 3 WHERE a.s % 3 = 0),
+ipr AS (SELECT a.doc_id, a.pos AS dependent, b.pos AS support, a.s AS sa, b.s AS sb, CASE WHEN b.definition THEN 'definition' ELSE 'logic' END AS kind
+        FROM blk a JOIN blk b ON a.doc_id = b.doc_id AND b.pos < a.pos AND a.parent <> b.parent AND (b.definition OR (b.statement AND a.statement)) WHERE NOT EXISTS (FROM exc e WHERE e.doc_id = a.doc_id AND e.dp = a.parent AND e.sp = b.parent)),
+ibm AS (SELECT doc_id, dependent, support, kind, score, row_number() OVER (PARTITION BY doc_id, dependent, kind ORDER BY round(score, 9) DESC, support) AS rank
+        FROM sco JOIN ipr USING (doc_id, dependent, support) QUALIFY rank <= CASE WHEN kind = 'definition' THEN 15 ELSE 20 END),
+iwn AS (SELECT doc_id, dependent, support, kind, 1 / (sa - sb) AS score, row_number() OVER (PARTITION BY doc_id, dependent ORDER BY sb DESC) AS rank FROM ipr WHERE kind = 'logic' QUALIFY rank <= 8)
+"""
+
+
+def _parents(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units with parent, definition and statement, and the explicit pairs of parents."""
+    u = O.blocks(units, "doc_id", "pos", F.col("role") == "user").withColumn("parent", F.col("block").cast("string"))
+    u = u.withColumns({"definition": F.col("role").isin("system", "user"), "statement": F.col("role") == "assistant"})
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = u.select("doc_id", F.col("parent").alias("dependent_parent"), F.lag("parent", 3).over(w).alias("support_parent"), F.row_number().over(w).alias("s"))
+    return u, pairs.where("support_parent is not null and s % 3 = 0").drop("s")
+
+
+@query(f"WITH {IMPLICIT} SELECT doc_id, dependent, support, kind, round(score, 6) AS score, rank FROM ibm")
+def bm25_implicit(spark, sf_dir):
+    """Of the pairs that may be implicit relations, each turn's 20 best logic and 15 best definition supports by BM25."""
+    t = turns(spark, sf_dir)
+    b = bag(t)
+    fit = V.implicit_pairs(V.predecessor_scores(b, V.bm25_postings(t, b)), *_parents(t))
+    best = V.ranked(fit, 20, ("doc_id", "dependent", "kind")).where("kind = 'logic' or rank <= 15")
+    return best.select("doc_id", "dependent", "support", "kind", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {IMPLICIT} SELECT doc_id, dependent, support, kind, round(score, 9) AS score, rank FROM iwn")
+def local_window_implicit(spark, sf_dir):
+    """The last eight earlier turns that may be each turn's implicit logic support."""
+    return V.implicit_window(*_parents(turns(spark, sf_dir))).withColumn("score", F.round("score", 9))
+
+
+def _implicit_candidates(spark, sf_dir) -> DataFrame:
+    """The two channels of implicit pairs, fused by kind."""
+    both = bm25_implicit(spark, sf_dir).select("doc_id", "dependent", "support", "kind", F.lit("bm25f").alias("channel"), "rank")
+    both = both.unionByName(local_window_implicit(spark, sf_dir).select("doc_id", "dependent", "support", "kind", F.lit("local_window").alias("channel"), "rank"))
+    return V.fused(both, by=("doc_id", "dependent", "support", "kind"))
+
+
+IFUSED = f"""{IMPLICIT},
+ifu AS (SELECT doc_id, dependent, support, kind, sum(1 / (60 + rank)) AS rrf, list_sort(list(DISTINCT channel)) AS channels, min(rank) <= 2 AS protected
+        FROM (SELECT doc_id, dependent, support, kind, 'bm25f' AS channel, rank FROM ibm UNION ALL SELECT doc_id, dependent, support, kind, 'local_window', rank FROM iwn) GROUP BY ALL)
+"""
+
+
+@query(f"WITH {IFUSED} SELECT doc_id, dependent, support, kind, round(rrf, 9) AS rrf, array_to_string(channels, ',') AS channels, protected FROM ifu")
+def rrf_fusion_implicit(spark, sf_dir):
+    """Reciprocal-rank fusion of the channels of implicit pairs."""
+    return _implicit_candidates(spark, sf_dir).withColumns({"rrf": F.round("rrf", 9), "channels": F.array_join("channels", ",")})
+
+
+@query(
+    f"""WITH {IFUSED}, ck AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dependent, kind ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support) AS k FROM ifu),
+    cap AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dependent ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support, support) AS pre FROM ck WHERE kind <> 'definition' OR k <= 40 QUALIFY pre <= 80),
+    wp AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dependent, kind ORDER BY protected DESC, round(rrf, 9) DESC, dependent - support) AS place,
+    least(10, count(*) FILTER (kind = 'definition') OVER (PARTITION BY doc_id, dependent)) AS used FROM cap)
+    SELECT doc_id, dependent, support, kind, place FROM wp WHERE place <= CASE WHEN kind = 'definition' THEN 10 ELSE 20 + 10 - used END"""
+)
+def final_selection_implicit(spark, sf_dir):
+    """The reference's final selection of implicit pairs."""
+    cap = V.capped(_implicit_candidates(spark, sf_dir).withColumn("alias", F.lit(False)))
+    return V.final_selection(cap.drop("place")).select("doc_id", "dependent", "support", "kind", "place")
+
+
 @query("""SELECT q.vec_id AS dependent, e.vec_id AS support, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
     FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 20""")

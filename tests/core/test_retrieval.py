@@ -32,3 +32,15 @@ def test_neighbours_come_whole(spark, tmp_path):
     spark.createDataFrame([("c", i, "user", t) for i, t in enumerate(long)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: (r.before, r.after) for r in QUERIES["neighbour_context_whole"](spark, str(tmp_path)).collect()}
     assert got[2] == (long[:2], long[3:]) and got[0] == ([], long[1:3]) and got[4] == (long[2:4], [])
+
+
+def test_implicit_pairs_are_chosen_before_ranking(spark):
+    units = [(1, i, "P" if i >= 9 else f"q{i}", i == 0, i != 0) for i in range(12)] + [(1, 12, None, False, True), (1, 13, "", False, True)]
+    u = spark.createDataFrame(units, "doc_id int, pos int, parent string, definition boolean, statement boolean")
+    gone = spark.createDataFrame([(1, "P", "q8"), (1, "P", "q7")], "doc_id int, dependent_parent string, support_parent string")
+    near = {}
+    for r in V.implicit_window(u, gone, 3).collect():
+        near.setdefault(r.dependent, {})[r.rank] = (r.support, round(1 / r.score))
+    assert near[11] == {1: (6, 5), 2: (5, 6), 3: (4, 7)} and near[13] == {1: (12, 1), 2: (11, 2), 3: (10, 3)} and 1 not in near
+    pairs = spark.createDataFrame([(1, 11, s) for s in (0, 1, 7, 8, 9, 10, 12)], "doc_id int, dependent int, support int")
+    assert {(r.support, r.kind) for r in V.implicit_pairs(pairs, u, gone).collect()} == {(0, "definition"), (1, "logic")}
