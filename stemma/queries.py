@@ -236,6 +236,36 @@ def candidate_recall_whole(spark, sf_dir):
     return _recall(_selected(u), u)
 
 
+@query(
+    f"""WITH {SELECTED}, gold AS (SELECT a.doc_id, a.pos AS dependent, b.pos AS support, CASE WHEN b.role IN ('system', 'user') THEN 'definition' ELSE 'logic' END AS kind FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.s = a.s - 3),
+    hit AS (SELECT g.*, f.support IS NOT NULL AS hit, len(f.channels) = 1 AS alone FROM gold g LEFT JOIN sel f USING (doc_id, dependent, support, kind)),
+    per AS (SELECT count(*) AS n, count(*) FILTER (kind = 'definition') AS d FROM sel GROUP BY doc_id, dependent),
+    rep AS (SELECT count(*) AS n_gold, avg(hit::INT) AS recall, count(*) FILTER (kind = 'logic') AS n_logic, avg(hit::INT) FILTER (kind = 'logic') AS recall_logic,
+    count(*) FILTER (kind = 'definition') AS n_definition, avg(hit::INT) FILTER (kind = 'definition') AS recall_definition,
+    count(*) FILTER (kind = 'logic' AND dependent - support > 30) AS n_far, avg(hit::INT) FILTER (kind = 'logic' AND dependent - support > 30) AS far_recall,
+    (SELECT count(*) FROM sel) AS n_selected, (SELECT coalesce(max(n), 0) FROM per) AS most, (SELECT coalesce(max(d), 0) FROM per) AS most_definitions,
+    (SELECT count(*) FROM cap WHERE list_contains(channels, 'bm25f')) AS n_bm25f, (SELECT count(*) FROM cap WHERE list_contains(channels, 'local_window')) AS n_local_window,
+    count(*) FILTER (hit AND alone) AS n_exclusive FROM hit)
+    SELECT * REPLACE (round(recall, 9) AS recall, round(recall_logic, 9) AS recall_logic, round(recall_definition, 9) AS recall_definition, round(far_recall, 9) AS far_recall),
+    coalesce(recall >= 0.95 AND coalesce(far_recall >= 0.9, true) AND most <= 30 AND most_definitions <= 10, false) AS accepted FROM rep"""
+)
+def candidate_evaluation(spark, sf_dir):
+    """The reference's evaluation by kind, of its final selection against pairs three turns apart, and its whole gate."""
+    u = turns(spark, sf_dir)
+    key = ["doc_id", "dependent", "support", "kind"]
+    pre = _capped(u).drop("place")
+    marked = pre.join(V.final_selection(pre).select(*key, F.lit(True).alias("selected")), key, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    kind = F.when(F.lag("role", 3).over(w).isin("system", "user"), "definition").otherwise("logic")
+    gold = u.select("doc_id", F.col("pos").alias("dependent"), F.lag("pos", 3).over(w).alias("support"), kind.alias("kind"), F.lit(False).alias("explicit")).where("support is not null")
+    out = V.accepted(V.evaluation_by_kind(marked, gold))
+    counts = {f"n_{c}": F.coalesce(F.try_element_at("channel_counts", F.lit(c)), F.lit(0)) for c in ("bm25f", "local_window")}
+    alone = F.aggregate(F.map_values("exclusive_hits"), F.lit(0).cast("long"), lambda a, x: a + x)
+    rounded = {c: F.round(c, 9) for c in ("recall", "recall_logic", "recall_definition", "far_recall")}
+    out = out.withColumns({**counts, "n_exclusive": alone, **rounded})
+    return out.select("n_gold", "recall", "n_logic", "recall_logic", "n_definition", "recall_definition", "n_far", "far_recall", "n_selected", "most", "most_definitions", "n_bm25f", "n_local_window", "n_exclusive", "accepted")
+
+
 @query(f"WITH {SELECTED} SELECT CASE WHEN dependent - support <= 5 THEN '1-5' WHEN dependent - support <= 30 THEN '6-30' ELSE '>30' END AS bucket, count(*) AS n FROM sel GROUP BY ALL")
 def distance_buckets_whole(spark, sf_dir):
     """Candidates of the reference's final selection by distance."""

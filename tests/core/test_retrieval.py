@@ -44,3 +44,19 @@ def test_implicit_pairs_are_chosen_before_ranking(spark):
     assert near[11] == {1: (6, 5), 2: (5, 6), 3: (4, 7)} and near[13] == {1: (12, 1), 2: (11, 2), 3: (10, 3)} and 1 not in near
     pairs = spark.createDataFrame([(1, 11, s) for s in (0, 1, 7, 8, 9, 10, 12)], "doc_id int, dependent int, support int")
     assert {(r.support, r.kind) for r in V.implicit_pairs(pairs, u, gone).collect()} == {(0, "definition"), (1, "logic")}
+
+
+def test_evaluation_by_kind_and_definition_gate(spark):
+    rows = [(1, 99, i, "definition", ["a"], True) for i in range(11)] + [(1, 99, 40, "logic", ["a", "b"], True), (1, 99, 41, "logic", ["b"], True), (1, 98, 41, "logic", ["b"], False)]
+    df = spark.createDataFrame(rows, "doc_id int, dependent int, support int, kind string, channels array<string>, selected boolean")
+    gold = [(1, 99, 0, "definition", False), (1, 99, 41, "logic", False), (1, 99, 40, "logic", False), (1, 99, 50, "logic", True)]
+    g = spark.createDataFrame(gold, "doc_id int, dependent int, support int, kind string, explicit boolean")
+    r = V.accepted(V.evaluation_by_kind(df, g)).first()
+    assert (r.n_gold, r.recall, r.n_definition, r.recall_definition, r.n_logic, r.n_far, r.far_recall) == (3, 1.0, 1, 1.0, 2, 2, 1.0)
+    assert (r.n_selected, r.most, r.most_definitions, r.accepted) == (13, 13, 11, False)
+    assert r.channel_counts == {"a": 12, "b": 3} and r.exclusive_hits == {"a": 1, "b": 1}
+    assert V.accepted(V.evaluation_by_kind(df.where("support > 0"), g.where("support > 0"))).first().accepted
+    t = V.retrieval_report(df).first()
+    assert (t.pre_rerank, t.logic, t.definition, t.selected, t.selected_logic, t.selected_definition, t.n_dependents) == (14, 3, 11, 13, 2, 11, 2)
+    assert t.distance_buckets == {"1-5": 0, "6-30": 0, ">30": 14} and t.channel_counts == {"a": 12, "b": 3}
+    assert {(r.dependent, r.pre_rerank, r.selected) for r in V.dependent_counts(df).collect()} == {(99, 13, 13), (98, 1, 0)}
