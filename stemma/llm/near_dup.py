@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import BASES, NOT_SPACE, lowered, mix, range_hashes, slices, texts_of, words_of
-from .common import only, release, text_batches, written
+from .common import only, ranked, release, text_batches, written
 from .files import table
 from .graph import components
 
@@ -275,10 +275,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     known = docs.where(F.col("doc_id").isNotNull())
     idf = spark.sparkContext.broadcast(idf_table(docs))
     signed = written(known.mapInArrow(_sign(idf, size, bands, rows), "doc_id long, text_hash long, d0 long, d1 long, n_words long, keys array<long>, sig binary"), "signed")
-    alike = written(signed.where("n_words > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "alike")
-    merged = _classes(known, signed, alike, idf, threshold, size, bands * rows, doubt).withColumnRenamed("id", "rep")
+    alike = signed.where("n_words > 0").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    # a number per distinct text, in order of its least doc_id: a class's least number is that of its least doc_id
+    alike = written(ranked(alike.select("d0", "d1", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash")), [F.col("rep"), F.col("d0"), F.col("d1")], "id"), "alike")
+    merged = _classes(known, signed, alike, idf, threshold, size, bands * rows, doubt)
     release(spark)
-    named = alike.join(merged, "rep", "left").select("d0", "d1", F.coalesce("class_id", "rep").alias("class_id"))
+    first = merged.join(alike.select(F.col("id").alias("class_id"), F.col("rep").alias("first")), "class_id").select("id", "first")
+    named = alike.join(first, "id", "left").select("d0", "d1", F.coalesce("first", "rep").alias("class_id"))
     classed = signed.select("doc_id", "text_hash", "d0", "d1").join(named, ["d0", "d1"], "left")
     classed = classed.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"))
     unknown = docs.where(F.col("doc_id").isNull()).select("doc_id", "text_hash", F.lit(None).cast("long").alias("class_id"))
@@ -290,9 +293,9 @@ BLOCK = 256
 
 
 def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold: float, size: int, k: int, doubt: float) -> DataFrame:
-    """(id, class_id) of the representatives of texts alike that have a verified link."""
+    """(id, class_id) of the numbers of distinct texts that have a verified link; alike(id, d0, d1, rep, rep_hash)."""
     spark = known.sparkSession
-    one = signed.where("n_words > 0").join(alike.withColumnRenamed("rep", "doc_id"), ["d0", "d1", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "sig")
+    one = signed.where("n_words > 0").join(alike.toDF("d0", "d1", "doc_id", "text_hash", "id"), ["d0", "d1", "doc_id", "text_hash"]).select("id", "keys", "sig")
     keys = one.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "n")
     groups = written(keys.join(shared, "key"), "groups")
@@ -302,7 +305,8 @@ def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, thresho
     groups = written(groups.select("key", "id").join(centres, "key"), "centred")
     who = written(groups.select("id").distinct(), "members")
     sigs = written(one.select("id", "sig", "keys").join(who, "id"), "sigs")
-    texts = written(known.select(F.col("doc_id").alias("id"), "text").join(who, "id"), "texts")
+    rep = alike.select("id", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")).join(who, "id")
+    texts = written(known.join(rep, ["doc_id", "text_hash"]).select("id", "text"), "texts")
     release(spark)
 
     a, b = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")

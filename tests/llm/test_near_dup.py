@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stemma.llm.graph import components
 from stemma.llm.near_dup import _words, idf_table, near_duplicates, samples
@@ -71,6 +72,24 @@ def test_wordless_null_and_repeated_rows(spark):
     assert by == {(1, 1, True), (2, 2, True), (3, 3, True), (None, None, True), (4, 4, True), (5, 4, False), (6, 4, False)}
 
 
+def test_one_doc_id_with_two_texts(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(rng.choices([f"{c}{i}" for i in range(300)], k=80)) for c in "xyz")
+    near = " ".join(["changed", *one.split()[1:]])
+    rows = [(3, near), (9, one), (9, two), (12, two), (9, three), (7, "alone " + three), (8, two + " z1 z2")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    by = {(r.doc_id, r.text): (r.class_id, r.kept) for r in got.join(text, ["doc_id", "text_hash"]).collect()}
+    assert len(by) == len(rows)
+    assert by[3, near] == (3, True) and by[9, one] == (3, False)
+    assert by[8, two + " z1 z2"] == (8, True) and by[9, two] == by[12, two] == (8, False)
+    assert by[7, "alone " + three] == (7, True) and by[9, three] == (7, False)
+    rows = [(3, near), (9, one), (9, two), (12, two)]
+    text = {r.text_hash: r.text for r in text.collect()}
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, text[r.text_hash]): (r.class_id, r.kept) for r in got} == {(3, near): (3, True), (9, one): (3, False), (9, two): (9, True), (12, two): (9, False)}
+
+
 def test_large_group_in_small_blocks(spark, monkeypatch):
     import stemma.llm.near_dup as module
 
