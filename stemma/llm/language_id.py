@@ -123,7 +123,8 @@ def identified(pages: DataFrame, docs: DataFrame, temper: float = 0.05, strength
 
     A null or empty html has flat text evidence; a missing declaration, and a url without a host, give none. lang is
     null only where docs has no labelled text at all. Ties go to the language first in order. Repeated rows are each
-    judged and each count; an empty table gives an empty table; other columns are ignored.
+    judged and each count; an empty table gives an empty table; other columns are ignored. More than MOST_LANGUAGES
+    distinct languages in docs raise ValueError: there is no result then.
     """
     spark = pages.sparkSession
     text_batches(spark)
