@@ -13,31 +13,66 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is used below
 
-SEGMENT = 1 << 18
-#: Odd multipliers of two independent polynomial fingerprints modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+SEGMENT = 1 << 16
+#: Multipliers of the quick fingerprints of short windows, modulo 2**64, by `which`.
+QUICK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Which of two independent fingerprints.
+BASES = (0, 1)
+#: A range's fingerprint is the polynomial of its bytes modulo PRIME at two multipliers, 62 bits together. Modulo a power
+#: of two, strings of a simple pattern, from 1,024 bytes on, would collide under every multiplier.
+PRIME, MULTIPLIERS = (1 << 31) - 1, ((1103515245, 1299709571), (1664525893, 1812433253))
 _U = np.uint64
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    with np.errstate(over="ignore"):
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(n, b, _U)
-            x[0] = 1
-            out.append(np.cumprod(x))
-    return out[0], out[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(pow(base, len(out), PRIME)) % _U(PRIME)])
+    return out[:n]
 
 
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cached tables of at least n powers."""
-    if base not in _TABLES or len(_TABLES[base][0]) < n:
-        _TABLES[base] = _powers(base, n)
-    return _TABLES[base]
+    """At least n powers of a multiplier and of its inverse; tables of up to 8 segments are kept."""
+    if base in _TABLES and len(_TABLES[base][0]) >= n:
+        return _TABLES[base]
+    n = max(n, 2 * SEGMENT)
+    made = _powers(base, n), _powers(pow(base, -1, PRIME), n)
+    if n <= 8 * SEGMENT:
+        _TABLES[base] = made
+    return made
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x, under 2**62, to an equal value modulo PRIME under 2**32, in place."""
+    high = x >> _U(31)
+    x &= _U(PRIME)
+    x += high
+    return x
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME, the least such value; x is used up. x under 2**62, y under 2**31."""
+    x = _fold(x)
+    x *= y
+    x = _fold(_fold(x))
+    return np.minimum(x, x - _U(PRIME), out=x)  # below PRIME the difference wraps around and is the larger
+
+
+def _sums(buf: np.ndarray, pw: np.ndarray) -> np.ndarray:
+    """Prefix sums, from 0, of the bytes' terms: under 2**62 also for long stretches."""
+    out = np.zeros(len(buf) + 1, _U)
+    terms = out[1:]
+    terms[:] = buf
+    terms += _U(1)
+    terms *= pw[: len(buf)]
+    if len(buf) > 1 << 22:
+        _fold(terms)
+    np.cumsum(terms, out=terms)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,13 +85,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_hashes(buf: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
-    """The fingerprint of each k-byte window of buf."""
+@lru_cache
+def _quick_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(n, b, _U)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def window_hashes(buf: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """The quick fingerprint of each k-byte window of buf; k is at most 512."""
+    if k > 512:
+        raise ValueError("windows are of 512 bytes at most")
     n = len(buf) - k + 1
-    if n <= 0:
-        return np.empty(0, _U)
-    pw, inv = powers(base, SEGMENT + k)
-    out = np.empty(n, _U)
+    out = np.empty(max(0, n), _U)
+    pw, inv = _quick_powers(QUICK[which], SEGMENT + k)
     for lo in range(0, n, SEGMENT):
         m = min(SEGMENT, n - lo)
         p = np.zeros(m + k, _U)
@@ -67,24 +113,21 @@ def window_hashes(buf: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
     return out
 
 
-def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """The fingerprint of each range [start, end) of buf, start ascending; ranges of any length up to SEGMENT."""
-    out = np.empty(len(start), _U)
-    if not len(start):
-        return out
-    pw, inv = powers(base, 2 * SEGMENT)
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """The fingerprint of each range [start, end) of buf, start ascending; ranges of any length."""
+    out = np.zeros(len(start), _U)
     lo = 0
     while lo < len(start):
         at = int(start[lo])
-        hi = int(np.searchsorted(start, at + SEGMENT))
-        hi = max(hi, lo + 1)
+        hi = max(int(np.searchsorted(start, at + SEGMENT)), lo + 1)
         far = int(end[lo:hi].max())
-        if far - at > 2 * SEGMENT:
-            pw, inv = powers(base, far - at + 1)
-        p = np.zeros(far - at + 1, _U)
-        np.cumsum((buf[at:far].astype(_U) + _U(1)) * pw[: far - at], out=p[1:])
         s, e = start[lo:hi] - at, end[lo:hi] - at
-        out[lo:hi] = (p[e] - p[s]) * inv[s] + (e - s).astype(_U) * _U(0x9FB21C651E98DF25)
+        part = out[lo:hi]
+        for b in MULTIPLIERS[which]:
+            pw, inv = powers(b, far - at + 1)
+            p = _sums(buf[at:far], pw)
+            part <<= _U(32)
+            part |= _times(p[e] - p[s], inv[s])
         lo = hi
     return mix(out)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new, unique folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where that setting is missing (tests, a single machine) a temporary folder takes its place.
+    Where that setting is missing, a temporary folder takes its place if the session runs on this machine alone (tests);
+    on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='stemma-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -57,6 +61,30 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.join(bases, "_file").withColumn(name, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
 
 
+#: A key is hot with more than one part in PARTS of all rows, and with more than LIGHT rows.
+PARTS, LIGHT = 1000, 1000
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """counts(key, n), one row per key -> (key, _salts) of the hot keys, written: under PARTS rows, whatever the table."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(total / PARTS, LIGHT)
+    hot = written(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_salts")), "hot")
+    return F.broadcast(hot)
+
+
+def heavy_join(rows: DataFrame, other: DataFrame, key: str, by: str, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with other on the column key (inner or left; a null key meets none), where one key may hold any share of rows.
+
+    A hot key's rows are dealt over several tasks by the hash of column `by`, and other's rows of that key are copied to
+    each. hot: hot_keys of rows, counted here where not given.
+    """
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key) if hot is None else hot
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copied = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copied, [key, "_salt"], how).drop("_salt")
+
+
 #: Rows of text in one Arrow batch: some 4 MB of usual documents, in the JVM's and in the worker's memory.
 TEXT_ROWS = 1200
 

@@ -8,8 +8,8 @@ of the whole text. Two layouts are known; for any other the whole text is encode
   them together: such a text is encoded whole.
 - drop: a normalizer that folds white space and a pre-tokenizer that drops it. Pieces lie between spaces and newlines.
 
-The pieces of many texts are found and grouped by array operations; only distinct ones are looked up and, where new,
-encoded. A comma or full stop behind a letter is a pre-token of its own in both layouts, so "word," takes the ids of
+The pieces of many texts are found by array operations and grouped by their bytes; only distinct ones are looked up
+and, where new, encoded. A comma or full stop behind a letter is a pre-token of its own in both layouts, so "word," takes the ids of
 "word".
 """
 
@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .bytescan import BASES, lowered, range_hashes, texts_of
+from .bytescan import lowered, texts_of
 
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 _CUT = np.isin(np.arange(256), [32, 10])
@@ -66,7 +66,9 @@ class Encoder:
         self.lowers = self.layout == "drop" and any(x["type"] == "Lowercase" for x in spec["normalizer"]["normalizers"])
         self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.between = next((t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]), None)
-        self.words: dict[bytes, bytes] = {}
+        #: what stands between the pieces has no ids in the layout that drops it
+        self.blank = {b" ": b"", b"\n": b""} if self.layout == "drop" else {}
+        self.words: dict[bytes, bytes] = dict(self.blank)
         self.marks = dict(zip((b",", b"."), self._each([",", "."]), strict=True)) if self.layout != "whole" else {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
@@ -90,20 +92,15 @@ class Encoder:
                 at = end + size
         return out
 
-    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each piece of the texts, empty ones left out."""
+    def _bounds(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start, in order, and the end; in layout drop a separator is a piece of its own."""
         cut = _CUT[buf]
         begins = np.zeros(len(buf) + 1, bool)
         begins[:-1] = cut
         begins[off] = True
         if self.layout == "drop":
             begins[1:] |= cut
-        bounds = np.flatnonzero(begins)
-        start, end = bounds[:-1], bounds[1:]
-        if self.layout == "drop":
-            ok = ~cut[start]
-            start, end = start[ok], end[ok]
-        return start, end
+        return np.flatnonzero(begins)
 
     def _whole(self, buf: np.ndarray, off: np.ndarray) -> list[int]:
         """The texts that pieces can't serve. Two white-space characters side by side, and any but space and newline,
@@ -147,17 +144,18 @@ class Encoder:
         if self.layout == "whole":
             return self._each([t or "" for t in texts.to_pylist()])
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words = dict(self.blank)
         buf, off = texts_of(texts)
         if not len(buf):
             return [b""] * len(texts)
         if self.lowers:
             low = lowered(buf)
             buf = buf if any(t in low.tobytes() for t in self.specials) else low
-        start, end = self._pieces(buf, off)
-        _, at, which = np.unique(range_hashes(buf, start, end, BASES[0]), return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        keys = [data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        bounds = self._bounds(buf, off)
+        # a dictionary of the pieces themselves: two pieces are one only where their bytes are
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(buf)])
+        coded = pieces.dictionary_encode()
+        start, which, keys = bounds[:-1], coded.indices.to_numpy(), coded.dictionary.to_pylist()
         got = list(map(self.words.get, keys))
         new = [w for w, ids in zip(keys, got, strict=True) if ids is None]
         if new:
@@ -171,7 +169,7 @@ class Encoder:
         ids = flat[np.repeat(first[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
         bound = np.r_[0, upto][np.searchsorted(start, off)] * self.dtype.itemsize
         out = [ids[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
-        whole = self._whole(buf, off)
+        data, whole = buf.tobytes(), self._whole(buf, off)
         for d, x in zip(whole, self._each([data[off[d] : off[d + 1]].decode() for d in whole]), strict=True):
             out[d] = x
         return out

@@ -26,6 +26,15 @@ def test_cuts_equal_whole_texts(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENC[name].batch(ODD)] == [whole(name, t) for t in ODD]
 
 
+def test_words_that_collide_under_polynomial_hashes(spark):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    texts = [bits, bits.translate({97: "b", 98: "a"}), f"x {bits[:1024]} y", f"x {bits[1024:2048]} y"]
+    for name in NAMES:
+        assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(P.path(name)).batch(texts)] == [whole(name, t) for t in texts]
+    files = write_token_files(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), NAMES[0], 2)
+    assert [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in read_token_files(spark, files).orderBy("start").collect()] == [whole(NAMES[0], t) for t in texts]
+
+
 @given(st.text(alphabet=" \n\t\r 　abAB'sé1.,!́<|>", max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_cuts_equal_whole_random_texts(text):
