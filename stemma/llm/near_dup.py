@@ -11,9 +11,10 @@ groups of near copies would fall apart.)
    texts share it with a probability of their weighted Jaccard similarity. `bands` groups of `rows` samples are keys.
 3. Texts that share a key are candidates. First each member of a key's group is compared with the group's centre, the
    member that shares its keys with most others: for copies of one text that is the text itself. What is found similar
-   merges, so a large group of copies costs its size. Members still apart are then compared pair by pair, in blocks
-   of at most 2 * BLOCK members by task, so no group is too large for one and no open pair is left out.
-4. A pair is judged first by the share of equal samples (under `doubt`, four standard deviations below the threshold,
+   merges, so a large group of copies costs its size. Members still apart are then compared pair by pair by their keys
+   and samples alone, in blocks of at most 2 * BLOCK members by task, so no group is too large for one and no open pair
+   is left out. Texts are joined only to the pairs that this leaves.
+4. A pair is judged first by the share of equal samples (under `doubt`, five standard deviations below the threshold,
    it's rejected), then by the weighted Jaccard similarity of the whole texts.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import BASES, NOT_SPACE, lowered, mix, range_hashes, slices, texts_of, words_of
-from .common import only, ranked, release, text_batches, written
+from .common import heavy_join, hot_keys, only, ranked, release, text_batches, written
 from .files import table
 from .graph import components
 
@@ -210,64 +211,60 @@ def _similarity(idf, size: int):
     return run
 
 
-def _open_pairs(idf, size: int, k: int, doubt: float, threshold: float):
-    """Arrow function over (key, i, j, block, id, class_id, keys, sig, text), sorted by key, i, j -> links (x, y).
+def _open_pairs(k: int, doubt: float):
+    """Arrow function over (key, i, j, block, id, class_id, keys, sig), sorted by key, i, j -> likely pairs (x, y).
 
     A group (key, i, j) holds the members of blocks i and j of a key: pairs within i = j, else between i and j. A pair
     is judged where its members are of unlike class and the key is the first that they share, so once only.
     """
 
-    def judged(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+    def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
         key, i, j, block, ids, cls = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(6))
         keys = rows.column(6).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
         sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u2").reshape(-1, k)
-        parsed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def of(at: int) -> tuple[np.ndarray, np.ndarray]:
-            if at not in parsed:
-                parsed[at] = shingles(*texts_of(rows.column(8).slice(at, 1)), idf.value, size)[1:]
-            return parsed[at]
-
-        out = []
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        out = [np.empty((2, 0), np.int64)]
         for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-            parsed.clear()
             for a in range(lo, hi - 1):
                 b = np.arange(a + 1, hi)
                 b = b[(cls[b] != cls[a]) & ((block[b] != block[a]) if i[lo] != j[lo] else True)]
                 b = b[(sig[b] == sig[a]).mean(axis=1) >= doubt]
                 if len(b):
                     b = b[keys[b, (keys[b] == keys[a]).argmax(axis=1)] == key[lo]]
-                for c in b.tolist():
-                    if _jaccard(*of(a), *of(c)) >= threshold:
-                        out.append(sorted((int(ids[a]), int(ids[c]))))
-        return table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+                    out.append(np.sort(np.stack([np.full(len(b), ids[a]), ids[b]]), axis=0))
+        x, y = np.concatenate(out, axis=1)
+        return table({"x": pa.array(x), "y": pa.array(y)})
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []  # the batches since the last group's start
         for b in batches:
-            held = b if held is None else pa.concat_batches([held, b])
-            if not held.num_rows:
+            if not b.num_rows:
                 continue
-            cols = [held.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
-            if len(new) > 1:
-                yield judged(held.slice(0, new[-1]), new[:-1].tolist())
-                held = held.slice(new[-1])
-        if held is not None and held.num_rows:
-            yield judged(held, [0])
+            mark = [b.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            new = np.flatnonzero((mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]) | (mark[2][1:] != mark[2][:-1])) + 1
+            first = 0 if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != mark[c][0] for c in range(3)) else None
+            cuts = [first, *new] if first is not None else [*new]
+            if cuts:
+                whole = [*held, b.slice(0, cuts[-1])] if cuts[-1] else held
+                yield judged(pa.concat_batches(whole))
+                held = [b.slice(cuts[-1])]
+            else:
+                held.append(b)
+        if held:
+            yield judged(pa.concat_batches(held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, doubt: float = 0.6) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 21, rows: int = 3, doubt: float = 0.55) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, class_id, kept: one row per row of docs.
 
     class_id is the least doc_id of the class; kept marks the document that stays for it. Rows without a word (null,
     empty or blank texts) are alike to nothing: each is kept, with its own doc_id as class_id. Rows with a null doc_id
     are kept, with a null class_id, and join no class. Repeated rows are one document written twice and fare alike; a
     doc_id that comes with several texts has, in each row, the class of that row's text. An empty table gives an empty
-    table; other columns are ignored. At the threshold a link is missed with a probability of
-    (1 - threshold**rows)**bands by its keys and about as much by `doubt`: together 0.0004 by default.
+    table; other columns are ignored. A link at the threshold is missed with a probability of (1 - threshold**rows)**bands
+    by its keys and of about as much by `doubt`: together under 0.000001 by default.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -292,41 +289,55 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 BLOCK = 256
 
 
+def _beside(pairs: DataFrame, table_of: DataFrame, what: str) -> DataFrame:
+    """Written pairs(x, y) with column `what` of table_of(id, what) for both, as what_x and what_y. One id may be in any
+    share of the pairs."""
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), c) for c in "xy"}
+    for here, there in (("x", "y"), ("y", "x")):
+        pairs = heavy_join(pairs, table_of.select(F.col("id").alias(here), F.col(what).alias(f"{what}_{here}")), here, there, hot[here])
+    return pairs.select("x", "y", f"{what}_x", f"{what}_y")
+
+
 def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold: float, size: int, k: int, doubt: float) -> DataFrame:
     """(id, class_id) of the numbers of distinct texts that have a verified link; alike(id, d0, d1, rep, rep_hash)."""
     spark = known.sparkSession
     one = signed.where("n_words > 0").join(alike.toDF("d0", "d1", "doc_id", "text_hash", "id"), ["d0", "d1", "doc_id", "text_hash"]).select("id", "keys", "sig")
+    one = written(one.dropDuplicates(["id"]), "distinct")
     keys = one.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "n")
-    groups = written(keys.join(shared, "key"), "groups")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = hot_keys(shared, "key")
+    groups = written(heavy_join(keys, shared, "key", "id", hot), "groups")
     standing = groups.groupBy("id").agg(F.sum("n").alias("standing"))
-    groups = groups.join(standing, "id")
-    centres = groups.groupBy("key").agg(F.max_by("id", F.struct("standing", -F.col("id"))).alias("centre"))
-    groups = written(groups.select("key", "id").join(centres, "key"), "centred")
+    centres = groups.join(standing, "id").groupBy("key").agg(F.max_by("id", F.struct("standing", -F.col("id"))).alias("centre"))
+    groups = written(heavy_join(groups.select("key", "id"), centres, "key", "id", hot), "centred")
     who = written(groups.select("id").distinct(), "members")
-    sigs = written(one.select("id", "sig", "keys").join(who, "id"), "sigs")
+    sigs = written(one.join(who, "id"), "sigs")
     rep = alike.select("id", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")).join(who, "id")
-    texts = written(known.join(rep, ["doc_id", "text_hash"]).select("id", "text"), "texts")
+    texts = written(known.join(rep, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"), "texts")
     release(spark)
 
-    a, b = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
-    first = groups.where("id <> centre").select(F.least("centre", "id").alias("x"), F.greatest("centre", "id").alias("y")).distinct().join(a, "x").join(b, "y").select("x", "y", "sx", "sy")
-    likely = written(first.mapInArrow(_agree(k), "x long, y long, share double").where(F.col("share") >= doubt).select("x", "y"), "likely")
-    a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "xy")
-    sure = likely.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
-    links = written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
+    def verified(likely: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose whole texts are similar, written."""
+        sure = _beside(likely, texts, "text").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
+        return written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
+
+    first = written(groups.where("id <> centre").select(F.col("id").alias("x"), F.col("centre").alias("y")).distinct(), "first")
+    agreed = _beside(first, sigs, "sig").mapInArrow(_agree(k), "x long, y long, share double")
+    links = verified(written(agreed.where(F.col("share") >= doubt).select("x", "y"), "likely"))
     labels = components(links)
     release(spark)
-    now = groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
+    now = written(groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id")), "now")
     apart = now.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = now.join(apart, "key").withColumn("block", F.pmod(F.hash("id"), blocks))
+    dealt = heavy_join(now, apart, "key", "id", hot).withColumn("block", F.pmod(F.hash("id"), blocks))
     dealt = dealt.select("key", "id", "class_id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id").join(sigs, "id")
-    dealt = dealt.join(texts.dropDuplicates(["id"]), "id").select("key", "i", "j", "block", "id", "class_id", "keys", "sig", "text")
+    dealt = dealt.select("key", "i", "j", "block", "id", "class_id", "keys", "sig")
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(ordered.mapInArrow(_open_pairs(idf, size, k, doubt, threshold), "x long, y long"), "links")
-    return components(links.unionByName(more)) if more.limit(1).count() else labels
+    more = written(ordered.mapInArrow(_open_pairs(k, doubt), "x long, y long"), "open")
+    if not more.limit(1).count():
+        return labels
+    return components(links.unionByName(verified(more)))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
