@@ -11,9 +11,10 @@ groups of near copies would fall apart.)
    texts share it with a probability of their weighted Jaccard similarity. `bands` groups of `rows` samples are keys.
 3. Texts that share a key are candidates. First each member of a key's group is compared with the group's centre, the
    member that shares its keys with most others: for copies of one text that is the text itself. What is found similar
-   merges, so a large group of copies costs its size. Members still apart are then compared pair by pair by their keys
-   and samples alone, in blocks of at most 2 * BLOCK members by task, so no group is too large for one and no open pair
-   is left out. Texts are joined only to the pairs that this leaves.
+   merges, so a large group of copies costs its size. Members of a key outside its largest class are then compared with
+   all the others, in blocks: a task holds two blocks of at most BLOCK members or BLOCK_WORDS words on average, so no
+   group is too large for one, no open pair is left out, and no pair is a row. Blocks are first judged by keys and samples
+   alone; only members that may have a link bring their texts to a second round.
 4. A pair is judged first by the share of equal samples (under `doubt`, five standard deviations below the threshold,
    it's rejected), then by the weighted Jaccard similarity of the whole texts.
 """
@@ -199,41 +200,60 @@ def _similarity(idf, size: int):
 
     def run(batches):
         for b in batches:
-            for part in slices(b, 2, 1 << 20):
-                sides = []
-                for i in (2, 3):
-                    doc, h, w = shingles(*texts_of(part.column(i)), idf.value, size)
-                    at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                    sides.append([(h[lo:hi], w[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)])
-                out = [_jaccard(*x, *y) for x, y in zip(*sides, strict=True)]
+            for part in slices(b, 2, 1 << 21):
+                # each distinct text of the slice is parsed once, however many pairs it is in
+                texts = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
+                doc, h, w = shingles(*texts_of(texts.dictionary), idf.value, size)
+                at = np.searchsorted(doc, np.arange(len(texts.dictionary) + 1))
+                x, y = texts.indices.to_numpy().reshape(2, -1)
+                out = [_jaccard(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]], h[at[j] : at[j + 1]], w[at[j] : at[j + 1]]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
                 yield table({"x": part.column(0), "y": part.column(1), "similarity": pa.array(out, pa.float64())})
 
     return run
 
 
-def _open_pairs(k: int, doubt: float):
-    """Arrow function over (key, i, j, block, id, class_id, keys, sig), sorted by key, i, j -> likely pairs (x, y).
+def _open_groups(k: int, doubt: float, texts: tuple | None = None):
+    """Arrow function over (key, i, j, side, id, class_id, keys, sig[, text]), sorted by key, i, j. Without texts -> the
+    members (key, i, j, id) that have a likely pair; with texts = (idf, size, threshold) -> links (x, y).
 
-    A group (key, i, j) holds the members of blocks i and j of a key: pairs within i = j, else between i and j. A pair
-    is judged where its members are of unlike class and the key is the first that they share, so once only.
+    Compared are members of side 0 with those of side 1, or of side 0 with each other in a group that has no side 1, where
+    their classes are unlike and the key is the first that they share, so that a pair is judged once. Links join classes
+    as they are found: a pair that others have joined needs no link.
     """
 
     def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
-        key, i, j, block, ids, cls = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+        key, i, j, side, ids = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        cls = rows.column(5).to_numpy(zero_copy_only=False).copy()
         keys = rows.column(6).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
         sig = np.frombuffer(b"".join(rows.column(7).to_pylist()), "<u2").reshape(-1, k)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        out = [np.empty((2, 0), np.int64)]
+        parsed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(at: int) -> tuple[np.ndarray, np.ndarray]:
+            if at not in parsed:
+                parsed[at] = shingles(*texts_of(rows.column(8).slice(at, 1)), texts[0].value, texts[1])[1:]
+            return parsed[at]
+
+        needed, links = np.zeros(rows.num_rows, bool), []
         for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-            for a in range(lo, hi - 1):
-                b = np.arange(a + 1, hi)
-                b = b[(cls[b] != cls[a]) & ((block[b] != block[a]) if i[lo] != j[lo] else True)]
+            parsed.clear()
+            left, right = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+            for n, a in enumerate(left.tolist()):
+                b = right if len(right) else left[n + 1 :]
+                b = b[cls[b] != cls[a]]
                 b = b[(sig[b] == sig[a]).mean(axis=1) >= doubt]
-                if len(b):
-                    b = b[keys[b, (keys[b] == keys[a]).argmax(axis=1)] == key[lo]]
-                    out.append(np.sort(np.stack([np.full(len(b), ids[a]), ids[b]]), axis=0))
-        x, y = np.concatenate(out, axis=1)
-        return table({"x": pa.array(x), "y": pa.array(y)})
+                b = b[keys[b, (keys[b] == keys[a]).argmax(axis=1)] == key[lo]] if len(b) else b
+                if not texts:
+                    needed[b] = True
+                    needed[a] |= len(b) > 0
+                    continue
+                for c in b.tolist():
+                    if cls[a] != cls[c] and _jaccard(*of(a), *of(c)) >= texts[2]:
+                        links.append((int(ids[a]), int(ids[c])))
+                        cls[cls == cls[c]] = cls[a]
+        if texts:
+            return table({"x": pa.array([x for x, _ in links], pa.int64()), "y": pa.array([y for _, y in links], pa.int64())})
+        return table({"key": pa.array(key[needed]), "i": pa.array(i[needed]), "j": pa.array(j[needed]), "id": pa.array(ids[needed])})
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # the batches since the last group's start
@@ -241,15 +261,16 @@ def _open_pairs(k: int, doubt: float):
             if not b.num_rows:
                 continue
             mark = [b.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            new = np.flatnonzero((mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]) | (mark[2][1:] != mark[2][:-1])) + 1
-            first = 0 if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != mark[c][0] for c in range(3)) else None
-            cuts = [first, *new] if first is not None else [*new]
-            if cuts:
-                whole = [*held, b.slice(0, cuts[-1])] if cuts[-1] else held
-                yield judged(pa.concat_batches(whole))
-                held = [b.slice(cuts[-1])]
-            else:
+            cuts = (np.flatnonzero((mark[0][1:] != mark[0][:-1]) | (mark[1][1:] != mark[1][:-1]) | (mark[2][1:] != mark[2][:-1])) + 1).tolist()
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != mark[c][0] for c in range(3)):
+                cuts = [0, *cuts]
+            if not cuts:
                 held.append(b)
+                continue
+            whole = [*held, b.slice(0, cuts[-1])]
+            if sum(x.num_rows for x in whole):
+                yield judged(pa.concat_batches(whole))
+            held = [b.slice(cuts[-1])]
         if held:
             yield judged(pa.concat_batches(held))
 
@@ -285,8 +306,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     return classed.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-#: Members of a key's group in one block.
-BLOCK = 256
+#: Members of a key's group in one block, and their words together, on average.
+BLOCK, BLOCK_WORDS = 256, 500_000
 
 
 def _beside(pairs: DataFrame, table_of: DataFrame, what: str) -> DataFrame:
@@ -301,7 +322,7 @@ def _beside(pairs: DataFrame, table_of: DataFrame, what: str) -> DataFrame:
 def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, threshold: float, size: int, k: int, doubt: float) -> DataFrame:
     """(id, class_id) of the numbers of distinct texts that have a verified link; alike(id, d0, d1, rep, rep_hash)."""
     spark = known.sparkSession
-    one = signed.where("n_words > 0").join(alike.toDF("d0", "d1", "doc_id", "text_hash", "id"), ["d0", "d1", "doc_id", "text_hash"]).select("id", "keys", "sig")
+    one = signed.where("n_words > 0").join(alike.toDF("d0", "d1", "doc_id", "text_hash", "id"), ["d0", "d1", "doc_id", "text_hash"]).select("id", "n_words", "keys", "sig")
     one = written(one.dropDuplicates(["id"]), "distinct")
     keys = one.select("id", F.explode("keys").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -316,28 +337,37 @@ def _classes(known: DataFrame, signed: DataFrame, alike: DataFrame, idf, thresho
     texts = written(known.join(rep, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text"), "texts")
     release(spark)
 
-    def verified(likely: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose whole texts are similar, written."""
-        sure = _beside(likely, texts, "text").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
-        return written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
-
     first = written(groups.where("id <> centre").select(F.col("id").alias("x"), F.col("centre").alias("y")).distinct(), "first")
     agreed = _beside(first, sigs, "sig").mapInArrow(_agree(k), "x long, y long, share double")
-    links = verified(written(agreed.where(F.col("share") >= doubt).select("x", "y"), "likely"))
+    likely = written(agreed.where(F.col("share") >= doubt).select("x", "y"), "likely")
+    sure = _beside(likely, texts, "text").mapInArrow(_similarity(idf, size), "x long, y long, similarity double")
+    links = written(sure.where(F.col("similarity") >= threshold).select("x", "y"), "links")
     labels = components(links)
     release(spark)
-    now = written(groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id")), "now")
-    apart = now.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = heavy_join(now, apart, "key", "id", hot).withColumn("block", F.pmod(F.hash("id"), blocks))
-    dealt = dealt.select("key", "id", "class_id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "class_id").join(sigs, "id")
-    dealt = dealt.select("key", "i", "j", "block", "id", "class_id", "keys", "sig")
-    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(ordered.mapInArrow(_open_pairs(k, doubt), "x long, y long"), "open")
-    if not more.limit(1).count():
+    sizes = sigs.select("id", "n_words")
+    now = groups.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id")).join(sizes, "id")
+    now = written(now, "now")
+    per = now.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    per = per.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.max(F.struct("n", "class_id", "words")).alias("m"), F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("k"))
+    blocks = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+    apart = per.where("k > 1").select("key", "main", blocks(F.col("m.n"), F.col("m.words")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("words") - F.col("m.words")).alias("opens"))
+    dealt = heavy_join(now, apart, "key", "id", hot).withColumn("is_open", F.col("class_id") != F.col("main"))
+    own = F.pmod(F.hash("id"), F.when(F.col("is_open"), F.col("opens")).otherwise(F.col("mains")))
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    # groups: open block i with main block j; open block i with open block -1 - j
+    each = lambda n, body: F.transform(F.sequence(F.lit(0), n - 1), body)
+    with_open = each(F.col("opens"), lambda o: F.when(F.col("own") <= o, place(F.col("own"), -1 - o, 0)).otherwise(place(o, -1 - F.col("own"), 1)))
+    places = F.when(F.col("is_open"), F.concat(each(F.col("mains"), lambda m: place(F.col("own"), m, 0)), with_open)).otherwise(each(F.col("opens"), lambda o: place(o, F.col("own"), 1)))
+    dealt = dealt.withColumn("own", own).select("key", "id", "class_id", F.explode(places).alias("p")).select("key", "p.*", "id", "class_id")
+    dealt = written(dealt, "dealt")
+    full = dealt.join(sigs.select("id", "keys", "sig"), "id").select("key", "i", "j", "side", "id", "class_id", "keys", "sig")
+    needed = written(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open_groups(k, doubt), "key long, i int, j int, id long"), "needed")
+    if not needed.limit(1).count():
         return labels
-    return components(links.unionByName(verified(more)))
+    full = dealt.join(needed, ["key", "i", "j", "id"]).join(sigs.select("id", "keys", "sig"), "id")
+    full = heavy_join(full, texts, "id", "key").select("key", "i", "j", "side", "id", "class_id", "keys", "sig", "text")
+    more = written(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_open_groups(k, doubt, (idf, size, threshold)), "x long, y long"), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else labels
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
