@@ -1,14 +1,15 @@
 """Quality rules: base limits, and robust multivariate outliers by language and source. DataFrame operations only.
 
-Each text gives a vector of transformed statistics (columns X below). For each (language, source) the location and
-scatter of its clean core are estimated by minimum covariance determinant: from a start by median and spread, keep
-the share CORE of rows that lie nearest by Mahalanobis distance, estimate from them, and repeat (concentration
-steps, which never raise the determinant). A row is rejected when its distance, scaled so that the median row of
-its group is as far as a normal one, passes the chi-square limit. Groups of under `least` rows use their
-language's estimate, languages of under `least` rows that of all rows.
-
-Distances are compared on a fixed grid of their logarithm, so a quantile is a count per grid cell: sums that combine
-before the shuffle, however many rows one source has.
+Each text gives a vector of transformed statistics (columns X below). For each (language, source), each language and
+all rows, the location and scatter of the clean core are estimated by minimum covariance determinant: from several
+starts (median and spread of each part; mean and covariance of all rows; the same of rows drawn in to the middle), keep
+the share CORE of rows that lie nearest by Mahalanobis distance, estimate from them, and repeat until the determinant
+no longer falls; the start that ends with the least determinant gives the estimate. A row is rejected when its
+distance, scaled so that the median row of its group is as far as a normal one, passes the chi-square limit. Groups of
+under `least` rows use their language's estimate, languages of under `least` rows that of all rows.
+
+Distances are compared on a fixed grid of their logarithm, so a step is one grouped sum by (group, start, cell) that
+combines before the shuffle: no row is dealt out by its group, however many rows one source has.
 """
 
 from __future__ import annotations
@@ -18,16 +19,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import heavy_join, only, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: The vector's parts, each with the least standard deviation that an estimate may have: most clean texts have no
 #: symbol and no repeated line at all, and a scatter of 0 would reject the first that has.
-X = {"x_words": 0.5, "x_length": 0.25, "x_symbols": 0.3, "x_lines": 0.15, "x_repeats": 0.15}
+#: The limit is six times that, so each part can reject by itself: x_lines from a share of 0.53 repeated lines,
+#: x_repeats of 0.44 repeated words, the base limit being 0.5.
+X = {"x_words": 0.5, "x_length": 0.25, "x_symbols": 0.3, "x_lines": 0.12, "x_repeats": 0.11}
 CORE = 0.75
-#: Cells of the grid per unit of ln(distance).
-GRID = 32
+#: Cells of the grid per unit of ln(squared distance), and per unit of a part of X for the first start.
+GRID, PART_GRID = 16, 64
+#: A start has ended when the logarithm of its determinant falls by less.
+SETTLED = 1e-6
+#: Estimates, of some 300 bytes each, that are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -116,34 +123,45 @@ def chi_square_limit(tail: float, dims: int) -> float:
     return (lo + hi) / 2
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """Each row under its three groups: (language, source), language, all. Group names are never null."""
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with their three groups: g0 (language, source), g1 language, g2 all. Group names are never null."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("lang", "source"))
-    named = rows.select("*", F.array(F.to_json(F.array(lang, source)), F.to_json(F.array(lang)), F.lit("[]")).alias("groups"))
-    return named
+    return rows.withColumns({"g0": F.to_json(F.array(lang, source)), "g1": F.to_json(F.array(lang)), "g2": F.lit("[]")})
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Count, means and covariances of each group of rows(group, X...), with the floors of X on the diagonal."""
+def _with_group(rows: DataFrame, groups: DataFrame, n: int, key: str, how: str) -> DataFrame:
+    """rows joined with one of n groups by key: broadcast where there are few, hot groups dealt out where not."""
+    return rows.join(F.broadcast(groups), key, how) if n <= BROADCAST_GROUPS else heavy_join(rows, groups, key, "doc_id", how=how)
+
+
+def _lower() -> list[tuple[str, str]]:
     names = list(X)
-    aggs = [F.count("*").alias("n")] + [F.avg(a).alias(f"m_{a}") for a in names]
-    aggs += [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    out = rows.groupBy("group").agg(*aggs)
-    return _cholesky(out.withColumns({f"c_{a}_{a}": F.greatest(F.col(f"c_{a}_{a}"), F.lit(X[a] ** 2)) for a in names}))
+    return [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+
+
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of X."""
+    return [F.count("*").alias("n"), *[F.sum(a).alias(f"s_{a}") for a in X], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in _lower()]]
 
 
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """group, n, m_* and the lower triangle l_* of the covariance's Cholesky factor."""
+def _estimates(sums: DataFrame) -> DataFrame:
+    """sums(group, start, n, s_*, p_*) -> group, start, m_* (means), l_* (the lower triangle of the covariance's Cholesky
+    factor, the floors of X on its diagonal) and log_det."""
+    out = sums.withColumns({f"m_{a}": F.col(f"s_{a}") / F.col("n") for a in X})
+    cov = {(a, b): F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"m_{a}") * F.col(f"m_{b}") for a, b in _lower()}
     names = list(X)
-    for i, a in enumerate(names):
-        for j, b in enumerate(names[: i + 1]):
-            s = F.col(f"c_{a}_{b}")
-            for c in names[:j]:
-                s = s - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
-            # floors can leave the matrix just short of positive: keep a part of the floor on the diagonal
-            s = F.sqrt(F.greatest(s, F.lit((X[a] / 4) ** 2))) if a == b else s / F.col(f"l_{b}_{b}")
-            groups = groups.withColumn(f"l_{a}_{b}", s)
-    return groups.select("group", "n", *[f"m_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+    for a, b in _lower():
+        s = F.greatest(cov[a, a], F.lit(X[a] ** 2)) if a == b else cov[a, b]
+        for c in names[: names.index(b)]:
+            s = s - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
+        # floors can leave the matrix just short of positive: keep a part of the floor on the diagonal
+        s = F.sqrt(F.greatest(s, F.lit((X[a] / 4) ** 2))) if a == b else s / F.col(f"l_{b}_{b}")
+        out = out.withColumn(f"l_{a}_{b}", s)
+    return _state(out.withColumn("log_det", sum((F.log(f"l_{a}_{a}") for a in names), F.lit(0.0)) * 2))
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    return rows.select("group", "start", *[f"m_{a}" for a in X], *[f"l_{a}_{b}" for a, b in _lower()], "log_det")
 
 
 def _distance() -> Column:
@@ -164,42 +182,56 @@ def _cell(d2: Column) -> Column:
     return F.floor(F.log(d2 + 1e-9) * GRID).cast("int")
 
 
-def _quantile_cells(cells: DataFrame, share: float, name: str) -> DataFrame:
-    """group -> the least grid cell up to which lies the share of its rows. cells(group, cell)."""
-    counts = cells.groupBy("group", "cell").agg(F.count("*").alias("k"))
-    up = Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    some = counts.select("group", "cell", F.sum("k").over(up).alias("upto"), F.sum("k").over(total).alias("of"))
-    return some.where(F.col("upto") >= share * F.col("of")).groupBy("group").agg(F.min("cell").alias(name))
-
-
-def core_estimates(rows: DataFrame, steps: int) -> DataFrame:
-    """rows(groups, X...) -> per group n, m_*, l_* of its clean core and scale, the median distance over a normal one's."""
-    each = rows.select(F.explode("groups").alias("group"), *X)
-    # start: the median and the half width of the middle half of each part, on a grid as well
-    grid = 64
-    start = None
-    for a in X:
-        cells = each.select("group", F.floor(F.col(a) * grid).cast("int").alias("cell"))
-        low, mid, high = (_quantile_cells(cells, q, n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3")))
-        part = low.join(mid, "group").join(high, "group").select("group", ((F.col("q2") + 0.5) / grid).alias(f"m_{a}"), F.greatest((F.col("q3") - F.col("q1")) / grid / 1.349, F.lit(X[a])).alias(f"l_{a}_{a}"))
-        start = part if start is None else start.join(part, "group")
-    names = list(X)
-    zero = {f"l_{a}_{b}": F.lit(0.0) for i, a in enumerate(names) for b in names[:i]}
-    now = written(start.withColumns(zero).withColumn("n", F.lit(0).cast("long")), "estimates")
-    for _ in range(steps):
-        far = each.join(now, "group").select("group", *X, _cell(_distance()).alias("cell"))
-        limit = _quantile_cells(far.select("group", "cell"), CORE, "limit")
-        core = far.join(limit, "group").where(F.col("cell") <= F.col("limit"))
-        now = written(_moments(core), "estimates")
-    far = each.join(now, "group").select("group", _cell(_distance()).alias("cell"))
-    scale = F.exp((F.col("middle") + 0.5) / GRID) / chi_square_limit(0.5, len(X))
-    sizes = each.groupBy("group").agg(F.count("*").alias("rows"))
-    scaled = _quantile_cells(far, 0.5, "middle").select("group", F.greatest(scale, F.lit(1.0)).alias("scale"))
-    return written(now.join(scaled, "group").join(sizes, "group"), "estimates")
-
-
-def judged(docs: DataFrame, tail: float = 1e-9, least: int = 200, steps: int = 3) -> DataFrame:
+def _upto(cells: DataFrame, *by: str) -> DataFrame:
+    """cells(by, cell, n) with upto, the rows in cells up to this one, and total."""
+    whole = Window.partitionBy(*by)
+    return cells.withColumns({"upto": F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(whole)})
+
+
+def _middles(each: DataFrame) -> DataFrame:
+    """group -> q_*, the median of each part, and h_*, half the width of its middle half over a normal one's, no less than
+    its floor. each(group, X)."""
+    parts = F.array(*[F.struct(F.lit(a).alias("part"), F.floor(F.col(a) * PART_GRID).cast("int").alias("cell")) for a in X])
+    cells = each.select("group", F.explode(parts).alias("c")).groupBy("group", "c.part", "c.cell").agg(F.count("*").alias("n"))
+    upto = _upto(cells, "group", "part")
+    first = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("cell")))
+    got = upto.groupBy("group").pivot("part", list(X)).agg(first(0.25).alias("q1"), first(0.5).alias("q2"), first(0.75).alias("q3"))
+    middle = [((F.col(f"{a}_q2") + 0.5) / PART_GRID).alias(f"q_{a}") for a in X]
+    return got.select("group", *middle, *[F.greatest((F.col(f"{a}_q3") - F.col(f"{a}_q1")) / PART_GRID / 1.349, F.lit(X[a])).alias(f"h_{a}") for a in X])
+
+
+def _starts(each: DataFrame, n: int) -> DataFrame:
+    """The first estimates of each group: by middle and spread, of all rows, and of rows drawn in to twice the spread."""
+    middles = written(_middles(each), "middles")
+    plain = middles.select("group", F.lit("middle").alias("start"), *[F.col(f"q_{a}").alias(f"m_{a}") for a in X], *[(F.col(f"h_{a}") if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for a, b in _lower()], F.lit(0.0).alias("log_det"))
+    drawn = _with_group(each, middles, n, "group", "inner").select("group", *[F.least(F.greatest(a, F.col(f"q_{a}") - 2 * F.col(f"h_{a}")), F.col(f"q_{a}") + 2 * F.col(f"h_{a}")).alias(a) for a in X])
+    both = [_estimates(rows.groupBy("group").agg(*_sums()).withColumn("start", F.lit(name))) for name, rows in (("moments", each), ("drawn", drawn))]
+    return plain.unionByName(both[0]).unionByName(both[1]).withColumns({"log_det": F.lit(float("inf")), "open": F.lit(True)})
+
+
+def core_estimates(each: DataFrame, n: int) -> DataFrame:
+    """each(doc_id, group, X), of n groups -> per group m_*, l_* of its clean core and scale, the median distance over a
+    normal one's, written."""
+    now = written(_starts(each, n), "estimates")
+    while now.where("open").limit(1).count():
+        cells = _with_group(each, now.where("open"), n, "group", "inner").withColumn("cell", _cell(_distance())).groupBy("group", "start", "cell").agg(*_sums())
+        core = _upto(cells, "group", "start").where(F.col("upto") - F.col("n") < CORE * F.col("total"))
+        sums = core.groupBy("group", "start").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s_{a}" for a in X], *[f"p_{a}_{b}" for a, b in _lower()])])
+        new = _estimates(sums)
+        both = now.alias("o").join(new.alias("e"), ["group", "start"], "left")
+        falls = F.col("e.log_det") < F.col("o.log_det") - SETTLED
+        take = [F.when(falls, F.col(f"e.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in new.columns[2:]]
+        now = written(both.select("group", "start", *take, F.coalesce(falls, F.lit(False)).alias("open")), "estimates")
+    fields = [c for c in now.columns if c not in ("group", "open")]
+    best = now.groupBy("group").agg(F.min_by(F.struct(*fields), F.struct("log_det", "start")).alias("e")).select("group", "e.*")
+    best = written(best, "estimates")
+    far = _with_group(each, best, n, "group", "inner").withColumn("cell", _cell(_distance())).groupBy("group", "cell").agg(F.count("*").alias("n"))
+    middle = _upto(far, "group").where(F.col("upto") >= 0.5 * F.col("total")).groupBy("group").agg(F.min("cell").alias("middle"))
+    scale = F.greatest(F.exp((F.col("middle") + 0.5) / GRID) / chi_square_limit(0.5, len(X)), F.lit(1.0))
+    return written(best.join(middle.select("group", scale.alias("scale")), "group"), "estimates")
+
+
+def judged(docs: DataFrame, tail: float = 1e-6, least: int = 200) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, lang, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, distance (null where base_failed) and kept: one row per row.
 
@@ -208,16 +240,18 @@ def judged(docs: DataFrame, tail: float = 1e-9, least: int = 200, steps: int = 3
     empty table gives an empty table; other columns are ignored.
     """
     rows = vector(measured(only(docs, "doc_id", "text", "lang", "source"))).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    rows = written(_levels(rows), "measured")
-    good = rows.where(~F.col("base_failed"))
-    found = core_estimates(good, steps)
-    enough = found.select(F.col("group").alias("_g"), "rows")
-    level = rows.select("groups").distinct().select("groups", F.posexplode("groups").alias("level", "_g")).join(enough, "_g", "left")
-    level = level.groupBy("groups").agg(F.min(F.when((F.col("rows") >= least) | (F.col("level") == 2), F.col("level"))).alias("level"))
-    placed = rows.join(level, "groups", "left").withColumn("group", F.get("groups", F.coalesce("level", F.lit(2))))
-    out = placed.join(found.drop("n", "rows"), "group", "left")
+    rows = written(_named(rows), "measured")
+    each = rows.where(~F.col("base_failed")).select("doc_id", F.explode(F.array("g0", "g1", "g2")).alias("group"), *X)
+    enough = written(each.groupBy("group").agg(F.count("*").alias("k")).where((F.col("k") >= least) | (F.col("group") == "[]")).select("group"), "groups")
+    n = enough.count()
+    found = core_estimates(written(_with_group(each, enough, n, "group", "inner"), "each"), n)
+    names = [c for c in found.columns if c not in ("group", "start", "log_det")]
+    for level in ("g0", "g1", "g2"):
+        here = found.select(F.col("group").alias(level), F.struct(*names).alias(f"e{level}"))
+        rows = _with_group(rows, here, n, level, "left")
+    placed = rows.withColumn("e", F.coalesce("eg0", "eg1", "eg2")).select("*", "e.*")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
-    out = out.withColumn("distance", distance)
+    out = placed.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_limit(tail, len(X)), F.lit(True))
     return out.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
 
