@@ -1,18 +1,18 @@
 """Suffix-array dedup of long repeated byte strings, by distributed prefix doubling on sampled positions.
 
 Two positions share a string of `length` bytes when their suffixes have the same rank at that depth. Prefix
-doubling gets ranks of depth 2h from pairs (rank of depth h at p, rank of depth h at p + h), sorts the pairs and
-ranks anew, until a suffix is unique or the depth is reached. Doubling from single bytes would carry a row per
-byte through each round. Here the rounds below half of `length` are replaced by rolling fingerprints, which are
-ranks of that depth for all purposes of equality, and positions that can't matter leave early:
+doubling gets ranks of depth 2h from pairs (rank of depth h at p, rank of depth h at p + h): Spark sorts the pairs,
+each run of equal pairs is a new rank, and a suffix alone in its run is unique and leaves. Doubling from single bytes
+would carry a row per byte through each round, so positions that can't matter leave before the first:
 
 1. Every window of `length` bytes names one position in it, the least of its `seed`-byte fingerprints, so equal
    windows name the same place in themselves. Windows that name one place form a stretch. Spark sorts the rows
    (fingerprint of the named place, fingerprint of the stretch, position): a fingerprint that is unique ends its
    windows; of equal stretches all but the first repeat an earlier one as a whole.
 2. A first stretch whose named place occurs in other stretches too may repeat in part. Its windows go one by one
-   to the last round of doubling: Spark sorts (rank of the first half, rank of the second half, position), and
-   every position in a run of equal pairs but the earliest repeats.
+   through the rounds of doubling, at offsets of an eighth, a quarter and half of `length`: a row holds the rank of the
+   depth reached so far, which the sort before assigned, and the ranks of the stretches of text still to come. A
+   window alone in its run leaves; after the last round every window but the earliest of its run repeats.
 
 Rows are placed by range over key and position, so a frequent string spreads over many partitions. A run that
 touches a partition's end is judged by grouped aggregation instead; nothing is dropped, capped or collected.
@@ -31,7 +31,7 @@ from .bytescan import BASES, minimizers, range_hashes, slices, texts_of, window_
 from .common import only, release, shared_dir, text_batches, written
 from .files import table
 
-DUP, PART, OPEN = 0, 1, 2
+DUP, PART, OPEN, MARK = 0, 1, 2, 3
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -95,9 +95,15 @@ def stretches(length: int, seed: int, bits: int):
     return run
 
 
-def halves(length: int, bits: int):
-    """Arrow function (ord, text, parts: array of (start, n)) -> a row (a, b, pos, n = 1) for each window of the parts."""
-    half = length // 2
+def depths(length: int) -> list[int]:
+    """Where the rounds of doubling stand: an eighth, a quarter, half and all of the length."""
+    return [length // 8, length // 4, length // 2, length]
+
+
+def ranks(length: int, bits: int):
+    """Arrow function (ord, text, parts: array of (start, n)) -> a row (a, b, pos, c, d) for each window of the parts: the
+    first ranks of the window and, for each round, of what it adds."""
+    cuts = depths(length)
 
     def run(batches):
         for batch in batches:
@@ -112,14 +118,67 @@ def halves(length: int, bits: int):
                 j, doc = np.repeat(start, n) + inside, np.repeat(doc, n)
                 if not len(j):
                     continue
-                rank, far = window_hashes(buf, half, BASES[0]), window_hashes(buf, length - half, BASES[0])
                 at = off[doc] + j
                 which = part.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-                yield table({"a": pa.array(rank[at].view(np.int64)), "b": pa.array(far[at + half].view(np.int64)), "pos": pa.array((which << bits) | j), "n": pa.array(np.ones(len(j), np.int32))})
+                found = [pa.array(window_hashes(buf, hi - lo)[at + lo].view(np.int64)) for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True)]
+                yield table({"a": found[0], "b": found[1], "pos": pa.array((which << bits) | j), "c": found[2], "d": found[3]})
 
     return run
 
 
+def _reranked(batches):
+    """Arrow function over sorted (a, b, pos, c, d): (kind, rank, a, b, pos, c, d), rank being the first pos of a run of
+    equal (a, b). Runs of one row leave.
+
+    Rows stream through; only the first row of the run at hand waits. The partition's first run may have begun before
+    it, so all its rows are OPEN; its last may go on, so it leaves its first row OPEN if alone, else a MARK of its rank.
+    """
+    run = None  # of the run at hand: (a, b), rank, its first row while it waits, whether it is the partition's first
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        a, b, pos = rows[:3]
+        begins = np.r_[run is None or (a[0], b[0]) != run[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        at = np.flatnonzero(begins)
+        on = int(at[0]) if len(at) else len(a)
+        if on:  # the run at hand goes on
+            if run[2] is not None:
+                yield _ranked_rows([x[None] for x in run[2]], PART, run[1])
+            yield _ranked_rows([x[:on] for x in rows], OPEN if run[3] else PART, run[1])
+            run = (*run[:2], None, run[3])
+        if run is None:
+            end = int(at[1]) if len(at) > 1 else len(a)
+            yield _ranked_rows([x[:end] for x in rows], OPEN, pos[0])
+            run, at = ((a[0], b[0]), pos[0], None, True), at[1:]
+        if len(at):
+            size = np.diff(np.r_[at, len(a)])
+            last, alone = int(at[-1]), size[-1] == 1
+            keep = np.zeros(len(a), bool)
+            keep[at[0] :] = np.repeat(size > 1, size)
+            yield _ranked_rows([x[keep] for x in rows], PART, np.repeat(pos[at], size)[keep[at[0] :]])
+            run = ((a[last], b[last]), pos[last], [x[last] for x in rows] if alone else None, False)
+    if run and not run[3]:
+        row = run[2] or [*run[0], run[1], np.int64(0), np.int64(0)]
+        yield _ranked_rows([x[None] for x in row], OPEN if run[2] else MARK, run[1])
+
+
+def _ranked_rows(rows: list[np.ndarray], kind: int, rank: np.ndarray) -> pa.RecordBatch:
+    n = len(rows[0])
+    return table({"kind": pa.array(np.full(n, kind, np.int8)), "rank": pa.array(np.broadcast_to(rank, n).copy()), **{c: pa.array(x) for c, x in zip(("a", "b", "pos", "c", "d"), rows, strict=True)}})
+
+
+def doubled(rows: DataFrame) -> DataFrame:
+    """One round of doubling. rows(a, b, pos, c, d) -> (rank, pos, c, d): rank of (a, b), unique ones left out; written."""
+    ordered = rows.repartitionByRange("a", "b", "pos").sortWithinPartitions("a", "b", "pos")
+    found = written(ordered.mapInArrow(_reranked, "kind byte, rank long, a long, b long, pos long, c long, d long"), "ranks")
+    ends = found.where(F.col("kind").isin(OPEN, MARK))
+    # the runs at a partition's ends are two at most in each: few keys, whatever the rows
+    first = ends.groupBy("a", "b").agg(F.min("pos").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = ends.where(F.col("kind") == OPEN).join(F.broadcast(first), ["a", "b"]).select(F.col("least").alias("rank"), "pos", "c", "d")
+    return found.where(F.col("kind") == PART).select("rank", "pos", "c", "d").unionByName(late)
+
+
 def _judge(rows: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
     """Sorted whole runs of equal a -> rows that repeat an earlier one, and first rows of runs with several b."""
     a, b, pos, n = rows
@@ -147,25 +206,27 @@ def _runs(batches):
     def out(kind, rows):
         return table({"kind": pa.array(np.full(len(rows[0]), kind, np.int8)), "a": pa.array(rows[0]), "b": pa.array(rows[1]), "pos": pa.array(rows[2]), "n": pa.array(rows[3])})
 
-    held, first = None, True
+    held: list[list[np.ndarray]] = []  # the rows of the last run so far
+    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        a = held[0]
-        last = int(np.searchsorted(a, a[-1], "left"))
-        if first and last:
-            cut = int(np.searchsorted(a, a[0], "right"))
-            for kind, done in _at_end([x[:cut] for x in held]).items():
-                yield out(kind, done)
-            held, last, first = [x[cut:] for x in held], last - cut, False
-        if last:
-            for kind, done in _judge([x[:last] for x in held]).items():
+        if held and held[-1][0][-1] == rows[0][-1]:
+            held.append(rows)
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        whole = [np.concatenate(x) for x in zip(*held, [x[:last] for x in rows], strict=True)]
+        held = [[x[last:] for x in rows]]
+        if first and len(whole[0]):
+            cut = int(np.searchsorted(whole[0], whole[0][0], "right"))
+            for kind, done in _at_end([x[:cut] for x in whole]).items():
                 yield out(kind, done)
-            held = [x[last:] for x in held]
-    if held is not None:
-        for kind, done in _at_end(held).items():
+            whole, first = [x[cut:] for x in whole], False
+        for kind, done in _judge(whole).items():
+            yield out(kind, done)
+    if held:
+        for kind, done in _at_end([np.concatenate(x) for x in zip(*held, strict=True)]).items():
             yield out(kind, done)
 
 
@@ -177,7 +238,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     open_rows = judged.where(F.col("kind") == OPEN)
     like = open_rows.groupBy("a", "b").agg(F.min("pos").alias("least"))
     some = like.groupBy("a").agg((F.min("b") != F.max("b")).alias("several"))
-    joined = open_rows.join(like, ["a", "b"]).join(some, "a")
+    # two runs at most are open in each partition: few keys, whatever the rows
+    joined = open_rows.join(like, ["a", "b"]).join(F.broadcast(some), "a")
     is_dup = F.col("pos") > F.col("least")
     late = joined.where(is_dup | F.col("several")).select(F.when(is_dup, DUP).otherwise(PART).cast("byte").alias("kind"), "pos", "n")
     return judged.where(F.col("kind") != OPEN).select("kind", "pos", "n").unionByName(late)
@@ -205,17 +267,23 @@ def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50, carry: tup
     found = written(found, "stretches")
     release(docs.sparkSession)
     parts = _by_text(found.where(F.col("kind") == PART), bits, "parts")
-    again = written(_halved(texts, parts, length, bits), "windows")
-    release(docs.sparkSession)
+    again = _rounds(texts, parts, length, bits)
     gone = _by_text(found.where(F.col("kind") == DUP).select("pos", "n").unionByName(again), bits, "gone")
     joined = docs.join(gone, "ord", "left")
     return joined.select("doc_id", "text", spans_of("gone", length).alias("spans"), *carry)
 
 
-def _halved(texts: DataFrame, parts: DataFrame, length: int, bits: int) -> DataFrame:
-    """The last round of doubling over the windows of the parts: those that repeat an earlier one."""
-    rows = texts.join(parts, "ord").select("ord", "text", "parts").mapInArrow(halves(length, bits), "a long, b long, pos long, n int")
-    return repeats(rows).where(F.col("kind") == DUP).select("pos", "n")
+def _rounds(texts: DataFrame, parts: DataFrame, length: int, bits: int) -> DataFrame:
+    """The rounds of doubling over the windows of the parts -> (pos, n = 1) of those that repeat an earlier one."""
+    spark = texts.sparkSession
+    rows = texts.join(parts, "ord").select("ord", "text", "parts").mapInArrow(ranks(length, bits), "a long, b long, pos long, c long, d long")
+    none = F.lit(0).cast("long")
+    for last in (False, False, True):
+        rows = written(doubled(rows), "round")
+        release(spark)
+        if not last:
+            rows = rows.select(F.col("rank").alias("a"), F.col("c").alias("b"), "pos", F.col("d").alias("c"), none.alias("d"))
+    return rows.where(F.col("pos") > F.col("rank")).select("pos", F.lit(1).alias("n"))
 
 
 def spans_of(gone: str, length: int):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from stemma.llm.suffix_dedup import deduplicated
+from stemma.llm.suffix_dedup import deduplicated, doubled
 
 
 def brute(rows, length):
@@ -58,6 +58,21 @@ def test_repeated_rows_and_null_ids(spark):
     assert (2, 18) in got and (None, 0) in got and len({r for r in got if r[0] == 1}) == 1
 
 
+@pytest.mark.parametrize("batch", [1, 3, 50])
+def test_one_round_of_doubling(spark, batch):
+    rng = random.Random(batch)
+    rows = [(rng.choice([0, 0, 0, 5, i]), rng.choice([1, 1, -i]), i * 2, i, -i) for i in range(400)] + [(7, 7, 1, 0, 0), (7, 7, 1, 0, 0)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    got = sorted(tuple(r) for r in doubled(spark.createDataFrame(rows, "a long, b long, pos long, c long, d long").repartition(5)).collect())
+    spark.conf.set(name, was)
+    runs = {}
+    for r in rows:
+        runs.setdefault(r[:2], []).append(r)
+    assert got == sorted((min(x[2] for x in v), *r[2:]) for v in runs.values() if len(v) > 1 for r in v)
+
+
 def test_large_ids_and_empty_table(spark):
     rows = [(-(1 << 62), "0123456789abcdefghij"), (1 << 62, "0123456789abcdefghij!")]
     check(spark, rows, 20, 10)
