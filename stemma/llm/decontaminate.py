@@ -2,29 +2,32 @@
 
 The automaton holds every run of words of every item. A document streams through it: at each word the state is the
 longest run of the document that ends there and occurs in some item. A run reaches a window when its length reaches
-the window's; the covered words are hit. Items and automaton live in one process per executor core, so items are
-dealt into shards of at most SHARD_WORDS words and a document passes through each shard's automaton in turn: memory
-is bounded however large the benchmark is, and the result is the same.
+the window's; the covered words are hit.
+
+Items are dealt into shards of at most SHARD_WORDS words (or one item). Spark builds each shard's automaton once, in a
+task of its own, as flat arrays of some 60 bytes a word, and writes it to the shared folder. Documents pass through the
+shards in turn, each read from its file, one at a time in a worker: memory is bounded however large the benchmark is,
+and the result is the same. Nothing of the benchmark comes to the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from dataclasses import dataclass
+import io
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import BASES, lowered, range_hashes, slices, texts_of, words_of
+from .bytescan import give_back, lowered, slices, texts_of, words_of
 from .common import only, shared_dir, text_batches
-from .files import system, table
+from .files import AtomicFile, system, table
 
-#: Words of items in one automaton: some 200 bytes each while it is built, a third of that afterwards.
-SHARD_WORDS = 1_000_000
+#: Words of items in one automaton. While one is built it takes some 900 bytes a word.
+SHARD_WORDS = 200_000
 #: Bytes of a word: digits, letters of either case, everything outside ASCII.
 WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -38,21 +41,48 @@ def item_words(text: str | None) -> list[bytes]:
     return [data[s:e] for s, e in zip(start, end, strict=True)]
 
 
-@dataclass
 class Automaton:
-    """next: transitions of each state; link: suffix link; size: longest run; found: for each state, the windows that
-    a run of its length completes, as (length, items), longest first; hashes: of each word, by its id; least: the
-    shortest window."""
-
-    next: list[dict[int, int]]
-    link: list[int]
-    size: list[int]
-    found: list[tuple[tuple[int, tuple[int, ...]], ...]]
-    hashes: np.ndarray
-    least: int
+    """Flat arrays, in a file or in memory.
 
+    words: the vocabulary, in order of its ids; edge, to: transitions, sorted by state * vocabulary + word; link: suffix
+    link; size: longest run; first, need, item: the windows that a state completes by itself, as lengths and items,
+    those of state s from first[s] to first[s + 1]; up: the next state on the suffix path with such windows, or -1;
+    least: the shortest window; pairs: neighbouring words of items, as first * vocabulary + second, in order.
+    """
 
-def build(items: list[list[bytes]], window: int) -> Automaton:
+    FIELDS = ("edge", "to", "link", "size", "first", "need", "item", "up", "least", "pairs")
+
+    def __init__(self, words: pa.Array, names: list[str], **arrays: np.ndarray):
+        self.words, self.names = words, names
+        for f in self.FIELDS:
+            setattr(self, f, arrays[f])
+
+    def save(self, uri: str, attempt: str) -> None:
+        """Written so that a retried task can write it again."""
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, pa.schema([("words", pa.large_binary())])) as w:
+            w.write_table(pa.table({"words": self.words}))
+        texts = {"_words": np.frombuffer(out.getvalue(), np.uint8), "_names": np.frombuffer(json.dumps(self.names).encode(), np.uint8)}
+        data = io.BytesIO()
+        np.savez(data, **{f: getattr(self, f) for f in self.FIELDS}, **texts)
+        f = AtomicFile(uri, attempt)
+        f.write(data.getvalue())
+        f.commit()
+
+    @classmethod
+    def load(cls, uri: str) -> Automaton:
+        where, path = system(uri)
+        with where.open_input_file(path) as f:
+            got = np.load(io.BytesIO(f.read()))
+            words = pa.ipc.open_stream(got["_words"].tobytes()).read_all()["words"].combine_chunks()
+            words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+            return cls(words, json.loads(got["_names"].tobytes()), **{f: got[f] for f in cls.FIELDS})
+
+    def reader(self) -> Reader:
+        return Reader(self)
+
+
+def build(items: list[list[bytes]], names: list[str], window: int) -> Automaton:
     """The generalised suffix automaton of the items, with the windows that each state completes."""
     vocabulary: dict[bytes, int] = {}
     for ws in items:
@@ -91,114 +121,165 @@ def build(items: list[list[bytes]], window: int) -> Automaton:
                 link[new] = q if size[q] == size[p] + 1 else clone_of(q, p, c)
             last = new
     # windows: walk each item once more; the state of a window is the one on its suffix path that holds its length
-    own: dict[int, dict[int, set[int]]] = {}
+    own: set[tuple[int, int, int]] = set()
     for i, ws in enumerate(items):
         need, state, length = min(window, len(ws)), 0, 0
         for w in ws:
-            c = vocabulary[w]
-            state, length = follow[state][c], length + 1
+            state, length = follow[state][vocabulary[w]], length + 1
             if length >= need:
                 at = state
                 while size[link[at]] >= need:
                     at = link[at]
-                own.setdefault(at, {}).setdefault(need, set()).add(i)
+                own.add((at, need, i))
                 if length == need == window:
                     # keep the run at one word under the window, so the next word completes the next window
                     state, length = at, need
-    # a state completes its own windows and those of all states on its suffix path
-    found: list[tuple[tuple[int, tuple[int, ...]], ...]] = [()] * len(size)
-    for s in sorted(range(len(size)), key=size.__getitem__):
-        mine = tuple((n, tuple(sorted(who))) for n, who in sorted(own.get(s, {}).items(), reverse=True))
-        found[s] = mine + (found[link[s]] if link[s] >= 0 else ())
-    words = list(vocabulary)
-    lengths = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(lengths)
-    hashes = range_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends, BASES[0])
-    return Automaton(follow, link, size, found, hashes, min([min(window, len(ws)) for ws in items if ws], default=window))
-
-
-def stream(a: Automaton, words: list[int], hit: np.ndarray, items: set[int]) -> None:
-    """Mark the words of a run (ids of the vocabulary) that windows cover, and add the items of those windows."""
-    follow, link, size, found = a.next, a.link, a.size, a.found
-    state = length = 0
-    for i, c in enumerate(words):
-        while state and c not in follow[state]:
-            state = link[state]
-            length = size[state]
-        to = follow[state].get(c)
-        if to is None:
-            state = length = 0
-            continue
-        state, length = to, length + 1
-        if found[state]:
-            for need, who in found[state]:
-                if need <= length:
-                    hit[i + 1 - need : i + 1] = True
-                    items.update(who)
-
-
-Items = list[tuple[str, list[bytes]]]
-
-
-def _shards(items: Items) -> list[Items]:
-    """The items that have words, in shards of at most SHARD_WORDS words or one item."""
-    out, left = [], 0
-    for name, ws in items:
-        if not ws:
-            continue
-        if left < len(ws):
-            out.append([])
-            left = max(SHARD_WORDS, len(ws))
-        out[-1].append((name, ws))
-        left -= len(ws)
-    return out
-
-
-def _from_files(paths: list[str]):
-    """The shards of a benchmark that is too large to send: one written file after the other."""
-    for path in paths:
-        where, name = system(path)
-        rows = pq.read_table(name, filesystem=where)
-        yield from _shards([(n, item_words(t)) for n, t in zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)])
-
-
-def _through(shards, window: int):
-    """Arrow function (doc_id, text) -> the columns of `contamination`. shards(): the shards, one after the other."""
+    owned = np.array(sorted(own), np.int64).reshape(-1, 3)
+    n = len(size)
+    first = np.searchsorted(owned[:, 0], np.arange(n + 1))
+    up = np.full(n, -1, np.int32)
+    for s in sorted(range(1, n), key=size.__getitem__):
+        above = link[s]
+        up[s] = above if first[above + 1] > first[above] else up[above]
+    v = len(vocabulary)
+    edge = np.fromiter((s * v + c for s, f in enumerate(follow) for c in f), np.int64)
+    to = np.fromiter((t for f in follow for t in f.values()), np.int32)
+    order = np.argsort(edge)
+    pairs = np.unique(np.fromiter((vocabulary[x] * v + vocabulary[y] for ws in items for x, y in zip(ws, ws[1:], strict=False)), np.int64))
+    return Automaton(
+        pa.array(list(vocabulary), pa.large_binary()), names, edge=edge[order], to=to[order], link=np.array(link, np.int32), size=np.array(size, np.int32), first=first.astype(np.int32),
+        need=owned[:, 1].astype(np.int32), item=owned[:, 2].astype(np.int32), up=up, least=np.array([min((min(window, len(ws)) for ws in items if ws), default=window)]), pairs=pairs,
+    )
+
+
+class Reader:
+    """An automaton at work on runs of words."""
+
+    def __init__(self, a: Automaton):
+        self.a, self.v = a, len(a.words)
+
+    def runs(self, ids: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """The runs of a text's words that can hold a window: known words (ids from 0), all neighbours of which are
+        neighbours in some item, and no shorter than the shortest window. No match of two words spans their ends."""
+        code = ids[:-1] * self.v + ids[1:]
+        near = np.minimum(np.searchsorted(self.a.pairs, code), max(0, len(self.a.pairs) - 1))
+        ok = (self.a.pairs[near] == code) if len(self.a.pairs) else np.zeros(len(code), bool)
+        joined = ok & (ids[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1])
+        begin = np.flatnonzero(np.r_[True, ~joined])
+        end = np.r_[begin[1:], len(ids)]
+        long = (end - begin >= self.a.least[0]) & (ids[begin] >= 0)
+        return list(zip(begin[long].tolist(), end[long].tolist(), strict=True))
+
+    def _follow(self, state: int, c: int) -> int:
+        key = state * self.v + c
+        at = int(np.searchsorted(self.a.edge, key))
+        return int(self.a.to[at]) if at < len(self.a.edge) and self.a.edge[at] == key else -1
+
+    def stream(self, words: list[int], hit: np.ndarray, items: set[int]) -> None:
+        """Mark the words of a run (ids of the vocabulary) that windows cover, and add the items of those windows."""
+        a, follow = self.a, self._follow
+        state = length = 0
+        for i, c in enumerate(words):
+            while (to := follow(state, c)) < 0 and state:
+                state = int(a.link[state])
+                length = int(a.size[state])
+            if to < 0:
+                state = length = 0
+                continue
+            state, length = to, length + 1
+            at = state
+            while at >= 0:
+                lo, hi = a.first[at], a.first[at + 1]
+                for need, who in zip(a.need[lo:hi].tolist(), a.item[lo:hi].tolist(), strict=True):
+                    if need <= length:
+                        hit[i + 1 - need : i + 1] = True
+                        items.add(who)
+                at = int(a.up[at])
+
+
+def _built(path: str, window: int):
+    """Arrow function (shard, item, text), sorted by shard -> (shard) of each automaton written."""
+
+    def save(shard: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        build([item_words(t) for _, t in rows], [n for n, _ in rows], window).save(f"{path}/{shard}.npz", str(TaskContext.get().taskAttemptId()))
+        give_back()
+        return table({"shard": pa.array([shard], pa.int64())})
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for shard, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at and rows:
+                    yield save(at, rows)
+                    rows = []
+                at = shard
+                rows.append((item, text))
+        if rows:
+            yield save(at, rows)
+
+    return run
+
+
+def _words_sql(text):
+    """How many words a text has, in the JVM."""
+    return F.size(F.regexp_extract_all(text, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))).cast("long")
+
+
+def automata(benchmark: DataFrame, window: int) -> list[str]:
+    """The files of the shards' automata, built by Spark: one task's memory holds one shard."""
+    spark, path = benchmark.sparkSession, shared_dir(benchmark.sparkSession, "automata")
+    items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text", _words_sql(F.col("text")).alias("n")).where("n > 0")
+    if not items.limit(1).count():
+        return []
+    # numbered file by file: each file's items by the running sum of their words, file after file by prefix sums
+    items.write.parquet(f"{path}/items")
+    rows = spark.read.schema(items.schema).parquet(f"{path}/items").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    upto = F.sum("n").over(Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    shard = F.floor((upto - 1) / SHARD_WORDS)
+    named = rows.select("_file", shard.alias("_s"), "item", "text")
+    counts = named.groupBy("_file", "_s").count()
+    order = counts.select("_file", "_s", (F.row_number().over(Window.orderBy("_file", "_s")) - 1).cast("long").alias("shard"))
+    dealt = named.join(order, ["_file", "_s"]).select("shard", "item", "text").repartition(counts.count(), "shard").sortWithinPartitions("shard")
+    done = dealt.mapInArrow(_built(path, window), "shard long").collect()
+    return sorted(f"{path}/{r.shard}.npz" for r in done)
+
+
+def _through(paths: list[str]):
+    """Arrow function (doc_id, text) -> the columns of `contamination`."""
 
     def run(batches):
-        kept: list[tuple[list[str], Automaton]] = []
+        kept: list[Automaton] = []
 
-        def automata():
-            """Each shard's names and automaton; kept for the next texts where there is only one."""
-            if kept:
+        def shards() -> Iterator[Automaton]:
+            """Each automaton; kept for the next texts where there is only one."""
+            if len(paths) == 1:
+                kept[:] = kept or [Automaton.load(paths[0])]
                 yield kept[0]
                 return
-            n = 0
-            for n, shard in enumerate(shards(), 1):
-                got = [name for name, _ in shard], build([ws for _, ws in shard], window)
-                kept[:] = [got] if n == 1 else []
-                yield got
+            for p in paths:
+                yield Automaton.load(p)
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 24):
+            for part in slices(batch, 1, 1 << 24 if len(paths) > 1 else 1 << 22):
                 buf, off = texts_of(part.column(1))
                 start, end, doc = words_of(buf, off, WORD)
-                hashes = range_hashes(lowered(buf), start, end, BASES[0])
+                # the words themselves, every second stretch between bounds, so that equal means equal bytes
+                bounds = np.stack([start, end], axis=1).reshape(-1)
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), pa.py_buffer(lowered(buf))])
+                words = words.take(pa.array(np.arange(0, len(words), 2))).dictionary_encode() if len(words) else None
                 hit = np.zeros(len(start), bool)
                 found: dict[int, set[str]] = {}
-                for names, a in automata():
-                    order = np.argsort(a.hashes)
-                    at = order[np.minimum(np.searchsorted(a.hashes, hashes, sorter=order), len(order) - 1)]
-                    ids = np.where(a.hashes[at] == hashes, at, -1)
-                    # runs of known words of one document, no shorter than the shortest window
-                    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | ((ids[1:] < 0) != (ids[:-1] < 0))]) if len(ids) else np.empty(0, np.int64)
-                    upto = np.r_[edge[1:], len(ids)] if len(ids) else edge
-                    long = (upto - edge >= a.least) & (ids[edge] >= 0)
-                    for lo, hi in zip(edge[long].tolist(), upto[long].tolist(), strict=True):
+                for a in shards() if words is not None else ():
+                    known = pa.compute.index_in(words.dictionary, value_set=a.words).fill_null(-1).to_numpy(zero_copy_only=False)
+                    ids = known[words.indices.to_numpy()]
+                    reader = a.reader()
+                    for lo, hi in reader.runs(ids.astype(np.int64), doc):
                         items: set[int] = set()
-                        stream(a, ids[lo:hi].tolist(), hit[lo:hi], items)
+                        reader.stream(ids[lo:hi].tolist(), hit[lo:hi], items)
                         if items:
-                            found.setdefault(int(doc[lo]), set()).update(names[i] for i in items)
+                            found.setdefault(int(doc[lo]), set()).update(a.names[i] for i in items)
                 n_words = np.bincount(doc, minlength=part.num_rows)
                 n_hit = np.bincount(doc[hit], minlength=part.num_rows)
                 listed = [sorted(found.get(d, ())) for d in range(part.num_rows)]
@@ -219,33 +300,22 @@ def _through(shards, window: int):
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, most_bytes: int = 1 << 26, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, n_items, items, items_sha256,
     spans (byte ranges of hit words in the text), contaminated (any hit, and share * n_hit >= n_words), and the
     columns of docs to carry.
 
     A null, empty or wordless text has no words, no hits and isn't contaminated; a null, empty or wordless item has
     no window; items of equal text or id are all counted, ids as strings, null ids as the string "null". Repeated
-    rows are each judged. Other columns are ignored. Items of up to most_bytes of text together are broadcast; beyond
-    that they are written to the shared folder in files of about that size, which each worker reads one by one.
+    rows are each judged. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    items = only(benchmark, "item_id", "text").where(F.octet_length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > most_bytes:
-        path = shared_dir(spark, "items")
-        items.repartition(math.ceil(size / most_bytes), "item", "text").write.parquet(path)
-        paths = spark.read.parquet(path).inputFiles()
-        shards = lambda: _from_files(paths)
-    else:
-        sent = spark.sparkContext.broadcast([(r.item, item_words(r.text)) for r in items.collect()])
-        shards = lambda: _shards(sent.value)
+    text_batches(docs.sparkSession)
+    paths = automata(benchmark, window)
     rest = [f"_{i}" for i in range(len(carry))]
     docs = only(docs, *dict.fromkeys(("doc_id", "text", *carry)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(r) for c, r in zip(carry, rest, strict=True)])
     more = "".join(f", {r} {docs.schema[r].dataType.simpleString()}" for r in rest)
-    out = docs.mapInArrow(_through(shards, window), OUT + more).withColumnsRenamed(dict(zip(rest, carry, strict=True)))
+    out = docs.mapInArrow(_through(paths), OUT + more).withColumnsRenamed(dict(zip(rest, carry, strict=True)))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
-from stemma.llm.decontaminate import build, contamination, stream
+import numpy as np
+
+import stemma.llm.decontaminate as module
+from stemma.llm.decontaminate import Automaton, build, contamination
 
 PATTERN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -36,7 +39,7 @@ def cases(seed):
     return items, [*docs, (100, None), (101, ""), (102, "..."), (None, "zz"), (103, "zz")]
 
 
-def test_automaton_against_brute_force(spark):
+def test_automaton_against_brute_force(spark, monkeypatch):
     for seed, window in ((1, 4), (2, 2), (3, 13)):
         items, docs = cases(seed)
         df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, Text string")
@@ -44,8 +47,10 @@ def test_automaton_against_brute_force(spark):
         got = contamination(df, bench, window)
         rows = {tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
         assert rows == {(d, *brute(t, items, window)) for d, t in docs}
-        files = contamination(df, bench, window, most_bytes=40)
-        assert {tuple(r) for r in files.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()} == rows
+        with monkeypatch.context() as m:  # several shards
+            m.setattr(module, "SHARD_WORDS", 9)
+            parts = contamination(df, bench, window)
+            assert {tuple(r) for r in parts.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()} == rows
 
 
 def test_spans_are_the_hit_words(spark):
@@ -56,13 +61,22 @@ def test_spans_are_the_hit_words(spark):
     assert [raw[s.start : s.end] for s in row.spans] == [b"one TWO three", b"one two three"]
 
 
-def test_longest_match_states():
-    a = build([[b"a", b"b", b"a", b"b", b"c"], [b"b", b"a", b"b"]], 3)
-    import numpy as np
-
+def test_longest_match_states(tmp_path):
+    build([[b"a", b"b", b"a", b"b", b"c"], [b"b", b"a", b"b"]], ["x", "y"], 3).save(f"file://{tmp_path}/a.npz", "1")
+    a = Automaton.load(f"file://{tmp_path}/a.npz")
+    assert a.words.to_pylist() == [b"a", b"b", b"c"] and a.names == ["x", "y"]
     hit, items = np.zeros(4, bool), set()
-    stream(a, [1, 0, 1, 2], hit, items)  # b a b c
+    a.reader().stream([1, 0, 1, 2], hit, items)  # b a b c
     assert items == {0, 1} and hit.all()
+    assert a.reader().runs(np.array([1, 0, 1, -1, 2, 2, 1, 0, 1]), np.array([0] * 9)) == [(0, 3), (6, 9)]
+
+
+def test_long_text_and_words_alike_in_hash(spark):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = bits.translate({97: "b", 98: "a"})
+    df = spark.createDataFrame([(1, f"x {other} y"), (2, f"x {bits} y"), (3, "one two " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in contamination(df, spark.createDataFrame([(1, bits), (2, "two one two")], "item_id int, text string")).collect()}
+    assert got == {1: (3, 0), 2: (3, 1), 3: (600_000, 599_999)}
 
 
 def test_empty_tables(spark):
