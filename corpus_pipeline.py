@@ -1,7 +1,9 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage reads the documents that the one before it wrote and returns documents of the same columns, the last one
-sequences. A row is known by doc_id and the hash of its text, so repeated ids with other texts stay apart.
+sequences. A row is known by doc_id, the hash of its text, language and source, so repeated ids with other texts stay
+apart. Every stage reads the columns COLUMNS alone: further ones, also of names that differ only in case, are left
+behind. An empty table gives an empty table, texts are whole, however long.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import written
+from stemma.llm.common import only, written
 from stemma.llm.cut_text import without_spans
 from stemma.llm.decontaminate import contamination
 from stemma.llm.near_dup import near_duplicates
@@ -29,39 +31,57 @@ def _same(names: tuple[str, ...]) -> Column:
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The rows of docs with a verdict `kept`."""
+    """The rows of docs(COLUMNS) with a verdict `kept`."""
     d = docs.withColumn("text_hash", F.xxhash64("text")).alias("d")
     return d.join(verdicts.where("kept").select(*by).alias("v"), _same(by), "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the base limits and near their language's and source's core."""
+    """Documents within the base limits and near their language's and source's core.
+
+    Null, empty and blank texts go. A null doc_id is kept or goes by its text; null languages and sources are values of
+    their own. Repeated rows fare alike.
+    """
+    docs = only(docs, *COLUMNS)
     return _kept(docs, judged(docs), ("doc_id", "text_hash", "lang", "source"))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; of repeated rows one."""
+    """One document of each class of near duplicates, the one of least doc_id; of repeated rows one.
+
+    Null and wordless texts, and rows with a null doc_id, belong to no class and stay.
+    """
+    docs = only(docs, *COLUMNS)
     kept = _kept(docs, near_duplicates(docs), ("doc_id", "text_hash"))
     ids = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if ids else kept
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 100 bytes or more that occur earlier; an emptied document stays, empty."""
-    cut = without_spans(removed_spans(docs, 100, carry=("lang", "source")))
+    """Documents without the strings of 100 bytes or more that occur earlier; an emptied document stays, empty.
+
+    A null text stays null, with a null n_chars. Null doc_ids come first in the order; rows alike don't cut each other.
+    """
+    cut = without_spans(removed_spans(only(docs, *COLUMNS), 100, carry=("lang", "source")))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated; in those kept, the words of any benchmark window are cut out."""
-    judged_rows = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("text", "lang", "source"))
+    """Documents that aren't contaminated; in those kept, the words of any benchmark window are cut out.
+
+    Null and wordless texts, and repeated rows, stay as they are judged, each by itself.
+    """
+    judged_rows = contamination(only(docs, *COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("text", "lang", "source"))
     cut = without_spans(judged_rows.where(~F.col("contaminated")).select("doc_id", "text", "lang", "source", "spans"))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 ids, of power-of-two lengths, none across documents."""
-    return pack(docs, "word_bpe_49k.json", end_id=2)
+    """Sequences of at most 4096 ids, of power-of-two lengths, none across documents.
+
+    Null and empty texts are their end id alone; repeated rows are packed each.
+    """
+    return pack(only(docs, *COLUMNS), "word_bpe_49k.json", end_id=2)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dup", near_dup), ("suffix_dedup", suffix_dedup), ("decontaminate", decontaminate), ("packing", packing)]
