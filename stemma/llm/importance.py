@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import NOT_SPACE, BASES, lowered, mix, range_hashes, slices, texts_of, words_of
-from .common import only, ranked, text_batches, written
+from .common import heavy_join, only, ranked, text_batches, written
 from .files import table
 
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
+#: Good ids, of some 30 bytes each, that are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +86,13 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, sm
     spark = docs.sparkSession
     text_batches(spark)
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    marks = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
+    marks = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     marks = written(marks, "marks")
-    rate = marks.agg(F.avg("good")).first()[0]
+    rate, n_good = marks.agg(F.avg("good"), F.coalesce(F.sum("good"), F.lit(0))).first()
     share = share if share is not None else 1.0 if rate is None else float(rate)
-    good = docs.join(marks.where("good = 1"), F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text")
+    good = marks.where("good = 1")
+    good = docs.join(F.broadcast(good), "doc_id", "left") if n_good <= BROADCAST_IDS else heavy_join(docs, good.hint("merge"), "doc_id", "text", how="left")
+    good = good.select(F.coalesce("good", F.lit(0)).alias("good"), "text")
     ratios = spark.sparkContext.broadcast(log_ratios(good, smooth))
     weighed = docs.mapInArrow(_weigh(ratios), "doc_id long, n_ngrams long, log_weight double")
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)

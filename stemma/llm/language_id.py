@@ -6,7 +6,8 @@
 - address: the prior of a page's host, smoothed towards that of its registered domain, that towards its suffix's, and
   that towards that of all pages; each is a grouped sum of text posteriors, the page's own left out
 
-The grouped sums combine before the shuffle, so a host with a third of all pages is no burden.
+The grouped sums combine before the shuffle, and are joined to the pages with hot keys dealt out, so a host with a third of
+all pages is no burden.
 """
 
 from __future__ import annotations
@@ -19,21 +20,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import slices, texts_of
-from .common import only, text_batches, written
+from .common import heavy_join, hot_keys, only, text_batches, written
 from .files import table
 
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 #: A model has this many languages at most: SLOTS counts of each go to every worker.
 MOST_LANGUAGES = 256
-_TAGS = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.DOTALL | re.IGNORECASE)
-_DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{1,8})", re.IGNORECASE)
+_HIDDEN = re.compile(rb"<(script|style)\b", re.IGNORECASE)
+_ENTITY = re.compile(rb"&[#\w]{1,40};")
+_HTML = re.compile(rb"<html\b", re.IGNORECASE)
+_LANG = re.compile(rb"[\s\"'/]lang\s*=\s*[\"']?([A-Za-z]{1,8})", re.IGNORECASE)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[:65] = 32
 _FOLD[[91, 92, 93, 94, 95, 96, 123, 124, 125, 126, 127]] = 32
 
 
+def visible(html: bytes) -> bytes:
+    """The page's text: tags, comments, scripts, styles and entities make way for a blank. One pass, whatever the markup:
+    what isn't closed is searched for once. An unclosed comment, script or style is a plain tag, an unclosed tag text."""
+    low, out, at, gone = html.lower(), [], 0, set()
+
+    def end_of(mark: bytes, start: int) -> int:
+        """The place behind the next mark, or -1."""
+        if mark in gone:
+            return -1
+        found = low.find(mark, start)
+        if found < 0:
+            gone.add(mark)
+        return found + len(mark) if found >= 0 else -1
+
+    while (lt := html.find(b"<", at)) >= 0:
+        out.append(html[at:lt])
+        end = -1
+        if html.startswith(b"<!--", lt):
+            end = end_of(b"-->", lt + 4)
+        elif m := _HIDDEN.match(html, lt):
+            end = end_of(b"</" + m[1].lower(), lt)
+            end = end_of(b">", end) if end >= 0 else -1
+        end = end if end >= 0 else end_of(b">", lt)
+        at = max(end, lt)
+        if end < 0:
+            break
+        out.append(b" ")
+    out.append(html[at:])
+    return _ENTITY.sub(b" ", b"".join(out))
+
+
+def declared(html: bytes) -> str | None:
+    """The language that the first html tag declares, in lower case, without its region."""
+    m = _HTML.search(html)
+    end = html.find(b">", m.end()) if m else -1
+    found = _LANG.search(html, m.end(), end) if end >= 0 else None
+    return found[1].decode().lower() if found else None
+
+
 def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slot and text number of each byte trigram within a text, letters in lower case and all else blank."""
     if len(buf) < 3:
@@ -89,8 +131,8 @@ def _score(model, temper: float):
         for batch in batches:
             for part in slices(batch, 2):
                 html = [(x or "").encode() for x in part.column(2).to_pylist()]
-                declared = [m[1].decode().lower() if (m := _DECLARED.search(h)) else None for h in html]
-                seen = [_TAGS.sub(b" ", h) for h in html]
+                told = [declared(h) for h in html]
+                seen = [visible(h) for h in html]
                 off = np.r_[0, np.cumsum([len(s) for s in seen])]
                 slot, page = trigrams(np.frombuffer(b"".join(seen), np.uint8), off)
                 total = np.zeros((part.num_rows, logs.shape[0]))
@@ -100,7 +142,7 @@ def _score(model, temper: float):
                 p = np.exp(temper * (total - total.max(axis=1, keepdims=True)))
                 p /= p.sum(axis=1, keepdims=True)
                 yield table({
-                    "page_id": part.column(0), "url": part.column(1), "declared": pa.array(declared, pa.string()),
+                    "page_id": part.column(0), "url": part.column(1), "declared": pa.array(told, pa.string()),
                     "text": pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * logs.shape[0]), pa.array(p.reshape(-1))),
                 })
 
@@ -110,7 +152,7 @@ def _score(model, temper: float):
 def _sums(rows: DataFrame, by: str, n: int) -> DataFrame:
     """by -> the sum of the text posteriors as an array, and rows: partial sums of n numbers per group."""
     out = rows.groupBy(by).agg(F.count("*").alias("rows"), *[F.sum(F.get("text", F.lit(i))).alias(f"s{i}") for i in range(n)])
-    return out.select(F.col(by).alias(f"_{by}"), F.col("rows").alias(f"n_{by}"), F.array(*[f"s{i}" for i in range(n)]).alias(f"s_{by}"))
+    return out.select(by, F.col("rows").alias(f"n_{by}"), F.array(*[f"s{i}" for i in range(n)]).alias(f"s_{by}"))
 
 
 def _smoothed(own: Column, total: Column, n: Column, above: Column, strength: float) -> Column:
@@ -145,10 +187,9 @@ def identified(pages: DataFrame, docs: DataFrame, temper: float = 0.05, strength
     base = F.array(*[F.lit(((every[f"s{i}"] or 0.0) + 1) / (every.n + n)) for i in range(n)])
     told = _sums(scored, "declared", n)
     kinds_told = told.count()
-    out = scored.join(told, scored.declared == told._declared)
+    out = heavy_join(scored, told, "declared", "page_id")
     for level in ("suffix", "domain", "host"):
-        sums = _sums(scored, level, n)
-        out = out.join(sums, out[level] == sums[f"_{level}"])
+        out = heavy_join(out, _sums(scored, level, n), level, "page_id", hot_keys(scored.groupBy(level).agg(F.count("*").alias("n")), level))
     out = out.withColumn("p_suffix", _smoothed(F.col("text"), F.col("s_suffix"), F.col("n_suffix"), base, strength))
     out = out.withColumn("p_domain", _smoothed(F.col("text"), F.col("s_domain"), F.col("n_domain"), F.col("p_suffix"), strength))
     out = out.withColumn("p_host", _smoothed(F.col("text"), F.col("s_host"), F.col("n_host"), F.col("p_domain"), strength))

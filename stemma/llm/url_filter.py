@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, then gradient-boosted trees on lexical features. DataFrame operations only.
 
-The trees learn from urls that a rule judges. Training reads a bounded sample (SAMPLE rows of least hash), cut into
-bins; each level of a tree is one grouped sum of gradients by (node, feature, bin), of which a bounded table comes to
+The trees learn from urls that a rule judges. Suffix statistics are of all judged rows; training reads a bounded sample
+(SAMPLE distinct urls of least hash, so that a common url counts once), cut into bins, a url's own rows left out of its
+suffix's statistic; each level of a tree is one grouped sum of gradients by (node, feature, bin), of which a bounded table comes to
 the driver. The model is a sum of CASE expressions, so scoring is part of the scan: no shuffle, no Python.
 """
 
@@ -13,12 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import heavy_join, only, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 FEATURES = ("f_length", "f_host", "f_labels", "f_depth", "f_path", "f_digits", "f_entropy", "f_parameters", "f_hyphens", "f_suffix")
 SAMPLE, BINS = 20_000, 16
+#: Suffixes, of some 50 bytes each, that are broadcast; more are joined by shuffle.
+BROADCAST_SUFFIXES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -156,25 +159,38 @@ def _best_splits(sums, cuts, smooth: float) -> dict[int, tuple[str, float]]:
     return {node: best[1:] for node, best in out.items()}
 
 
+def _log_odds(k: Column, n: Column, share: float, smooth: float) -> Column:
+    """Smoothed log odds of k out of n."""
+    return F.ln((k + smooth * share) / (n - k + smooth * (1 - share)))
+
+
 def filtered(pages: DataFrame, rules=RULES, sample: int = SAMPLE, smooth: float = 5.0) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict and score (log odds of block): one row per row.
 
     verdict is the rule's where one fits, else the model's. A null url, and one without ://, has an empty host and
     path, fits no rule and goes to the model. Without a judged url of each kind the model is the smoothed share of
     blocked ones; with none at all every other url is allowed. Repeated rows are each judged; an empty table gives an
-    empty table; other columns are ignored. The fit reads at most `sample` judged urls, those of least hash.
+    empty table; other columns are ignored. The fit reads at most `sample` distinct judged urls, those of least hash,
+    and suffix statistics of all judged rows; a suffix without one has the share of all.
     """
-    known = features(ruled(parts(only(pages, "page_id", "url")), rules))
-    judged = known.where(F.col("ruling").isNotNull()).withColumn("y", F.when(F.col("ruling") == "block", 1.0).otherwise(0.0))
-    chosen = written(judged.orderBy(F.xxhash64("url"), "url").limit(sample).select(*[f for f in FEATURES if f != "f_suffix"], "suffix", "y"), "judged")
-    share = chosen.agg((F.sum("y") + 1) / (F.count("*") + 2)).first()[0]
-    prior = math.log(share / (1 - share)) if share is not None else -1e-9
-    odds = chosen.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    odds = written(odds.select("suffix", F.ln((F.col("k") + smooth * share if share is not None else F.lit(0.5)) / (F.col("n") - F.col("k") + smooth * (1 - share if share is not None else 0.5))).alias("f_suffix")), "suffixes")
-    # one row per suffix of the sample, so never more than `sample` rows
-    with_suffix = lambda rows: rows.join(F.broadcast(odds), "suffix", "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior)))
-    model = boosted(with_suffix(chosen).select(*FEATURES, "y").coalesce(1))
-    out = with_suffix(known).withColumn("score", model.margin())
+    pages = only(pages, "page_id", "url")
+    known = features(ruled(parts(pages), rules))
+    y = F.when(F.col("ruling") == "block", 1.0).otherwise(0.0)
+    told = ruled(parts(pages), rules).where(F.col("ruling").isNotNull())
+    suffixes = written(features(told).withColumn("y", y).groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("y").alias("suffix_k")), "suffixes")
+    every = suffixes.agg(F.count("*").alias("suffixes"), F.coalesce(F.sum("suffix_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("suffix_k"), F.lit(0.0)).alias("k")).first()
+    share = (every.k + 1) / (every.n + 2) if every.n else 0.5 - 1e-9
+    prior = math.log(share / (1 - share))
+
+    def with_suffix(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(suffixes), "suffix", "left") if every.suffixes <= BROADCAST_SUFFIXES else heavy_join(rows, suffixes, "suffix", "url", how="left")
+
+    urls = told.groupBy("url").agg(F.count("*").alias("w")).orderBy(F.xxhash64("url"), "url").limit(sample)
+    rows = with_suffix(features(ruled(parts(urls), rules)).withColumn("y", y))
+    rows = rows.withColumn("f_suffix", _log_odds(F.col("suffix_k") - F.col("w") * F.col("y"), F.col("suffix_n") - F.col("w"), share, smooth))
+    model = boosted(written(rows.select(*FEATURES, "y"), "judged").coalesce(1))
+    odds = F.coalesce(_log_odds(F.col("suffix_k"), F.col("suffix_n"), share, smooth), F.lit(prior))
+    out = with_suffix(known).withColumn("f_suffix", odds).withColumn("score", model.margin())
     verdict = F.coalesce("ruling", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

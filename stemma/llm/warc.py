@@ -3,10 +3,12 @@
 Two tables in the archive's folder:
 
 - payloads (key, payload): one row per distinct payload; key is its SHA-256, checked again on reading
-- headers (page_id, header, key): the exact bytes of each record's header and HTTP header, and its payload's key
+- headers (page_id, header, original, key): the exact bytes of each record's header and HTTP header; for a revisit also
+  those of the response that the page would be by itself; and the payload's key
 
-A response record is header + payload + two line ends; a revisit record has no payload of its own. Payloads are only
-shuffled once, and never by digest before copies are gone, so a payload that many pages share costs no more than any.
+A response record is header + payload + two line ends; a revisit record has no payload of its own, its original record
+is rebuilt with the payload that it shares. Payloads are shuffled once each way, never by digest before copies are
+gone, and joined to headers with hot payloads dealt out, so one that many pages share costs no more than any.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir
+from .common import heavy_join, only, release, shared_dir, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,37 +34,47 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
+def _uri(url: Column) -> Column:
+    """The url with each control character percent-encoded; urn:none for null."""
+    control = "[\\x00-\\x1F\\x7F]"
+    coded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    return F.coalesce(F.when(url.rlike(control), coded).otherwise(url), F.lit("urn:none"))
+
+
 def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = DATE) -> str:
     """Write pages(page_id long, url, html) and return the archive's folder.
 
     The payload is the html in UTF-8; null counts as empty. Of pages with equal payloads of at least least_bytes, the
     one with the largest page_id is the response and the others revisit it; repeated rows of that page_id are all
-    responses, and so are rows with a null page_id. A null url is written as urn:none, control characters in it are
+    responses, and so are rows with a null page_id. A null url is written as urn:none, each control character in it is
     percent-encoded. An empty table gives an empty archive. Other columns are ignored.
     """
     spark, path = pages.sparkSession, path or shared_dir(pages.sparkSession, "warc")
     rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    light = rows.select("page_id", "url", F.sha2("payload", 256).alias("key"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
+    light = written(rows.select("page_id", "url", F.sha2("payload", 256).alias("key"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes")), "light")
     largest = light.groupBy("key").agg(F.max("page_id").alias("response"))
-    one = light.join(largest, "key")
-    revisit = (F.col("page_id") != F.col("response")) & (F.col("n_bytes") >= least_bytes)
-    one = one.withColumn("revisit", F.coalesce(revisit, F.lit(False)))
+    one = heavy_join(light, largest, "key", "page_id")
+    revisit = F.coalesce((F.col("page_id") != F.col("response")) & (F.col("n_bytes") >= least_bytes), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _line("Content-Type", F.lit("text/html; charset=UTF-8")), _line("Content-Length", F.col("n_bytes").cast("string")), F.lit("\r\n"))
-    uri = F.coalesce(F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1F]", "%00"), F.lit("urn:none"))
     record = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
-    refers = F.when(F.col("revisit"), F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record("response")))).otherwise(F.lit(""))
-    length = F.octet_length(http) + F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n_bytes"))
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), _line("WARC-Record-ID", record("page_id")),
-        _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", uri), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), refers,
-        _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", length.cast("string")), F.lit("\r\n"), http,
-    )
-    one.select("page_id", F.encode(header, "UTF-8").alias("header"), "key").write.option("compression", "zstd").parquet(f"{path}/headers")
+
+    def header(kind: str, more: Column, payload_bytes: Column) -> Column:
+        length = (F.octet_length(http) + payload_bytes).cast("string")
+        head = F.concat(
+            F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.lit(kind)), _line("WARC-Record-ID", record("page_id")), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", _uri(F.col("url"))),
+            _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), more, _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", length), F.lit("\r\n"), http,
+        )
+        return F.encode(head, "UTF-8")
+
+    full = header("response", F.lit(""), F.col("n_bytes"))
+    short = header("revisit", F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record("response"))), F.lit(0))
+    one.select("page_id", F.when(revisit, short).otherwise(full).alias("header"), F.when(revisit, full).alias("original"), "key").write.option("compression", "zstd").parquet(f"{path}/headers")
     # the page of the largest page_id brings the payload: a join by page and key, so that no payload is a hot key
     kept = rows.withColumn("key", F.sha2("payload", 256)).alias("r").join(largest.alias("l"), (F.col("r.key") == F.col("l.key")) & F.col("r.page_id").eqNullSafe(F.col("l.response")), "left_semi")
     kept = kept.select("key", "payload")
-    twice = spark.read.schema("page_id long, key string").parquet(f"{path}/headers").groupBy("key", "page_id").count().where("count > 1").limit(1).count()
+    twice = light.groupBy("key", "page_id").count().where("count > 1").limit(1).count()
     (kept.dropDuplicates(["key"]) if twice else kept).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    release(spark)
     return path
 
 
@@ -73,27 +85,36 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("key", F.when(F.sha2("payload", 256) == F.col("key"), F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
 
 
+END = "\r\n\r\n"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the record's exact bytes, for every page."""
-    headers = spark.read.schema("page_id long, header binary, key string").parquet(f"{path}/headers")
-    is_response = F.decode("header", "UTF-8").contains("\r\nWARC-Type: response\r\n")
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    full = headers.where(is_response).join(_stored(spark, path), "key").select("page_id", F.concat("header", "payload", end).alias("record"))
-    return full.unionByName(headers.where(~is_response).select("page_id", F.concat("header", end).alias("record")))
+    """page_id; record, the exact bytes of the page's record; original, those of its response record: for a response the
+    same, for a revisit rebuilt from its own header and the payload that it shares; payload_at, where the payload starts
+    in original, from 0. A header without its payload is an error."""
+    headers = spark.read.schema("page_id long, header binary, original binary, key string").parquet(f"{path}/headers")
+    joined = heavy_join(headers, _stored(spark, path), "key", "page_id", how="left")
+    wrong = F.raise_error(F.concat(F.lit("no payload for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    payload, end = F.coalesce("payload", wrong.cast("binary")), F.encode(F.lit(END), "UTF-8")
+    full = F.coalesce("original", "header")
+    record = F.when(F.col("original").isNull(), F.concat("header", payload, end)).otherwise(F.concat("header", end))
+    return joined.select("page_id", record.alias("record"), F.concat(full, payload, end).alias("original"), F.octet_length(full).alias("payload_at"), "header")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, the payload's figures taken from
-    its stored bytes and held against the header's."""
-    headers = spark.read.schema("page_id long, header binary, key string").parquet(f"{path}/headers")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record: the payload's figures from the
+    rebuilt original record and held against the header's."""
+    rows = read_records(spark, path)
     text = F.decode("header", "UTF-8")
     field = lambda p: F.regexp_extract(text, f"\r\n{p}\r\n", 1)
-    told = headers.select("page_id", "key", field("WARC-Type: (\\w+)").alias("record_type"), F.nullif(field("WARC-Refers-To: <urn:page:(-?\\d+)>"), F.lit("")).cast("long").alias("refers_to"), field("WARC-Payload-Digest: sha1:(\\w+)").alias("told"))
-    sums = _stored(spark, path).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    joined = told.join(sums, "key", "left")
-    wrong = F.raise_error(F.concat(F.lit("no payload with the digest of page "), F.col("page_id").cast("string")))
-    digest = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong.cast("string"))
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    payload = F.substring("original", F.col("payload_at") + 1, F.octet_length("original") - F.col("payload_at") - len(END))
+    rows = rows.select(
+        "page_id", payload.alias("payload"), field("WARC-Type: (\\w+)").alias("record_type"), F.nullif(field("WARC-Refers-To: <urn:page:(-?\\d+)>"), F.lit("")).cast("long").alias("refers_to"),
+        field("WARC-Payload-Digest: sha1:(\\w+)").alias("told"),
+    )
+    rows = rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "told")
+    wrong = F.raise_error(F.concat(F.lit("the payload differs from the digest of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    return rows.withColumn("payload_digest", F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong.cast("string"))).drop("told")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

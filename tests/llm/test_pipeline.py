@@ -46,3 +46,26 @@ def test_stages(spark, tmp_path):
     assert sorted(r.sequence_id for r in packed) == list(range(len(packed)))
     assert {r.doc_id for r in packed} == set(ids["decontaminate"]) and all(len(np.frombuffer(r.ids, "<u4")) == r.length for r in packed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_clashing_columns_empty_tables_and_long_texts(spark, tmp_path):
+    rng = random.Random(5)
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(120_000))
+    rows = [(1, long, "en", "s", len(long), "x", 5, 1), (2, long + " more", "en", "s", 0, "x", 5, 1), (3, None, None, None, None, None, None, None), (None, long[:900], "en", "s", 900, "x", 5, 1)]
+    spark.conf.set("spark.sql.caseSensitive", "true")  # to make a table whose names differ only in case
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT string, text_hash int, Kept int")
+    spark.conf.unset("spark.sql.caseSensitive")
+    for docs in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            if docs is not wide:
+                assert out.count() == 0
+            elif name == "near_dup":
+                assert {r.doc_id for r in out.collect()} == {1, 3, None}
+            elif name == "suffix_dedup":
+                got = {r.doc_id: r.n_chars for r in out.collect()}
+                assert got[2] < 200 and got[3] is None and len(got) == 4
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ({1, 2, 3, None} if docs is wide else set())
