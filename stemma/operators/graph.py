@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.plans.state import written
+from stemma.plans.state import placed, shared_dir, written
 
 # The weight of a node type in salience.
 TYPE_WEIGHTS = {"定理": 1.0, "公理": 0.95, "定义": 0.9, "引理": 0.78, "命题": 0.72, "推论": 0.66, "性质": 0.6, "例子": 0.42}
@@ -48,30 +48,44 @@ def major_nodes(ranked: DataFrame, density: float) -> DataFrame:
     """ranked(id, salience): the top share by salience, at least one, ties by id; density is held within 0.05 and 1."""
     share = min(1.0, max(0.05, density))
     n = ranked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * share)).alias("_n"))
-    place = F.row_number().over(Window.orderBy(F.desc("salience"), "id"))
-    return ranked.withColumn("place", place).crossJoin(F.broadcast(n)).where("place <= _n").drop("_n")
+    return placed(ranked, "place", F.desc("salience"), F.col("id")).withColumn("place", (F.col("place") + 1).cast("int")).crossJoin(F.broadcast(n)).where("place <= _n").drop("_n")
 
 
-def longest_depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(src, dst) -> id, depth, cyclic: the longest path from nodes without an incoming edge.
 
     Nodes on a cycle, and those behind one, get the largest depth plus one and cyclic = true (the browser's loop would
-    never end there). Each round settles the nodes whose incoming edges all come from settled ones.
+    never end there). Round r settles, at depth r, the nodes whose last open incoming edge came from round r - 1. Only that
+    frontier moves: a round appends what it settled and the edges it used up by target; the edges still to use are written
+    anew once more than half of them are gone.
     """
-    edges = written(edges.select("src", "dst").where("src <> dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), "edges")
-    loops = edges.select(F.col("dst").alias("id")).distinct()
-    settled = written(nodes.select("id").distinct().join(loops, "id", "left_anti").select("id", F.lit(0).alias("depth")), "depth")
-    for turn in range(1, most_rounds):
-        left = edges.join(settled.select(F.col("id").alias("dst")), "dst", "left_anti")
-        came = left.join(settled.withColumnRenamed("id", "src"), "src", "left")
-        ready = came.groupBy(F.col("dst").alias("id")).agg(F.count_if(F.col("depth").isNull()).alias("open"), F.max("depth").alias("far")).where("open = 0")
-        now = written(settled.unionByName(ready.select("id", (F.col("far") + 1).alias("depth"))), "depth")
-        if now.count() == settled.count():
+    spark, ids = nodes.sparkSession, nodes.select("id").distinct()
+    settled, used = shared_dir(spark, "settled"), shared_dir(spark, "used")
+    edges = edges.select("src", "dst").where("src <> dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges = written(edges, "edges")
+    wanted = written(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("wanted")), "wanted")
+    kind, gone, size, depth = nodes.schema["id"].dataType.simpleString(), 0, edges.count(), 0
+    ids.join(wanted, "id", "left_anti").select("id", F.lit(0).alias("depth")).write.parquet(f"{settled}/round=0")
+    while True:
+        now = spark.read.schema(f"id {kind}, depth int").parquet(f"{settled}/round={depth}")
+        edges.join(now.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).write.parquet(f"{used}/round={depth}")
+        step = spark.read.schema(f"id {kind}, n long").parquet(f"{used}/round={depth}")
+        moved = step.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not moved:
             break
-        settled = now
-    top = settled.agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("top"))
-    rest = nodes.select("id").distinct().join(settled, "id", "left_anti").crossJoin(F.broadcast(top)).select("id", (F.col("top") + 1).alias("depth"), F.lit(True).alias("cyclic"))
-    return settled.withColumn("cyclic", F.lit(False)).unionByName(rest)
+        so_far = spark.read.schema(f"id {kind}, n long").parquet(*[f"{used}/round={r}" for r in range(depth + 1)])
+        ready = so_far.join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n")).join(wanted, "id").where("n = wanted")
+        depth += 1
+        ready.select("id", F.lit(depth).alias("depth")).write.parquet(f"{settled}/round={depth}")
+        gone += moved
+        if 2 * gone > size:
+            done = spark.read.schema(f"id {kind}, depth int").parquet(*[f"{settled}/round={r}" for r in range(depth)])
+            edges = written(edges.join(done.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
+            gone, size = 0, size - gone
+    every = spark.read.schema(f"id {kind}, depth int").parquet(*[f"{settled}/round={r}" for r in range(depth + 1)])
+    top = every.agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("top"))
+    rest = ids.join(every, "id", "left_anti").crossJoin(F.broadcast(top)).select("id", (F.col("top") + 1).alias("depth"), F.lit(True).alias("cyclic"))
+    return every.withColumn("cyclic", F.lit(False)).unionByName(rest)
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
@@ -123,6 +137,27 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return listed.select("src", "dst", "relation", joined.alias("reason"), "pos")
 
 
+def upsert_relations(nodes: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """edges(src, dst, label) with those of rows(src, dst, label) that it lacks and both whose ends are in nodes(id)."""
+    key, ids = ["src", "dst", "label"], nodes.select("id").distinct()
+    held = rows.select(key).distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.unionByName(held.select(key).join(edges, key, "left_anti"), allowMissingColumns=True)
+
+
+def delete_relations(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges(src, dst, label, ...) without those of gone(src, dst, label)."""
+    return edges.join(gone, ["src", "dst", "label"], "left_anti")
+
+
+def updated(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """table with the properties that rows has, by keys, where rows has a row; other properties and rows are kept."""
+    new = [c for c in rows.columns if c not in keys]
+    changes = rows.select(*keys, F.struct(*new).alias("_new"))
+    joined = table.join(changes, keys, "left")
+    kept = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns]
+    return joined.select(*kept, *[F.col(f"_new.{c}").alias(c) for c in new if c not in table.columns])
+
+
 def edge_priority(relation: Column, reason: Column) -> Column:
     """Explicit reasons before definitions before logic, longer reasons a little before shorter."""
     explicit = F.when(F.coalesce(reason, F.lit("")).rlike("^(?i)explicit"), 4.0).otherwise(0.0)
@@ -174,3 +209,23 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     g = gone.select("id").distinct()
     kept = edges.join(g.withColumnRenamed("id", "src"), "src", "left_anti").join(g.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(g, "id", "left_anti"), kept.select(edges.columns)
+
+
+def with_value(nodes: DataFrame, key: str, value, label: str | None = None) -> DataFrame:
+    """Nodes whose property has the value, of one label if given."""
+    rows = nodes if label is None else nodes.where(F.col("label") == label)
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def distinct_in_order(nodes: DataFrame, key: str) -> DataFrame:
+    """(value, place): the distinct values of a property in order, null last."""
+    return placed(nodes.select(F.col(key).alias("value")).distinct(), "place", F.col("value").asc_nulls_last())
+
+
+def title_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, title), edges(src_title, dst_title, label): nodes under their title, the second of equal ones with #2 and
+    so on; an edge between titles becomes one between each pair of their holders, as the view intends."""
+    place = F.row_number().over(Window.partitionBy("title").orderBy("id"))
+    named = nodes.where("title is not null").withColumn("unique_id", F.concat("title", F.when(place > 1, F.concat(F.lit("#"), place.cast("string"))).otherwise(F.lit(""))))
+    a, b = named.select(F.col("title").alias("src_title"), F.col("unique_id").alias("src")), named.select(F.col("title").alias("dst_title"), F.col("unique_id").alias("dst"))
+    return named, edges.join(a, "src_title").join(b, "dst_title").select("src", "dst", "label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.plans.state import placed
+
 
 def latest_before(probes: DataFrame, facts: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """For each probe (key, order, ...) the value of the key's latest fact strictly before it, or null: one sort, no range
@@ -54,32 +56,49 @@ def neighbours(units: DataFrame, by: str, pos: str, text: Column, n: int) -> Dat
     return units.withColumns({"before": F.collect_list(text).over(w.rowsBetween(-n, -1)), "after": F.collect_list(text).over(w.rowsBetween(1, n))})
 
 
+def _within(nodes: DataFrame, kind: str) -> DataFrame:
+    """nodes(id, kind, pos) with `_i`, the place within the kind in document order, and `_n`, the kind's size: places of
+    all rows less the first of the kind, so that a kind of any size is spread over many tasks."""
+    rows = placed(nodes, "_i", F.col(kind), F.col("pos"), F.col("id"))
+    first = rows.groupBy(kind).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    known = F.col(f"r.{kind}").eqNullSafe(F.col(f"f.{kind}"))
+    return rows.alias("r").join(first.alias("f"), known).select("r.*", (F.col("r._i") - F.col("f._first")).alias("_place"), "f._n", "f._first").drop("_i").withColumnRenamed("_place", "_i")
+
+
 def swimlanes(nodes: DataFrame, column: int = 230, row: int = 95) -> DataFrame:
     """nodes(id, kind, pos) with x and y: a lane per kind in order of its name, a row per node in document order."""
-    lane = F.dense_rank().over(Window.orderBy("kind")) - 1
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("pos", "id")) - 1
-    return nodes.withColumns({"x": lane * column, "y": place * row})
+    lanes = placed(nodes.select("kind").distinct(), "_lane", F.col("kind"))
+    rows = _within(nodes, "kind").alias("r").join(lanes.alias("l"), F.col("r.kind").eqNullSafe(F.col("l.kind"))).select("r.*", "l._lane")
+    return rows.withColumns({"x": (F.col("_lane") * column).cast("int"), "y": (F.col("_i") * row).cast("int")}).drop("_i", "_n", "_first", "_lane")
 
 
 def serpentine(nodes: DataFrame, column: int = 230, row: int = 160) -> DataFrame:
     """nodes(id, pos) on a grid in document order, every second row reversed; columns: max(4, round(sqrt(1.7 n)))."""
     n = nodes.agg(F.greatest(F.lit(4), F.floor(F.sqrt(1.7 * F.count("*")) + 0.5)).cast("int").alias("_cols"))
-    place = F.row_number().over(Window.orderBy("pos", "id")) - 1
-    at = nodes.withColumn("_i", place).crossJoin(F.broadcast(n))
+    at = placed(nodes, "_i", F.col("pos"), F.col("id")).crossJoin(F.broadcast(n))
     line = F.floor(F.col("_i") / F.col("_cols")).cast("int")
-    inside = F.col("_i") % F.col("_cols")
+    inside = (F.col("_i") % F.col("_cols")).cast("int")
     return at.withColumns({"x": F.when(line % 2 == 1, F.col("_cols") - 1 - inside).otherwise(inside) * column, "y": line * row}).drop("_i", "_cols")
 
 
 def layered(nodes: DataFrame, level: int = 165, gap: int = 215) -> DataFrame:
     """nodes(id, depth, pos) with x and y: a level per depth, its nodes in document order around 0."""
-    w = Window.partitionBy("depth")
-    place = F.row_number().over(w.orderBy("pos", "id")) - 1
-    return nodes.withColumns({"x": (place - (F.count("*").over(w) - 1) / 2) * gap, "y": F.col("depth") * level})
+    rows = _within(nodes, "depth")
+    return rows.withColumns({"x": (F.col("_i") - (F.col("_n") - 1) / 2) * gap, "y": F.col("depth") * level}).drop("_i", "_n", "_first")
+
 
+def trailing(events: DataFrame, by: str, ts: str, seconds: int, value: Column, bucket: int = 60) -> DataFrame:
+    """events with `n` and `total` over the seconds up to and with each event.
 
-def trailing(events: DataFrame, by: str, ts: str, seconds: int, value: Column) -> DataFrame:
-    """events with `n` and `total` over the seconds up to and with each event."""
+    Time is cut into buckets of `bucket` times the seconds; an event of a bucket's last seconds also goes to the next one
+    as context, so a busy group is spread over its buckets.
+    """
+    width, reach = bucket * seconds * 1_000_000, seconds * 1_000_000
     at = F.unix_micros(ts)
-    w = Window.partitionBy(by).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumns({"n": F.count("*").over(w), "total": F.sum(value).over(w)})
+    own = F.floor(at / width)
+    late = F.pmod(at, F.lit(width)) >= width - reach
+    copies = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = events.select("*", value.alias("_value"), at.alias("_at"), F.explode(copies).alias("_copy")).withColumn("_bucket", own + F.col("_copy"))
+    w = Window.partitionBy(by, "_bucket").orderBy("_at").rangeBetween(-reach, 0)
+    out = rows.withColumns({"n": F.count("*").over(w), "total": F.sum("_value").over(w)}).where("_copy = 0")
+    return out.drop("_value", "_at", "_copy", "_bucket")

@@ -35,35 +35,41 @@ class ContractError(ValueError):
 @dataclass
 class Plan:
     """Stages in order. Each one's tables are written below `folder`, and a manifest row marks it complete, so that a
-    second run goes on behind the last complete stage as long as the plan up to there is the same."""
+    second run goes on behind the last complete stage as long as the plan up to there, the tables that it was given and
+    the tables that it wrote are the same."""
 
     stages: list[Stage]
     folder: str
     done: list[str] = field(default_factory=list)
+    _marks: dict[str, list] = field(default_factory=dict)
 
-    def key(self, upto: int) -> str:
-        """The digest of the stages' names and contracts up to one."""
+    def key(self, upto: int, given: State) -> str:
+        """The digest of the stages' names and contracts up to one, and of the given tables that they need."""
         told = [(s.name, s.requires, s.produces, s.filled) for s in self.stages[: upto + 1]]
-        return hashlib.sha256(json.dumps(told).encode()).hexdigest()
+        made = {t for s in self.stages[:upto] for t in s.produces}
+        needed = sorted({t for s in self.stages[: upto + 1] for t in s.requires if t in given and t not in made})
+        marks = {t: self._marks.setdefault(t, mark(given[t])) for t in needed}
+        return hashlib.sha256(json.dumps([told, marks]).encode()).hexdigest()
 
-    def _complete(self, spark: SparkSession, i: int) -> bool:
-        path = f"{self.folder}/{i:02d}-{self.stages[i].name}/manifest"
+    def _complete(self, spark: SparkSession, i: int, given: State) -> bool:
+        where = f"{self.folder}/{i:02d}-{self.stages[i].name}"
         try:
-            rows = spark.read.schema("plan string").parquet(path).collect()
+            rows = spark.read.schema("plan string, tables string").parquet(f"{where}/manifest").collect()
+            same = [(r.plan, json.loads(r.tables)) for r in rows] == [(self.key(i, given), {t: mark(spark.read.parquet(f"{where}/{t}")) for t in self.stages[i].produces})]
         except Exception as e:  # noqa: BLE001  any reader's way to say that the path isn't there
             if "PATH_NOT_FOUND" in str(e):
                 return False
             raise
-        return [r.plan for r in rows] == [self.key(i)]
+        return same
 
     def execute(self, spark: SparkSession, state: State, resume: bool = True) -> State:
         """Run the stages that aren't complete yet; `done` tells which ones ran."""
-        state, fresh, self.done = dict(state), not resume, []
+        given, state, fresh, self.done, self._marks = dict(state), dict(state), not resume, [], {}
         for i, stage in enumerate(self.stages):
             if missing := [t for t in stage.requires if t not in state]:
                 raise ContractError(f"{stage.name} needs {missing}")
             where = f"{self.folder}/{i:02d}-{stage.name}"
-            if fresh or not self._complete(spark, i):
+            if fresh or not self._complete(spark, i, given):
                 fresh = True
                 made = stage.run(state)
                 if missing := [t for t in stage.produces if t not in made]:
@@ -73,12 +79,19 @@ class Plan:
                 for t in stage.filled:
                     if not spark.read.parquet(f"{where}/{t}").limit(1).count():
                         raise ContractError(f"{stage.name} made no row of {t}")
-                spark.createDataFrame([(self.key(i),)], "plan string").write.mode("overwrite").parquet(f"{where}/manifest")
+                tables = {t: mark(spark.read.parquet(f"{where}/{t}")) for t in stage.produces}
+                spark.createDataFrame([(self.key(i, given), json.dumps(tables))], "plan string, tables string").write.mode("overwrite").parquet(f"{where}/manifest")
                 self.done.append(stage.name)
             state |= {t: spark.read.parquet(f"{where}/{t}") for t in stage.produces}
         return state
 
 
+def mark(df: DataFrame) -> list:
+    """Columns, number of rows and an order-free sum of row hashes of a table."""
+    n, total = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return [df.columns, n, str(total)]
+
+
 class Runner(Protocol):
     """What answers tasks: a model, a command, a table. Returns None where it has no valid answer."""
 
@@ -143,8 +156,4 @@ def validated_answers(tasks: DataFrame, answers: DataFrame) -> DataFrame:
 
 def changed_tables(before: State, after: State) -> list[str]:
     """Names of tables whose rows differ, by count and an order-free sum of row hashes."""
-
-    def mark(df: DataFrame):
-        return tuple(df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first())
-
-    return sorted(n for n in after if n not in before or before[n].columns != after[n].columns or mark(before[n]) != mark(after[n]))
+    return sorted(n for n in after if n not in before or mark(before[n]) != mark(after[n]))

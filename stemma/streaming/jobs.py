@@ -60,15 +60,16 @@ def rates(events: DataFrame, ts: str, by: str, value: str, length: str = "60 sec
 
 
 def upsert_batches(target: str, keys: list[str]):
-    """A foreachBatch function that keeps the newest row per key (by `seq`) in a versioned Parquet table: each batch writes
-    version N + 1 from version N, so a batch that runs twice gives the same table. Single writer."""
+    """A foreachBatch function that keeps the newest row per key (by `seq`; of equal ones the later batch's) in a versioned
+    Parquet table: each batch writes version N + 1 from version N, so a batch that runs twice gives the same table, and a
+    batch that comes late replaces nothing newer. Single writer."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "seq").alias("_r")).select("_r.*")
+        rows = batch.withColumn("_epoch", F.lit(epoch))
         if epoch:
-            old = spark.read.schema(batch.schema).parquet(f"{target}/v{epoch - 1}")
-            newest = old.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/v{epoch - 1}")
+            rows = rows.unionByName(old.withColumn("_epoch", F.lit(-1)))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct("seq", "_epoch")).alias("_r")).select("_r.*")
         newest.write.mode("overwrite").parquet(f"{target}/v{epoch}")
 
     return write

@@ -15,6 +15,10 @@ def test_plan_runs_once_and_resumes(spark, tmp_path):
     other = P.Plan([one, P.Stage("two", two.run, ("b",), ("c",), ("c",))], f"{tmp_path}/run")
     other.execute(spark, {"a": spark.range(3)})
     assert other.done == ["two"]
+    # another input, and a stored output that isn't what was written, count as not done
+    assert other.execute(spark, {"a": spark.range(4)})["c"].count() == 3 and other.done == ["one", "two"]
+    spark.range(9).withColumn("x", F.col("id")).write.mode("overwrite").parquet(f"{tmp_path}/run/01-two/c")
+    assert other.execute(spark, {"a": spark.range(4)})["c"].count() == 3 and other.done == ["two"]
     with pytest.raises(P.ContractError):
         plan.execute(spark, {})
     with pytest.raises(P.ContractError):
@@ -109,3 +113,12 @@ def test_graph_and_versions(spark, tmp_path):
     (v / "a.bin").write_bytes(b"2")
     (v / "b.bin").write_bytes(b"2")
     assert {tuple(r) for r in R.version_problems(saved, R.version_manifest(spark, str(v))).collect()} == {("a.bin", "digest"), ("b.bin", "extra")}
+
+
+def test_late_rows_replace_nothing_newer(spark, tmp_path):
+    write = J.upsert_batches(f"{tmp_path}/t", ["job"])
+    for epoch, rows in enumerate(([("a", 5, "new"), ("b", 1, "x")], [("a", 2, "late"), ("b", 1, "again"), ("c", 1, "y")])):
+        batch = spark.createDataFrame(rows, "job string, seq long, status string")
+        write(batch, epoch)
+        write(batch, epoch)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/v1").collect()) == [("a", 5, "new"), ("b", 1, "again"), ("c", 1, "y")]
