@@ -68,6 +68,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
+def raw_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one length, not a number where either is of norm 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(float("nan")))
+
+
 # URL parameters that carry a signature or a secret, and words that introduce one in text.
 SECRET_PARAMETERS = ("signature", "token", "access_token", "expires", "ossaccesskeyid", "x-oss-signature", "x-amz-signature", "x-amz-credential", "x-amz-security-token", "utm_source", "ref")
 
@@ -84,3 +91,16 @@ def redact_text(text: Column, secrets: tuple[str, ...] = ()) -> Column:
         text = F.replace(text, F.lit(s), F.lit("[redacted]"))
     text = F.regexp_replace(text, "(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]")
     return F.regexp_replace(text, "(?i)\\b(api[_-]?key|password|secret|token)(\\s*[=:]\\s*)[^\\s&,;]+", "$1$2[redacted]")
+
+
+def first_filled(*names: str) -> Column:
+    """The first of the columns that has more than white space; empty without one."""
+    return F.coalesce(*[F.when(F.trim(n) != "", F.col(n)) for n in names], F.lit(""))
+
+
+def json_hash(json: Column) -> Column:
+    """SHA-256 of a flat JSON object with its keys in order and no blanks; null for text that is no object."""
+    keys = F.array_sort(F.json_object_keys(json))
+    raw = F.from_json(json, "map<string,string>")
+    quoted = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.element_at(raw, k)))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")), 256)

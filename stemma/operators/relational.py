@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.plans.state import placed
+
 
 def selected_fields(nodes: DataFrame, kinds: list[str], paths: dict[str, str], include_missing: bool = False) -> DataFrame:
     """nodes(id, node_type, json): those of the kinds (none: all) with the values at JSON paths; unless missing ones are
@@ -23,7 +25,7 @@ def catalogue(nodes: DataFrame) -> DataFrame:
 def order_by_key(df: DataFrame, key: str) -> DataFrame:
     """df with `place` from 0: whole-number keys first, by value, then the others by text."""
     number = F.expr(f"try_cast(`{key}` as bigint)")
-    return df.withColumn("place", F.row_number().over(Window.orderBy(number.isNull(), number, key)) - 1)
+    return placed(df, "place", number.isNull(), number, F.col(key))
 
 
 def history(rows: DataFrame, owner: str, limit: int) -> DataFrame:
@@ -46,6 +48,12 @@ def found_text(rows: DataFrame, fields: list[str], query: str, limit: int = 30)
     return rows.where(hit).orderBy("id").limit(limit)
 
 
+def visible(shown: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges(src, dst, ...) both of whose ends are in shown(id)."""
+    ids = shown.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Children whose key is set and has no parent."""
     keys = parents.select(F.col(parent_key).alias(child_key)).distinct()

@@ -47,3 +47,17 @@ def explicit_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     relation = F.when(F.lower("type").isin("定义", "公理", "definition", "axiom"), "definition").otherwise("logic")
     rows = links.where("target is not null and target <> pos").select("doc_id", "pos", "target").join(kind, ["doc_id", "target"])
     return rows.select("doc_id", F.col("pos").alias("dependent"), F.col("target").alias("support"), relation.alias("relation")).distinct()
+
+
+def reference_quality(links: DataFrame) -> DataFrame:
+    """Resolved hits (doc_id, target, reason) -> per document the hits, those unresolved, and those by reason."""
+    per = {"no_candidate": "no_candidate", "only_forward": "only_forward_candidate", "ambiguous": "duplicate_label_or_alias"}
+    counts = [F.count_if(F.col("reason") == why).alias(name) for name, why in per.items()]
+    return links.groupBy("doc_id").agg(F.count_if(F.col("target").isNull()).alias("unresolved"), *counts, F.count("*").alias("hits"))
+
+
+def candidate_places(nodes: DataFrame) -> DataFrame:
+    """nodes(doc_id, pos, type, number, aliases) -> (doc_id, key, candidates): every place of each type with number and of
+    each alias, in order; a statement that has an alias twice is listed twice, so that such an alias isn't unique."""
+    numbered = nodes.where("type is not null and number is not null").select("doc_id", F.concat_ws("\0", "type", "number").alias("key"), "pos")
+    return numbered.unionByName(nodes.select("doc_id", F.explode("aliases").alias("key"), "pos")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("pos")).alias("candidates"))

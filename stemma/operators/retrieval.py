@@ -6,9 +6,13 @@ document, so every join is partitioned by document.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.plans.state import placed
+
 RRF_K = 60
 
 
@@ -228,3 +232,94 @@ def reranked(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     missing = F.raise_error(F.concat(F.lit("no score for "), F.col("candidate_id"))).cast("double")
     joined = candidates.join(scores.dropDuplicates(["candidate_id"]), "candidate_id", "left").withColumn("rerank_score", F.coalesce(F.col("rerank_score").cast("double"), missing))
     return joined.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("doc_id", "dependent", "kind").orderBy(F.desc("rerank_score"), F.desc(F.round("rrf", 9)), "support")))
+
+
+def threshold_coverage(conditions: Column, conclusions: Column, similarity, least: float) -> Column:
+    """The share of condition vectors with a conclusion vector whose similarity is over `least`; 0 when either side is empty."""
+    hit = F.filter(conditions, lambda c: F.exists(conclusions, lambda d: similarity(c, d) > least))
+    return F.when((F.size(conditions) == 0) | (F.size(conclusions) == 0), 0.0).otherwise(F.size(hit) / F.size(conditions))
+
+
+def embedding_keys(texts: DataFrame, model: str) -> DataFrame:
+    """texts(doc_id, text) -> (key, text, first_doc, uses): distinct normal texts (lower case, white space folded) with the
+    SHA-256 of model and text, under which a vector is kept; blank texts have none."""
+    normal = F.lower(F.trim(F.regexp_replace("text", "(?U)\\s+", " ")))
+    rows = texts.select("doc_id", normal.alias("text")).where("text <> ''")
+    return rows.groupBy("text").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses")).withColumn("key", F.sha2(F.concat(F.lit(model), F.lit("\0"), F.col("text")), 256))
+
+
+def embedding_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """keys without a valid vector in cache(key, vector): empty ones, ones of zeros and ones with a value that is no finite
+    number don't count."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    valid = cache.where((F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
+    return keys.join(valid.select("key").distinct(), "key", "left_anti")
+
+
+def shared_symbol_scores(symbols: DataFrame, most_units: int) -> DataFrame:
+    """symbols(unit, symbol), distinct -> (dependent, support, score) of pairs support < dependent: the sum of ln(1 + N / df)
+    over the symbols that both have and that at most `most_units` units have. Frequent symbols tell nothing, and without
+    them no symbol makes more than most_units squared pairs."""
+    n = symbols.select("unit").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    rare = symbols.groupBy("symbol").agg(F.count("*").alias("df")).where(F.col("df") <= most_units)
+    rows = symbols.join(rare, "symbol")
+    a, b = rows.select("symbol", "df", F.col("unit").alias("dependent")), rows.select("symbol", F.col("unit").alias("support"))
+    pairs = a.join(b, "symbol").where("support < dependent").crossJoin(F.broadcast(n))
+    return pairs.groupBy("dependent", "support").agg(F.sum(F.log1p(F.col("n") / F.col("df"))).alias("score"))
+
+
+#: Query vectors that a task holds at once.
+QUERY_BLOCK = 4096
+
+
+def nearest_before(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors(vec_id, embedding), queries alike -> (dependent, support, score): candidates for the k nearest vectors of
+    lesser id of each query, by cosine (0 for a zero vector).
+
+    Queries come in blocks of QUERY_BLOCK, sent to all tasks one block after the other; a task multiplies matrices and
+    keeps k for each query, and all that tie with the k-th within the rounding of a score, so a block gives at most some
+    k rows per query and task.
+    """
+    spark = vectors.sparkSession
+    numbered = placed(queries.select("vec_id", "embedding"), "_at", F.col("vec_id"))
+    out = None
+    for lo in range(0, max(1, queries.count()), QUERY_BLOCK):
+        rows = numbered.where((F.col("_at") >= lo) & (F.col("_at") < lo + QUERY_BLOCK)).orderBy("_at").toArrow()
+        ids = rows["vec_id"].to_numpy()
+        block = spark.sparkContext.broadcast((ids, _unit_rows(rows["embedding"], len(ids))))
+        part = vectors.select("vec_id", "embedding").mapInArrow(_best_of_block(block, k), "dependent long, support long, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _unit_rows(column, n: int) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zero vectors stay zero."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(n, -1) if n else np.empty((0, 0))
+    norm = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    return rows / np.where(norm == 0, 1, norm)
+
+
+def _best_of_block(block, k: int):
+    def run(batches):
+        ids, q = block.value
+        best: list[pa.RecordBatch] = []
+
+        def least(x: np.ndarray, s: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((-score, x))
+            x, s, score = x[order], s[order], score[order]
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, int)
+            kth = np.minimum(start + k - 1, np.r_[start[1:], len(x)] - 1)
+            keep = score >= np.repeat(score[kth], np.diff(np.r_[start, len(x)])) - 2e-6
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(s[keep]), pa.array(score[keep])], names=["dependent", "support", "score"])
+
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            v = b.column(0).to_numpy(zero_copy_only=False)
+            scores = q @ _unit_rows(pa.chunked_array([b.column(1)]), b.num_rows).T
+            x, s = np.nonzero(v[None, :] < ids[:, None])
+            best = [least(*(np.concatenate(c) for c in zip(*([y.column(i).to_numpy() for i in range(3)] for y in [*best, least(ids[x], v[s], scores[x, s])]), strict=True)))]
+        yield from best
+
+    return run

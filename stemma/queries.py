@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +13,9 @@ from stemma.operators import ordered as O
 from stemma.operators import relational as R
 from stemma.operators import retrieval as V
 from stemma.operators import segment as S
+from stemma.registry import ORACLES, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # Conversations as documents of ordered units: retrieval.
@@ -355,10 +337,8 @@ def final_selection_implicit(spark, sf_dir):
 def dense_topk_predecessors(spark, sf_dir):
     """The 20 nearest earlier vectors of each query vector (those whose id is divisible by 100), against all."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("dependent"), F.col("embedding").alias("a"))
-    pairs = q.join(e.select(F.col("vec_id").alias("support"), F.col("embedding").alias("b")), F.col("support") < F.col("dependent"))
-    scores = pairs.select("dependent", "support", F.round(T.cosine(F.col("a"), F.col("b")), 6).alias("score"))
-    return V.ranked(scores, 20, ("dependent",))
+    found = V.nearest_before(e, e.where("vec_id % 100 = 0"), 20).withColumn("score", F.round("score", 6))
+    return V.ranked(found, 20, ("dependent",))
 
 
 # Events, conversations and documents in order.
@@ -501,11 +481,11 @@ def type_histogram(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(K.is_definition(t)).alias("definitions"), F.count_if(K.is_relation(t)).alias("relations"), F.count_distinct(K.normal_type(t)).alias("kinds"))
 
 
-@query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), '1') ORDER BY p_partkey LIMIT 30""")
+@query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'cold') OR contains(lower(p_type), 'cold') ORDER BY p_partkey LIMIT 30""")
 def substring_search(spark, sf_dir):
     """The first 30 parts whose name or type has the text."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_type")
-    return R.found_text(p, ["name", "p_type"], "1").select("id", "name")
+    return R.found_text(p, ["name", "p_type"], "Cold").select("id", "name")
 
 
 # Trade between nations as a graph.
@@ -745,11 +725,11 @@ _NUMBERS = "[A-Za-z]?\\d+(?:[.\\-][A-Za-z0-9]+)*|[IVXLCDM]+|[A-Z]"
 
 @query(f"""SELECT conv_id, turn, array_to_string(list_filter([
     CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'document_initial' END,
-    CASE WHEN regexp_matches(text, '(?i)^\\s*(#{{1,6}}\\s+|chapter\\b|section\\b|appendix\\b)') THEN 'heading_like' END,
-    CASE WHEN regexp_matches(text, '(?i)^\\s*(proof\\b|证明|证)') THEN 'proof_like' END,
-    CASE WHEN regexp_matches(text, '(?i)^\\s*(\\([a-zivxlcdm0-9]+\\)|[a-zivxlcdm]\\)|[（][a-zivxlcdm0-9]+[）])\\s+') THEN 'subpart_like' END,
-    CASE WHEN regexp_matches(text, '(?i)\\b({_KINDS})\\s+({_NUMBERS})\\b') THEN 'embedded_reference' END,
-    CASE WHEN regexp_matches(text, '\\n[ \\t]*\\n\\s*$') THEN 'paragraph_boundary' END], lambda f: f IS NOT NULL), ',') AS flags FROM conversations""")
+    CASE WHEN regexp_matches(trim(text), '(?i)^(#{{1,6}}\\s|(?:chapter|section|appendix)\\b|第.+[章节])') THEN 'heading_like' END,
+    CASE WHEN regexp_matches(trim(text), '(?i)^(proof|证明|证)([^\\pL\\pN_]|$)') THEN 'proof_like' END,
+    CASE WHEN regexp_matches(trim(text), '(?i)^([(（][a-zivxlcdm0-9]+[)）]|[a-zivxlcdm][)])\\s') THEN 'subpart_like' END,
+    CASE WHEN regexp_matches(regexp_extract(trim(text), '(?is)^(.*?)\\b(?:{_KINDS})\\s+(?:{_NUMBERS})\\b', 1), '(?i)(^|[^\\pL\\pN_])(?:by|see|from|using|according\\s+to|apply|follows\\s+from|theorem|lemma|proposition|corollary|definition|reference|参见|由|根据)([^\\pL\\pN_]|$)') THEN 'embedded_reference' END,
+    CASE WHEN contains(text, chr(10) || chr(10)) THEN 'paragraph_boundary' END], lambda f: f IS NOT NULL), ',') AS flags FROM conversations""")
 def unit_flags(spark, sf_dir):
     """Boundary evidence of each turn."""
     c = table(spark, sf_dir, "conversations")
@@ -799,3 +779,6 @@ def edge_checks(spark, sf_dir):
     """Items as edges between parts, checked."""
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return R.checked_edges(e, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).select("l_orderkey", "l_linenumber", "problem")
+
+
+from stemma import queries_store, queries_text  # noqa: E402, F401  register their queries
