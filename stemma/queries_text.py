@@ -132,10 +132,11 @@ def unit_batches(spark, sf_dir):
     return S.batched(c, "conv_id", "turn", "n", 200)
 
 
-@query("""WITH t AS (SELECT doc_id, text, regexp_replace(text, '\\$\\$', '  ', 'g') AS u FROM documents WHERE length(text) > 400),
-    c AS (SELECT doc_id, p, text FROM (SELECT doc_id, text, u, unnest(range(1, length(text))) AS p FROM t) WHERE contains('.!?;', substr(text, p, 1)) AND regexp_matches(substr(text, p + 1, 1), '\\s')
-          AND (length(substr(u, 1, p - 1)) - length(replace(substr(u, 1, p - 1), '$', ''))) % 2 = 0)
-    SELECT doc_id, count(*) AS places, min(p) AS first_place, max(p) AS last_place FROM c GROUP BY ALL""")
+@query("""WITH t AS (SELECT doc_id, string_split(replace(text, '$$', '  '), '$') AS p FROM documents WHERE length(text) > 400), pc AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM t),
+    b AS (SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pc),
+    s AS (SELECT doc_id, i, before, len(q) AS n, generate_subscripts(q, 1) AS k, unnest(q) AS sentence FROM (SELECT *, string_split(regexp_replace(piece, '([.!?;])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS q FROM b WHERE i % 2 = 1)),
+    c AS (SELECT doc_id, k, n, (before + sum(length(sentence)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS p FROM s)
+    SELECT doc_id, count(*) AS places, min(p) AS first_place, max(p) AS last_place FROM c WHERE k < n GROUP BY ALL""")
 def sentence_places(spark, sf_dir):
     """Where prose may be cut: behind .!?; before white space, outside inline math."""
     d = table(spark, sf_dir, "documents").where(F.length("text") > 400)
