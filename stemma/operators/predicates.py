@@ -47,12 +47,15 @@ def sorts_compatible(a: Column, b: Column, parents: dict[str, list[str]] | None
 
 def candidate_pairs(entries: DataFrame, parents: dict[str, list[str]] | None = None, least_similarity: float = 0.5) -> DataFrame:
     """Pairs (x, y, score) of entries of equal arity and compatible sorts with one more reason in common: an equal key
-    or name, or templates or glosses with enough words shared. Pairs are made by joins on what they share, so entries
-    without any common word or key never meet."""
+    or name, or templates or glosses with enough words shared. Pairs are made by joins on keys and on the words of a prefix:
+    with words in order of rarity, two lists of n words that reach the least similarity share one of the first
+    n - ceil(least * n) + 1, so common words make no pairs and no pair is lost."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9{}]+"), lambda w: w != ""))
     e = entries.select("pos", "arity", "sorts", snake_key(F.col("predicate")).alias("sk"), name_key(F.col("name")).alias("nk"), words("template").alias("tw"), words("gloss").alias("gw"))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("s:"), "sk"), F.concat(F.lit("n:"), "nk")), F.transform("tw", lambda w: F.concat(F.lit("t:"), w)), F.transform("gw", lambda w: F.concat(F.lit("g:"), w))))
+    keys = F.array_distinct(F.array(F.concat(F.lit("s:"), "sk"), F.concat(F.lit("n:"), "nk")))
     blocks = e.select("pos", "arity", F.explode(keys).alias("key"))
+    for c, tag in (("tw", "t:"), ("gw", "g:")):
+        blocks = blocks.unionByName(_prefixes(e.select("pos", "arity", F.col(c).alias("words")), least_similarity).select("pos", "arity", F.concat(F.lit(tag), "word").alias("key")))
     met = blocks.select(F.col("pos").alias("x"), "arity", "key").join(blocks.select(F.col("pos").alias("y"), "arity", "key"), ["arity", "key"]).where("x < y").select("x", "y").distinct()
     a, b = (e.select(F.col("pos").alias(p), *[F.col(c).alias(f"{c}{p}") for c in ("sorts", "sk", "nk", "tw", "gw")]) for p in "xy")
     both = met.join(a, "x").join(b, "y").where(sorts_compatible(F.col("sortsx"), F.col("sortsy"), parents))
@@ -63,6 +66,16 @@ def candidate_pairs(entries: DataFrame, parents: dict[str, list[str]] | None = N
     return both.where(reason).select("x", "y", F.round(F.least(score, F.lit(1.0)), 4).alias("score"))
 
 
+def _prefixes(entries: DataFrame, least: float) -> DataFrame:
+    """entries(pos, arity, words) -> (pos, arity, word): the rarest words, as many as a pair of similarity `least` must share
+    one of."""
+    each = entries.select("pos", "arity", F.explode("words").alias("word"))
+    known = each.join(each.groupBy("word").agg(F.count("*").alias("df")), "word")
+    listed = known.groupBy("pos", "arity").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    n = F.size("w")
+    return listed.select("pos", "arity", F.explode(F.slice("w", F.lit(1), (n - F.ceil(least * n) + 1).cast("int"))).alias("w")).select("pos", "arity", "w.word")
+
+
 def candidate_groups(pairs: DataFrame) -> DataFrame:
     """(group, size, most, members): components of the pairs, larger first, then by best score, then by least member."""
     named = components(pairs)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,18 @@ def test_graph_cycles_and_merge(spark):
     assert {(r.src, r.dst): r.problem for r in checked.collect()} == {(0, 0): "self_loop", (0, 9): "missing_target", (9, 0): "missing_source", (0, 1): None}
     t = spark.createDataFrame([(1, "a")], "id int, name string")
     assert {tuple(r) for r in G.merge_nodes(t, spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], t.schema)).collect()} == {(1, "a"), (1, "b")}
+
+
+def test_candidate_pairs_by_prefix_lose_none(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    words = lambda n: " ".join(rng.choices(vocab, k=rng.randrange(n)))
+    rows = [(i, rng.choice(["IsA", "Divides", f"N{i}"]), f"n{i % 17}", 1, ["Set"], words(5), words(6)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos int, predicate string, name string, arity int, sorts array<string>, template string, gloss string")
+
+    def alike(a, b):
+        a, b = set(a.split()), set(b.split())
+        return bool(a and b) and len(a & b) / len(a | b) >= 0.5
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] or a[2] == b[2] or alike(a[5], b[5]) or alike(a[6], b[6]))}
+    assert {(r.x, r.y) for r in P.candidate_pairs(df).collect()} == want
