@@ -25,9 +25,9 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: The vector's parts, each with the least standard deviation that an estimate may have: most clean texts have no
 #: symbol and no repeated line at all, and a scatter of 0 would reject the first that has.
-#: The limit is six times that, so each part can reject by itself: x_lines from a share of 0.53 repeated lines,
-#: x_repeats of 0.44 repeated words, the base limit being 0.5.
-X = {"x_words": 0.5, "x_length": 0.25, "x_symbols": 0.3, "x_lines": 0.12, "x_repeats": 0.11}
+#: The limit is 7.1 times that, so each part can reject by itself: x_lines from a share of 0.73 repeated lines,
+#: x_repeats of 0.46 repeated words, the base limit being 0.5. A short text with one line twice has some of both and stays.
+X = {"x_words": 0.5, "x_length": 0.25, "x_symbols": 0.3, "x_lines": 0.12, "x_repeats": 0.095}
 CORE = 0.75
 #: Cells of the grid per unit of ln(squared distance), and per unit of a part of X for the first start.
 GRID, PART_GRID = 16, 64
@@ -231,7 +231,7 @@ def core_estimates(each: DataFrame, n: int) -> DataFrame:
     return written(best.join(middle.select("group", scale.alias("scale")), "group"), "estimates")
 
 
-def judged(docs: DataFrame, tail: float = 1e-6, least: int = 200) -> DataFrame:
+def judged(docs: DataFrame, tail: float = 1e-9, least: int = 200) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, lang, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, distance (null where base_failed) and kept: one row per row.
 
