@@ -311,3 +311,66 @@ def symbol_idf_scores(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     symbols = c.select(F.col("conv_id").alias("unit"), F.explode(F.split(F.lower("text"), " ")).alias("symbol")).where("symbol <> ''").distinct()
     return V.shared_symbol_scores(symbols, most_units=8).select("dependent", "support", F.round("score", 6).alias("score"))
+
+
+# Predicate groups and the registry.
+
+USES = Sample("uses_", {"pos": "int", "predicate": "string", "name": "string", "arity": "int", "sorts": "array<string>", "template": "string", "gloss": "string"}, [
+    (0, "IsPrime", "isPrime", 1, ["Int"], "{Int} is prime", "a whole number without divisors"), (1, "Prime", "is_prime", 1, ["Entity"], "{Int} is a prime", "number without proper divisors"), (2, "Divides", "divides", 2, ["Int", "Int"], "{Int} divides {Int}", "a divisor of"),
+    (3, "DividesOf", "divides", 2, ["Int", "Entity"], "{A} divides {B}", "is a divisor of"), (4, "Divides", "DIVIDES", 2, ["Set", "Int"], "x", "none"), (5, "SubsetOf", "subset", 2, ["Set", "Set"], "{Set} within {Set}", "is contained in"), (6, "Contains", "within", 2, ["Set", "Set"], "{Set} within {Set}", "contains"), (7, "Lone", "lone", 1, ["Set"], "", None),
+])
+_BAG = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9{{}}]+'), lambda w: w <> ''))"
+_SNAKE_OF = _SNAKE.replace("coalesce(name, '')", "coalesce(predicate, '')")
+_PAIRS = f"""{USES.sql}, ue AS (SELECT pos, arity, sorts, {_SNAKE_OF} AS sk, upper(regexp_replace(coalesce(name, ''), '[^A-Za-z0-9]+', '', 'g')) AS nk, {_BAG.format(c="template")} AS tw, {_BAG.format(c="gloss")} AS gw FROM uses_),
+    uj AS (SELECT a.pos AS x, b.pos AS y, (a.sk = b.sk)::INT AS s, (a.nk = b.nk)::INT AS n, CASE WHEN len(a.tw) = 0 OR len(b.tw) = 0 THEN 0 ELSE len(list_intersect(a.tw, b.tw)) / len(list_distinct(list_concat(a.tw, b.tw))) END AS t,
+    CASE WHEN len(a.gw) = 0 OR len(b.gw) = 0 THEN 0 ELSE len(list_intersect(a.gw, b.gw)) / len(list_distinct(list_concat(a.gw, b.gw))) END AS g FROM ue a JOIN ue b ON a.pos < b.pos AND a.arity = b.arity AND len(a.sorts) = len(b.sorts)
+    AND len(list_filter(range(1, len(a.sorts) + 1), lambda i: NOT (a.sorts[i] = b.sorts[i] OR a.sorts[i] = 'Entity' OR b.sorts[i] = 'Entity'))) = 0),
+    up AS (SELECT x, y, round(least(0.45 * s + 0.25 * n + 0.2 * t + 0.1 * g, 1), 4) AS score FROM uj WHERE s > 0 OR n > 0 OR t >= 0.5 OR g >= 0.5)"""
+
+
+@query(f"WITH {_PAIRS} SELECT x, y, score FROM up")
+def predicate_pairs(spark, sf_dir):
+    """Uses that may name one predicate, with the score of what they share."""
+    return P.candidate_pairs(USES.frame(spark))
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, ul AS (SELECT x, y FROM up UNION ALL SELECT y, x FROM up), ur AS (SELECT DISTINCT x AS id, x AS other FROM ul UNION SELECT ur.id, ul.y FROM ur JOIN ul ON ul.x = ur.other), uc AS (SELECT id, min(other) AS c FROM ur GROUP BY id),
+    ug AS (SELECT c, count(*) AS size, list_sort(list(id)) AS members FROM uc GROUP BY c), ub AS (SELECT c, max(score) AS most FROM up JOIN uc ON uc.id = up.x GROUP BY c)
+    SELECT row_number() OVER (ORDER BY size DESC, most DESC, c) AS "group", size, most, members FROM ug JOIN ub USING (c)""")
+def predicate_groups(spark, sf_dir):
+    """Groups of such uses, larger and surer ones first."""
+    return P.candidate_groups(P.candidate_pairs(USES.frame(spark)))
+
+
+@query(f"""WITH {USES.sql}, k AS (SELECT *, arity AS cluster FROM uses_), c AS (SELECT cluster, name, count(*) AS n, min(pos) AS pl FROM k GROUP BY ALL), b AS (SELECT cluster, arg_max(name, n * 1000 - pl) AS name FROM c GROUP BY ALL)
+    SELECT k.cluster, b.name, list_sort(list(DISTINCT k.name)) AS names, count(DISTINCT k.template) AS templates FROM k JOIN b USING (cluster) GROUP BY k.cluster, b.name""")
+def predicate_registry(spark, sf_dir):
+    """The registry of predicates by cluster: the most common name, the first on ties, and all names."""
+    r = P.registry(USES.frame(spark).withColumn("cluster", F.col("arity")))
+    return r.select("cluster", "name", "names", F.size("templates").cast("long").alias("templates"))
+
+
+@query(f"WITH {USES.sql} SELECT arity, list_sort(list(DISTINCT name)) AS names, count(*) AS merged FROM uses_ GROUP BY arity")
+def merged_registry(spark, sf_dir):
+    """Registry entries of one key, arity and sorts merged with all their names."""
+    rows = USES.frame(spark).select(F.lit("P_X").alias("key"), "arity", F.array(F.lit("Set")).alias("sorts"), F.array("name").alias("names"), F.array("template").alias("templates"))
+    return P.merged_registry(rows).select("arity", "names", "merged")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS dependent, l_linenumber - 1 AS support, CASE WHEN l_linestatus = 'F' THEN 'definition' ELSE 'logic' END AS kind, l_discount AS rrf, l_suppkey, l_partkey FROM lineitem),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY round(rrf, 9) DESC, l_suppkey * 1000000 + l_partkey) AS k FROM c)
+    SELECT doc_id, kind, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(rrf, 9) DESC, l_suppkey * 1000000 + l_partkey) AS p FROM k WHERE kind <> 'definition' OR k <= 1) WHERE p <= 3 GROUP BY ALL""")
+def parent_group_cap(spark, sf_dir):
+    """The cap before reranking per parent group: three in all, one definition."""
+    i = table(spark, sf_dir, "lineitem")
+    c = i.select(F.col("l_orderkey").alias("doc_id"), F.lit("p").alias("parent"), F.lit(0).alias("dependent"), (-(F.col("l_suppkey") * 1_000_000 + F.col("l_partkey"))).alias("support"), F.when(F.col("l_linestatus") == "F", "definition").otherwise("logic").alias("kind"), F.lit(False).alias("alias"), F.lit(False).alias("protected"), F.col("l_discount").alias("rrf"))
+    return V.capped(c, 3, 1, per="parent").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+NODES_SEALED = Sample("sealed_", {"id": "int", "node_type": "string", "source_original_form": "string", "content": "string"}, [(1, "theorem", "Let  x", "other"), (2, "definition", None, "A  set\tof"), (3, "定理", "设 x", None), (4, "example", "  ", "see below"), (5, "definition", "given", "content")])
+
+
+@query(f"WITH {NODES_SEALED.sql}, s AS (SELECT id, CASE WHEN node_type IN ('theorem', '定理') THEN source_original_form WHEN trim(coalesce(source_original_form, '')) <> '' THEN source_original_form ELSE content END AS src FROM sealed_) SELECT id, md5(trim(regexp_replace(coalesce(src, ''), '\\s+', ' ', 'g'))) AS global_id, sha256(coalesce(src, '')) AS source_sha256 FROM s")
+def sealed_nodes(spark, sf_dir):
+    """Global id and digest of the source text of nodes."""
+    return N.sealed(NODES_SEALED.frame(spark)).select("id", "global_id", "source_sha256")
