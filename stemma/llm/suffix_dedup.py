@@ -279,7 +279,7 @@ def _rounds(texts: DataFrame, parts: DataFrame, length: int, bits: int) -> DataF
     rows = texts.join(parts, "ord").select("ord", "text", "parts").mapInArrow(ranks(length, bits), "a long, b long, pos long, c long, d long")
     none = F.lit(0).cast("long")
     for last in (False, False, True):
-        rows = written(doubled(rows), "round")
+        rows = doubled(rows)
         release(spark)
         if not last:
             rows = rows.select(F.col("rank").alias("a"), F.col("c").alias("b"), "pos", F.col("d").alias("c"), none.alias("d"))
