@@ -224,7 +224,7 @@ def _built(path: str, window: int):
 
 def _words_sql(text):
     """How many words a text has, in the JVM."""
-    return F.size(F.regexp_extract_all(text, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))).cast("long")
+    return F.size(F.regexp_extract_all(F.lower(text), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))).cast("long")
 
 
 def automata(benchmark: DataFrame, window: int) -> list[str]:

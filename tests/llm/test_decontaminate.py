@@ -34,7 +34,7 @@ def cases(seed):
     rng = random.Random(seed)
     vocab = ["a", "B", "c9", "dé", "É", "f"]
     text = lambda n: rng.choice(["", "- "]) + rng.choice([" ", ", ", "\n"]).join(rng.choices(vocab, k=n))
-    items = [(i, text(rng.randrange(12))) for i in range(25)] + [(90, None), (91, ""), (92, "zz"), (92, "a B c9")]
+    items = [(i, text(rng.randrange(12))) for i in range(25)] + [(90, None), (91, ""), (92, "zz"), (92, "a B c9"), (93, "B"), (94, "... ")]
     docs = [(i, " ".join([text(rng.randrange(20)), rng.choice(items)[1] or "", text(rng.randrange(20))])) for i in range(60)]
     return items, [*docs, (100, None), (101, ""), (102, "..."), (None, "zz"), (103, "zz")]
 
