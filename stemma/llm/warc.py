@@ -74,7 +74,6 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     kept = kept.select("key", "payload")
     twice = light.groupBy("key", "page_id").count().where("count > 1").limit(1).count()
     (kept.dropDuplicates(["key"]) if twice else kept).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    release(spark)
     return path
 
 
@@ -104,6 +103,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record: the payload's figures from the
     rebuilt original record and held against the header's."""
+    release(spark)  # the shuffle files of the archive's writing, which nothing refers to any more
     rows = read_records(spark, path)
     text = F.decode("header", "UTF-8")
     field = lambda p: F.regexp_extract(text, f"\r\n{p}\r\n", 1)
