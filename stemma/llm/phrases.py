@@ -22,8 +22,8 @@ from .bytescan import give_back, lowered, mix, range_hashes, texts_of, words_of
 from .common import heavy_join, only, text_batches, written
 from .files import table
 
-#: Bytes of text in one shard's automaton (or one text, if that is longer).
-SHARD_BYTES = 1 << 23
+#: Bytes of text in one shard's automaton (or one piece, if that is longer).
+SHARD_BYTES = 1 << 21
 #: Bits of a filter for each frequent phrase, and the most of them all.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 LONGEST = 4
@@ -120,31 +120,29 @@ def _filter(frequent: DataFrame) -> Filter:
 
 
 def _shards(batches):
-    """Batches of rows put together, or cut, to some SHARD_BYTES of text."""
-    held, size = [], 0
+    """(languages, bytes, offsets) of batches' texts, in parts of some SHARD_BYTES; long texts are cut between pieces, a part being a text then."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = 0
-        ends = np.cumsum(lengths)
-        while at < batch.num_rows:
-            gone = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, gone + SHARD_BYTES - size, "right")))
-            held.append(batch.slice(at, to - at))
-            size += int(ends[to - 1]) - gone
-            at = to
-            if size >= SHARD_BYTES:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+        buf, off = texts_of(batch.column(1))
+        cuts = []
+        for i in np.flatnonzero(np.diff(off) > SHARD_BYTES):
+            ends = np.flatnonzero(_ENDS[buf[off[i] : off[i + 1]]]) + 1
+            at = np.searchsorted(ends, np.arange(SHARD_BYTES, off[i + 1] - off[i], SHARD_BYTES), "right") - 1
+            cuts.append(np.unique(ends[at[at >= 0]]) + off[i])
+        bounds = np.unique(np.concatenate([off, *cuts]))
+        of = np.searchsorted(off, bounds[:-1], "right") - 1
+        lo = 0
+        while lo < len(of):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SHARD_BYTES, "right")) - 1)
+            yield batch.column(0).take(pa.array(of[lo:hi])), buf[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+            lo = hi
+        give_back()
 
 
 def _counted(depth: int, filters: tuple):
     """Arrow function (lang, text) -> (lang, phrase, n) of each shard, phrases of `depth` words, or of 3 and 4 where depth is 4."""
 
     def run(batches):
-        for shard in _shards(batches):
-            buf, off = texts_of(shard.column(1))
+        for langs, buf, off in _shards(batches):
             buf = lowered(buf)
             start, end, doc = words_of(buf, off, _LETTER)
             if not len(start):
@@ -155,7 +153,7 @@ def _counted(depth: int, filters: tuple):
             bounds = np.stack([start, end], axis=1).reshape(-1)
             words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(buf)])
             words = words.take(pa.array(np.arange(0, len(words), 2))).dictionary_encode()
-            langs = shard.column(0).combine_chunks().cast(pa.large_binary()).dictionary_encode()
+            langs = langs.cast(pa.large_binary()).dictionary_encode()
             names, word = words.dictionary, words.indices.to_numpy().astype(np.int64)
             lang = langs.indices.to_numpy().astype(np.int64)[doc]
             del start, end, piece, bounds
