@@ -5,9 +5,10 @@ words, with its count of end positions, its suffix link (the phrase without its
 from (the phrase without its last word). As flat arrays, level by level, since a phrase of k words is a state of k - 1
 words and one transition. Its counts are added up over all shards.
 
-A phrase is at most as frequent as its parts, so there are three passes: words, then pairs of frequent words, then
-phrases all of whose pairs are frequent. What the shards know of the frequent ones is a bit array by hash, whose false
-hits only cost rows, as counts decide at last. It has at most 2^28 bits, however large the corpus.
+A phrase is at most as frequent as its parts, so there are passes: words; pairs of frequent words; longer phrases all of
+whose pairs are frequent; and at last the phrases that may be frequent, spelled out. The middle passes count by hash and
+only say what may be frequent: the shards get a bit array, of at most 2^28 bits however large the corpus, whose false hits
+cost rows, while counts of the phrases themselves decide.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from .common import heavy_join, only, text_batches, written
 from .files import table
 
 #: Bytes of text in one shard's automaton (or one piece, if that is longer).
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 22
 #: Bits of a filter for each frequent phrase, and the most of them all.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 LONGEST = 4
+#: Rows of one batch that a shard hands on.
+ROWS = 1 << 15
 _U = np.uint64
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -58,15 +61,22 @@ class Automaton:
             self.level.append(self.level[-1] + len(first))
         self.size, self.word, self.prefix, self.link, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def phrases(self, names: pa.Array, least: int):
-        """(phrases, counts, states) of each length from `least` on; words are numbers of names, modulo their number."""
+    def keys(self, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """A hash of each state's phrase, from those of the single words' states and of words; words are numbers of own, modulo their number."""
+        out = np.zeros(len(self.size), _U)
+        out[: self.level[1]] = first
+        for lo, hi in zip(self.level[1:-1], self.level[2:], strict=True):
+            out[lo:hi] = _joined_hash(out[self.prefix[lo:hi]], own[self.word[lo:hi] % len(own)])
+        return out
+
+    def phrases(self, names: pa.Array):
+        """The phrase of each state, by level; words are numbers of names, modulo their number."""
         text = None
         for k in range(1, len(self.level)):
             lo, hi = self.level[k - 1], self.level[k]
             last = names.take(pa.array(self.word[lo:hi] % len(names)))
             text = last if k == 1 else pc.binary_join_element_wise(text.take(pa.array(self.prefix[lo:hi] - self.level[k - 2])), last, pa.scalar(b" ", last.type))
-            if k >= least:
-                yield text, self.count[lo:hi], np.arange(lo, hi)
+            yield text
 
 
 def _hashes(names: pa.Array) -> np.ndarray:
@@ -92,30 +102,21 @@ class Filter:
         return (self.bits[(slot >> _U(5)).astype(np.int64)] >> (slot & _U(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def _slots(n_bits: int):
-    """Arrow function (lang, phrase) -> (place, bits): the bits of words or of pairs of words, by places of 32."""
-
-    def run(batches):
-        for batch in batches:
-            lang, phrase = (c.cast(pa.large_binary()) for c in batch.columns)
-            words = pc.split_pattern(phrase, b" ")
-            parts = _hashes(words.flatten()).reshape(len(phrase), -1) if len(phrase) else np.empty((0, 1), _U)
-            h = _joined_hash(_hashes(lang), parts[:, 0])
-            for k in range(1, parts.shape[1]):
-                h = _joined_hash(h, parts[:, k])
-            slot = h & _U(n_bits - 1)
-            yield table({"place": pa.array((slot >> _U(5)).astype(np.int64)), "bits": pa.array(_U(1) << (slot & _U(31))).cast(pa.int64())})
-
-    return run
+def _word_keys(batches):
+    """Arrow function (lang, phrase), phrases of one word -> (key)."""
+    for batch in batches:
+        lang, word = (c.cast(pa.large_binary()) for c in batch.columns)
+        yield table({"key": pa.array(_joined_hash(_hashes(lang), _hashes(word)).view(np.int64))})
 
 
-def _filter(frequent: DataFrame) -> Filter:
-    """frequent(lang, phrase), phrases of one length -> their filter. The driver gets at most 2^23 places, a quarter of that for MOST_BITS / 128 phrases."""
-    n = frequent.count()
+def _filter(keys: DataFrame) -> Filter:
+    """keys(key) of frequent phrases -> their filter. The driver gets at most a place of 8 bytes for each 32 bits, or for each key if those are fewer."""
+    n = keys.count()
     n_bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_EACH * n - 1).bit_length()))
-    got = frequent.select("lang", "phrase").mapInArrow(_slots(n_bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slot = F.col("key").bitwiseAND(F.lit(n_bits - 1))
+    places = keys.select(F.shiftright(slot, 5).alias("place"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bits")).groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(n_bits // 32, np.uint32)
-    bits[got.column("place").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    bits[places.column("place").to_numpy()] = places.column("bits").to_numpy().astype(np.uint32)
     return Filter(bits)
 
 
@@ -138,8 +139,11 @@ def _shards(batches):
         give_back()
 
 
-def _counted(depth: int, filters: tuple):
-    """Arrow function (lang, text) -> (lang, phrase, n) of each shard, phrases of `depth` words, or of 3 and 4 where depth is 4."""
+def _counted(lengths: tuple[int, ...], filters: tuple = (), spelled: bool = True):
+    """Arrow function (lang, text) -> of each shard the phrases of these lengths that may be frequent, (lang, phrase, n), or by hash, (key, n).
+
+    filters: of words, of pairs, of longer phrases, as far as they are known.
+    """
 
     def run(batches):
         for langs, buf, off in _shards(batches):
@@ -156,29 +160,42 @@ def _counted(depth: int, filters: tuple):
             langs = langs.cast(pa.large_binary()).dictionary_encode()
             names, word = words.dictionary, words.indices.to_numpy().astype(np.int64)
             lang = langs.indices.to_numpy().astype(np.int64)[doc]
-            del start, end, piece, bounds
+            del start, end, piece, bounds, buf
+            own, of = _hashes(names), _hashes(langs.dictionary)
             if filters:
-                own = _hashes(names)
-                keys = _joined_hash(_hashes(langs.dictionary)[lang], own[word])
+                keys = _joined_hash(of[lang], own[word])
                 ok = filters[0].value.has(keys)
                 joined &= ok & np.r_[False, ok[:-1]]
                 if len(filters) > 1:
                     joined[1:] &= filters[1].value.has(_joined_hash(keys[:-1], own[word[1:]]))
-                del keys
-                # what stands in a phrase of at least `depth` words, or of 3
-                need = joined if depth == 2 else joined & np.r_[False, joined[:-1]]
-                keep = need | np.r_[need[1:], False]
-                keep |= np.r_[need[2:], False, False] if depth > 2 and len(need) > 1 else False
-                word, lang, joined = word[keep], lang[keep], joined[keep]
-                joined &= np.r_[False, np.diff(np.flatnonzero(keep)) == 1] if len(word) else joined
-            a = Automaton(lang * len(names) + word, joined, depth)
-            of = a.word // len(names)
-            for text, n, states in a.phrases(names, min(depth, 3)):
-                for lo in range(0, len(n), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    yield table({"lang": langs.dictionary.take(pa.array(of[states[part]])).view(pa.large_string()).cast(pa.string()), "phrase": text[part].view(pa.large_string()).cast(pa.string()), "n": pa.array(n[part])})
-            del a, words, names
-            give_back()
+                # the places that stand in a phrase of the least length
+                need, keep = joined.copy(), np.zeros(len(joined), bool)
+                for _ in range(min(lengths) - 2):
+                    need &= np.r_[False, need[:-1]]
+                for back in range(min(min(lengths), len(need))):
+                    keep[: len(need) - back] |= need[back:]
+                at = np.flatnonzero(keep)
+                word, lang, joined = word[at], lang[at], joined[at] & (np.diff(at, prepend=-2) == 1)
+                if not len(word):
+                    continue
+            a = Automaton(lang * len(names) + word, joined, max(lengths))
+            first = slice(0, a.level[1])
+            keys = a.keys(_joined_hash(of[a.word[first] // len(names)], own[a.word[first] % len(names)]), own) if filters else None
+            for k, text in enumerate(a.phrases(names) if spelled else [None] * max(lengths), 1):
+                states = np.arange(a.level[k - 1], a.level[k])
+                if k not in lengths:
+                    continue
+                if len(filters) > 2 and k > 2:
+                    states = states[filters[2].value.has(keys[states])]
+                for lo in range(0, len(states), ROWS):
+                    some = states[lo : lo + ROWS]
+                    n = pa.array(a.count[some])
+                    if spelled:
+                        row = {"lang": langs.dictionary.take(pa.array(a.word[some] // len(names))), "phrase": text.take(pa.array(some - a.level[k - 1]))}
+                        yield table({c: x.view(pa.large_string()).cast(pa.string()) for c, x in row.items()} | {"n": n})
+                    else:
+                        yield table({"key": pa.array(keys[some].view(np.int64)), "n": n})
+            del a, words, names, keys
 
     return run
 
@@ -191,17 +208,22 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFram
     text_batches(spark)
     docs = only(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
-    def total(depth: int, *filters) -> DataFrame:
-        found = docs.mapInArrow(_counted(depth, tuple(spark.sparkContext.broadcast(f) for f in filters)), "lang string, phrase string, n long")
-        return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def counts(lengths: tuple[int, ...], filters: list[Filter], spelled: bool = True) -> DataFrame:
+        by = ["lang", "phrase"] if spelled else ["key"]
+        found = docs.mapInArrow(_counted(lengths, tuple(map(spark.sparkContext.broadcast, filters)), spelled), "lang string, phrase string, n long" if spelled else "key long, n long")
+        return found.groupBy(*by).agg(F.sum("n").alias("n"))
+
+    def may_be(lengths: tuple[int, ...], filters: list[Filter]) -> Filter:
+        return _filter(written(counts(lengths, filters, spelled=False).where(F.col("n") >= least).select("key"), "keys"))
 
-    words = written(total(1), "words")
+    words = written(counts((1,), []), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    known = _filter(frequent)
-    pairs = written(total(2, known).where(F.col("n") >= least), "pairs")
-    longer = written(total(LONGEST, known, _filter(pairs)).where(F.col("n") >= least), "phrases")
-    return sizes, frequent.unionByName(pairs).unionByName(longer)
+    filters = [_filter(frequent.select("lang", "phrase").mapInArrow(_word_keys, "key long"))]
+    filters.append(may_be((2,), filters))
+    filters.append(may_be((3, 4), filters))
+    phrases = written(counts((2, 3, 4), filters).where(F.col("n") >= least), "phrases")
+    return sizes, frequent.unionByName(phrases)
 
 
 def _exact(c: Column) -> Column:

@@ -95,7 +95,8 @@ def test_automaton():
     assert {p: n for p, (n, _) in found.items()} == want
     for p, (_, s) in found.items():
         assert a.size[s] == len(p) and spelled(a.link[s]) == p[1:]
-    named = {tuple(map(int, x.split())): n for text, counts, _ in a.phrases(pa.array([b"0", b"1", b"2", b"3"], pa.large_binary()), 1) for x, n in zip(text.to_pylist(), counts.tolist(), strict=True)}
+    spelled_out = [x for text in a.phrases(pa.array([b"0", b"1", b"2", b"3"], pa.large_binary())) for x in text.to_pylist()]
+    named = {tuple(map(int, x.split())): n for x, n in zip(spelled_out, a.count.tolist(), strict=True)}
     assert named == want
 
 
