@@ -69,7 +69,7 @@ def features(pages: DataFrame) -> DataFrame:
         "f_entropy": F.aggregate(seen, F.lit(0.0), lambda a, p: a - p * F.ln(p)),
         "f_parameters": F.when(F.col("query") == "", 0.0).otherwise(_count("query", "&") + 1.0),
         "f_hyphens": _count("host", "-").cast("double"),
-        "suffix": F.regexp_extract("host", "[^.:]*(?=(:[0-9]*)?$)", 0),
+        "suffix": F.substring_index(F.substring_index(F.regexp_replace("host", ":[0-9]*$", ""), ".", -1), ":", -1),
     })
 
 

@@ -277,3 +277,15 @@ def test_importance_resampling(spark):
     keys = sorted((r.key for r in rows), reverse=True)
     assert min(r.key for r in rows if r.kept) >= keys[round(0.8 * len(docs)) - 1] - 1e-9
     assert resampled(d.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_suffixes_and_long_urls(spark):
+    """The suffix is what follows the last dot or colon before a port; a host of a million characters takes no longer than others."""
+    hosts = {"a.b.com": "com", "a.com:80": "com", "a.com:": "com", "a.com:x": "x", "u:p@h.org:8": "org", "": "", ":1": "", "x": "x", "a.": ""}
+    from stemma.llm.url_filter import features, parts
+
+    df = spark.createDataFrame([(f"http://{h}/p",) for h in hosts], "url string")
+    assert [r.suffix for r in features(parts(df)).select("suffix").collect()] == list(hosts.values())
+    began = time.time()
+    long = spark.createDataFrame([(1, "http://" + "a" * 1_000_000 + ":x/"), (2, "http://" + "1:" * 300_000 + "/"), (3, "http://a.com/")], "page_id long, url string")
+    assert filtered(long).count() == 3 and time.time() - began < 120
