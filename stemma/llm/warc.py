@@ -41,6 +41,10 @@ def _uri(url: Column) -> Column:
     return F.coalesce(F.when(url.rlike(control), coded).otherwise(url), F.lit("urn:none"))
 
 
+#: Responses, of some 100 bytes each, that are broadcast when payloads are written; more are joined by shuffle.
+BROADCAST_RESPONSES = 100_000
+
+
 def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = DATE) -> str:
     """Write pages(page_id long, url, html) and return the archive's folder.
 
@@ -70,7 +74,9 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     short = header("revisit", F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record("response"))), F.lit(0))
     one.select("page_id", F.when(revisit, short).otherwise(full).alias("header"), F.when(revisit, full).alias("original"), "key").write.option("compression", "zstd").parquet(f"{path}/headers")
     # the page of the largest page_id brings the payload: a join by page and key, so that no payload is a hot key
-    kept = rows.withColumn("key", F.sha2("payload", 256)).alias("r").join(largest.alias("l"), (F.col("r.key") == F.col("l.key")) & F.col("r.page_id").eqNullSafe(F.col("l.response")), "left_semi")
+    # where those pages are few enough to be sent to every task, no payload is shuffled
+    few = largest.limit(BROADCAST_RESPONSES + 1).count() <= BROADCAST_RESPONSES
+    kept = rows.withColumn("key", F.sha2("payload", 256)).alias("r").join((F.broadcast(largest) if few else largest).alias("l"), (F.col("r.key") == F.col("l.key")) & F.col("r.page_id").eqNullSafe(F.col("l.response")), "left_semi")
     kept = kept.select("key", "payload")
     twice = light.groupBy("key", "page_id").count().where("count > 1").limit(1).count()
     (kept.dropDuplicates(["key"]) if twice else kept).write.option("compression", "zstd").parquet(f"{path}/payloads")
