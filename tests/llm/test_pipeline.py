@@ -69,3 +69,14 @@ def test_clashing_columns_empty_tables_and_long_texts(spark, tmp_path):
                 assert got[2] < 200 and got[3] is None and len(got) == 4
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ({1, 2, 3, None} if docs is wide else set())
+
+
+def test_near_dup_keeps_rows_of_no_class(spark, tmp_path):
+    """Null ids and wordless texts stay, row by row, also where another doc_id comes twice; rows alike in id and text leave one."""
+    prose = " ".join(f"word{i}" for i in range(60))
+    alone = [(None, prose, "en", "s", 1), (None, prose, "en", "s", 1), (3, " ", "en", "s", 1), (3, " ", "en", "s", 1), (4, None, "en", "s", None), (4, None, "en", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    twice = [(8, prose, "fr", "s", 2), (8, prose, "en", "t", 2), (8, prose, "en", None, 2), (8, prose, "en", None, 2), (9, prose + " more", "en", "s", 2)]
+    for more, stay in (([], []), (twice, [(8, prose, "en", None, 2)])):
+        out = corpus_pipeline.near_dup(spark, spark.createDataFrame(alone + more, schema), str(tmp_path))
+        assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, alone + stay))
