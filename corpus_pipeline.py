@@ -8,7 +8,7 @@ behind. An empty table gives an empty table, texts are whole, however long.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.common import only, written
@@ -47,14 +47,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of least doc_id; of repeated rows one.
+    """One document of each class of near duplicates, the one of least doc_id; of rows alike in doc_id and text the one of
+    least language, source and n_chars (null first).
 
-    Null and wordless texts, and rows with a null doc_id, belong to no class and stay.
+    Null and wordless texts, and rows with a null doc_id, belong to no class and stay, each of them, whatever other rows
+    the table holds.
     """
     docs = only(docs, *COLUMNS)
     kept = _kept(docs, near_duplicates(docs), ("doc_id", "text_hash"))
-    ids = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if ids else kept
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x00-\\x20]"), F.lit(False))
+    if not docs.where(~alone).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return kept  # no two rows to choose from
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.when(alone, F.monotonically_increasing_id())).orderBy(*[F.asc_nulls_first(c) for c in COLUMNS[2:]]))
+    return kept.withColumn("_rank", rank).where(alone | (F.col("_rank") == 1)).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
