@@ -165,9 +165,9 @@ def is_excerpt(evidence: Column, source: Column) -> Column:
 
 
 def merged_macros(sources: DataFrame) -> DataFrame:
-    """sources(doc_id, pos, macros map) -> (doc_id, name, body): of macros of one name the last source's."""
+    """sources(doc_id, pos, macros map) -> (doc_id, name, body): of macros of one name the last source's, of several at one place the greatest body."""
     each = sources.select("doc_id", "pos", F.explode("macros").alias("name", "body"))
-    return each.groupBy("doc_id", "name").agg(F.max_by("body", "pos").alias("body"))
+    return each.groupBy("doc_id", "name").agg(F.max_by("body", F.struct("pos", "body")).alias("body"))
 
 
 def tagged(value: Column) -> Column:

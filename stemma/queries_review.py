@@ -180,7 +180,7 @@ def source_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", W.line_of(F.col("text"), (F.col("doc_id") * 7).cast("int")).alias("line"), W.is_excerpt(quote, F.col("text")).alias("excerpt"))
 
 
-@query("SELECT l_orderkey AS doc_id, l_returnflag AS name, arg_max(l_linestatus || l_linenumber, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS body FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey AS doc_id, l_returnflag AS name, last(l_linestatus || l_linenumber ORDER BY l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey, l_linestatus || l_linenumber) AS body FROM lineitem GROUP BY ALL")
 def merged_macros(spark, sf_dir):
     """Macros by name, the last source's body."""
     i = table(spark, sf_dir, "lineitem")
