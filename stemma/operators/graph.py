@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.operators.evidence import negates
 from stemma.plans.state import placed, shared_dir, written
 
+# The relations of edges, and how a reason begins that a reference gave.
+LOGIC, DEFINITION, BY_REFERENCE = "逻辑依赖", "定义依赖", "正则匹配："
+
 # The weight of a node type in salience.
 TYPE_WEIGHTS = {"定理": 1.0, "公理": 0.95, "定义": 0.9, "引理": 0.78, "命题": 0.72, "推论": 0.66, "性质": 0.6, "例子": 0.42}
 # The first pattern found in an edge's label and description names its kind.
@@ -159,21 +163,65 @@ def updated(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def edge_priority(relation: Column, reason: Column) -> Column:
-    """Explicit reasons before definitions before logic, longer reasons a little before shorter."""
-    explicit = F.when(F.coalesce(reason, F.lit("")).rlike("^(?i)explicit"), 4.0).otherwise(0.0)
-    kind = F.when(relation == "definition", 2.0).when(relation == "logic", 1.0).otherwise(0.0)
-    return explicit + kind + F.least(F.length(F.coalesce(reason, F.lit(""))) / 1000, F.lit(0.12))
-
-
-def filter_edges(edges: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """edges(src, dst, relation, reason, priority, pos): known relations without self-loops; the best per ordered pair
-    (first on ties); of two opposite edges the one of higher priority, else the one that comes first."""
-    good = edges.where(F.col("relation").isin(*known) & (F.col("src") != F.col("dst")))
-    best = good.withColumn("_r", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("priority"), "pos"))).where("_r = 1").drop("_r")
-    back = best.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("priority").alias("_p"), F.col("pos").alias("_q"))
-    both = best.join(back, ["src", "dst"], "left")
-    wins = F.col("_p").isNull() | (F.col("priority") > F.col("_p")) | ((F.col("priority") == F.col("_p")) & (F.col("pos") < F.col("_q")))
-    return both.where(wins).drop("_p", "_q")
+    """4 for a reason by reference, 2 for a definition, 1 for logic, and a thousandth for each character of the reason up to 120."""
+    told = F.trim(F.coalesce(reason, F.lit("")))
+    kind = F.trim(F.coalesce(relation, F.lit("")))
+    points = F.when(F.startswith(told, F.lit(BY_REFERENCE)), 4000).otherwise(0) + F.when(kind == DEFINITION, 2000).when(kind == LOGIC, 1000).otherwise(0) + F.least(F.char_length(told), F.lit(120))
+    return points / 1000
+
+
+def filter_edges(edges: DataFrame, order: DataFrame, known: tuple[str, ...] = (LOGIC, DEFINITION)) -> DataFrame:
+    """edges(src, dst, relation, reason, pos), order(id, pos) -> the edges that stay, trimmed, with priority.
+
+    Known relations between two different nodes stay, unless the reason denies them. Of edges of one ordered pair the one of
+    most priority stays (the first by pos among equals); of two opposite ones again, among equals the one whose start
+    stands later in order (nodes that order lacks stand before all), and if both starts stand alike, that of the pair
+    which comes first.
+    """
+    text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("src", "dst", "relation", "reason")}
+    good = edges.select(*[t.alias(c) for c, t in text.items()], "pos").where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")) & F.col("relation").isin(*known) & ~negates(F.col("reason")))
+    rank = F.struct("priority", (-F.col("pos")).alias("p"))
+    best = good.withColumn("priority", edge_priority(F.col("relation"), F.col("reason"))).groupBy("src", "dst").agg(F.max_by(F.struct("relation", "reason", "priority", "pos"), rank).alias("e"), F.min("pos").alias("first"))
+    places = order.select(F.trim(F.col("id").cast("string")).alias("id"), F.col("pos").alias("place")).groupBy("id").agg(F.max("place").alias("place"))
+    best = best.select("src", "dst", "e.*", "first").join(places.toDF("src", "_from"), "src", "left").join(places.toDF("dst", "_to"), "dst", "left")
+    later = F.coalesce("_from", F.lit(-1)) - F.coalesce("_to", F.lit(-1))
+    best = best.select("src", "dst", "relation", "reason", "priority", "pos", "first", later.alias("later"))
+    back = best.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.struct("priority", "later", (-F.col("first")).alias("first")).alias("back"))
+    stays = F.col("back").isNull() | (F.struct("priority", "later", (-F.col("first")).alias("first")) > F.col("back"))
+    return best.join(back, ["src", "dst"], "left").where(stays).select("src", "dst", "relation", "reason", "priority", "pos")
+
+
+def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(id), links(x, y) between alike ones -> (id, leader): taken in order of id, each node that no leader has claimed leads,
+    and claims all alike; a node is claimed by its least leader.
+
+    Rounds: a node leads when every lesser one alike is claimed, and is claimed when one of them leads; so the least
+    undecided of any chain is decided in each round, and of links in no order some logarithm of the nodes suffices, while
+    a chain of ascending ids takes a round for each second node. Links of decided nodes drop out.
+    """
+    down = links.select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).where("low < high").distinct()
+    down = written(down.join(nodes.select(F.col("id").alias("low")), "low", "left_semi").join(nodes.select(F.col("id").alias("high")), "high", "left_semi"), "down")
+    alone = nodes.select("id").distinct().join(down.select(F.col("high").alias("id")).distinct(), "id", "left_anti")
+    done, left = [alone.select("id", F.col("id").alias("leader"))], down
+    leading = written(alone, "leading")
+    while True:
+        # claimed: those alike to a new leader; of several, links of earlier rounds have claimed already, so the least of now
+        claimed = written(left.join(leading.withColumnRenamed("id", "low"), "low").groupBy(F.col("high").alias("id")).agg(F.min("low").alias("leader")), "claimed")
+        done.append(claimed)
+        gone = claimed.select("id").unionByName(leading)
+        rest = left.join(gone.withColumnRenamed("id", "high"), "high", "left_anti")
+        open_ids = rest.select(F.col("high").alias("id")).distinct()
+        left = written(rest.join(gone.withColumnRenamed("id", "low"), "low", "left_anti"), "left")
+        # open nodes without a lesser open one alike lead now
+        leading = written(open_ids.join(left.select(F.col("high").alias("id")).distinct(), "id", "left_anti"), "leading")
+        if not leading.limit(1).count():
+            break
+        done.append(leading.select("id", F.col("id").alias("leader")))
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    claims = down.withColumnRenamed("high", "id").join(every.where("id = leader").select(F.col("id").alias("low")), "low").groupBy("id").agg(F.min("low").alias("claim"))
+    return every.join(claims, "id", "left").select("id", F.coalesce("claim", "leader").alias("leader"))
 
 
 def collapse_titles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

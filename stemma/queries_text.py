@@ -316,10 +316,37 @@ def title_graph_view(spark, sf_dir):
     return G.title_view(nodes, by_title.select("src_title", "dst_title", "label"))[1]
 
 
-@query(f"WITH {EDGES.sql} SELECT src, dst, round(CASE WHEN regexp_matches(coalesce(reason, ''), '(?i)^explicit') THEN 4 ELSE 0 END + CASE label WHEN 'definition' THEN 2 WHEN 'logic' THEN 1 ELSE 0 END + least(length(coalesce(reason, '')) / 1000, 0.12), 6) AS priority FROM edges_")
+# Edges of every order: between customers by number, relations and reasons by what the order is.
+_ORDER_EDGES = """oe AS (SELECT 'c' || (o_custkey % 60) AS src, ' c' || (o_orderkey * 7 % 61) AS dst, CASE o_orderkey % 5 WHEN 0 THEN '逻辑依赖' WHEN 1 THEN ' 定义依赖' WHEN 2 THEN '逻辑依赖 ' WHEN 3 THEN '定义依赖' ELSE '相关' END AS relation,
+    CASE o_orderstatus WHEN 'F' THEN '正则匹配：' || o_orderpriority WHEN 'O' THEN ' it  Does not' || CASE WHEN o_orderkey % 3 = 0 THEN ' depend on it' ELSE '' END WHEN 'P' THEN repeat('x', (o_orderkey % 150)::INT) END AS reason, o_orderkey AS pos FROM orders)"""
+_PRIORITY = "(CASE WHEN starts_with(trim(coalesce(reason, '')), '正则匹配：') THEN 4000 ELSE 0 END + CASE trim(relation) WHEN '定义依赖' THEN 2000 WHEN '逻辑依赖' THEN 1000 ELSE 0 END + least(length(trim(coalesce(reason, ''))), 120)) / 1000"
+
+
+def _order_edges(spark, sf_dir):
+    k = F.col("o_orderkey")
+    relation = F.element_at(F.array(*map(F.lit, ("逻辑依赖", " 定义依赖", "逻辑依赖 ", "定义依赖", "相关"))), (k % 5 + 1).cast("int"))
+    denial = F.concat(F.lit(" it  Does not"), F.when(k % 3 == 0, " depend on it").otherwise(""))
+    reason = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("正则匹配："), "o_orderpriority")).when(F.col("o_orderstatus") == "O", denial).when(F.col("o_orderstatus") == "P", F.repeat(F.lit("x"), (k % 150).cast("int")))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 60).cast("string")).alias("src"), F.concat(F.lit(" c"), (k * 7 % 61).cast("string")).alias("dst"), relation.alias("relation"), reason.alias("reason"), k.alias("pos"))
+
+
+@query(f"WITH {_ORDER_EDGES} SELECT pos, round({_PRIORITY}, 6) AS priority FROM oe")
 def edge_priorities(spark, sf_dir):
-    """The priority of each edge by its reason and relation."""
-    return EDGES.frame(spark).select("src", "dst", F.round(G.edge_priority(F.col("label"), F.col("reason")), 6).alias("priority"))
+    """The priority of each order's edge by its reason and relation."""
+    return _order_edges(spark, sf_dir).select("pos", F.round(G.edge_priority(F.col("relation"), F.col("reason")), 6).alias("priority"))
+
+
+@query(f"""WITH {_ORDER_EDGES}, g AS (SELECT trim(src) AS src, trim(dst) AS dst, trim(relation) AS relation, trim(coalesce(reason, '')) AS reason, pos, {_PRIORITY} AS priority FROM oe
+        WHERE trim(src) <> trim(dst) AND trim(relation) IN ('逻辑依赖', '定义依赖') AND NOT contains(lower(regexp_replace(trim(coalesce(reason, '')), '\\s+', ' ', 'g')), 'does not depend')),
+    b AS (SELECT *, min(pos) OVER (PARTITION BY src, dst) AS first FROM g QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY priority DESC, pos) = 1),
+    o AS (SELECT 'c' || c_custkey AS id, c_custkey * 37 % 101 AS place FROM customer WHERE c_custkey < 50),
+    p AS (SELECT b.*, coalesce(f.place, -1) - coalesce(t.place, -1) AS later FROM b LEFT JOIN o f ON f.id = src LEFT JOIN o t ON t.id = dst)
+    SELECT a.src, a.dst, a.relation, a.reason, round(a.priority, 6) AS priority, a.pos FROM p a LEFT JOIN p z ON z.src = a.dst AND z.dst = a.src
+    WHERE z.src IS NULL OR a.priority > z.priority OR (a.priority = z.priority AND (a.later > z.later OR (a.later = z.later AND a.first < z.first)))""")
+def filtered_edges(spark, sf_dir):
+    """The edges of orders that stay: known, not denied, one for each pair of customers in either direction."""
+    order = table(spark, sf_dir, "customer").where("c_custkey < 50").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_custkey") * 37 % 101).alias("pos"))
+    return G.filter_edges(_order_edges(spark, sf_dir), order).withColumn("priority", F.round("priority", 6))
 
 
 CYCLE = Sample("cyc", {"src": "int", "dst": "int"}, [(0, 1), (1, 2), (2, 3), (0, 3), (4, 5), (5, 6), (6, 5), (6, 7), (8, 8), (3, 9), (9, 10)])

@@ -89,8 +89,20 @@ def test_graph_cycles_and_merge(spark):
     assert got == {0: (0, False), 1: (1, False), 2: (2, False), 3: (3, True), 4: (3, True), 5: (3, True)}
     e = spark.createDataFrame([(1, 2, "logic", "a", 0), (1, 2, "logic", "a b", 1), (1, 2, "logic", "b", 2), (1, 2, "logic", None, 3)], "src int, dst int, relation string, reason string, pos int")
     assert G.merge_edges(e).first().reason == "a; a b"
-    f = spark.createDataFrame([(1, 2, "logic", "", 1.0, 0), (2, 1, "logic", "", 2.0, 1), (3, 3, "logic", "", 9.0, 2), (4, 5, "odd", "", 1.0, 3), (6, 7, "logic", "x", 1.0, 4), (6, 7, "logic", "y", 1.0, 5)], "src int, dst int, relation string, reason string, priority double, pos int")
-    assert {(r.src, r.dst, r.reason) for r in G.filter_edges(f, ("logic",)).collect()} == {(2, 1, ""), (6, 7, "x")}
+    L, D = G.LOGIC, G.DEFINITION
+    rows = [
+        ("a", "b", L, "short", 0), ("b ", "a", L, "a longer reason", 1),  # the longer reason wins
+        ("c", "c", L, "x", 2), ("c", "d", "odd", "x", 3), ("c", "", L, "x", 4), (None, "d", L, "x", 5),  # none of them counts
+        ("e", "f", L, "one", 6), ("e", "f", D, "", 7), ("e", "f", D, None, 8),  # a definition before logic, the first of two
+        ("g", "h", L, "it  does NOT depend on g", 9), ("h", "g", L, "", 10),  # a denial is no edge
+        ("i", "j", L, "same", 11), ("j", "i", L, "size", 12),  # j stands later
+        ("k", "l", L, "x", 13), ("l", "k", D, "正", 14), ("k", "l", L, "正则匹配：y", 15),  # by reference
+        ("u", "v", L, "x", 16), ("v", "u", L, "y", 17),  # neither is in the order: the pair that comes first
+        ("i", "w", L, "x", 18), ("w", "i", L, "y", 19),  # w is unknown, so i stands later
+    ]
+    f = spark.createDataFrame(rows, "src string, dst string, relation string, reason string, pos int")
+    order = spark.createDataFrame([("i", 1), ("j", 2), ("a", 0), ("b", 3)], "id string, pos int")
+    assert sorted((r.src, r.dst, r.pos) for r in G.filter_edges(f, order).collect()) == [("b", "a", 1), ("e", "f", 7), ("h", "g", 10), ("i", "w", 18), ("j", "i", 12), ("k", "l", 15), ("u", "v", 16)]
     checked = R.checked_edges(spark.createDataFrame([(0, 0), (0, 9), (9, 0), (0, 1)], "src long, dst long"), nodes)
     assert {(r.src, r.dst): r.problem for r in checked.collect()} == {(0, 0): "self_loop", (0, 9): "missing_target", (9, 0): "missing_source", (0, 1): None}
     t = spark.createDataFrame([(1, "a")], "id int, name string")
@@ -110,3 +122,38 @@ def test_candidate_pairs_by_prefix_lose_none(spark):
 
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] or a[2] == b[2] or alike(a[5], b[5]) or alike(a[6], b[6]))}
     assert {(r.x, r.y) for r in P.candidate_pairs(df).collect()} == want
+
+
+def sequential(ids, links):
+    """Leaders one after the other, as they come."""
+    near = {}
+    for x, y in links:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    free, out = set(ids), {}
+    for i in sorted(ids):
+        if i in free:
+            out[i] = i
+            for j in near.get(i, ()):
+                if j in free and j > i:
+                    out[j] = i
+                    free.discard(j)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_as_in_order(spark, seed):
+    rng = random.Random(seed)
+    ids = rng.sample(range(200), 80)
+    links = [tuple(rng.sample(ids, 2)) for _ in range(90)] + [(ids[0], ids[0]), (ids[0], 9999)]
+    got = G.leaders(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "x long, y long"))
+    assert {r.id: r.leader for r in got.collect()} == sequential(ids, [p for p in links if 9999 not in p])
+
+
+def test_leaders_along_a_chain(spark):
+    """0-1-2-...-9: every second node leads, each decided only after the one before."""
+    ids = list(range(10))
+    links = [(i, i + 1) for i in ids[:-1]]
+    got = G.leaders(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "x long, y long"))
+    assert {r.id: r.leader for r in got.collect()} == {i: i - i % 2 for i in ids} == sequential(ids, links)
+    assert G.leaders(spark.createDataFrame([], "id long"), spark.createDataFrame([], "x long, y long")).count() == 0
