@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators import anchors as A
 from stemma.operators import locate as L
+from stemma.operators import vectors as N
 from stemma.registry import query, table
 
 _NAMES = """names AS (SELECT p_partkey AS node, 0 AS i, trim(p_brand) AS term FROM part WHERE regexp_matches(p_brand, '[0-9]')
@@ -117,3 +118,30 @@ def anchor_index(spark, sf_dir):
         F.when(k == 5, F.array(F.substring("text", 3, 9), F.substring("text", 20, 12), F.lit("absent term"))).alias("terms"),
     )
     return L.anchor_index(nodes, _blocks(spark, sf_dir))
+
+
+# Vectors drawn to every seventh one, so that some are alike: 2 to 2.6 parts of that one and one of their own.
+_DRAWN = """dv AS (SELECT e.vec_id AS id, list_transform(list_zip(b.embedding, e.embedding), lambda z: (2.0 + (e.vec_id % 3) * 0.3) * z[1]::DOUBLE + z[2]::DOUBLE) AS v FROM embeddings e JOIN embeddings b ON b.vec_id = e.vec_id - e.vec_id % 7),
+    ln AS (SELECT a.id AS x, b.id AS y FROM dv a JOIN dv b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.8)"""
+
+
+def _drawn(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    base = e.select(F.col("id").alias("at"), F.col("embedding").alias("base"))
+    mixed = F.zip_with("base", "embedding", lambda p, q: (F.lit(2.0) + (F.col("id") % 3) * F.lit(0.3)) * p.cast("double") + q.cast("double"))
+    return e.withColumn("at", F.col("id") - F.col("id") % 7).join(base, "at").select("id", mixed.alias("embedding"))
+
+
+@query(f"WITH {_DRAWN} SELECT x, y FROM ln")
+def similar_pairs(spark, sf_dir):
+    """Every pair of drawn vectors with a cosine of 0.8 or more."""
+    return N.similar_pairs(_drawn(spark, sf_dir), 0.8)
+
+
+@query(f"""WITH RECURSIVE {_DRAWN}, lo AS (SELECT y, list(x) AS lower FROM ln GROUP BY y), od AS (SELECT id, coalesce(lower, []) AS lower, row_number() OVER (ORDER BY id) AS r FROM dv LEFT JOIN lo ON y = id),
+    go(r, led) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT od.r, CASE WHEN list_has_any(lower, led) THEN led ELSE list_append(led, id) END FROM go JOIN od ON od.r = go.r + 1),
+    la AS (SELECT led FROM go ORDER BY r DESC LIMIT 1)
+    SELECT id, coalesce(list_min(list_intersect(lower, led)), id) AS leader FROM od, la""")
+def leader_clusters(spark, sf_dir):
+    """Drawn vectors claimed one after the other by the first alike."""
+    return N.leader_clusters(_drawn(spark, sf_dir), 0.8)
