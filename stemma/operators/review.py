@@ -22,21 +22,6 @@ def capacity_problems(histories: DataFrame, limits: dict[str, int] = CAPACITY) -
     return histories.select("id", F.explode(over).alias("problem"))
 
 
-def label_identity(label: Column, kind: Column) -> Column:
-    """`type:number` of a label with a number (lower case, dashes as dots), `type:unnumbered` without one, and for an unknown
-    type `label:` and its text."""
-    number = F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(label, F.lit(""))), "(\\d+(?:[.\\-][a-z0-9]+)*)", 1), "-", ".")
-    k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
-    text = F.lower(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), "\\s+", " ")))
-    return F.when(k == "", F.concat(F.lit("label:"), text)).when(number != "", F.concat(k, F.lit(":"), number)).otherwise(F.concat(k, F.lit(":unnumbered")))
-
-
-def surface_key(text: Column) -> Column:
-    """What makes two passages the same on the surface: no first heading mark, no white space, punctuation folded, lower case."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s*#{1,6}\\s+", "")
-    return F.lower(F.regexp_replace(F.translate(body, "，。；：（）！？", ",.;:()!?"), "\\s+", ""))
-
-
 def missing_candidates(candidates: DataFrame, covered: DataFrame) -> DataFrame:
     """candidates(block, start, identity, ...) that covered(block, start, identity) has neither by block nor by place and
     identity: two anti-joins."""

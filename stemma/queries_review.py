@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.functions import references as X
+from stemma.operators import coverage as C
 from stemma.operators import review as W
 from stemma.queries_text import _HEAD, EDGES, TYPED, UNITS
 from stemma.registry import Sample, query, table
@@ -31,12 +32,26 @@ IDENTITIES = Sample("idents", {"id": "int", "label": "string", "kind": "string",
 ])
 
 
-@query(f"""WITH {IDENTITIES.sql}, n AS (SELECT *, replace(regexp_extract(lower(coalesce(label, '')), '(\\d+(?:[.\\-][a-z0-9]+)*)', 1), '-', '.') AS number, lower(trim(coalesce(kind, ''))) AS k FROM idents)
-    SELECT id, CASE WHEN k = '' THEN 'label:' || lower(trim(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g'))) WHEN number <> '' THEN k || ':' || number ELSE k || ':unnumbered' END AS identity,
-    lower(regexp_replace(translate(regexp_replace(coalesce(text, ''), '^\\s*#{{1,6}}\\s+', ''), '，。；：（）！？', ',.;:()!?'), '\\s+', '', 'g')) AS surface FROM n""")
+_ENGLISH = "CASE " + " ".join(f"WHEN {{0}} = '{zh}' THEN '{en}'" for zh, en in C.ENGLISH.items()) + " WHEN {0} IN (" + ", ".join(f"'{w.lower()}'" for w in C.TYPE_WORDS if w.isascii()) + ") THEN {0} ELSE '' END"
+
+
+@query(f"""WITH {IDENTITIES.sql}, a AS (FROM idents UNION ALL SELECT p_partkey::INT + 1000, CASE p_partkey % 4 WHEN 0 THEN '## Theorem ' || p_size || '-' || p_partkey % 7 || '.' WHEN 1 THEN 'Lemma ' || p_size || '.b' WHEN 2 THEN p_name || ' : ' ELSE p_brand END,
+        CASE p_partkey % 3 WHEN 0 THEN '引理' WHEN 1 THEN p_type END, p_name || chr(10) || ' # ' || p_type || chr(10) || '（' || p_brand || '）\\t end' FROM part),
+    n AS (SELECT *, rtrim(regexp_replace(regexp_replace(lower(trim(coalesce(label, ''))), '^\\s*#{{1,6}}\\s*', ''), '\\s+', ' ', 'g'), ' .:;,：；，。') AS plain, lower(trim(coalesce(kind, ''))) AS k FROM a),
+    m AS (SELECT *, regexp_extract(plain, '\\d+(?:[.\\-][A-Za-z0-9]+)*') AS number, {_ENGLISH.format("k")} AS own FROM n),
+    t AS (SELECT *, CASE WHEN own = '' AND number <> '' THEN {_ENGLISH.format("trim(string_split(plain, number)[1])")} ELSE own END AS named FROM m)
+    SELECT id, CASE WHEN named = '' THEN 'label:' || plain WHEN number <> '' THEN named || ':' || replace(number, '-', '.') ELSE named || ':unnumbered' END AS identity,
+    regexp_replace(regexp_replace(translate(regexp_replace(coalesce(text, ''), '\\\\t(\\s|[$\\\\]|$)', '\\1', 'g'), '，。；：！？（）', ',.;:!?()'), '(?m)^[ \\t]*#{{1,6}}[ \\t]+[^\\r\\n]*(?:\\r?\\n|$)', ''), '\\s+', '', 'g') AS surface FROM t""")
 def label_identities(spark, sf_dir):
-    """Identity of labels and surface key of texts."""
-    return IDENTITIES.frame(spark).select("id", W.label_identity(F.col("label"), F.col("kind")).alias("identity"), W.surface_key(F.col("text")).alias("surface"))
+    """Identity of labels and surface fingerprint of texts: samples, and every part's."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    size, brand = F.col("p_size").cast("string"), F.col("p_brand")
+    label = F.when(k % 4 == 0, F.concat(F.lit("## Theorem "), size, F.lit("-"), (k % 7).cast("string"), F.lit("."))).when(k % 4 == 1, F.concat(F.lit("Lemma "), size, F.lit(".b"))).when(k % 4 == 2, F.concat("p_name", F.lit(" : "))).otherwise(brand)
+    kind = F.when(k % 3 == 0, "引理").when(k % 3 == 1, F.col("p_type"))
+    text = F.concat("p_name", F.lit("\n # "), "p_type", F.lit("\n（"), brand, F.lit("）\\t end"))
+    rows = IDENTITIES.frame(spark).unionByName(p.select((k.cast("int") + 1000).alias("id"), label.alias("label"), kind.alias("kind"), text.alias("text")))
+    return rows.select("id", C.label_identity(F.col("label"), F.col("kind")).alias("identity"), C.surface_fingerprint(F.col("text")).alias("surface"))
 
 
 CANDIDATES = Sample("cand_", {"block": "int", "start": "int", "identity": "string"}, [(1, 0, "theorem:1"), (2, 50, "lemma:2"), (3, 90, "lemma:3"), (4, 120, "definition:1"), (5, 150, "claim:unnumbered")])
