@@ -256,16 +256,15 @@ def embedding_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.join(valid.select("key").distinct(), "key", "left_anti")
 
 
-def shared_symbol_scores(symbols: DataFrame, most_units: int) -> DataFrame:
-    """symbols(unit, symbol), distinct -> (dependent, support, score) of pairs support < dependent: the sum of ln(1 + N / df)
-    over the symbols that both have and that at most `most_units` units have. Frequent symbols tell nothing, and without
-    them no symbol makes more than most_units squared pairs."""
-    n = symbols.select("unit").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    rare = symbols.groupBy("symbol").agg(F.count("*").alias("df")).where(F.col("df") <= most_units)
-    rows = symbols.join(rare, "symbol")
-    a, b = rows.select("symbol", "df", F.col("unit").alias("dependent")), rows.select("symbol", F.col("unit").alias("support"))
-    pairs = a.join(b, "symbol").where("support < dependent").crossJoin(F.broadcast(n))
-    return pairs.groupBy("dependent", "support").agg(F.sum(F.log1p(F.col("n") / F.col("df"))).alias("score"))
+def shared_symbol_scores(symbols: DataFrame, units: DataFrame) -> DataFrame:
+    """symbols(doc_id, unit, symbol), distinct, units(doc_id, unit) -> (doc_id, dependent, support, score) of pairs support <
+    dependent of a document: the sum of ln(1 + N / df) over the symbols that both have and that at most max(3, a fifth of the
+    document's N units) have. Frequent symbols tell nothing."""
+    sizes = units.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rare = symbols.groupBy("doc_id", "symbol").agg(F.count("*").alias("df")).join(sizes, "doc_id").where(F.col("df") <= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2)))
+    rows = symbols.join(rare, ["doc_id", "symbol"])
+    a, b = rows.select("doc_id", "symbol", "df", "n", F.col("unit").alias("dependent")), rows.select("doc_id", "symbol", F.col("unit").alias("support"))
+    return a.join(b, ["doc_id", "symbol"]).where("support < dependent").groupBy("doc_id", "dependent", "support").agg(F.sum(F.log1p(F.col("n") / F.col("df"))).alias("score"))
 
 
 #: Query vectors that a task holds at once.

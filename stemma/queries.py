@@ -392,11 +392,11 @@ def block_sessions(spark, sf_dir):
     return O.blocks(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "block")
 
 
-@query("""SELECT conv_id, turn, array_to_string(coalesce(list(substr(text, 1, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), '|') AS before,
-    array_to_string(coalesce(list(substr(text, 1, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []), '|') AS after FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(coalesce(list(text) FILTER (text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), '|') AS before,
+    array_to_string(coalesce(list(text) FILTER (text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []), '|') AS after FROM conversations""")
 def neighbour_context(spark, sf_dir):
-    """The beginnings of the two turns on either side of each turn."""
-    got = O.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.substring("text", 1, 20), 2)
+    """The two turns on either side of each turn, joined."""
+    got = O.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"), 2)
     return got.select("conv_id", "turn", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 

@@ -114,11 +114,11 @@ def predicate_matches(spark, sf_dir):
     return W.predicate_matches(ENTRIES.frame(spark)).withColumn("predicates", F.array_join("predicates", ","))
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn AS dependent, b.turn AS support, a.role AS label2, a.text AS text2, b.role AS label1, b.text AS text1 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.conv_id = 3)
-    SELECT support || '-' || dependent AS key, support AS pos1, dependent AS pos2, label1, text1, label2, text2, CASE WHEN dependent % 2 = 0 THEN 'yes' END AS answer FROM p""")
+@query("""WITH p AS (SELECT a.conv_id, a.turn AS dependent, b.turn AS support, a.role AS label2, a.text AS text2, b.role AS label1, b.text AS text1 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)
+    SELECT (conv_id * 100000 + support) || '-' || (conv_id * 100000 + dependent) AS key, conv_id * 100000 + support AS pos1, conv_id * 100000 + dependent AS pos2, label1, text1, label2, text2, CASE WHEN dependent % 2 = 0 THEN 'yes' END AS answer FROM p""")
 def pair_payloads(spark, sf_dir):
-    """Pairs of one conversation's neighbours as payloads, with the answers that came back by key."""
-    c = table(spark, sf_dir, "conversations").where("conv_id = 3").select(F.col("turn").alias("pos"), F.col("role").alias("label"), "text")
+    """Pairs of all conversations' neighbours as payloads, with the answers that came back by key."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("pos"), F.col("role").alias("label"), "text")
     pairs = c.select(F.col("pos").alias("dependent"), (F.col("pos") - 1).alias("support"))
     rows = W.pair_payloads(pairs, c)
     return W.answers_by_key(rows, rows.where("pos2 % 2 = 0").select("key", F.lit("yes").alias("answer")))

@@ -101,10 +101,10 @@ def raw_cosines(spark, sf_dir):
     return VECTORS.frame(spark).select("id", F.round(T.raw_cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
 
 
-@query("SELECT sha256('model-1' || chr(0) || lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, min(doc_id) AS first_doc, count(*) AS uses FROM documents WHERE trim(text) <> '' AND doc_id % 4 <> 0 GROUP BY ALL HAVING count(*) FILTER (doc_id < 50) = 0")
+@query("SELECT sha256('model-1' || chr(0) || lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, min(doc_id) AS first_doc, count(*) AS uses FROM documents WHERE trim(text) <> '' GROUP BY ALL HAVING count(*) FILTER (doc_id < 50) = 0")
 def embedding_misses(spark, sf_dir):
     """Distinct texts that a cache, of the documents before the fiftieth, has no vector for."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     cached = V.embedding_keys(d.where("doc_id < 50"), "model-1").select("key", F.array(F.lit(1.0)).alias("vector"))
     return V.embedding_misses(V.embedding_keys(d, "model-1"), cached).select("key", "first_doc", "uses")
 
@@ -304,13 +304,14 @@ def orphans_and_versions(spark, sf_dir):
     return a.unionByName(b.select(F.when(F.col("state") == "orphan", "unreferenced").otherwise(F.col("state")).alias("problem"), "key"))
 
 
-@query("""WITH n AS (SELECT greatest(count(DISTINCT conv_id), 1) AS n FROM conversations), s AS (SELECT DISTINCT conv_id, unnest(string_split(lower(text), ' ')) AS token FROM conversations), d AS (SELECT token, count(*) AS df FROM s GROUP BY ALL HAVING count(*) <= 8)
-    SELECT a.conv_id AS dependent, b.conv_id AS support, round(sum(ln(1 + n / df)), 6) AS score FROM s a JOIN d USING (token) JOIN s b ON a.token = b.token AND b.conv_id < a.conv_id, n WHERE a.token <> '' GROUP BY ALL""")
+@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL), s AS (SELECT DISTINCT conv_id, turn, unnest(string_split(lower(text), ' ')) AS token FROM conversations),
+    d AS (SELECT conv_id, token, count(*) AS df, any_value(n) AS n FROM s JOIN n USING (conv_id) WHERE token <> '' GROUP BY ALL HAVING count(*) <= greatest(3, ceil(any_value(n) * 0.2)))
+    SELECT a.conv_id AS doc_id, a.turn AS dependent, b.turn AS support, round(sum(ln(1 + n / df)), 6) AS score FROM s a JOIN d USING (conv_id, token) JOIN s b ON a.conv_id = b.conv_id AND a.token = b.token AND b.turn < a.turn GROUP BY ALL""")
 def symbol_idf_scores(spark, sf_dir):
-    """Sums of ln(1 + N / df) over the rare words that two conversations share."""
-    c = table(spark, sf_dir, "conversations")
-    symbols = c.select(F.col("conv_id").alias("unit"), F.explode(F.split(F.lower("text"), " ")).alias("symbol")).where("symbol <> ''").distinct()
-    return V.shared_symbol_scores(symbols, most_units=8).select("dependent", "support", F.round("score", 6).alias("score"))
+    """Sums of ln(1 + N / df) over the rare words that two turns of a conversation share."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit"), "text")
+    symbols = c.select("doc_id", "unit", F.explode(F.split(F.lower("text"), " ")).alias("symbol")).where("symbol <> ''").distinct()
+    return V.shared_symbol_scores(symbols, c).withColumn("score", F.round("score", 6))
 
 
 # Predicate groups and the registry.

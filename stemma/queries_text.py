@@ -381,11 +381,13 @@ def node_contents(spark, sf_dir):
     return TYPED.frame(spark).select("id", T.folded(T.first_filled("content", "title", "label")).alias("content"))
 
 
-@query("WITH w AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) SELECT conv_id, turn, (s - 1) // 8 AS batch, lag(substr(text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, lead(substr(text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM w")
+@query("""WITH w AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations),
+    c AS (SELECT *, CASE WHEN length(t) <= 1200 THEN t ELSE rtrim(substr(t, 1, 1180)) || ' ...[truncated]' END AS short FROM w)
+    SELECT conv_id, turn, (s - 1) // 8 AS batch, lag(short) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, lead(short) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM c""")
 def cleaning_batches(spark, sf_dir):
-    """Turns in batches of eight, each with a summary (the first 40 characters) of the turns beside it."""
+    """Turns in batches of eight, each with a summary of the turns beside it: white space folded, beyond 1,200 characters cut and marked."""
     c = table(spark, sf_dir, "conversations")
-    return S.cleaning_batches(c, "conv_id", "turn", "text", 8, 40).select("conv_id", "turn", "batch", "previous", "next")
+    return S.cleaning_batches(c, "conv_id", "turn", "text", 8).select("conv_id", "turn", "batch", "previous", "next")
 
 
 @query(f"""WITH {UNITS.sql}, t AS (SELECT id, coalesce(text, '') AS t FROM units_) SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '!\\[[^\\]]*\\]\\([^)]+\\)') THEN 'image' END, CASE WHEN contains(t, '??') THEN 'unknown_reference' END,
@@ -398,9 +400,9 @@ def block_quality(spark, sf_dir):
     return rows.select("id", F.array_join(S.quality_flags(F.col("text")), ",").alias("flags"))
 
 
-@query(f"WITH {UNITS.sql} SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '!\\[[^\\]]*\\]\\([^)]+\\)') THEN 'image' END, CASE WHEN contains(text, '??') THEN 'unknown_reference' END, CASE WHEN length(text) > 2500 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS flag FROM (SELECT text FROM units_ UNION ALL SELECT text FROM documents)) GROUP BY ALL")
+@query(f"WITH {UNITS.sql} SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '!\\[[^\\]]*\\]\\([^)]+\\)') THEN 'image' END, CASE WHEN contains(text, '??') THEN 'unknown_reference' END, CASE WHEN len(regexp_extract_all(text, '(?m)^\\s*#{{1,6}}\\s+\\S')) > 1 THEN 'multiple_headings' END, CASE WHEN length(text) > 2500 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS flag FROM (SELECT text FROM units_ UNION ALL SELECT text FROM documents)) GROUP BY ALL")
 def quality_histogram(spark, sf_dir):
     """How often each quality flag occurs."""
     rows = UNITS.frame(spark).select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
-    flags = rows.select(F.explode(S.quality_flags(F.col("text"))).alias("flag")).where("flag <> 'multiple_headings'")
+    flags = rows.select(F.explode(S.quality_flags(F.col("text"))).alias("flag"))
     return flags.groupBy("flag").agg(F.count("*").alias("n"))
