@@ -104,3 +104,24 @@ def json_hash(json: Column) -> Column:
     raw = F.from_json(json, "map<string,string>")
     quoted = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.element_at(raw, k)))
     return F.sha2(F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")), 256)
+
+
+def substituted(text: Column, rules: list[tuple[str, str]], most: int = 5) -> Column:
+    """struct(text, rounds, settled): each rule (pattern, replacement) applied in turn, all of them again until a round changes
+    nothing, in at most so many rounds. rounds counts those that changed something; a text that still changed in the last
+    one isn't settled. Rules that undo each other within a round change nothing. A null text stays null, settled."""
+
+    def once(t: Column) -> Column:
+        for pattern, replacement in rules:
+            t = F.regexp_replace(t, pattern, replacement)
+        return t
+
+    state = lambda t, n, done: F.struct(t.alias("text"), n.cast("int").alias("rounds"), done.alias("settled"))
+
+    def step(acc: Column, _: Column) -> Column:
+        now = once(acc["text"])
+        return F.when(acc["settled"] | now.eqNullSafe(acc["text"]), state(acc["text"], acc["rounds"], F.lit(True))).otherwise(state(now, acc["rounds"] + 1, F.lit(False)))
+
+    # one round more than counts, which only tells whether the last one settled the text
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), state(text, F.lit(0), F.lit(False)), step)
+    return F.struct(end["text"].alias("text"), end["rounds"].alias("rounds"), (end["settled"] | once(end["text"]).eqNullSafe(end["text"])).alias("settled"))

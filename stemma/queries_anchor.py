@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stemma.functions import text as T
 from stemma.operators import anchors as A
 from stemma.operators import locate as L
 from stemma.operators import vectors as N
@@ -145,3 +146,19 @@ def similar_pairs(spark, sf_dir):
 def leader_clusters(spark, sf_dir):
     """Drawn vectors claimed one after the other by the first alike."""
     return N.leader_clusters(_drawn(spark, sf_dir), 0.8)
+
+
+# A chain that needs a round for each link, since its rules stand in reverse; two rules that undo each other; one that never ends.
+RULES = [("ion", "io"), ("tio", "ti"), ("enti", "en"), ("qu", "kw"), ("kw", "qu"), ("zz", "z"), ("loser", "loserr")]
+_ROUND = "t"
+for _p, _r in RULES:
+    _ROUND = f"replace({_ROUND}, '{_p}', '{_r}')"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS k, doc_id, text AS t, 0 AS n, false AS done FROM documents UNION ALL
+        SELECT k, doc_id, CASE WHEN n < 5 THEN u ELSE t END, n + (n < 5 AND u IS DISTINCT FROM t)::INT, n >= 5 OR u IS NOT DISTINCT FROM t FROM (SELECT *, {_ROUND} AS u FROM s WHERE NOT done))
+    SELECT doc_id, n AS rounds, {_ROUND} IS NOT DISTINCT FROM t AS settled, md5(t) AS text FROM s WHERE done""")
+def substituted_texts(spark, sf_dir):
+    """All documents under rules applied again and again, five rounds at most."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.substituted(F.col("text"), RULES).alias("s"))
+    return d.select("doc_id", "s.rounds", "s.settled", F.md5(F.col("s.text").cast("binary")).alias("text"))

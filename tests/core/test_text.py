@@ -106,3 +106,25 @@ def test_tokens_and_similarity(spark):
     assert sorted(row.a) == sorted(["let", "\\alpha", "y12", "群论", "论的", "群论的", "3.5"]) and row.j == 0 and row.c == 0
     red = spark.range(1).select(T.redact_url(F.lit("https://h/p?a=1&Signature=x&token=y#f")).alias("u"), T.redact_text(F.lit("api_key=abc Bearer zz.yy s3cr"), ("s3cr",)).alias("t")).first()
     assert red.u == "https://h/p?a=1#f" and not re.search("abc|zz|s3cr", red.t)
+
+
+def test_substitution_to_a_fix_point(spark):
+    import re
+
+    from stemma.functions.text import substituted
+
+    rules = [("c", "d"), ("b", "c"), ("a", "b"), ("xy", "yx"), ("(z+)!", "$1z!"), ("1", "2"), ("2", "1")]
+
+    def brute(t):
+        rounds = 0
+        once = lambda t: [t := re.sub(p, r.replace("$1", r"\1"), t) for p, r in rules][-1]
+        for _ in range(5):
+            if (now := once(t)) == t:
+                break
+            t, rounds = now, rounds + 1
+        return t, rounds, once(t) == t
+
+    texts = ["a", "b", "abc", "xxyy", "xxxxxxxxy", "z!", "1", "12", "", "plain", "a1xy"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(substituted(F.col("t"), rules).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in got] == [*map(brute, texts), (None, 0, True)]
+    assert not brute("z!")[2] and brute("a") == ("d", 3, True)
