@@ -92,7 +92,7 @@ def _joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A bit array of hashes: `in` never says no to a member."""
+    """A bit array of hashes: `has` never says no to a member."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
