@@ -193,11 +193,11 @@ def _atom(text: Column) -> Column:
 _KID = "struct<place:int,slot:string,shape:string,text:string,error:string,bare:string,items:array<string>,bound:string,unbound:string>"
 
 
-def _level(nodes: DataFrame, kids: DataFrame | None, indent: int) -> DataFrame:
-    """(tree, id, parent, kid) of nodes whose children are all in kids (tree, id: the parent's, kids)."""
-    n = nodes.join(kids, ["tree", "id"], "left") if kids is not None else nodes.withColumn("kids", F.lit(None).cast(f"array<{_KID}>"))
-    n = n.withColumn("kids", F.array_sort(F.coalesce("kids", F.array().cast(f"array<{_KID}>"))))
-    n = n.withColumn("has", F.when(F.col("shape") == "object", F.map_from_arrays(F.transform("kids", lambda k: k["slot"]), F.col("kids"))))
+def _steps(indent: int) -> list[tuple[str, Column]]:
+    """The columns that make a node's kid from its children's (kids), one behind the other. Built once for all rounds."""
+    steps = []
+    steps.append(("kids", F.array_sort(F.coalesce("kids", F.array().cast(f"array<{_KID}>")))))
+    steps.append(("has", F.when(F.col("shape") == "object", F.map_from_arrays(F.transform("kids", lambda k: k["slot"]), F.col("kids")))))
     has = lambda *slots: F.expr(" AND ".join(f"map_contains_key(has, '{s}')" for s in slots))
     kind, words = F.col("kind"), lambda *w: F.array(*map(F.lit, w))
     known = kind.isin(*FORMS, "sym_ref", "mul", "sum", "restriction")
@@ -218,7 +218,7 @@ def _level(nodes: DataFrame, kids: DataFrame | None, indent: int) -> DataFrame:
         .when(known, wanted)
         .otherwise(F.concat(arguments, sides, one, others))
     )
-    n = n.withColumns({"wanted": F.when(F.col("shape") == "object", wanted), "binds": (F.col("shape") == "object") & (kind.isin("forall", "exists") | binder)})
+    steps += [("wanted", F.when(F.col("shape") == "object", wanted)), ("binds", (F.col("shape") == "object") & (kind.isin("forall", "exists") | binder))]
     plain = lambda s: F.when(s == "fn*", "fn").when(s == "args*", "args").otherwise(s)
     field = lambda s: F.col("has")[plain(s)]
     # what is wrong with the node itself, in the order of checks; then with its parts, in the order of rendering
@@ -231,13 +231,13 @@ def _level(nodes: DataFrame, kids: DataFrame | None, indent: int) -> DataFrame:
     order = F.when(F.col("binds"), F.concat(words("body"), F.filter("wanted", lambda s: ~s.isin("body", "vars")), words("vars"))).otherwise(F.col("wanted"))
     wrong = F.transform(order, lambda s: F.when(F.col("binds") & (s == "body") & (body["shape"] != "object"), "logic_ast node must be a dict").when(F.col("binds") & (s == "vars"), field(s)["unbound"]).when((s == "fn*") & field(s)["bare"].isNotNull(), None).when((kind == "sym_ref") | ((kind == "pred") & (s == "pred_id")), None).otherwise(field(s)["error"]))
     first = lambda a: F.get(F.array_compact(a), F.lit(0))
-    n = n.withColumn("error", F.when(F.col("shape") == "object", F.coalesce(unnamed, F.when(~known, paired), first(needs), first(wrong))).when(F.col("shape") == "list", first(F.transform("kids", lambda k: k["error"]))))
+    steps.append(("error", F.when(F.col("shape") == "object", F.coalesce(unnamed, F.when(~known, paired), first(needs), first(wrong))).when(F.col("shape") == "list", first(F.transform("kids", lambda k: k["error"])))))
     texts = lambda ws: F.flatten(F.transform(ws, lambda s: F.when(s == "args*", field(s)["items"]).when(s == "fn*", F.array(F.coalesce(field(s)["bare"], field(s)["text"]))).otherwise(F.array(field(s)["text"]))))
     shifted = lambda x: F.concat(F.lit(" " * indent), F.replace(x, F.lit("\n"), F.lit("\n" + " " * indent)))
     camel = F.when(kind == F.upper(kind), kind).otherwise(F.array_join(F.transform(F.split(kind, "_"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), ""))
     fixed_names = {k: v[0] for k, v in FORMS.items() if v[0]} | {"mul": "Mul", "restriction": "Restriction"}
     operator = F.when(kind == "sum", F.when(F.array_contains("wanted", "over"), "SumOver").otherwise("Sum")).when(kind == "pred", F.col("has")["pred_id"]["text"]).otherwise(F.coalesce(F.element_at(_table(fixed_names), kind), _atom(camel)))
-    n = n.withColumn("parts", F.when(F.col("shape") == "list", F.transform("kids", lambda k: k["text"])).otherwise(texts(F.when(F.col("binds"), F.filter("wanted", lambda s: s != "vars")).when(kind == "pred", words("args*")).otherwise(F.col("wanted")))))
+    steps.append(("parts", F.when(F.col("shape") == "list", F.transform("kids", lambda k: k["text"])).otherwise(texts(F.when(F.col("binds"), F.filter("wanted", lambda s: s != "vars")).when(kind == "pred", words("args*")).otherwise(F.col("wanted"))))))
     split = F.exists("parts", lambda x: F.contains(x, F.lit("\n")))
     split = F.coalesce(F.col("binds") | kind.isin(*MULTILINE) | ((kind == "not") & F.get("parts", F.lit(0)).startswith("(")), F.lit(False)) | split
     open_ = F.concat(F.lit("("), operator, F.when(F.col("binds"), F.concat(F.lit(" "), F.col("has")["vars"]["bound"])).otherwise(""))
@@ -251,14 +251,22 @@ def _level(nodes: DataFrame, kids: DataFrame | None, indent: int) -> DataFrame:
     unbound = F.when(F.col("shape") == "object", variable).when(F.col("shape") == "list", first(F.transform("kids", lambda k: F.when(k["shape"] != "object", "logic_ast binder variable must be a dict").otherwise(k["unbound"]))))
     bare = F.when((kind == "pred") & has("pred_id") & ~has("args"), F.col("has")["pred_id"]["text"])
     kid = F.struct("place", "slot", "shape", F.when(F.col("error").isNull(), text).alias("text"), "error", bare.alias("bare"), F.when(F.col("shape") == "list", F.col("parts")).alias("items"), bound.alias("bound"), unbound.alias("unbound"))
-    return n.select("tree", "id", "parent", kid.cast(_KID).alias("kid"))
+    return [*steps, ("kid", kid.cast(_KID))]
+
+
+def _level(nodes: DataFrame, kids: DataFrame | None, steps: list[tuple[str, Column]]) -> DataFrame:
+    """(tree, id, parent, kid) of nodes whose children are all in kids (tree, id: the parent's, kids)."""
+    n = nodes.join(kids, ["tree", "id"], "left") if kids is not None else nodes.withColumn("kids", F.lit(None).cast(f"array<{_KID}>"))
+    for name, column in steps:
+        n = n.withColumn(name, column)
+    return n.select("tree", "id", "parent", "kid")
 
 
-def rendered(nodes: DataFrame, indent: int = 2, rounds_per_write: int = 4) -> DataFrame:
+def rendered(nodes: DataFrame, indent: int = 2) -> DataFrame:
     """(tree, text): each tree as an operator expression, deepest nodes first, a round for each level of depth. A tree that
     lacks a field, or whose root is no object, is a RenderError with the first fault in the order of rendering. Line
     separators other than \\n inside names don't start a line. Levels are files of their own; a round reads its level alone
-    and joins what the level below hands up; lineage is cut every few rounds."""
+    and joins what the level below hands up, which is written: plans stay those of one round, however deep the trees."""
     if indent < 0:
         raise ValueError("indent must not be negative")
     spark, path = nodes.sparkSession, shared_dir(nodes.sparkSession, "levels")
@@ -267,13 +275,11 @@ def rendered(nodes: DataFrame, indent: int = 2, rounds_per_write: int = 4) -> Da
     deepest = levels.agg(F.max("depth")).first()[0]
     if deepest is None:
         return levels.select("tree", F.col("value").alias("text"))
-    kids = None
+    kids, steps = None, _steps(indent)
     for depth in range(deepest, 0, -1):
-        up = _level(levels.where(F.col("depth") == depth), kids, indent)
-        kids = up.groupBy("tree", F.col("parent").alias("id")).agg(F.collect_list("kid").alias("kids"))
-        if (deepest - depth) % rounds_per_write == rounds_per_write - 1:
-            kids = written(kids, "rendered")
-    top = _level(levels.where(F.col("depth") == 0), kids, indent)
+        up = _level(levels.where(F.col("depth") == depth), kids, steps)
+        kids = written(up.groupBy("tree", F.col("parent").alias("id")).agg(F.collect_list("kid").alias("kids")), "rendered")
+    top = _level(levels.where(F.col("depth") == 0), kids, steps)
     error = F.coalesce(F.when(F.col("kid.shape") != "object", "logic_ast node must be a dict"), F.col("kid.error"))
     failed = F.concat(F.lit('(RenderError "ValueError" '), _quoted(error), F.lit(")"))
     return top.select("tree", F.coalesce(failed, "kid.text").alias("text"))
