@@ -783,4 +783,4 @@ def edge_checks(spark, sf_dir):
     return R.checked_edges(e, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))).select("l_orderkey", "l_linenumber", "problem")
 
 
-from stemma import queries_anchor, queries_coverage, queries_review, queries_store, queries_text  # noqa: E402, F401  register their queries
+from stemma import queries_anchor, queries_coverage, queries_review, queries_store, queries_syntax, queries_text  # noqa: E402, F401  register their queries
