@@ -162,3 +162,17 @@ def substituted_texts(spark, sf_dir):
     """All documents under rules applied again and again, five rounds at most."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.substituted(F.col("text"), RULES).alias("s"))
     return d.select("doc_id", "s.rounds", "s.settled", F.md5(F.col("s.text").cast("binary")).alias("text"))
+
+
+_COSINE = "round(list_cosine_similarity({}.embedding::DOUBLE[], {}.embedding::DOUBLE[]), 6)"
+
+
+@query(f"""WITH fi AS (SELECT q.vec_id AS query, e.vec_id AS id, {_COSINE.format("q", "e")} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format("q", "e")} DESC, e.vec_id) AS rank
+        FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5),
+    ba AS (SELECT x.vec_id AS id, e.vec_id AS query, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_COSINE.format("x", "e")} DESC, e.vec_id) AS back
+        FROM embeddings x JOIN embeddings e ON e.vec_id <> x.vec_id WHERE x.vec_id IN (SELECT id FROM fi) QUALIFY back <= 5)
+    SELECT query, id, score, rank, back FROM fi LEFT JOIN ba USING (query, id)""")
+def mutual_neighbours(spark, sf_dir):
+    """The five nearest of each query vector (ids divisible by 100) among all, and where it stands among theirs."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return N.reciprocal_pairs(e, e.where("id % 100 = 0"))
