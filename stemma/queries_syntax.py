@@ -1,10 +1,11 @@
-"""Queries over formal statements: every order is a tree, its items joined one by one."""
+"""Queries over formal statements: every order is a tree, its items joined one by one; and over searches down a tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stemma.operators import search as A
 from stemma.operators import syntax as S
 from stemma.registry import query, table
 
@@ -63,3 +64,34 @@ def _rewritten(spark, sf_dir):
     rules = F.create_map(*[F.lit(x) for kv in {"SUBSET": "SUBSET_RELATION", "IND": "IND_POWER_OPERATOR", "IRR": "IRR_MEMBERSHIP"}.items() for x in kv])
     fixed = forms.select("tree", F.explode(rules).alias("pred_id", "semantic_key"))
     return S.rewritten(S.flat_nodes(forms.select("tree", whole.alias("text"))), renamed, fixed)
+
+
+# The library: brands, their types and the names below; a type or a name is found where it stands first. Every order asks for
+# its items' brands, types and names; some answers are missing and some name what isn't there.
+_LIBRARY = """pa AS (SELECT p_partkey AS p, p_brand AS b, p_brand || '/' || p_type AS bt, p_type AS ty, p_brand || '/' || p_type || '/' || p_name AS bn, p_name AS nm FROM part),
+    no AS (SELECT '' AS id, NULL AS parent, 'library' AS name, 0 AS level UNION ALL SELECT DISTINCT b, '', b, 1 FROM pa UNION ALL SELECT DISTINCT bt, b, ty, 2 FROM pa UNION ALL SELECT DISTINCT bn, bt, nm, 3 FROM pa),
+    tr AS (SELECT *, CASE WHEN length(id) % 3 > 0 THEN 'lean' ELSE 'folder' END AS type FROM no),
+    tg AS (SELECT name, level, min(id) AS child FROM tr GROUP BY ALL),
+    ia AS (SELECT l_orderkey AS st, l_suppkey AS s, pa.* FROM lineitem JOIN pa ON l_partkey = p),
+    an AS (SELECT DISTINCT st, '' AS node, b AS name FROM ia WHERE s % 5 > 0 UNION SELECT st, b, CASE WHEN s % 7 = 0 THEN 'nothing' ELSE ty END FROM ia WHERE s % 3 > 0 UNION SELECT st, tg.child, nm FROM ia JOIN tg ON tg.name = ty AND tg.level = 2 WHERE s % 4 > 0)"""
+
+
+@query(f"""WITH RECURSIVE {_LIBRARY}, se AS (SELECT DISTINCT l_orderkey AS st, '' AS node, 0 AS level, '' AS path FROM lineitem UNION ALL
+        SELECT se.st, tg.child, se.level + 1, CASE WHEN se.path = '' THEN an.name ELSE se.path || '/' || an.name END FROM se JOIN an ON an.st = se.st AND an.node = se.node JOIN tg ON tg.name = an.name AND tg.level = se.level + 1),
+    sa AS (SELECT an.st, an.node, bool_or(tg.child IS NOT NULL) AS led FROM an JOIN tr ON tr.id = an.node LEFT JOIN tg ON tg.name = an.name AND tg.level = tr.level + 1 GROUP BY ALL)
+    SELECT se.st AS statement, se.node, se.level, se.path, CASE WHEN led IS NOT NULL THEN NULL WHEN type = 'lean' THEN 'active' ELSE 'dead' END AS state
+    FROM se JOIN tr ON tr.id = se.node LEFT JOIN sa ON sa.st = se.st AND sa.node = se.node WHERE led IS NULL OR NOT led""")
+def library_search(spark, sf_dir):
+    """Where the search of every order ends in the library of parts."""
+    join = lambda *c: F.concat_ws("/", *c)
+    pa = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("b"), F.col("p_type").alias("ty"), F.col("p_name").alias("nm"), join("p_brand", "p_type").alias("bt"), join("p_brand", "p_type", "p_name").alias("bn"))
+    row = lambda i, parent, name, level: F.struct(i.alias("id"), parent.alias("parent"), name.alias("name"), F.lit(level).alias("level"))
+    none, top, c = F.lit(None).cast("string"), F.lit(""), F.col
+    below = pa.select(F.explode(F.array(row(c("b"), top, c("b"), 1), row(c("bt"), c("b"), c("ty"), 2), row(c("bn"), c("bt"), c("nm"), 3))).alias("r")).select("r.*").distinct()
+    tree = below.unionByName(spark.range(1).select(row(top, none, F.lit("library"), 0).alias("r")).select("r.*"))
+    tree = tree.withColumn("type", F.when(F.length("id") % 3 > 0, A.LEAF).otherwise("folder"))
+    items = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("statement"), c("l_partkey").alias("p"), c("l_suppkey").alias("s")).join(pa, "p").join(pa.groupBy("ty").agg(F.min("bt").alias("first")), "ty")
+    answer = lambda when, node, name: F.when(when, F.struct(node.alias("node"), name.alias("name")))
+    said = F.array_compact(F.array(answer(c("s") % 5 > 0, top, c("b")), answer(c("s") % 3 > 0, c("b"), F.when(c("s") % 7 == 0, "nothing").otherwise(c("ty"))), answer(c("s") % 4 > 0, c("first"), c("nm"))))
+    answers = items.select("statement", F.explode(said).alias("a")).select("statement", "a.*").distinct()
+    return A.tree_search(tree, table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("statement")).distinct(), answers)
