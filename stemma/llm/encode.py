@@ -8,9 +8,9 @@ of the whole text. Two layouts are known; for any other the whole text is encode
   them together: such a text is encoded whole.
 - drop: a normalizer that folds white space and a pre-tokenizer that drops it. Pieces lie between spaces and newlines.
 
-The pieces of many texts are found by array operations and grouped by their bytes; only distinct ones are looked up
-and, where new, encoded. A comma or full stop behind a letter is a pre-token of its own in both layouts, so "word," takes the ids of
-"word".
+Both patterns also cut between a letter and a mark such as a comma, so a piece starts there too, and "word," and "word."
+share "word". The pieces of many texts are found by array operations and grouped by their bytes; only distinct ones are
+looked up and, where new, encoded. A piece of Latin letters is one pre-token, so the tokenizer's model takes it as it is.
 """
 
 from __future__ import annotations
@@ -30,9 +30,19 @@ _CUT = np.isin(np.arange(256), [32, 10])
 #: Bytes that are white space other than space and newline, or the first of such a character's.
 _RARE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
 _RARE_TAILS = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (b"\x80", b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
-#: Pieces kept encoded per worker process, all dropped when there are more (some 80 MB), and the longest piece, in
-#: bytes, that is kept; longer ones are encoded each time.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Bytes that are ASCII letters; letters of two bytes from 0xC3; ASCII marks but the apostrophe, which contractions hold.
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_LATIN = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+_PLAIN = re.compile(rb"[ \n]?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+#: The character that the byte-level step makes of each byte; a line feed stays, as a separator.
+_ALPHABET = np.arange(256, dtype="<u2")
+_HIDDEN = np.r_[0:33, 127:161, 173]
+_ALPHABET[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+_ALPHABET[10] = 10
+#: Pieces kept encoded per worker process: when there are more they become the old ones, which stay as long as the next
+#: are gathered (together some 100 MB). The longest piece, in bytes, that is kept; longer ones are encoded each time.
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
 #: Words that are encoded in one call, a special token between them.
 TOGETHER = 50
 
@@ -51,6 +61,20 @@ def layout(spec: dict) -> str:
     return "drop" if folds and drops and set(steps) <= {"NFC", "Replace", "Lowercase"} else "whole"
 
 
+def takes_words(spec: dict) -> bool:
+    """Whether a piece of letters alone reaches the model as one pre-token, its bytes spelled in the byte-level alphabet."""
+    if layout(spec) == "whole" or spec.get("truncation") or spec.get("padding"):
+        return False
+    if any(_PLAIN.fullmatch(t["content"].encode()) for t in spec["added_tokens"]):
+        return False
+    pre = spec["pre_tokenizer"]
+    if pre["type"] == "ByteLevel":
+        return True
+    split, *rest = pre["pretokenizers"]
+    bare = [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in rest] == [("ByteLevel", False, False)]
+    return bare and "[\\p{L}]+" in split["pattern"].get("Regex", "").split("|")
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned integers of the given width (2 or 4 bytes)."""
 
@@ -69,7 +93,11 @@ class Encoder:
         #: what stands between the pieces has no ids in the layout that drops it
         self.blank = {b" ": b"", b"\n": b""} if self.layout == "drop" else {}
         self.words: dict[bytes, bytes] = dict(self.blank)
-        self.marks = dict(zip((b",", b"."), self._each([",", "."]), strict=True)) if self.layout != "whole" else {}
+        self.old: dict[bytes, bytes] = {}
+        #: marks that no special token holds
+        self.marks = np.isin(np.arange(256), list(set(_MARKS).difference(*self.specials)))
+        self.direct = takes_words(spec)
+        self.newline = self._each(["\n"])[0] if self.layout == "lead" else b""
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,12 +120,30 @@ class Encoder:
                 at = end + size
         return out
 
+    def _words(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of letters, each behind a space or newline or none."""
+        lead = [b""] * len(pieces)
+        if self.layout == "lead":
+            lead = [self.newline if w[:1] == b"\n" else b"" for w in pieces]
+            text = b"\n".join(w[1:] if w[:1] == b"\n" else w for w in pieces)
+        else:
+            text = b"\n".join(pieces).decode().lower().encode()
+        spelled = _ALPHABET[np.frombuffer(text, np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        tokens = list(map(self.tok.model.tokenize, spelled))
+        size = self.dtype.itemsize
+        ids = np.array([t.id for word in tokens for t in word], self.dtype).tobytes()
+        ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) * size).tolist()
+        return [first + ids[at:end] for first, at, end in zip(lead, [0, *ends[:-1]], ends, strict=True)]
+
     def _bounds(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts start, in order, and the end; in layout drop a separator is a piece of its own."""
         cut = _CUT[buf]
         begins = np.zeros(len(buf) + 1, bool)
         begins[:-1] = cut
         begins[off] = True
+        letter = _LETTER[buf]
+        letter[1:] |= _LATIN[buf[1:]] & (buf[:-1] == 0xC3)
+        begins[1:-1] |= letter[:-1] & self.marks[buf[1:]]
         if self.layout == "drop":
             begins[1:] |= cut
         return np.flatnonzero(begins)
@@ -123,19 +169,16 @@ class Encoder:
         return [d for d in docs.tolist() if _RUN.search(buf[off[d] : off[d + 1]].tobytes().decode())]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Encode these pieces, and keep all but the long ones."""
-        words, out, rest, passing = self.words, {}, [], []
-        for w in new:
-            if w[-1:] in self.marks and w[-2:-1].isalpha() and (stem := words.get(w[:-1])) is not None:
-                out[w] = stem + self.marks[w[-1:]]
-            else:
-                rest.append(w)
-            if len(w) > CACHE_BYTES:
-                passing.append(w)
+        """The ids of these pieces, from the old ones or encoded; all but the long ones are kept."""
+        out = {w: ids for w, ids in zip(new, map(self.old.get, new), strict=True) if ids is not None}
+        rest = [w for w in new if w not in out]
+        if self.direct:
+            plain = [w for w in rest if _PLAIN.fullmatch(w)]
+            if plain:
+                out.update(zip(plain, self._words(plain), strict=True))
+                rest = [w for w in rest if w not in out]
         out.update(zip(rest, self._many([w.decode() for w in rest]), strict=True))
-        words.update(out)
-        for w in passing:
-            del words[w]
+        self.words.update((w, ids) for w, ids in out.items() if len(w) <= CACHE_BYTES)
         return out
 
     def batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
@@ -144,7 +187,7 @@ class Encoder:
         if self.layout == "whole":
             return self._each([t or "" for t in texts.to_pylist()])
         if len(self.words) > CACHE_WORDS:
-            self.words = dict(self.blank)
+            self.old, self.words = self.words, dict(self.blank)
         buf, off = texts_of(texts)
         if not len(buf):
             return [b""] * len(texts)

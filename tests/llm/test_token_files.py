@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from stemma.llm import encode
 from stemma.llm.encode import Encoder, layout
 from stemma.llm.packing import pack, piece_lengths
 from stemma.llm.token_files import manifest, read_token_files, write_token_files
@@ -42,6 +43,32 @@ def test_cuts_equal_whole_random_texts(text):
         assert np.frombuffer(ENC[name].batch([text])[0], "<u4").tolist() == whole(name, text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_words_are_encoded_once_whatever_mark_follows(name):
+    enc, texts = Encoder(P.path(name)), ["a zyxwv, zyxwv. zyxwv!! zyxwv;zyxwv zyxwv\n", "a zyxwv: été, été. été?"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.batch(texts)] == [whole(name, t) for t in texts]
+    space = " " if name == NAMES[0] else ""
+    assert {w.decode() for w in enc.words if len(w) > 4} == {f"{space}zyxwv", ";zyxwv", f"{space}été"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_latin_letter_and_mark(name):
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]]
+    texts = [f"{a}\n{a}{b} x{a}{m}{b} {m}{a}'s {a}{m}́" for a, b in zip(letters, reversed(letters), strict=True) for m in "!#,.;<>|=-×÷'"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(P.path(name)).batch(texts)] == [whole(name, t) for t in texts]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_old_words_stay_a_while(name, monkeypatch):
+    monkeypatch.setattr(encode, "CACHE_WORDS", 6)
+    enc, rng, encoded = Encoder(P.path(name)), np.random.default_rng(1), []
+    monkeypatch.setattr(enc, "_words", lambda pieces, words=enc._words: (encoded.extend(pieces), words(pieces))[1])
+    for i in range(60):
+        text = " ".join(["a common word", *("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(i % 4))])
+        assert np.frombuffer(enc.batch([text])[0], "<u4").tolist() == whole(name, text)
+    assert len(enc.words) < 30 and len(enc.old) < 30 and encoded.count(b" common") + encoded.count(b"common") == 1
+
+
 def test_layout_of_unknown_tokenizer():
     assert layout({"added_tokens": [], "pre_tokenizer": {"type": "Metaspace"}, "normalizer": None}) == "whole"
 
