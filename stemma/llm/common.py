@@ -26,12 +26,23 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """As written, with the folder, for discard."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    return stored(df, what, codec)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete the folder of a stored table that nothing will read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import uuid
 
 import pytest
 
+from stemma.llm import common
 from stemma.llm.suffix_dedup import deduplicated, doubled
 
 
@@ -77,3 +79,16 @@ def test_large_ids_and_empty_table(spark):
     rows = [(-(1 << 62), "0123456789abcdefghij"), (1 << 62, "0123456789abcdefghij!")]
     check(spark, rows, 20, 10)
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_round_carries_no_more_columns_than_it_needs(spark):
+    rows = [(1, 1, 10), (1, 1, 4), (2, 1, 5), (2, 2, 6), (2, 2, 7), (2, 2, 3)]
+    got = doubled(spark.createDataFrame(rows, "a long, b long, pos long").repartition(3))
+    assert got.columns == ["rank", "pos"] and sorted(tuple(r) for r in got.collect()) == [(3, 3), (3, 6), (3, 7), (4, 4), (4, 10)]
+
+
+def test_replaced_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _, what: f"file://{tmp_path}/{what}-{uuid.uuid4().hex}")
+    text = "".join(chr(97 + i * i % 23) for i in range(400))
+    check(spark, [(i, text[i:] + str(i) + text) for i in range(30)], 40, 20)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["ranks", "ranks", "stretches"]
