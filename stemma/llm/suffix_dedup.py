@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import BASES, minimizers, range_hashes, slices, texts_of, window_hashes
+from .bytescan import BASES, hashes_at, minimizers, range_hashes, slices, texts_of, window_hashes
 from .common import discard, only, release, shared_dir, stored, text_batches, written
 from .files import table
 
@@ -123,13 +123,15 @@ def ranks(length: int, bits: int, share: int):
                 j, doc = np.repeat(start, n) + inside, np.repeat(doc, n)
                 if not len(j):
                     continue
+                order = np.argsort(off[doc] + j)
+                j, doc = j[order], doc[order]
+                first = hashes_at(buf, off[doc] + j, cuts[0])
+                mine = np.flatnonzero(first % np.uint64(SHARES) == share)
+                j, doc = j[mine], doc[mine]
                 at = off[doc] + j
-                first = window_hashes(buf, cuts[0])
-                mine = np.flatnonzero(first[at] % np.uint64(SHARES) == share)
-                j, doc, at = j[mine], doc[mine], at[mine]
                 which = part.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-                found = [pa.array(window_hashes(buf, hi - lo)[at + lo].view(np.int64)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield table({"a": pa.array(first[at].view(np.int64)), "b": found[0], "pos": pa.array((which << bits) | j), "c": found[1]})
+                found = [pa.array(hashes_at(buf, at + lo, hi - lo).view(np.int64)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield table({"a": pa.array(first[mine].view(np.int64)), "b": found[0], "pos": pa.array((which << bits) | j), "c": found[1]})
 
     return run
 
@@ -217,10 +219,12 @@ def _at_end(rows: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
 
 
 def _runs(batches):
-    """Arrow function over sorted (a, b, pos, n): judged rows, and what stays open in runs at the partition's ends."""
+    """Arrow function over sorted (a, b, pos, n): judged rows, with a and b null, and what stays open in runs at the
+    partition's ends."""
 
     def out(kind, rows):
-        return table({"kind": pa.array(np.full(len(rows[0]), kind, np.int8)), "a": pa.array(rows[0]), "b": pa.array(rows[1]), "pos": pa.array(rows[2]), "n": pa.array(rows[3])})
+        keys = [pa.array(x) if kind == OPEN else pa.nulls(len(x), pa.int64()) for x in rows[:2]]
+        return table({"kind": pa.array(np.full(len(rows[0]), kind, np.int8)), "a": keys[0], "b": keys[1], "pos": pa.array(rows[2]), "n": pa.array(rows[3])})
 
     held: list[list[np.ndarray]] = []  # the rows of the last run so far
     first = True
@@ -304,7 +308,7 @@ def _rounds(texts: DataFrame, parts: DataFrame, length: int, bits: int, share: i
 
 
 def spans_of(gone: str, length: int):
-    """The union of [start, start + n - 1 + length) over an array of (start, n), as sorted disjoint (start, end)."""
+    """[start, start + n - 1 + length) of each of an array of (start, n), as (start, end), sorted; they may overlap."""
     ordered = F.sort_array(F.coalesce(F.col(gone), F.array().cast("array<struct<start:bigint,n:int>>")))
     return F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"] - 1 + length).alias("end")))
 
@@ -321,17 +325,33 @@ def without(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
+def cut_out(buf: np.ndarray, off: np.ndarray, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of buf without their spans, an array of (start, end) for each text: bytes, offsets, and the number of
+    maximal runs removed from each."""
+    n, flat = np.array(pa.compute.fill_null(pa.compute.list_value_length(spans), 0)), spans.flatten()
+    base = np.repeat(off[:-1], n)
+    starts, ends = (base + np.array(flat.field(c), np.int64) for c in ("start", "end"))
+    # the number of spans that cover a byte: those that began less those that ended
+    cover = np.bincount(starts, minlength=len(buf) + 1) - np.bincount(ends, minlength=len(buf) + 1)
+    gone = np.cumsum(cover[:-1]) > 0
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    edges = off[:-1][off[:-1] < len(buf)]
+    begins[edges] = gone[edges]
+    places = np.flatnonzero(gone)
+    return buf[~gone], off - np.searchsorted(places, off), np.diff(np.searchsorted(np.flatnonzero(begins), off))
+
+
 def _keep(batches):
     """Arrow function (doc_id, text, spans) -> doc_id, kept bytes and the counts."""
     for batch in batches:
         for part in slices(batch, 1):
             buf, off = texts_of(part.column(1))
-            data = buf.tobytes()
-            kept = [without(data[off[i] : off[i + 1]], spans) for i, spans in enumerate(part.column(2).to_pylist())]
-            n = np.diff(off)
+            kept, at, runs = cut_out(buf, off, part.column(2))
+            digests = [hashlib.sha256(kept[lo:hi]).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield table({
-                "doc_id": part.column(0), "n_bytes": pa.array(n), "n_removed": pa.array(n - np.array([len(k) for k, _ in kept], np.int64)), "n_spans": pa.array([r for _, r in kept], pa.int64()),
-                "kept": pa.array([k for k, _ in kept], pa.binary()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string()),
+                "doc_id": part.column(0), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(off - at)), "n_spans": pa.array(runs),
+                "kept": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(kept)]), "kept_sha256": pa.array(digests, pa.string()),
             })
 
 

@@ -2,10 +2,14 @@ import hashlib
 import random
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stemma.llm import common
-from stemma.llm.suffix_dedup import deduplicated, doubled
+from stemma.llm import common, suffix_dedup
+from stemma.llm.bytescan import hashes_at, window_hashes
+from stemma.llm.files import table
+from stemma.llm.suffix_dedup import deduplicated, doubled, without
 
 
 def brute(rows, length):
@@ -92,3 +96,47 @@ def test_replaced_tables_are_deleted(spark, tmp_path, monkeypatch):
     text = "".join(chr(97 + i * i % 23) for i in range(400))
     check(spark, [(i, text[i:] + str(i) + text) for i in range(30)], 40, 20)
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["ranks", "ranks", "stretches"]
+
+
+def test_fingerprints_at_places_are_those_of_all_windows():
+    rng = np.random.default_rng(5)
+    buf = rng.integers(0, 256, 200_000).astype(np.uint8)
+    for k in (1, 25, 50, 512):
+        last = len(buf) - k
+        start = np.sort(np.r_[rng.integers(0, last + 1, 3000), 0, 0, 65535, 65536, last])
+        assert (hashes_at(buf, start, k) == window_hashes(buf, k)[start]).all()
+    assert len(hashes_at(buf, np.empty(0, np.int64), 25)) == 0
+
+
+def test_spans_are_cut_out_of_many_texts_at_once():
+    rng = random.Random(6)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for _ in range(500):
+        texts = [bytes(rng.choices(b"abc", k=rng.choice([0, 0, 1, 5, 30]))) for _ in range(rng.randrange(1, 8))]
+        cuts = [sorted((a, rng.randrange(a, len(t)) + 1) for a in rng.choices(range(len(t)), k=rng.choice([0, 1, 2, 6]))) if t else None for t in texts]
+        spans = [None if c is None else [{"start": a, "end": b} for a, b in c] for c in cuts]
+        arrow = pa.array([[{"start": 0, "end": 7}], *spans], kind).slice(1)
+        kept, off, runs = suffix_dedup.cut_out(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), arrow)
+        assert [(kept[lo:hi].tobytes(), n) for lo, hi, n in zip(off[:-1], off[1:], runs, strict=True)] == [without(t, s or []) for t, s in zip(texts, spans, strict=True)]
+
+
+def test_no_step_per_span_and_no_fingerprint_of_windows_that_are_not_asked_for(monkeypatch):
+    # each of these cost CPU time on all spans, or on all bytes
+    monkeypatch.setattr(suffix_dedup, "without", None)
+    monkeypatch.setattr(suffix_dedup, "window_hashes", None)
+    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    spans = pa.array([[{"start": i, "end": i + 100} for i in range(150)]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    (kept,) = suffix_dedup._keep([table({"doc_id": pa.array([1]), "text": pa.array([text]), "spans": spans})])
+    assert kept.column(4).to_pylist() == [text[249:].encode()] and kept.column(2).to_pylist() == [249] and kept.column(3).to_pylist() == [1]
+    parts = pa.array([[{"start": 120, "n": 30}, {"start": 7, "n": 5}]], pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32())])))
+    pos = [p for share in range(suffix_dedup.SHARES) for b in suffix_dedup.ranks(100, 10, share)([table({"ord": pa.array([3]), "text": pa.array([text]), "parts": parts})]) for p in b.column(2).to_pylist()]
+    assert sorted(pos) == [3 << 10 | i for i in (*range(7, 12), *range(120, 150))]
+
+
+def test_judged_rows_carry_keys_only_while_they_are_open():
+    rows = [(1, 1, 5, 1), (1, 2, 6, 1), (2, 1, 7, 1), (2, 1, 8, 1), (2, 3, 9, 1), (3, 1, 2, 1), (3, 1, 3, 1)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    batch = table({c: pa.array(x, t) for c, x, t in zip(("a", "b", "pos", "n"), zip(*rows, strict=True), kinds, strict=True)})
+    got = {(r["kind"], r["a"], r["b"], r["pos"]) for b in suffix_dedup._runs([batch]) for r in b.to_pylist()}
+    closed = {(suffix_dedup.DUP, None, None, 8), (suffix_dedup.DUP, None, None, 3), (suffix_dedup.PART, None, None, 7), (suffix_dedup.PART, None, None, 9)}
+    assert got == closed | {(suffix_dedup.OPEN, 1, 1, 5), (suffix_dedup.OPEN, 1, 2, 6), (suffix_dedup.OPEN, 3, 1, 2)}
