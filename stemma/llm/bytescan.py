@@ -14,6 +14,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is used below
 
 SEGMENT = 1 << 16
+#: Bytes of text at once, or one text, where a scan holds many numbers for each byte or word: two workers and a full JVM
+#: heap have to fit an executor together.
+NARROW = 1 << 19
 #: Multipliers of the quick fingerprints of short windows, modulo 2**64, by `which`.
 QUICK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Which of two independent fingerprints.

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import slices, texts_of
+from .bytescan import NARROW, slices, texts_of
 from .suffix_dedup import without
 
 
@@ -20,7 +20,7 @@ def without_spans(rows: DataFrame, text: str = "text", spans: str = "spans") ->
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, NARROW):
                 buf, off = texts_of(part.column(0))
                 data = buf.tobytes()
                 cuts = part.column(1).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import give_back, lowered, slices, texts_of, words_of
+from .bytescan import NARROW, give_back, lowered, slices, texts_of, words_of
 from .common import only, shared_dir, text_batches
 from .files import AtomicFile, system, table
 
@@ -262,7 +262,7 @@ def _through(paths: list[str]):
                 yield Automaton.load(p)
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 24 if len(paths) > 1 else 1 << 22):
+            for part in slices(batch, 1, 1 << 24 if len(paths) > 1 else NARROW):
                 buf, off = texts_of(part.column(1))
                 start, end, doc = words_of(buf, off, WORD)
                 # the words themselves, every second stretch between bounds, so that equal means equal bytes

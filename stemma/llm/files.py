@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +50,14 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
 def table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """A record batch from named arrays."""
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+#: Rows of a few numbers in one batch that goes back to the JVM, which holds a batch as a whole, outside its heap.
+MOST_ROWS = 1 << 16
+
+
+def tables(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """As table, in batches of at most MOST_ROWS rows; none where there are no rows."""
+    whole = table(columns)
+    for lo in range(0, whole.num_rows, MOST_ROWS):
+        yield whole.slice(lo, MOST_ROWS)

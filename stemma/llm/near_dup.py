@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import BASES, NOT_SPACE, lowered, mix, range_hashes, slices, texts_of, words_of
+from .bytescan import BASES, NARROW, NOT_SPACE, lowered, mix, range_hashes, slices, texts_of, words_of
 from .common import heavy_join, hot_keys, only, ranked, release, text_batches, written
 from .files import table
 from .graph import components
@@ -53,7 +53,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function (text) -> (slot, n): documents of the partition in which a word of the slot occurs."""
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for part in slices(batch, 0):
+        for part in slices(batch, 0, NARROW):
             words, doc = _words(*texts_of(part.column(0)))
             pairs = np.unique((doc << SLOT_BITS) | _slot(words))
             total += np.bincount(pairs & (SLOTS - 1), minlength=SLOTS)

@@ -17,8 +17,8 @@ from .common import only, shared_dir, text_batches, written
 from .encode import encoder
 from .files import table
 
-#: Bytes of text that a worker encodes at once, or one text.
-SLICE_BYTES = 1 << 22
+#: Bytes of text that a worker encodes at once, or one text. Fewer take less memory, and more time: each slice looks up its own distinct words.
+SLICE_BYTES = 1 << 20
 #: About 100 bytes each.
 BROADCAST_ROWS = 500_000
 

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import BASES, hashes_at, minimizers, range_hashes, slices, texts_of, window_hashes
+from .bytescan import BASES, NARROW, hashes_at, minimizers, range_hashes, slices, texts_of, window_hashes
 from .common import discard, only, release, shared_dir, stored, text_batches, written
-from .files import table
+from .files import table, tables
 
 DUP, PART, OPEN, MARK = 0, 1, 2, 3
 #: The rounds take the windows in so many shares, one after the other, by the first rank: equal windows are in one share.
@@ -79,7 +79,7 @@ def stretches(length: int, seed: int, bits: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, NARROW):
                 buf, off = texts_of(part.column(1))
                 j = _windows(buf, off, length)
                 if not len(j):
@@ -90,7 +90,7 @@ def stretches(length: int, seed: int, bits: int):
                 last = np.r_[first[1:], len(j)] - 1
                 doc = np.searchsorted(off, j[first], "right") - 1
                 start = part.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-                yield table({
+                yield from tables({
                     "a": pa.array(at[named[first]].view(np.int64)),
                     "b": pa.array(range_hashes(buf, j[first], j[last] + length, BASES[1]).view(np.int64)),
                     "pos": pa.array((start << bits) | (j[first] - off[doc])),
@@ -112,7 +112,7 @@ def ranks(length: int, bits: int, share: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, NARROW):
                 buf, off = texts_of(part.column(1))
                 parts = part.column(2)
                 runs = parts.flatten()
@@ -131,7 +131,7 @@ def ranks(length: int, bits: int, share: int):
                 at = off[doc] + j
                 which = part.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
                 found = [pa.array(hashes_at(buf, at + lo, hi - lo).view(np.int64)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield table({"a": pa.array(first[mine].view(np.int64)), "b": found[0], "pos": pa.array((which << bits) | j), "c": found[1]})
+                yield from tables({"a": pa.array(first[mine].view(np.int64)), "b": found[0], "pos": pa.array((which << bits) | j), "c": found[1]})
 
     return run
 
@@ -345,7 +345,7 @@ def cut_out(buf: np.ndarray, off: np.ndarray, spans: pa.Array) -> tuple[np.ndarr
 def _keep(batches):
     """Arrow function (doc_id, text, spans) -> doc_id, kept bytes and the counts."""
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, NARROW):
             buf, off = texts_of(part.column(1))
             kept, at, runs = cut_out(buf, off, part.column(2))
             digests = [hashlib.sha256(kept[lo:hi]).hexdigest() for lo, hi in zip(at[:-1], at[1:], strict=True)]
