@@ -265,6 +265,36 @@ def repeats(rows: DataFrame) -> tuple[DataFrame, str]:
     return judged.where(F.col("kind") != OPEN).select("kind", "pos", "n").unionByName(late), path
 
 
+def _united(length: int):
+    """Arrow function over (pos, n) sorted by pos -> the same bytes by as few rows: windows that overlap or touch become one
+    run. A run never reaches the next text, whose positions begin beyond this one's end."""
+
+    def run(batches):
+        held = (np.empty(0, np.int64),) * 2  # the start and the end, in bytes, of the run at hand
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            starts = np.concatenate([held[0], pos])
+            ends = np.maximum.accumulate(np.concatenate([held[1], pos + n - 1 + length]))
+            first = np.flatnonzero(np.r_[True, starts[1:] > ends[:-1]])
+            last = np.r_[first[1:], len(starts)] - 1
+            yield runs(starts[first[:-1]], ends[last[:-1]])
+            held = starts[first[-1:]], ends[last[-1:]]
+        yield runs(*held)
+
+    def runs(starts, ends):
+        return table({"pos": pa.array(starts), "n": pa.array((ends - starts - length + 1).astype(np.int32))})
+
+    return run
+
+
+def united(rows: DataFrame, length: int) -> DataFrame:
+    """rows(pos, n) of windows to remove -> (pos, n), one row for each run of them but for those that partitions part: a text
+    then brings a few spans and not one for each of its windows."""
+    return rows.repartitionByRange("pos").sortWithinPartitions("pos").mapInArrow(_united(length), "pos long, n int")
+
+
 def _by_text(rows: DataFrame, bits: int, to: str) -> DataFrame:
     """(pos, n) gathered by ord: array of (start, n)."""
     start = F.col("pos").bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("start")
@@ -289,7 +319,7 @@ def removed_spans(docs: DataFrame, length: int = 100, seed: int = 50, carry: tup
     release(docs.sparkSession)
     parts = _by_text(found.where(F.col("kind") == PART), bits, "parts")
     again = reduce(DataFrame.unionByName, [_rounds(texts, parts, length, bits, share) for share in range(SHARES)])
-    gone = _by_text(found.where(F.col("kind") == DUP).select("pos", "n").unionByName(again), bits, "gone")
+    gone = _by_text(united(found.where(F.col("kind") == DUP).select("pos", "n").unionByName(again), length), bits, "gone")
     joined = docs.join(gone, "ord", "left")
     return joined.select("doc_id", "text", spans_of("gone", length).alias("spans"), *carry)
 

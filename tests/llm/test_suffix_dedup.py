@@ -140,3 +140,26 @@ def test_judged_rows_carry_keys_only_while_they_are_open():
     got = {(r["kind"], r["a"], r["b"], r["pos"]) for b in suffix_dedup._runs([batch]) for r in b.to_pylist()}
     closed = {(suffix_dedup.DUP, None, None, 8), (suffix_dedup.DUP, None, None, 3), (suffix_dedup.PART, None, None, 7), (suffix_dedup.PART, None, None, 9)}
     assert got == closed | {(suffix_dedup.OPEN, 1, 1, 5), (suffix_dedup.OPEN, 1, 2, 6), (suffix_dedup.OPEN, 3, 1, 2)}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 50])
+def test_windows_that_touch_become_one_run(batch):
+    rng, length = random.Random(batch), 5
+    base = (1 << 62) + 1  # beyond what a double holds exactly
+    rows = sorted({(base + (rng.randrange(3) << 10) + rng.randrange(60), rng.randrange(1, 4)) for _ in range(30)})
+    pos, n = (np.array(x) for x in zip(*rows, strict=True))
+    batches = [table({"pos": pa.array(pos[i : i + batch]), "n": pa.array(n[i : i + batch].astype(np.int32))}) for i in range(0, len(pos), batch)]
+    got = [(r["pos"], r["pos"] + r["n"] - 1 + length) for b in suffix_dedup._united(length)(iter(batches)) for r in b.to_pylist()]
+    assert {p for lo, hi in got for p in range(lo, hi)} == {p for a, k in rows for p in range(a, a + k - 1 + length)}
+    assert all(hi < lo for (_, hi), (lo, _) in zip(got[:-1], got[1:], strict=True))
+
+
+def test_a_text_brings_no_span_for_each_of_its_windows(spark):
+    rng = random.Random(9)
+    passages = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(3)]
+    rows = [(i, f"{i}{rng.random()}".join(rng.sample(passages, 3))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = [len(r.spans) for r in suffix_dedup.removed_spans(docs, 100).select("spans").collect()]
+    # three passages each, and a run parted at the ends of the partitions
+    assert sum(counts) <= 3 * len(rows) + 8
+    check(spark, rows, 100, 50)
