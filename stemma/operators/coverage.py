@@ -5,6 +5,8 @@ Offsets are characters from 0; an end is the first character after. Documents ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from stemma.plans.state import placed, written
 # punctuation, the role of a block that counts, and where unlocated statements stand.
 TYPE_WORDS = ("Theorem", "Lemma", "Proposition", "Corollary", "Definition", "Claim", "Axiom", "Property", "Example", "Exercise", "Remark", "Conjecture", "Problem", "Observation", "Fact",
               "定理", "引理", "命题", "推论", "定义", "断言", "公理", "性质", "例", "练习", "注", "猜想", "问题")
-LOGICAL_HEADING = f"(?i)^#{{1,6}}\\s+({'|'.join(TYPE_WORDS)})\\s*([A-Z]?\\d+(?:[.\\-][A-Za-z0-9]+)*|[IVXLCDM]+|[A-Z])?"
+LOGICAL_HEADING = f"(?i)^\\s*#{{1,6}}\\s+({'|'.join(TYPE_WORDS)})\\s*([A-Z]?\\d+(?:[.\\-][A-Za-z0-9]+)*|[IVXLCDM]+|[A-Z])?"
 ANY_HEADING = "^[ \\t]*#{1,6}[ \\t]+"
 NUMBER = "\\d+(?:[.\\-][A-Za-z0-9]+)*"
 ENGLISH = {
@@ -36,37 +38,54 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value found once, however often body names it. No function in Python may stand in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _normal(c: Column) -> Column:
+    """NFKC of a text; only what isn't ASCII goes to Python."""
+    return F.coalesce(nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c)
+
+
 def heading_fact(text: Column) -> Column:
     """struct(label, type) of a text that begins with a heading which names a type, else null."""
-    t = _stripped(_said(text))
-    kind = F.regexp_extract(t, LOGICAL_HEADING, 1)
-    label = F.trim(F.concat_ws(" ", kind, F.nullif(F.regexp_extract(t, LOGICAL_HEADING, 2), F.lit(""))))
-    return F.when(kind != "", F.struct(label.alias("label"), kind.alias("type")))
+    t = _said(text)
+    found = F.struct(F.regexp_extract(t, LOGICAL_HEADING, 1).alias("kind"), F.regexp_extract(t, LOGICAL_HEADING, 2).alias("number"))
+    label = lambda f: F.trim(F.concat_ws(" ", f["kind"], F.nullif(f["number"], F.lit(""))))
+    return F.when(t.rlike("^\\s*#"), _let(found, lambda f: F.when(f["kind"] != "", F.struct(label(f).alias("label"), f["kind"].alias("type")))))
+
+
+def _canonical(normal: Column) -> Column:
+    """canonical_type of a text in NFKC."""
+    known = sorted({w.lower() for w in TYPE_WORDS if w.isascii()})
+    english = F.create_map(*[F.lit(x) for pair in (*((w, w) for w in known), *ENGLISH.items()) for x in pair])
+    return F.coalesce(F.element_at(english, F.lower(F.trim(normal))), F.lit(""))
 
 
 def canonical_type(kind: Column) -> Column:
     """The English name of a type word, empty for any other."""
-    k = F.lower(F.trim(nfkc(_said(kind))))
-    known = sorted({w.lower() for w in TYPE_WORDS if w.isascii()})
-    zh = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ENGLISH.items() for x in pair]), k), F.lit(""))
-    return F.when(k.isin(*known), k).otherwise(zh)
+    return _canonical(_normal(_said(kind)))
 
 
 def label_identity(label: Column, kind: Column) -> Column:
     """type:number of a numbered label, its dashes as dots, the type read off the label where none is given; type:unnumbered;
     or label: and the label without heading marks and closing punctuation, where the type is unknown."""
-    plain = F.regexp_replace(F.lower(F.trim(nfkc(_said(label)))), "^\\s*#{1,6}\\s*", "")
+    plain = F.regexp_replace(F.lower(F.trim(_normal(_said(label)))), "^\\s*#{1,6}\\s*", "")
     plain = F.regexp_replace(F.regexp_replace(plain, "\\s+", " "), "[ .:;,：；，。]+$", "")
-    number = F.regexp_extract(plain, NUMBER, 0)
-    before = F.trim(F.call_function("substring_index", plain, F.when(number == "", "\0").otherwise(number), F.lit(1)))
-    named = canonical_type(kind)
-    named = F.when((named == "") & (number != ""), canonical_type(before)).otherwise(named)
-    return F.when(named == "", F.concat(F.lit("label:"), plain)).when(number != "", F.concat(named, F.lit(":"), F.replace(number, F.lit("-"), F.lit(".")))).otherwise(F.concat(named, F.lit(":unnumbered")))
+
+    def told(g: Column) -> Column:
+        before = F.trim(F.call_function("substring_index", g["plain"], F.when(g["number"] == "", "\0").otherwise(g["number"]), F.lit(1)))
+        # what stands before the number is in NFKC, as all of plain
+        return _let(F.when((g["named"] == "") & (g["number"] != ""), _canonical(before)).otherwise(g["named"]), lambda named: F.when(named == "", F.concat(F.lit("label:"), g["plain"])).when(g["number"] != "", F.concat(named, F.lit(":"), F.replace(g["number"], F.lit("-"), F.lit(".")))).otherwise(F.concat(named, F.lit(":unnumbered"))))
+
+    numbered = lambda g: F.struct(g["plain"].alias("plain"), g["named"].alias("named"), F.regexp_extract(g["plain"], NUMBER, 0).alias("number"))
+    return _let(F.struct(plain.alias("plain"), canonical_type(kind).alias("named")), lambda g: _let(numbered(g), told))
 
 
 def surface_fingerprint(text: Column, strip_heading: bool = True) -> Column:
     """What makes two passages the same on the surface: NFKC, folded punctuation, no first heading line, no white space."""
-    t = F.replace(nfkc(_said(text)), F.lit("\\n\\n"), F.lit("\n\n"))
+    t = F.replace(_normal(_said(text)), F.lit("\\n\\n"), F.lit("\n\n"))
     t = F.translate(F.regexp_replace(t, "\\\\t(?=\\s|[$\\\\]|$)", ""), *FOLDED)
     if strip_heading:
         t = F.regexp_replace(t, "(?s)\\A((?:(?![ \\t]*#{1,6}[ \\t])[^\\n]*\\n)*)[ \\t]*#{1,6}[ \\t]+[^\\r\\n]*(?:\\r?\\n|\\z)", "$1")
@@ -76,17 +95,16 @@ def surface_fingerprint(text: Column, strip_heading: bool = True) -> Column:
 def _find(needle: Column, text: Column, start: Column) -> Column:
     """The place of needle in text, from start on if it is there, else anywhere; -1 if nowhere or empty."""
     ahead = F.call_function("locate", needle, text, (F.greatest(start, F.lit(0)) + 1).cast("int"))
-    return F.when(needle == "", -1).otherwise(F.when(ahead > 0, ahead).otherwise(F.call_function("locate", needle, text, F.lit(1))) - 1).cast("long")
+    anywhere = lambda a: F.when(a > 0, a).when(start > 0, F.call_function("locate", needle, text, F.lit(1))).otherwise(a) - 1
+    return F.when(needle == "", -1).otherwise(_let(ahead, anywhere)).cast("long")
 
 
 def source_span(needle: Column, text: Column, start: Column) -> Column:
     """struct(start, end) of a source text, without the white space at its ends if only that is found; -1 where it isn't."""
     needle, text = _said(needle), _said(text)
-    bare = _stripped(needle)
-    whole, part = _find(needle, text, start), _find(bare, text, start)
-    at = F.when(whole >= 0, whole).otherwise(part)
-    size = F.when(whole >= 0, F.char_length(needle)).otherwise(F.char_length(bare))
-    return F.struct(at.alias("start"), F.when(at >= 0, at + size).otherwise(-1).cast("long").alias("end"))
+    span = lambda at, end: F.struct(at.cast("long").alias("start"), end.cast("long").alias("end"))
+    bare = lambda b: _let(_find(b, text, start), lambda at: span(at, F.when(at >= 0, at + F.char_length(b)).otherwise(-1)))
+    return _let(_find(needle, text, start), lambda at: F.when(at >= 0, span(at, at + F.char_length(needle))).otherwise(_let(_stripped(needle), bare)))
 
 
 def located(blocks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -96,8 +114,8 @@ def located(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     kind = f"array<struct<pos:{blocks.schema['pos'].dataType.simpleString()},block:{blocks.schema['block'].dataType.simpleString()},span:struct<start:bigint,end:bigint>>>"
 
     def step(acc: Column, b: Column) -> Column:
-        span = source_span(b["text"], F.col("whole"), acc["cursor"])
-        return F.struct(F.when(span["start"] >= 0, span["end"]).otherwise(acc["cursor"]).alias("cursor"), F.concat(acc["out"], F.array(F.struct(b["pos"].alias("pos"), b["block"].alias("block"), span.alias("span")))).alias("out"))
+        on = lambda span: F.struct(F.when(span["start"] >= 0, span["end"]).otherwise(acc["cursor"]).alias("cursor"), F.concat(acc["out"], F.array(F.struct(b["pos"].alias("pos"), b["block"].alias("block"), span.alias("span")))).alias("out"))
+        return _let(source_span(b["text"], F.col("whole"), acc["cursor"]), on)
 
     first = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast(kind).alias("out"))
     found = listed.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").select("doc_id", F.explode(F.aggregate("blocks", first, step)["out"]).alias("b"))
@@ -196,9 +214,9 @@ def merged_recovery(statements: DataFrame, recovered: DataFrame, candidates: Dat
         by_print = r.where("print <> ''").join(known.select("doc_id", "print", "by", "start", "end"), ["doc_id", "print"]).where(overlap).select("id", "by")
         return by_block.unionByName(by_head).unionByName(by_print)
 
-    again = alike(old.withColumnRenamed("key", "by"), _heading_keys(old, docs).withColumnRenamed("key", "by")).select("id").distinct()
-    new = r.join(again, "id", "left_anti").select("id", "doc_id", "label", "type", "source_text", "print", F.col("source_start").alias("start"), (F.col("source_start") + F.char_length("source_text")).alias("end"))
-    among = alike(new.select("doc_id", F.col("id").alias("by"), F.lit(None).cast("string").alias("block"), "print", "start", "end"), _heading_keys(new.withColumnRenamed("id", "key"), docs).withColumnRenamed("key", "by"))
+    again = written(alike(old.withColumnRenamed("key", "by"), written(_heading_keys(old, docs), "keys").withColumnRenamed("key", "by")).select("id").distinct(), "again")
+    new = written(r.join(again, "id", "left_anti").select("id", "doc_id", "label", "type", "source_text", "print", F.col("source_start").alias("start"), (F.col("source_start") + F.char_length("source_text")).alias("end")), "new")
+    among = alike(new.select("doc_id", F.col("id").alias("by"), F.lit(None).cast("string").alias("block"), "print", "start", "end"), written(_heading_keys(new.withColumnRenamed("id", "key"), docs), "keys").withColumnRenamed("key", "by"))
     stay = leaders(new.select("id"), among.where("by < id").select(F.col("by").alias("x"), F.col("id").alias("y"))).where("id = leader").select("id", F.lit(True).alias("stays"))
 
     marked = r.join(stay, "id", "left")

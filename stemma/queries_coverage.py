@@ -82,8 +82,8 @@ _MISSING = f"""{_CANDIDATES}, st AS (SELECT ct.doc_id, i, had, k, text, head, bo
 @query(f"WITH RECURSIVE {_MISSING} SELECT doc_id, candidate_id, label, type FROM mi")
 def uncovered_candidates(spark, sf_dir):
     """What no statement covers, by its block or by its heading's place and identity."""
-    items = _items(spark, sf_dir)
-    docs = _documents(items)
+    items = written(_items(spark, sf_dir), "items")
+    docs = written(_documents(items), "documents")
     return C.missing_candidates(C.structural_candidates(docs, _blocks(items)), _statements(items), docs).select("doc_id", "candidate_id", "label", "type")
 
 
@@ -95,9 +95,9 @@ def uncovered_candidates(spark, sf_dir):
     SELECT doc_id, CASE WHEN status <> 'duplicate' THEN row_number() OVER (PARTITION BY doc_id, status = 'duplicate' ORDER BY CASE WHEN touched THEN place ELSE 0 END, of, key, place, candidate_id) - 1 END AS new_key, key, candidate_id, label, type, content, status FROM tc""")
 def coverage_recovery(spark, sf_dir):
     """Statements with what was recovered of the uncovered, once each, in the order of their sources."""
-    items = _items(spark, sf_dir)
-    docs, statements = _documents(items), _statements(items)
+    items = written(_items(spark, sf_dir), "items")
+    docs, statements = written(_documents(items), "documents"), _statements(items)
     candidates = written(C.structural_candidates(docs, _blocks(items)), "candidates")
-    missing = C.missing_candidates(candidates, statements, docs)
+    missing = written(C.missing_candidates(candidates, statements, docs), "missing")
     told = missing.select("doc_id", "candidate_id", F.expr("regexp_extract(source_text, '(?s)^#+[^\\\\n]*\\\\n([^\\\\n]*)', 1)").alias("content"))
     return C.merged_recovery(statements, told, candidates, docs)

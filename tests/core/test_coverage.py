@@ -83,3 +83,13 @@ def test_source_only(spark):
     assert C.source_only(df.limit(1)).first().content == "some text"
     with pytest.raises(Exception, match="no trusted source span"):
         C.source_only(df).collect()
+
+
+def test_parts_of_an_expression_are_found_once(spark):
+    """Repeated parts multiplied the plans, and with them the driver's memory, and ran again for each row."""
+    span = C.source_span(F.col("a"), F.col("b"), F.col("c"))._jc.toString()
+    assert span.count("locate") <= 4
+    identity = C.label_identity(F.col("a"), F.col("b"))._jc.toString()
+    assert identity.count("nfkc") <= 2 and identity.count("regexp_extract") <= 1
+    rows = spark.createDataFrame([("Ｔheorem ２-1.", None), ("Lemma ５．", "定理"), (None, None), ("  # Claim  x:", "claim")], "label string, type string")
+    assert [r[0] for r in rows.select(C.label_identity(F.col("label"), F.col("type"))).collect()] == ["theorem:2.1", "theorem:5", "label:", "claim:unnumbered"]
