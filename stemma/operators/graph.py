@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.evidence import negates
-from stemma.plans.state import placed, shared_dir, written
+from stemma.plans.state import placed, written
 
 # The relations of edges, and how a reason begins that a reference gave.
 LOGIC, DEFINITION, BY_REFERENCE = "逻辑依赖", "定义依赖", "正则匹配："
@@ -55,38 +55,55 @@ def major_nodes(ranked: DataFrame, density: float) -> DataFrame:
     return placed(ranked, "place", F.desc("salience"), F.col("id")).withColumn("place", (F.col("place") + 1).cast("int")).crossJoin(F.broadcast(n)).where("place <= _n").drop("_n")
 
 
+def _anchored(links: DataFrame) -> DataFrame:
+    """links(id, up, dist), one for each id, up null at a source -> the same with up the first above that is no id of links, null where
+    a source is reached, and the sum of dist, by pointer doubling. Ids that go round in a circle, or lead into one, are left out."""
+    ids = links.select("id")
+    done = F.col("up").isNull() | F.col("end")
+    marked = lambda df: df.join(ids.select(F.col("id").alias("up"), F.lit(True).alias("known")), "up", "left").select("id", "up", "dist", F.col("known").isNull().alias("end"))
+    all_ = written(marked(links), "anchored")
+    open_, most = all_.where(~done).count(), all_.count()
+    span = 1
+    while open_ and span <= most:
+        to = all_.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("end").alias("_end"))
+        far = all_.where(~done).join(to, "up").select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_end").alias("end"))
+        all_, span = written(all_.where(done).unionByName(far), "anchored"), span * 2
+        open_ = all_.where(~done).count()
+    return all_.where(done).select("id", "up", "dist")
+
+
 def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(src, dst) -> id, depth, cyclic: the longest path from nodes without an incoming edge.
 
     Nodes on a cycle, and those behind one, get the largest depth plus one and cyclic = true (the browser's loop would
-    never end there). Round r settles, at depth r, the nodes whose last open incoming edge came from round r - 1. Only that
-    frontier moves: a round appends what it settled and the edges it used up by target; the edges still to use are written
-    anew once more than half of them are gone.
+    never end there). A node with one open predecessor lies a fixed way behind it, so chains and trees of such nodes shrink
+    onto where they begin at once, by pointer doubling: a round for each doubling of their length. All that is settled
+    counts as one source from which the longest edge stays; what then has one predecessor shrinks next. So chains take one
+    round, and other graphs at most one for each node on a path where several ways of different starts meet.
     """
-    spark, ids = nodes.sparkSession, nodes.select("id").distinct()
-    settled, used = shared_dir(spark, "settled"), shared_dir(spark, "used")
+    ids = written(nodes.select("id").distinct(), "ids")
     edges = edges.select("src", "dst").where("src <> dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     edges = written(edges, "edges")
-    wanted = written(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("wanted")), "wanted")
-    kind, gone, size, depth = nodes.schema["id"].dataType.simpleString(), 0, edges.count(), 0
-    ids.join(wanted, "id", "left_anti").select("id", F.lit(0).alias("depth")).write.parquet(f"{settled}/round=0")
+    behind = edges.select(F.col("dst").alias("src"), F.lit(True).alias("_open")).distinct()
+    # a null src is all that is settled; w is the depth that it gives, or the way from src
+    left = written(edges.join(behind, "src", "left").select(F.when(F.col("_open"), F.col("src")).alias("src"), "dst", F.lit(1).cast("long").alias("w")).groupBy("dst", "src").agg(F.max("w").alias("w")), "left")
+    rounds = []
     while True:
-        now = spark.read.schema(f"id {kind}, depth int").parquet(f"{settled}/round={depth}")
-        edges.join(now.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).write.parquet(f"{used}/round={depth}")
-        step = spark.read.schema(f"id {kind}, n long").parquet(f"{used}/round={depth}")
-        moved = step.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if not moved:
+        lone = written(left.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.max("src").alias("up"), F.max("w").alias("dist")).where("n = 1").drop("n"), "lone")
+        if not lone.limit(1).count():
             break
-        so_far = spark.read.schema(f"id {kind}, n long").parquet(*[f"{used}/round={r}" for r in range(depth + 1)])
-        ready = so_far.join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n")).join(wanted, "id").where("n = wanted")
-        depth += 1
-        ready.select("id", F.lit(depth).alias("depth")).write.parquet(f"{settled}/round={depth}")
-        gone += moved
-        if 2 * gone > size:
-            done = spark.read.schema(f"id {kind}, depth int").parquet(*[f"{settled}/round={r}" for r in range(depth)])
-            edges = written(edges.join(done.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
-            gone, size = 0, size - gone
-    every = spark.read.schema(f"id {kind}, depth int").parquet(*[f"{settled}/round={r}" for r in range(depth + 1)])
+        shrunk = written(_anchored(lone), "shrunk")
+        rounds.append(shrunk)
+        rest = left.join(lone.select(F.col("id").alias("dst")), "dst", "left_anti")
+        to = shrunk.select(F.col("id").alias("src"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.lit(True).alias("_moved"))
+        moved = rest.join(to, "src", "left").select(F.when(F.col("_moved"), F.col("_up")).otherwise(F.col("src")).alias("src"), "dst", (F.col("w") + F.coalesce("_dist", F.lit(0))).alias("w"))
+        left = written(moved.groupBy("dst", "src").agg(F.max("w").alias("w")), "left")
+    every = ids.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("long").alias("depth"))
+    for shrunk in reversed(rounds):
+        at = every.select(F.col("id").alias("up"), F.col("depth").alias("_at"))
+        now = shrunk.join(at, "up", "left").where("up is null or _at is not null").select("id", (F.coalesce("_at", F.lit(0)) + F.col("dist")).alias("depth"))
+        every = written(every.unionByName(now), "depths")
+    every = every.select("id", F.col("depth").cast("int").alias("depth"))
     top = every.agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("top"))
     rest = ids.join(every, "id", "left_anti").crossJoin(F.broadcast(top)).select("id", (F.col("top") + 1).alias("depth"), F.lit(True).alias("cyclic"))
     return every.withColumn("cyclic", F.lit(False)).unionByName(rest)
