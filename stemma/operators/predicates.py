@@ -111,3 +111,27 @@ def merged_registry(rows: DataFrame) -> DataFrame:
     templates."""
     gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return rows.groupBy("key", "arity", "sorts").agg(gather("names"), gather("templates"), F.count("*").alias("merged"))
+
+
+#: Rows of either side that one unit of pairs holds, and about how many pairs one task makes.
+PAIR_ROWS, TASK_PAIRS = 1024, 4_000_000
+
+
+def word_overlaps(rows: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
+    """rows(id, *by, words) -> (x, y, similarity) of every two rows x < y alike in by: the shared of all their distinct words.
+
+    Rows of a group are dealt over blocks; two blocks meet in one unit, so no task holds a group whole, and there are as
+    many tasks as the pairs ask for. Lists of words are compared once in a unit, for all ids that bear them."""
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in ("id", *by)))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2)).first()[0] or 0
+    tasks = int(max(rows.sparkSession.sparkContext.defaultParallelism, total // TASK_PAIRS))
+    dealt = rows.join(sizes.select(*by, F.ceil(F.col("_n") / PAIR_ROWS).cast("int").alias("_of")), by).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int"))
+    unit = [*by, "_i", "_j"]
+    listed = lambda i, j, words, ids: dealt.select("id", F.col("words").alias(words), *by, i.alias("_i"), j.alias("_j")).repartition(tasks, *unit).groupBy(*unit, words).agg(F.collect_list("id").alias(ids))
+    own, last = F.col("_b"), F.col("_of") - 1
+    one = listed(own, F.explode(F.sequence(own, last)), "_wx", "_xs")
+    two = listed(F.explode(F.sequence(F.lit(0), own)), own, "_wy", "_ys")
+    alike = one.join(two, unit).select(F.round(jaccard(F.col("_wx"), F.col("_wy")), digits).alias("similarity"), "_xs", "_ys", (F.col("_i") == F.col("_j")).alias("_same"))
+    pairs = alike.select("similarity", "_same", "_ys", F.explode("_xs").alias("_x")).select("similarity", "_same", "_x", F.explode("_ys").alias("_y")).where("(NOT _same AND _x <> _y) OR _x < _y")
+    return pairs.select(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"), "similarity")

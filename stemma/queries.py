@@ -10,6 +10,7 @@ from stemma.functions import text as T
 from stemma.functions import types as K
 from stemma.operators import graph as G
 from stemma.operators import ordered as O
+from stemma.operators import predicates as P
 from stemma.operators import relational as R
 from stemma.operators import retrieval as V
 from stemma.operators import segment as S
@@ -714,9 +715,7 @@ def task_failure_report(spark, sf_dir):
 def jaccard_pairs(spark, sf_dir):
     """Parts of one brand and size, with the word overlap of their names."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("words"))
-    a, b = (p.select(F.col("id").alias(c), "p_brand", "p_size", F.col("words").alias(f"w{c}")) for c in "xy")
-    pairs = a.join(b, ["p_brand", "p_size"]).where("x < y")
-    return pairs.select("x", "y", F.round(T.jaccard(F.col("wx"), F.col("wy")), 4).alias("similarity"))
+    return P.word_overlaps(p, ["p_brand", "p_size"])
 
 
 # Labels, references and units of texts.
