@@ -267,17 +267,18 @@ def shared_symbol_scores(symbols: DataFrame, units: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "symbol"]).where("support < dependent").groupBy("doc_id", "dependent", "support").agg(F.sum(F.log1p(F.col("n") / F.col("df"))).alias("score"))
 
 
-#: Query vectors that a task holds at once.
+#: Query vectors that a task holds at once; queries and vectors of one matrix of scores; found rows that wait to be cut to the best.
 QUERY_BLOCK = 4096
+SCORED, WAITING = (256, 2048), 400_000
 
 
 def nearest_before(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors(vec_id, embedding), queries alike -> (dependent, support, score): candidates for the k nearest vectors of
     lesser id of each query, by cosine (0 for a zero vector).
 
-    Queries come in blocks of QUERY_BLOCK, sent to all tasks one block after the other; a task multiplies matrices and
-    keeps k for each query, and all that tie with the k-th within the rounding of a score, so a block gives at most some
-    k rows per query and task.
+    Queries come in blocks of QUERY_BLOCK, sent to all tasks one block after the other; a task multiplies matrices of
+    SCORED and keeps k for each query, and all that tie with the k-th within the rounding of a score, of equal scores the k
+    of least id, so a block gives at most some k rows per query and task, and holds little more.
     """
     spark = vectors.sparkSession
     numbered = placed(queries.select("vec_id", "embedding"), "_at", F.col("vec_id"))
@@ -300,25 +301,64 @@ def _unit_rows(column, n: int) -> np.ndarray:
 
 
 def _best_of_block(block, k: int):
+    names = ["dependent", "support", "score"]
+
+    def least(x: np.ndarray, s: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+        """The k best of each x, what ties with the k-th, and of equal scores the k of least s."""
+        order = np.lexsort((s, -score, x))
+        x, s, score = x[order], s[order], score[order]
+        at, new = np.arange(len(x)), np.r_[True, x[1:] != x[:-1]]
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        end = np.r_[np.flatnonzero(new)[1:], len(x)][np.cumsum(new) - 1]
+        equal = np.maximum.accumulate(np.where(new | np.r_[True, score[1:] != score[:-1]], at, 0))
+        keep = (score >= score[np.minimum(start + k, end) - 1] - 2e-6) & (at - equal < k)
+        return [x[keep], s[keep], score[keep]]
+
     def run(batches):
         ids, q = block.value
-        best: list[pa.RecordBatch] = []
-
-        def least(x: np.ndarray, s: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((-score, x))
-            x, s, score = x[order], s[order], score[order]
-            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, int)
-            kth = np.minimum(start + k - 1, np.r_[start[1:], len(x)] - 1)
-            keep = score >= np.repeat(score[kth], np.diff(np.r_[start, len(x)])) - 2e-6
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(s[keep]), pa.array(score[keep])], names=["dependent", "support", "score"])
+        kth = np.full(len(ids), -np.inf)  # what a score of each query must reach
+        place = np.argsort(ids, kind="stable")
+        found: list[list[np.ndarray]] = []
+        waiting = 0
+
+        def best(x: np.ndarray, s: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+            """The best of each query, whose k-th raises what others must reach."""
+            x, s, score = least(x, s, score)
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, int)
+            full = first[np.diff(np.r_[first, len(x)]) >= k]
+            at = place[np.searchsorted(ids[place], x[full])]
+            kth[at] = np.maximum(kth[at], score[full + k - 1])
+            return [x, s, score]
+
+        def cut() -> None:
+            nonlocal found, waiting
+            found, waiting = [best(*(np.concatenate(c) for c in zip(*found, strict=True)))], 0
 
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
             v = b.column(0).to_numpy(zero_copy_only=False)
-            scores = q @ _unit_rows(pa.chunked_array([b.column(1)]), b.num_rows).T
-            x, s = np.nonzero(v[None, :] < ids[:, None])
-            best = [least(*(np.concatenate(c) for c in zip(*([y.column(i).to_numpy() for i in range(3)] for y in [*best, least(ids[x], v[s], scores[x, s])]), strict=True)))]
-        yield from best
+            rows = _unit_rows(pa.chunked_array([b.column(1)]), b.num_rows)
+            for i in range(0, len(v), SCORED[1]):
+                mine = v[i : i + SCORED[1]]
+                for j in range(0, len(ids), SCORED[0]):
+                    asked = ids[j : j + SCORED[0]]
+                    scores = q[j : j + SCORED[0]] @ rows[i : i + SCORED[1]].T
+                    hit = (mine[None, :] < asked[:, None]) & (scores >= kth[j : j + SCORED[0], None] - 2e-6)
+                    x, s = np.nonzero(hit)
+                    if not len(x):
+                        continue
+                    some = [asked[x], mine[s], scores[x, s]]
+                    if len(x) > 4 * k * len(asked):
+                        some = best(*some)
+                    found.append(some)
+                    waiting += len(some[0])
+                    if waiting > WAITING:
+                        cut()
+        if found:
+            cut()
+            x, s, score = found[0]
+            for i in range(0, len(x), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (x, s, score)], names=names)
 
     return run

@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stemma.operators import retrieval as V
@@ -60,3 +64,31 @@ def test_evaluation_by_kind_and_definition_gate(spark):
     assert (t.pre_rerank, t.logic, t.definition, t.selected, t.selected_logic, t.selected_definition, t.n_dependents) == (14, 3, 11, 13, 2, 11, 2)
     assert t.distance_buckets == {"1-5": 0, "6-30": 0, ">30": 14} and t.channel_counts == {"a": 12, "b": 3}
     assert {(r.dependent, r.pre_rerank, r.selected) for r in V.dependent_counts(df).collect()} == {(99, 13, 13), (98, 1, 0)}
+
+
+def test_best_of_a_block_in_bounded_memory(monkeypatch):
+    """A whole batch against a whole block of queries was one matrix, with as many indices."""
+    monkeypatch.setattr(V, "WAITING", 50_000, raising=False)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20_000, 8)).astype(np.float32)
+    vectors[rng.choice(20_000, 6000, replace=False)] = vectors[3]  # copies
+    ids = rng.permutation(20_000).astype(np.int64)
+    asked = rng.choice(20_000, 2048, replace=False)
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+
+    class Block:
+        value = (ids[asked], unit[asked])
+
+    cut = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.FixedSizeListArray.from_arrays(pa.array(vectors[lo:hi].ravel()), 8).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(V._best_of_block(Block, 5)([cut(0, 10_000), cut(10_000, 20_000)]))).to_pandas()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and len(got) < 2048 * 40
+    got["score"] = got.score.round(6)
+    best = got.sort_values(["dependent", "score", "support"], ascending=[True, False, True]).groupby("dependent").head(5)
+    told = {d: list(g.support) for d, g in best.groupby("dependent")}
+    for a in asked[:100]:
+        before = np.flatnonzero(ids < ids[a])
+        want = sorted(zip(-(unit[before] @ unit[a]).round(6), ids[before]))[:5]
+        assert told.get(ids[a], []) == [i for _, i in want]
