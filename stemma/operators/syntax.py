@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -283,3 +286,236 @@ def rendered(nodes: DataFrame, indent: int = 2) -> DataFrame:
     error = F.coalesce(F.when(F.col("kid.shape") != "object", "logic_ast node must be a dict"), F.col("kid.error"))
     failed = F.concat(F.lit('(RenderError "ValueError" '), _quoted(error), F.lit(")"))
     return top.select("tree", F.coalesce(failed, "kid.text").alias("text"))
+
+
+# The same, a whole tree at a time: a tree is one row's text anyway, and as a row for each node it takes some ten times the work.
+
+_PLAIN_NAME = re.compile(r'[^\s\x1c-\x1f()"\\]+')
+_FIXED_NAMES = {k: v[0] for k, v in FORMS.items() if v[0]} | {"mul": "Mul", "restriction": "Restriction"}
+_NO_DICT = "logic_ast node must be a dict"
+
+
+def _json_text(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)
+
+
+@functools.lru_cache(100_000)
+def _atom_text(text: str) -> str:
+    return text if _PLAIN_NAME.fullmatch(text) else _json_text(text)
+
+
+def _rewrite(top, renamed: dict, fixed: dict) -> list[tuple]:
+    """Rewrites a parsed tree in place, as `rewritten` does; the misuses come back."""
+    out, stack = [], [(top, "")]
+    while stack:
+        v, within = stack.pop()
+        if type(v) is list:
+            stack += [(x, within) for x in v if type(x) in (dict, list)]
+            continue
+        kind = v.get("kind")
+        name = str(v["pred_id"]) if kind == "pred" and v.get("pred_id") else None
+        if name is not None and name in fixed:
+            rule, args = fixed[name], v.get("args")
+            n = len(args) if type(args) is list else None
+            need = FIXED[rule][2] if rule in FIXED else None
+            enough = n is not None and need is not None and (n == 0 if rule in CONSTANTS else n >= need)
+            if enough and (rule not in ("IND_POWER_OPERATOR", "RES_POWER_OPERATOR") or within in TERM_PARENTS):
+                called = {"fn": {"kind": "sym_ref", "sym_id": FUNCTIONS[rule]}} if rule in FUNCTIONS else {}
+                v.clear()
+                v["kind"] = FIXED[rule][0]
+                v |= dict(zip(FIXED[rule][1], args))
+                if rule == "IRR_MEMBERSHIP":
+                    v["set"] = {"kind": "app"} | called | {"args": [args[1]]}
+                elif rule in CONSTANTS:
+                    v["value"] = CONSTANTS[rule]
+                elif not FIXED[rule][1]:
+                    v |= called | {"args": args}
+            elif n is None or need is not None:
+                out.append((name, rule, n or 0, NO_LIST if n is None else REASONS[rule]))
+            continue
+        if name is not None and name in renamed:
+            v["pred_id"] = renamed[name]
+        inner = kind if isinstance(kind, str) else ""
+        stack += [(x, inner) for k, x in v.items() if type(x) in (dict, list) and k != "kind" and k not in _NAMES]
+    return out
+
+
+@functools.lru_cache(10_000)
+def _plan(kind: str, fields: tuple, fn_null: bool) -> tuple:
+    """(wanted, the order of checks, whether it binds, the kind's name) of an object, from the names of its fields."""
+    has = fields.__contains__
+    known = kind in FORMS or kind in ("sym_ref", "mul", "sum", "restriction")
+    binder = not known and (has("vars") or has("body"))
+    if kind == "sym_ref":
+        wanted = ["sym_id"]
+    elif kind == "mul":
+        wanted = ["args*"] if has("args") else ["left", "right"]
+    elif kind == "sum":
+        ends = ["from", "to"] if has("from") and has("to") else []
+        wanted = [*(["index"] if has("index") else []), *ends, "term"] if has("index") or ends else ["over", "term"] if has("over") else ["term"]
+    elif kind == "restriction":
+        wanted = ["fn" if not has("function") and has("fn") and not fn_null else "function", "domain"]
+    elif binder:
+        wanted = ["vars", "body", *(f for f in fields if f not in ("vars", "body"))]
+    elif known:
+        wanted = FORMS[kind][1] + ([OPTIONAL[kind]] if kind in OPTIONAL and has(OPTIONAL[kind]) else [])
+    else:
+        arguments = ["fn*", "args*"] if has("fn") else ["args*"] if has("args") else []
+        sides = ["left", "right"] if has("left") or has("right") else []
+        wanted = [*arguments, *sides, *(["arg"] if has("arg") else []), *(f for f in fields if f not in ("fn", "args", "left", "right", "arg"))]
+    binds = kind in ("forall", "exists") or binder
+    wrong = None
+    if not known:
+        wrong = " requires both 'left' and 'right'" if has("left") != has("right") else " requires both 'vars' and 'body'" if has("vars") != has("body") else " requires 'args' when 'fn' is present" if has("fn") and not has("args") else None
+    if wrong is None:
+        wrong = next((f" missing required field '{w.rstrip('*')}'" for w in wanted if not has(w.rstrip("*"))), None)
+    order = ["body", *(w for w in wanted if w not in ("body", "vars")), "vars"] if binds else wanted
+    camel = kind if kind == kind.upper() else "".join(p[:1].upper() + p[1:] for p in kind.split("_"))
+    name = ("SumOver" if "over" in wanted else "Sum") if kind == "sum" else _FIXED_NAMES.get(kind) or _atom_text(camel)
+    return wanted, order, binds, name, wrong
+
+
+def _node_error(v: dict, what: str) -> str:
+    return f"logic_ast node kind={v.get('kind', '<missing-kind>')!r}{what}"
+
+
+def _unbound(variables: list) -> str | None:
+    for x in variables:
+        if type(x) is not dict:
+            return "logic_ast binder variable must be a dict"
+        for f in ("sym_id", "sort"):
+            if f not in x:
+                return _node_error(x, f" missing required field '{f}'")
+    return None
+
+
+def _render(v, gap: str) -> tuple[str | None, str | None]:
+    """(text, error) of a parsed tree; calls itself, but only in Python, where depth has no limit of its own."""
+    if type(v) is list:
+        parts = []
+        for x in v:
+            text, error = _render(x, gap)
+            if error is not None:
+                return None, error
+            parts.append(text)
+        if any("\n" in p for p in parts):
+            return "(\n" + "\n".join([gap[1:] + p.replace("\n", gap) for p in parts]) + "\n)", None
+        return "(" + " ".join(parts) + ")", None
+    if type(v) is not dict:
+        return _atom_text(str(v)), None
+    kind = v.get("kind")
+    if not isinstance(kind, str) or not kind:
+        return None, "logic_ast node missing required field 'kind'" if "kind" in v else _node_error(v, " missing required field 'kind'")
+    if kind == "sym_ref" and "sym_id" in v:
+        return _atom_text(str(v["sym_id"])), None
+    wanted, order, binds, name, wrong = _plan(kind, tuple([f for f in v if f != "kind"]), v.get("fn", 0) is None)
+    # what is missing and what is no list, in the order of fields; a field that comes first goes first
+    for w in wanted:
+        if (w == "args*" or w == "vars" and binds) and type(v.get(w.rstrip("*"), [])) is not list:
+            at = w.rstrip("*")
+            before = [x.rstrip("*") for x in wanted[: wanted.index(w)]]
+            if wrong is None or " missing " in wrong and all(b in v for b in before):
+                return None, _node_error(v, f" field '{at}' must be a list")
+    if wrong is not None:
+        return None, _node_error(v, wrong)
+    texts = {}
+    for w in order:
+        if binds and w == "body" and type(v["body"]) is not dict:
+            return None, _NO_DICT
+        if w == "vars" and binds:
+            error = _unbound(v["vars"])
+        elif w in _NAMES:
+            texts[w], error = [_atom_text(str(v[w]))], None
+        elif w == "args*":
+            parts, error = [], None
+            for x in v["args"]:
+                text, error = _render(x, gap)
+                if error is not None:
+                    break
+                parts.append(text)
+            texts[w] = parts
+        else:
+            x = v[w.rstrip("*")]
+            if w == "fn*" and type(x) is dict and x.get("kind") == "pred" and "pred_id" in x and "args" not in x:
+                texts[w], error = [_atom_text(str(x["pred_id"]))], None
+            else:
+                text, error = _render(x, gap)
+                texts[w] = [text]
+        if error is not None:
+            return None, error
+    if kind == "pred":
+        name, parts = texts["pred_id"][0], texts["args*"]
+    else:
+        parts = [p for w in wanted if not (binds and w == "vars") for p in texts[w]]
+    if binds:
+        name += " (" + " ".join([f"({_atom_text(str(x['sym_id']))} {_atom_text(str(x['sort']))})" for x in v["vars"]]) + ")"
+    if not parts:
+        return f"({name})", None
+    if binds or kind in MULTILINE or kind == "not" and parts[0].startswith("(") or any("\n" in p for p in parts):
+        return "(" + name + "\n" + "\n".join([gap[1:] + p.replace("\n", gap) for p in parts]) + ")", None
+    return f"({name} {' '.join(parts)})", None
+
+
+@functools.lru_cache(10_000)
+def _rules(said: str | None) -> dict:
+    return json.loads(said) if said else {}
+
+
+def _parsed(text: str | None):
+    try:
+        return json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _ruled(rules: DataFrame, value: str, name: str) -> DataFrame:
+    """(tree, name): the rules of each tree as a JSON object."""
+    return rules.groupBy("tree").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("pred_id", value))))).alias(name))
+
+
+def statements(trees: DataFrame, renamed: DataFrame, fixed: DataFrame, indent: int = 2) -> DataFrame:
+    """(tree, text): rendered(rewritten(flat_nodes(trees), renamed, fixed)[0], indent), a tree at a time and so without rounds."""
+    if indent < 0:
+        raise ValueError("indent must not be negative")
+    kind, gap = trees.schema["tree"].dataType.simpleString(), "\n" + " " * indent
+
+    def run(batches):
+        limit = sys.getrecursionlimit()
+        for b in batches:
+            out = []
+            sys.setrecursionlimit(10**6)
+            for text, new, own in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                v = _parsed(text)
+                if type(v) is dict:
+                    _rewrite(v, _rules(new), _rules(own))
+                    said, error = _render(v, gap)
+                else:
+                    if type(v) is list:
+                        _rewrite(v, _rules(new), _rules(own))
+                    said, error = None, _NO_DICT
+                out.append(said if error is None else f'(RenderError "ValueError" {_json_text(error)})')
+            sys.setrecursionlimit(limit)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["tree", "text"])
+
+    rows = trees.select("tree", "text").join(_ruled(renamed, "canonical", "_new"), "tree", "left").join(_ruled(fixed, "semantic_key", "_own"), "tree", "left")
+    return rows.select("tree", "text", "_new", "_own").mapInArrow(run, f"tree {kind}, text string")
+
+
+def misuses(trees: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(tree, pred_id, semantic_key, args_count, reason): the misuses of rewritten(flat_nodes(trees), ..., fixed), a tree at a time."""
+    kind = trees.schema["tree"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            at, found = [], []
+            for i, (text, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                v = _parsed(text)
+                if type(v) in (dict, list):
+                    new = _rewrite(v, {}, _rules(own))
+                    found += new
+                    at += [i] * len(new)
+            columns = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=["tree", "pred_id", "semantic_key", "args_count", "reason"])
+
+    rows = trees.select("tree", "text").join(_ruled(fixed, "semantic_key", "_own"), "tree")
+    return rows.select("tree", "text", "_own").mapInArrow(run, f"tree {kind}, pred_id string, semantic_key string, args_count int, reason string")

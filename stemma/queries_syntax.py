@@ -25,7 +25,7 @@ _TEXTS = f"""{_ITEMS}, nm AS (SELECT *, CASE WHEN t % 2 = 0 AND s % 4 < 2 THEN '
         WHEN t % 3 > 0 THEN '(Forall ((x Real))' || chr(10) || '  ' || replace(text, chr(10), chr(10) || '  ') || ')' ELSE text END AS text FROM wh""")
 def statement_forms(spark, sf_dir):
     """The statement of every order, rewritten and rendered."""
-    return S.rendered(_rewritten(spark, sf_dir)[0])
+    return S.statements(*_statements(spark, sf_dir))
 
 
 @query(f"""WITH {_ITEMS} SELECT t AS tree, CASE p % 6 WHEN 1 THEN 'SUBSET' ELSE 'IND' END AS pred_id, CASE p % 6 WHEN 1 THEN 'SUBSET_RELATION' ELSE 'IND_POWER_OPERATOR' END AS semantic_key, CASE p % 6 WHEN 1 THEN 1 ELSE 3 END AS args_count,
@@ -34,10 +34,12 @@ def statement_forms(spark, sf_dir):
 def operator_misuses(spark, sf_dir):
     """Fixed operators in the statements of orders that lack arguments or stand where no term may. A lone item of an order
     that lacks a side and binds nothing is a side of an equation: a term may stand there."""
-    return _rewritten(spark, sf_dir)[1].drop("id")
+    trees, _, fixed = _statements(spark, sf_dir)
+    return S.misuses(trees, fixed)
 
 
-def _rewritten(spark, sf_dir):
+def _statements(spark, sf_dir):
+    """(tree, text) of every order, its new names and its fixed operators."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     it = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), F.row_number().over(order).alias("i"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
     name = F.concat(F.lit("P"), (F.col("s") % 4).cast("string"))
@@ -63,7 +65,7 @@ def _rewritten(spark, sf_dir):
     renamed = it.where((F.col("tree") % 2 == 0) & (F.col("s") % 4 < 2)).select("tree", F.col("name").alias("pred_id"), F.concat(F.lit("Same_"), (F.col("s") % 4).cast("string")).alias("canonical")).distinct()
     rules = F.create_map(*[F.lit(x) for kv in {"SUBSET": "SUBSET_RELATION", "IND": "IND_POWER_OPERATOR", "IRR": "IRR_MEMBERSHIP"}.items() for x in kv])
     fixed = forms.select("tree", F.explode(rules).alias("pred_id", "semantic_key"))
-    return S.rewritten(S.flat_nodes(forms.select("tree", whole.alias("text"))), renamed, fixed)
+    return forms.select("tree", whole.alias("text")), renamed, fixed
 
 
 # The library: brands, their types and the names below; a type or a name is found where it stands first. Every order asks for

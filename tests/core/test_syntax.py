@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.operators import syntax as S
 
@@ -101,3 +102,53 @@ def test_rewritten(spark):
     trees, misuses = S.rewritten(nodes, renamed, fixed)
     assert {r.tree: r.text for r in S.rendered(trees).collect()} == {i: w for i, (_, w) in enumerate(cases)}
     assert {(m.tree, m.pred_id, m.args_count) for m in misuses.collect()} == {(9, "ONE", 1), (10, "IND", 3), (11, "RES", 2), (14, "SUB", 1), (15, "SUB", 0)}
+
+
+def _any_tree(rng, depth):
+    kinds = [*S.FORMS, "sym_ref", "mul", "sum", "restriction", "pred", "pred", "pred", "odd_kind", "ODD", "q t", "", None, 3]
+    fields = ["left", "right", "arg", "args", "fn", "function", "domain", "element", "set", "base", "exponent", "index", "from", "to", "term", "over", "value", "vars", "body", "sym_id", "sort", "pred_id", "modulus", "group", "count", "other"]
+    roll = rng.random()
+    if depth <= 0 or roll < 0.12:
+        return rng.choice(["x", "A b", "", "a\"b", "line\nbreak", None, 1, 2.5, True, "é", "\u00a0", "\x1c", {"kind": "sym_ref", "sym_id": "s"}])
+    if roll < 0.2:
+        return [_any_tree(rng, depth - 1) for _ in range(rng.randrange(4))]
+    kind, v = rng.choice(kinds), {}
+    if rng.random() < 0.95:
+        v["kind"] = kind
+    below = lambda: _any_tree(rng, depth - 1)
+    if isinstance(kind, str) and kind in S.FORMS and rng.random() < 0.8:
+        wanted = [w.rstrip("*") for w in S.FORMS[kind][1]] + ([S.OPTIONAL[kind]] if kind in S.OPTIONAL and rng.random() < 0.5 else [])
+    else:
+        wanted = rng.sample(fields, rng.randrange(5))
+    rng.shuffle(wanted)
+    for w in wanted:
+        if rng.random() < 0.96:
+            v[w] = rng.choice(["F", "G", "P1", "P2", "U", "", 7]) if w == "pred_id" else [below() for _ in range(rng.randrange(4))] if w == "args" and rng.random() < 0.95 else [{"sym_id": "x", "sort": rng.choice(["Real", "a b", None])} if rng.random() < 0.9 else below() for _ in range(rng.randrange(3))] if w == "vars" and rng.random() < 0.95 else below()
+    return v
+
+
+def test_a_tree_at_a_time_is_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [json.dumps(_any_tree(rng, 4)) for _ in range(3000)] + [None, "{", "3", "[]", "null", "{}"]
+    trees = spark.createDataFrame(list(enumerate(texts)), "tree long, text string")
+    renamed = trees.where("tree % 2 = 0").select("tree", F.lit("P1").alias("pred_id"), F.lit("New one").alias("canonical"))
+    keys = [*S.FIXED, "UNKNOWN"]
+    fixed = spark.createDataFrame([(i, n, keys[(i + 5 * k) % len(keys)]) for i in range(len(texts)) for k, n in enumerate(("F", "G", "U")) if i % 7], "tree long, pred_id string, semantic_key string")
+    flat, wrong = S.rewritten(S.flat_nodes(trees), renamed, fixed)
+    want, got = ({r.tree: r.text for r in d.collect()} for d in (S.rendered(flat), S.statements(trees, renamed, fixed)))
+    odd = [(texts[i], want[i], got[i]) for i in want if want[i] != got[i]]
+    assert not odd[:3] and len(got) == len(texts) and sum("RenderError" not in t for t in got.values()) > 100
+    assert sorted(map(tuple, wrong.drop("id").collect())) == sorted(map(tuple, S.misuses(trees, fixed).collect()))
+
+
+def test_queries_take_a_tree_at_a_time(spark, tmp_path, monkeypatch):
+    """A row for each node, and a round of jobs for each level of a tree."""
+    from stemma.queries import QUERIES
+
+    monkeypatch.setattr(S, "written", None)
+    deep = {"kind": "sym_ref", "sym_id": "x"}
+    for _ in range(2000):
+        deep = {"kind": "not", "arg": deep}
+    text = S.statements(spark.createDataFrame([(1, json.dumps(deep))], "tree long, text string"), *(spark.createDataFrame([], f"tree long, pred_id string, {c} string") for c in ("canonical", "semantic_key"))).first().text
+    assert text.count("(Not") == 2000 and text.endswith("x" + ")" * 2000)
+    assert QUERIES["statement_forms"](spark, "/root/testdata/sf0.001").count() > 1000 and QUERIES["operator_misuses"](spark, "/root/testdata/sf0.001").count() > 100
